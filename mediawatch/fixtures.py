@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediawatch.operators import matching
@@ -16,6 +16,15 @@ from mediawatch.scale import materialise, spread_small_scan
 TODAY = "2024-01-10"
 NOW = "2024-01-10 08:00:00"
 
+
+def today() -> Column:
+    return F.lit(TODAY).cast("date")
+
+
+def now() -> Column:
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
 # search_id, user_id, name, keywords, phonetic, whole_word, date_end, mode, email, chat, media, dedup
 SEARCHES = [
     (1, 1, "Common words", ["that", "onre"], 0, 0, "2024-12-31", "final", "a@example.com", 0, ["tv", "radio"], 1),

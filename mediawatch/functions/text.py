@@ -62,6 +62,11 @@ MARK_PREV = "⁠"
 MARK_NEXT = "​"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once per row, however often the optimizer copies it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @lru_cache(maxsize=1)
 def _accent_table() -> tuple[str, str]:
     """Every letter whose canonical decomposition is one base character plus combining marks."""
@@ -145,12 +150,15 @@ def content_words(c: Column) -> Column:
 
 def shingles(norm_words: Column, n: int = 5) -> Column:
     """Distinct n-word shingles; a shorter text is one shingle, an empty text none."""
-    size = F.size(norm_words)
-    full = F.transform(
-        F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))),
-        lambda i: F.array_join(F.slice(norm_words, i, n), " "),
-    )
-    return F.when(size == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(full))
+
+    def of(ws: Column) -> Column:
+        full = F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1))),
+            lambda i: F.array_join(F.slice(ws, i, n), " "),
+        )
+        return F.when(F.size(ws) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(full))
+
+    return let(norm_words, of)
 
 
 def _window_starts(n: Column, k: Column) -> Column:
@@ -162,14 +170,17 @@ def _window_starts(n: Column, k: Column) -> Column:
 def keyword_positions(norm_words: Column, kw_words: Column) -> Column:
     """Every word offset where each keyword word is a substring of the word it lines up with."""
 
-    def at(i: Column) -> Column:
-        return F.forall(
-            F.sequence(F.lit(0), F.greatest(F.size(kw_words) - 1, F.lit(0))),
-            lambda j: (F.get(kw_words, j) != "")
-            & F.contains(F.get(norm_words, i + j), F.get(kw_words, j)),
+    def of(ws: Column, kw: Column) -> Column:
+        last = F.greatest(F.size(kw) - 1, F.lit(0))
+        return F.filter(
+            _window_starts(F.size(ws), F.size(kw)),
+            lambda i: F.forall(
+                F.sequence(F.lit(0), last),
+                lambda j: (F.get(kw, j) != "") & F.contains(F.get(ws, i + j), F.get(kw, j)),
+            ),
         )
 
-    return F.filter(_window_starts(F.size(norm_words), F.size(kw_words)), at)
+    return let(norm_words, lambda ws: let(kw_words, lambda kw: of(ws, kw)))
 
 
 def locate_keyword(norm_words: Column, kw_words: Column, whole_word: Column) -> Column:
@@ -178,40 +189,45 @@ def locate_keyword(norm_words: Column, kw_words: Column, whole_word: Column) ->
     One word: substring of a token, or word-bounded inside it. Phrase: consecutive tokens, which in
     whole-word mode must be equal to the keyword's words.
     """
-    n, k = F.size(norm_words), F.size(kw_words)
 
-    def at(i: Column) -> Column:
-        single = F.contains(F.get(norm_words, i), F.get(kw_words, F.lit(0))) & (
-            ~whole_word | bounded_by_words(F.get(norm_words, i), F.get(kw_words, F.lit(0)))
-        )
-        exact = F.slice(norm_words, i + 1, k) == kw_words
-        loose = F.forall(
-            F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))),
-            lambda j: F.contains(F.get(norm_words, i + j), F.get(kw_words, j)),
-        )
-        return F.when(k == 1, single).when(whole_word, exact).otherwise(loose)
+    def of(ws: Column, kw: Column, whole: Column) -> Column:
+        k = F.size(kw)
+        word = F.get(kw, F.lit(0))
+
+        def at(i: Column) -> Column:
+            single = F.contains(F.get(ws, i), word) & (~whole | bounded_by_words(F.get(ws, i), word))
+            exact = F.slice(ws, i + 1, k) == kw
+            loose = F.forall(
+                F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))),
+                lambda j: F.contains(F.get(ws, i + j), F.get(kw, j)),
+            )
+            return F.when(k == 1, single).when(whole, exact).otherwise(loose)
 
-    return F.get(F.filter(_window_starts(n, k), at), F.lit(0))
+        return F.get(F.filter(_window_starts(F.size(ws), k), at), F.lit(0))
+
+    return let(norm_words, lambda ws: let(kw_words, lambda kw: of(ws, kw, whole_word)))
 
 
 def center_words(tokens: Column, idx: Column, side: int = 50) -> Column:
     """Tokens within `side` words of the index (NULL means 0), with ellipses where text was cut."""
-    n = F.size(tokens)
-    at = F.coalesce(idx, F.lit(0))
-    start = F.greatest(at - side, F.lit(0))
-    end = F.least(at + side + 1, n)
-    kept = F.filter(
-        F.slice(tokens, start + 1, F.greatest(end - start, F.lit(0))),
-        lambda w: ~w.isin(MARK_PREV, MARK_NEXT),
-    )
-    body = F.array_join(kept, " ")
-    return F.when(n == 0, F.lit("")).otherwise(
-        F.concat(
-            F.when(start > 0, F.lit("… ")).otherwise(F.lit("")),
-            body,
-            F.when(end < n, F.lit(" …")).otherwise(F.lit("")),
+
+    def of(ws: Column, at: Column) -> Column:
+        n = F.size(ws)
+        start = F.greatest(at - side, F.lit(0))
+        end = F.least(at + side + 1, n)
+        kept = F.filter(
+            F.slice(ws, start + 1, F.greatest(end - start, F.lit(0))),
+            lambda w: ~w.isin(MARK_PREV, MARK_NEXT),
+        )
+        return F.when(n == 0, F.lit("")).otherwise(
+            F.concat(
+                F.when(start > 0, F.lit("… ")).otherwise(F.lit("")),
+                F.array_join(kept, " "),
+                F.when(end < n, F.lit(" …")).otherwise(F.lit("")),
+            )
         )
-    )
+
+    return let(tokens, lambda ws: let(F.coalesce(idx, F.lit(0)), lambda at: of(ws, at)))
 
 
 def center_text(c: Column, idx: Column, side: int = 50) -> Column:
@@ -262,33 +278,41 @@ def highlight(c: Column, keyword: Column, whole_word: Column) -> Column:
 def highlight_phonetic(c: Column, keyword: Column, whole_word: Column) -> Column:
     """Mark every run of words that sounds like the keyword, keeping the original spacing."""
     sounds = F.lit(True)
-    tokens = words(c)
-    norm = aligned_norm_words(tokens, sounds)
-    kw = aligned_norm_words(words(keyword), sounds)
-    k = F.size(kw)
 
-    def sounds_alike(i: Column) -> Column:
+    def hit(norm: Column, kw: Column, i: Column) -> Column:
         return F.forall(
-            F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))),
+            F.sequence(F.lit(0), F.greatest(F.size(kw) - 1, F.lit(0))),
             lambda j: F.contains(F.get(norm, i + j), F.get(kw, j))
             & (~whole_word | bounded_by_words(F.get(norm, i + j), F.get(kw, j))),
         )
 
-    starts = F.filter(_window_starts(F.size(norm), k), sounds_alike)
-    parts = F.split(c, r"(?U)(?<=\s)(?=\S)|(?<=\S)(?=\s)")
-    lead = F.when(F.regexp_like(c, F.lit(r"(?U)^\s")), 1).otherwise(0)
-
-    def render(part: Column, pos: Column) -> Column:
-        ordinal = F.floor((pos - lead) / 2).cast("int")
-        inside = F.exists(starts, lambda s: (ordinal >= s) & (ordinal < s + k))
-        is_word = (pos >= lead) & ((pos - lead) % 2 == 0)
+    def render(marked: Column, part: Column, pos: Column, lead: Column) -> Column:
+        word = (pos - lead) % 2 == 0
+        inside = F.array_contains(marked, F.floor((pos - lead) / 2).cast("int"))
         return F.when(
-            is_word & inside, F.concat(F.lit("<mark>"), html_escape(part), F.lit("</mark>"))
+            (pos >= lead) & word & inside,
+            F.concat(F.lit("<mark>"), html_escape(part), F.lit("</mark>")),
         ).otherwise(html_escape(part))
 
+    def of(norm: Column, kw: Column) -> Column:
+        starts = F.filter(_window_starts(F.size(norm), F.size(kw)), lambda i: hit(norm, kw, i))
+        covered = F.flatten(F.transform(starts, lambda s: F.sequence(s, s + F.size(kw) - 1)))
+        parts = F.split(c, r"(?U)(?<=\s)(?=\S)|(?<=\S)(?=\s)")
+        lead = F.when(F.regexp_like(c, F.lit(r"(?U)^\s")), 1).otherwise(0)
+        return let(
+            covered,
+            lambda marked: F.array_join(
+                F.transform(parts, lambda part, pos: render(marked, part, pos, lead)), ""
+            ),
+        )
+
+    marked_text = let(
+        aligned_norm_words(words(c), sounds),
+        lambda norm: let(aligned_norm_words(words(keyword), sounds), lambda kw: of(norm, kw)),
+    )
     return F.when(c.isNull(), F.lit("")).when(
         F.coalesce(keyword, F.lit("")) == "", html_escape(c)
-    ).otherwise(F.array_join(F.transform(parts, render), ""))
+    ).otherwise(marked_text)
 
 
 def is_silent_or_noise(c: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediawatch.functions.timefn import epoch_seconds, floor_second, seconds
+from mediawatch.functions.timefn import epoch_seconds
 
 DAY = 86_400
 GAP_BUCKET = 6 * 3_600
@@ -101,54 +101,48 @@ def asof_last(
     )
 
 
-def keep_spaced(
-    hits: DataFrame,
-    keys: list[str],
-    ts: str,
-    row_id: str,
-    active: str,
-    gap: int = 60,
-    width: int = GAP_BUCKET,
+def greedy_starts(
+    rows: DataFrame, keys: list[str], pos: str, reach: str, row_id: str, active: str, gap: int, width: int
 ) -> DataFrame:
-    """Greedy minimum gap: keep a hit only if the last *kept* hit of its key lies before
-    floor(second) - gap. Rows whose `active` flag is off are all kept.
+    """Greedy selection along `pos` (BIGINT, one row per key and pos comes out, lowest row_id).
 
-    One row per (keys, ts) comes out, with the lowest row_id. A bucket's effect on the next one is
-    the map from its possible first kept hits to the last kept one; composing those maps per key
-    gives every bucket its entry state, and the buckets are then folded independently.
+    A row is kept when `reach - gap` lies beyond the last *kept* pos of its key; rows whose `active`
+    flag is off are all kept. `width` is the bucket size, several times the gap.
+
+    A bucket's effect on the next one is the map from its possible first kept rows to its last kept
+    one. Composing those maps per key gives every bucket its entry state; the buckets are then
+    folded independently, so a key's rows never meet in one task.
     """
-    stamp = F.struct(F.col(ts).alias("t"), F.col(row_id).alias("id"))
+    scope = [*keys, active]
     packs = (
-        hits.groupBy(*keys, active, ts)
-        .agg(F.min(row_id).alias(row_id))
-        .withColumn("_b", time_bucket(F.col(ts), width))
-        .groupBy(*keys, active, "_b")
-        .agg(F.array_sort(F.collect_list(stamp)).alias("_rows"))
+        rows.groupBy(*scope, F.col(pos).alias("_t"))
+        .agg(F.min(F.struct(F.col(row_id).alias("id"), F.col(reach).alias("r"))).alias("_v"))
+        .withColumn("_b", F.floor(F.col("_t") / width).cast("bigint"))
+        .groupBy(*scope, "_b")
+        .agg(F.array_sort(F.collect_list(F.struct("_t", "_v.r", "_v.id"))).alias("_rows"))
     )
-    none = F.lit(None).cast(hits.schema[ts].dataType)
+    none = F.lit(None).cast("bigint")
 
-    def free(t: Column, last: Column) -> Column:
-        return last.isNull() | (floor_second(t) - seconds(gap) > last)
+    def free(r: Column, last: Column) -> Column:
+        return last.isNull() | (r["r"] - gap > last)
 
     def last_from(start: Column) -> Column:
         return F.aggregate(
-            F.filter("_rows", lambda r: r["t"] >= start),
+            F.filter("_rows", lambda r: r["_t"] >= start),
             none,
-            lambda last, r: F.when(free(r["t"], last), r["t"]).otherwise(last),
+            lambda last, r: F.when(free(r, last), r["_t"]).otherwise(last),
         )
 
+    # Rows past the first one that no earlier bucket can hold back are never a first kept row.
     opening = F.array_min(
         F.transform(
-            F.filter("_rows", lambda r: epoch_seconds(floor_second(r["t"])) >= F.col("_b") * width + gap),
-            lambda r: r["t"],
+            F.filter("_rows", lambda r: r["r"] - gap >= F.col("_b") * width), lambda r: r["_t"]
         )
     )
     heads = F.transform(
-        F.filter("_rows", lambda r: F.col("_open").isNull() | (r["t"] <= F.col("_open"))),
-        lambda r: F.struct(r["t"].alias("t"), last_from(r["t"]).alias("out")),
+        F.filter("_rows", lambda r: F.col("_open").isNull() | (r["_t"] <= F.col("_open"))),
+        lambda r: F.struct(r["r"].alias("r"), last_from(r["_t"]).alias("out")),
     )
-    # `active` stays a key rather than a filter, so that both uses of `packs` share one shuffle.
-    scope = [*keys, active]
     maps = (
         packs.withColumn("_open", opening)
         .select(*scope, F.struct("_b", heads.alias("heads")).alias("_m"))
@@ -157,55 +151,62 @@ def keep_spaced(
     )
 
     def advance(acc: Column, m: Column) -> Column:
-        adjacent = acc["b"] == m["_b"] - 1
-        entry = F.when(adjacent, acc["last"])
-        first = F.get(F.filter(m["heads"], lambda h: free(h["t"], entry)), F.lit(0))
+        entry = F.when(acc["b"] == m["_b"] - 1, acc["last"])
+        first = F.get(F.filter(m["heads"], lambda h: free(h, entry)), F.lit(0))
+        noted = F.concat(
+            acc["entries"], F.array(F.struct(m["_b"].alias("_b"), entry.alias("_entry")))
+        )
         return F.struct(
             m["_b"].alias("b"),
             first["out"].alias("last"),
-            F.when(
-                entry.isNotNull(),
-                F.concat(
-                    acc["entries"], F.array(F.struct(m["_b"].alias("_b"), entry.alias("_entry")))
-                ),
-            )
-            .otherwise(acc["entries"])
-            .alias("entries"),
+            F.when(entry.isNotNull(), noted).otherwise(acc["entries"]).alias("entries"),
         )
 
     start = F.struct(
-        F.lit(None).cast("bigint").alias("b"),
+        none.alias("b"),
         none.alias("last"),
-        F.array().cast(f"array<struct<_b:bigint,_entry:{hits.schema[ts].dataType.simpleString()}>>").alias("entries"),
+        F.array().cast("array<struct<_b:bigint,_entry:bigint>>").alias("entries"),
     )
     entries = maps.select(
         *scope, F.explode(F.aggregate("_ms", start, advance)["entries"]).alias("_e")
-    ).select(*scope, "_e._b", "_e._entry")
+    ).select(F.struct(*scope, "_e._b").alias("_at"), "_e._entry")
 
-    element = "struct<t:{0},id:{1}>".format(
-        hits.schema[ts].dataType.simpleString(), hits.schema[row_id].dataType.simpleString()
-    )
-    fold_start = F.struct(
-        F.col("_entry").alias("last"), F.array().cast(f"array<{element}>").alias("kept")
-    )
+    element = packs.schema["_rows"].dataType.simpleString()
+    fold_start = F.struct(F.col("_entry").alias("last"), F.array().cast(element).alias("kept"))
 
     def fold(acc: Column, r: Column) -> Column:
         return F.when(
-            free(r["t"], acc["last"]),
-            F.struct(r["t"].alias("last"), F.concat(acc["kept"], F.array(r)).alias("kept")),
+            free(r, acc["last"]),
+            F.struct(r["_t"].alias("last"), F.concat(acc["kept"], F.array(r)).alias("kept")),
         ).otherwise(acc)
 
     kept = F.when(F.col(active), F.aggregate("_rows", fold_start, fold)["kept"]).otherwise(
         F.col("_rows")
     )
-    # Null-safe equality infers no extra filter on one side, which would defeat the shared shuffle.
-    e = entries.select(F.struct(*scope, "_b").alias("_at"), "_entry")
     same = [F.col(c).eqNullSafe(F.col(f"_at.{c}")) for c in (*scope, "_b")]
     return (
-        packs.join(e, same, "left")
+        packs.join(entries, same, "left")
         .select(*keys, F.explode(kept).alias("_k"))
-        .select(*keys, F.col("_k.t").alias(ts), F.col("_k.id").alias(row_id))
+        .select(*keys, F.col("_k._t").alias(pos), F.col("_k.id").alias(row_id))
+    )
+
+
+def keep_spaced(
+    hits: DataFrame, keys: list[str], ts: str, row_id: str, active: str, gap: int = 60
+) -> DataFrame:
+    """Greedy minimum gap in time: keep a hit only if the last kept hit of its key lies before
+    floor(second) - gap. One row per (keys, ts) comes out."""
+    micros = (epoch_seconds(F.col(ts)) * 1_000_000).cast("bigint")
+    placed = hits.select(*keys, active, row_id, micros.alias("_pos")).withColumn(
+        "_reach", F.col("_pos") - F.pmod(F.col("_pos"), F.lit(1_000_000))
+    )
+    kept = greedy_starts(
+        placed, keys, "_pos", "_reach", row_id, active, gap * 1_000_000, GAP_BUCKET * 1_000_000
+    )
+    instant = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+        secs=(F.col("_pos") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
     )
+    return kept.select(*keys, instant.alias(ts), row_id)
 
 
 def running_total(

@@ -1,0 +1,4 @@
+"""Runnable queries over the driver tables, each next to the SQL it must agree with."""
+
+from mediawatch.plans import matching, texts, times  # noqa: F401  (registration)
+from mediawatch.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +74,10 @@ def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def theta_join(left: DataFrame, right: DataFrame, cond, key: list[str]) -> DataFrame:
+    """Inner join on a condition without an equi key: the right side is counted and shipped whole,
+    or slice by slice when it is too large, so the left side is never shuffled or multiplied."""
+    parts = [left.join(s, cond) for s in broadcast_slices(right, key)]
+    return reduce(DataFrame.unionByName, parts)
