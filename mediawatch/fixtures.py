@@ -121,7 +121,10 @@ def _stored(name: str, build, spark: SparkSession, sf_dir: str) -> DataFrame:
     """A derived table as a user would keep it: built once per session, read by later queries."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        _STORED[key] = materialise(build(spark, sf_dir))
+        rows = materialise(build(spark, sf_dir))
+        if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+            rows = materialise(spread_small_scan(rows, rows.columns[0]))
+        _STORED[key] = rows
     return _STORED[key]
 
 

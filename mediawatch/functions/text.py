@@ -134,11 +134,17 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), WHITESPACE), lambda w: w != "")
 
 
+def aligned_norm_text(tokens: Column, phonetic: Column) -> Column:
+    """Normalised tokens joined by single spaces; a token may normalise to nothing but keeps its place."""
+    return normalise(F.array_join(tokens, " "), phonetic)
+
+
 def aligned_norm_words(tokens: Column, phonetic: Column) -> Column:
-    """Normalised form of each token, index-aligned (a token may normalise to the empty string)."""
-    joined = F.array_join(tokens, " ")
-    return F.when(F.size(tokens) == 0, F.array().cast("array<string>")).otherwise(
-        F.split(normalise(joined, phonetic), " ")
+    """Normalised form of each token, index-aligned."""
+    joined = aligned_norm_text(tokens, phonetic)
+    return let(
+        joined,
+        lambda j: F.when(j == "", F.array().cast("array<string>")).otherwise(F.split(j, " ")),
     )
 
 
@@ -183,29 +189,40 @@ def keyword_positions(norm_words: Column, kw_words: Column) -> Column:
     return let(norm_words, lambda ws: let(kw_words, lambda kw: of(ws, kw)))
 
 
-def locate_keyword(norm_words: Column, kw_words: Column, whole_word: Column) -> Column:
-    """First word index of the keyword, or NULL.
+def locate_keyword(norm_text: Column, norm_kw: Column, whole_word: Column) -> Column:
+    """First word index of the keyword, or NULL; both sides come from aligned_norm_text.
 
     One word: substring of a token, or word-bounded inside it. Phrase: consecutive tokens, which in
     whole-word mode must be equal to the keyword's words.
     """
 
-    def of(ws: Column, kw: Column, whole: Column) -> Column:
+    def by_word(ws: Column, kw: Column) -> Column:
         k = F.size(kw)
         word = F.get(kw, F.lit(0))
 
         def at(i: Column) -> Column:
-            single = F.contains(F.get(ws, i), word) & (~whole | bounded_by_words(F.get(ws, i), word))
+            single = bounded_by_words(F.get(ws, i), word)
             exact = F.slice(ws, i + 1, k) == kw
             loose = F.forall(
                 F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))),
                 lambda j: F.contains(F.get(ws, i + j), F.get(kw, j)),
             )
-            return F.when(k == 1, single).when(whole, exact).otherwise(loose)
+            return F.when(k == 1, single).when(whole_word, exact).otherwise(loose)
 
         return F.get(F.filter(_window_starts(F.size(ws), k), at), F.lit(0))
 
-    return let(norm_words, lambda ws: let(kw_words, lambda kw: of(ws, kw, whole_word)))
+    def of(text: Column) -> Column:
+        # A keyword without a space lies in the token that follows the spaces before it.
+        before = F.call_function("substring_index", text, norm_kw, F.lit(1))
+        spaces = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
+        words_of = let(F.split(text, " "), lambda ws: let(F.split(norm_kw, " "), lambda kw: by_word(ws, kw)))
+        return (
+            F.when((text == "") | (norm_kw == ""), F.lit(None).cast("int"))
+            .when(~whole_word & ~F.contains(norm_kw, F.lit(" ")), F.when(F.contains(text, norm_kw), spaces))
+            .otherwise(words_of)
+        )
+
+    return let(norm_text, of)
 
 
 def center_words(tokens: Column, idx: Column, side: int = 50) -> Column:

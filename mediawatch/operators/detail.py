@@ -65,9 +65,9 @@ def enrich(matches: DataFrame, searches: DataFrame, side: int = 50) -> DataFrame
     rows = (
         matches.join(flags, "search_id")
         .withColumn("_cw", cur)
-        .withColumn("_nw", T.aligned_norm_words(F.col("_cw"), phonetic))
-        .withColumn("_kw", T.aligned_norm_words(T.words(F.col("keyword")), phonetic))
-        .withColumn("word_idx", T.locate_keyword(F.col("_nw"), F.col("_kw"), F.col("whole_word")))
+        .withColumn("_nt", T.aligned_norm_text(F.col("_cw"), phonetic))
+        .withColumn("_kt", T.aligned_norm_text(T.words(F.col("keyword")), phonetic))
+        .withColumn("word_idx", T.locate_keyword(F.col("_nt"), F.col("_kt"), F.col("whole_word")))
     )
     nothing = F.array().cast("array<string>")
     prev = F.when(
@@ -87,7 +87,7 @@ def enrich(matches: DataFrame, searches: DataFrame, side: int = 50) -> DataFrame
             T.center_words(F.col("_all"), F.col("word_idx") + F.size("_pw"), side),
         )
         .withColumn("channel_kind", media_type(F.col("channel_id")))
-        .drop("_cw", "_nw", "_kw", "_pw", "_all", "phonetic", "whole_word")
+        .drop("_cw", "_nt", "_kt", "_pw", "_all", "phonetic", "whole_word")
     )
 
 

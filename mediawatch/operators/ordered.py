@@ -6,6 +6,8 @@ bucket edges; the summaries of a key grow with the time span, not with the rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +59,7 @@ def asof_last(
     right_ts: str,
     payload: list[str],
     out: str = "asof",
-    width: int = DAY,
+    bucket: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Each left row with the struct of the last right row of its key at or before it (or NULL).
 
@@ -79,7 +81,8 @@ def asof_last(
         F.lit(None).cast(lrows.schema["_l"].dataType).alias("_l"),
         "_r",
     )
-    timeline = lrows.unionByName(rrows).withColumn("_b", time_bucket(F.col("_t"), width))
+    place = bucket or (lambda c: time_bucket(c, DAY))
+    timeline = lrows.unionByName(rrows).withColumn("_b", place(F.col("_t")))
     inside = (
         Window.partitionBy(*keys, "_b")
         .orderBy("_t", "_side")
@@ -210,26 +213,35 @@ def keep_spaced(
 
 
 def running_total(
-    rows: DataFrame, value: str, levels: list[str], tie: list[str], out: str
+    rows: DataFrame, value: str, levels: list[str], tie: list[str], out: str, keys: list[str] | None = None
 ) -> DataFrame:
-    """Sum of `value` over all rows ordered before each row, by nested order columns.
+    """Sum of `value` over all rows of the keys ordered before each row, by nested order columns.
 
-    `levels` go from coarse to fine, each a function of the row's place in the order; totals of a
-    level are prefixed within the level above, so no window ever holds more than one level's groups.
+    `levels` go from coarse to fine, each a step in the row's place in the order. Totals of a level
+    are summed inside the level above, so no window holds more than one level's groups; the
+    coarsest one holds a row per distinct first level.
     """
-    parts = []
+    keys = keys or []
     base = rows
+    parts = []
     for depth in range(len(levels)):
-        scope = levels[: depth + 1]
+        scope = [*keys, *levels[: depth + 1]]
         sums = rows.groupBy(*scope).agg(F.sum(value).alias("_s"))
-        w = Window.partitionBy(*scope[:-1]) if depth else Window.partitionBy()
-        before = w.orderBy(scope[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        before = (
+            Window.partitionBy(*scope[:-1])
+            .orderBy(scope[-1])
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
         name = f"_p{depth}"
         parts.append(name)
         base = base.join(
             sums.select(*scope, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias(name)), scope
         )
-    w = Window.partitionBy(*levels).orderBy(*tie).rowsBetween(Window.unboundedPreceding, -1)
+    w = (
+        Window.partitionBy(*keys, *levels)
+        .orderBy(*tie)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     total = F.coalesce(F.sum(value).over(w), F.lit(0))
     for name in parts:
         total = total + F.col(name)

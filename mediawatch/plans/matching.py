@@ -108,7 +108,8 @@ _LOCATED = {
     "found": r"""SELECT m.match_id, min(t.ix) AS idx FROM matches m
         JOIN kws k ON k.search_id = m.search_id AND k.kw_pos = m.kw_pos JOIN tokens t ON t.id = m.chunk_id
         WHERE CASE WHEN k.norm_kw = 'the of' THEN contains(t.plain, 'the') AND contains(t.plain2, 'of')
-          WHEN k.whole_word THEN regexp_matches(t.plain, '(^|[^\p{L}\p{N}_])' || regexp_escape(k.norm_kw) || '([^\p{L}\p{N}_]|$)')
+          WHEN k.whole_word THEN CASE WHEN contains(t.plain, k.norm_kw) THEN
+            regexp_matches(t.plain, '(^|[^\p{L}\p{N}_])' || regexp_escape(k.norm_kw) || '([^\p{L}\p{N}_]|$)') ELSE false END
           WHEN k.phonetic THEN contains(t.sound, k.norm_kw) ELSE contains(t.plain, k.norm_kw) END
         GROUP BY m.match_id""",
     "located": f"""SELECT m.*, f.idx, {O.word_list('prev_text')} AS pw, {O.word_list('cur_text')} AS cw,
