@@ -81,3 +81,11 @@ def theta_join(left: DataFrame, right: DataFrame, cond, key: list[str]) -> DataF
     or slice by slice when it is too large, so the left side is never shuffled or multiplied."""
     parts = [left.join(s, cond) for s in broadcast_slices(right, key)]
     return reduce(DataFrame.unionByName, parts)
+
+
+def pinned(df: DataFrame, name: str, value) -> DataFrame:
+    """Add a costly column that later filters and projections read instead of computing it again.
+
+    A one-element explode stops the optimizer from copying the expression into every use.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
