@@ -130,12 +130,9 @@ def with_context(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def backfill(
-    chunks: DataFrame, searches: DataFrame, found_at: Column | None = None, by_row_date: bool = True
-) -> DataFrame:
-    """Matches of the given searches over the given chunks, with context, ready for the keyed sink."""
-    hits = materialise(spaced_hits(match_chunks(chunks, searches, by_row_date)))
-    return with_context(hits, chunks).select(
+def as_matches(hits: DataFrame, found_at: Column | None = None) -> DataFrame:
+    """Hits with context in the columns of the match table."""
+    return hits.select(
         F.xxhash64(*MATCH_KEY).alias("match_id"),
         "search_id",
         "kw_pos",
@@ -152,6 +149,14 @@ def backfill(
     )
 
 
+def backfill(
+    chunks: DataFrame, searches: DataFrame, found_at: Column | None = None, by_row_date: bool = True
+) -> DataFrame:
+    """Matches of the given searches over the given chunks, with context, ready for the keyed sink."""
+    hits = materialise(spaced_hits(match_chunks(chunks, searches, by_row_date)))
+    return as_matches(with_context(hits, chunks), found_at)
+
+
 def drop_known(new: DataFrame, existing: DataFrame, key: list[str] = MATCH_KEY) -> DataFrame:
     """Insert-or-ignore: one row per key, none already stored. A NULL in the key never collides."""
     whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
