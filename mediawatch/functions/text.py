@@ -148,10 +148,20 @@ def aligned_norm_words(tokens: Column, phonetic: Column) -> Column:
     )
 
 
+def fold_words(tokens: Column) -> Column:
+    """fold_word of every token, index-aligned, in one pass over the joined text."""
+    folded = F.translate(F.lower(F.array_join(tokens, " ")), FOLD_FROM, FOLD_TO)
+    return F.split(F.regexp_replace(folded, r"[^\p{L}\p{N} ]+", ""), " ")
+
+
 def content_words(c: Column) -> Column:
     """array<struct<orig,norm>> of tokens that keep at least one letter or digit when folded."""
-    pairs = F.transform(words(c), lambda w: F.struct(w.alias("orig"), fold_word(w).alias("norm")))
-    return F.filter(pairs, lambda p: p["norm"] != "")
+
+    def of(ws: Column) -> Column:
+        pairs = F.arrays_zip(ws.alias("orig"), fold_words(ws).alias("norm"))
+        return F.filter(pairs, lambda p: p["norm"] != "")
+
+    return let(words(c), of)
 
 
 def shingles(norm_words: Column, n: int = 5) -> Column:

@@ -23,16 +23,34 @@ MIN_TOP, MAX_TOP = 3, 30
 NOTHING_FOUND = "(sin fragmentos relevantes)"
 
 
+def term_counts(tokens: Column) -> Column:
+    """array<struct<term,tf>> of a token array: sorted, then cut where the term changes."""
+
+    def of(ws: Column) -> Column:
+        n = F.size(ws)
+        firsts = F.filter(
+            F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+            lambda i: (i < n) & ((i == 0) | (F.get(ws, i) != F.get(ws, i - 1))),
+        )
+        return T.let(
+            firsts,
+            lambda at: F.transform(
+                at,
+                lambda p, j: F.struct(
+                    F.get(ws, p).alias("term"), (F.coalesce(F.get(at, j + 1), n) - p).cast("bigint").alias("tf")
+                ),
+            ),
+        )
+
+    return T.let(F.sort_array(tokens), of)
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, doc_len) of every chunk."""
-    terms = T.index_terms(F.col("text"))
-    rows = chunks.filter(F.col("text").isNotNull()).select(
-        F.col("id").alias("doc_id"), terms.alias("_t")
-    )
-    return (
-        rows.select("doc_id", F.size("_t").alias("doc_len"), F.explode("_t").alias("term"))
-        .groupBy("doc_id", "term", "doc_len")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    """(doc_id, term, tf, doc_len) of every chunk, counted inside its row without a shuffle."""
+    spoken = chunks.filter(F.col("text").isNotNull()).select(F.col("id").alias("doc_id"), "text")
+    rows = pinned(spoken, "_t", T.index_terms(F.col("text")))
+    return rows.select("doc_id", F.size("_t").alias("doc_len"), F.inline(term_counts(F.col("_t")))).select(
+        "doc_id", "term", "doc_len", "tf"
     )
 
 
@@ -178,6 +196,20 @@ def question_table(questions: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def _token_gate(vocabulary: DataFrame, head: int, bound: int = 5000):
+    """Array filter that drops tokens sharing no beginning with the vocabulary; skipped when the
+    beginnings are too many to list in the plan."""
+    start = F.when(F.col("prefix"), F.substring("term", 1, head)).otherwise(F.col("term"))
+    rows = vocabulary.select(start.alias("s"), "prefix").distinct().limit(bound + 1).collect()
+    if len(rows) > bound:
+        return lambda tokens: tokens
+    heads = [r["s"] for r in rows if r["prefix"]]
+    exact = [r["s"] for r in rows if not r["prefix"]]
+    return lambda tokens: F.filter(
+        tokens, lambda t: F.substring(t, 1, head).isin(heads) | t.isin(exact)
+    )
+
+
 def retrieve(chunks: DataFrame, questions: DataFrame, now: Column) -> DataFrame:
     """Top chunks of every question at once: (question_id, rank, score, id, channel_name, ts, text).
 
@@ -190,6 +222,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, now: Column) -> DataFrame:
     )
     vocabulary = terms.select("term", "prefix").distinct()
     lengths = vocabulary.filter("prefix").agg(F.sort_array(F.collect_set(F.length("term"))).alias("l")).first()["l"]
+    plausible = _token_gate(vocabulary, lengths[0] if lengths else 1)
     spoken = pinned(
         chunks.filter(F.col("text").isNotNull()).select("id", "channel_name", "ts", "text"),
         "_tokens",
@@ -205,7 +238,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, now: Column) -> DataFrame:
         return F.array(F.struct(t.alias("term"), F.lit(False).alias("prefix")), *cuts)
 
     tokens = spoken.select(
-        "id", "channel_name", "ts", F.size("_tokens").alias("doc_len"), F.explode("_tokens").alias("_token")
+        "id", "channel_name", "ts", F.size("_tokens").alias("doc_len"), F.explode(plausible(F.col("_tokens"))).alias("_token")
     )
     seen = tokens.select("id", "channel_name", "ts", "doc_len", F.explode(forms(F.col("_token"))).alias("_f")).filter(
         F.col("_f").isNotNull()

@@ -64,22 +64,18 @@ def windows(matches: DataFrame) -> DataFrame:
     ).select("search_id", "match_id", "keyword", "channel_name", "ts", "text_len", "_w.*")
 
 
-def _shingle_rows(wins: DataFrame) -> DataFrame:
-    """(search_id, match_id, pos, shingle, first) for every 5-word run of a window."""
+def _runs(norm: str) -> Column:
+    """Every 5-word run of a window, in order."""
     starts = F.when(
-        F.size("norm") >= SHINGLE, F.sequence(F.lit(1), F.greatest(F.size("norm") - SHINGLE + 1, F.lit(1)))
+        F.size(norm) >= SHINGLE, F.sequence(F.lit(1), F.greatest(F.size(norm) - SHINGLE + 1, F.lit(1)))
     ).otherwise(F.array().cast("array<int>"))
-    shs = F.transform(starts, lambda i: F.array_join(F.slice("norm", i, SHINGLE), " "))
-    rows = wins.select("search_id", "match_id", shs.alias("_shs")).select(
-        "search_id", "match_id", "_shs", F.posexplode("_shs").alias("pos", "shingle")
-    )
-    return rows.withColumn("first", F.array_position("_shs", F.col("shingle")) == F.col("pos") + 1).drop("_shs")
+    return F.transform(starts, lambda i: F.array_join(F.slice(norm, i, SHINGLE), " "))
 
 
 def shingle_counts(wins: DataFrame, max_docs: int | None = MAX_SHINGLE_DOCS) -> DataFrame:
     """Shingles held by at least two matches of a search; `usable` if by no more than `max_docs`."""
-    n = F.count_if("first").alias("n_docs")
-    counts = _shingle_rows(wins).groupBy("search_id", "shingle").agg(n).filter("n_docs >= 2")
+    held = wins.select("search_id", F.explode(F.array_distinct(_runs("norm"))).alias("shingle"))
+    counts = held.groupBy("search_id", "shingle").agg(F.count(F.lit(1)).alias("n_docs")).filter("n_docs >= 2")
     usable = F.col("n_docs") <= max_docs if max_docs is not None else F.lit(True)
     return counts.withColumn("usable", usable)
 
@@ -94,24 +90,39 @@ def spot_links(
     more by each usable shingle of its matches, which keeps the outcome exact.
     """
     need = min_words - 1
-    shared = _shingle_rows(wins).join(
+    runs = wins.select("search_id", "match_id", F.posexplode(_runs("norm")).alias("pos", "shingle"))
+    shared = runs.join(
         shingle_counts(wins, max_docs).select("search_id", "shingle", "usable"), ["search_id", "shingle"]
     )
     marks = shared.groupBy("match_id").agg(
-        F.collect_set(F.struct("pos", "usable")).alias("_marks"),
+        F.collect_set("pos").alias("_held"),
+        F.collect_set(F.when(F.col("usable"), F.col("pos"))).alias("_open"),
         F.collect_set(F.when(F.col("usable"), F.col("shingle"))).alias("_usable"),
     )
-    at = wins.select("search_id", "match_id", "norm", F.explode("anchors").alias("ia")).join(marks, "match_id")
-    keyed = at.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(need)))).withColumn("r", need - F.col("l"))
-    fits = (F.col("ia") - F.col("l") >= 0) & (F.col("ia") + F.col("r") < F.size("norm"))
-
-    def inner(p: Column) -> Column:
-        before = (p >= F.col("ia") - F.col("l")) & (p <= F.col("ia") - SHINGLE)
-        after = (p > F.col("ia")) & (p <= F.col("ia") + F.col("r") - SHINGLE + 1)
-        return before | after
+    ia = F.col("ia")
+
+    def reach(start, step: int) -> Column:
+        """Words beside the mention that lie in an unbroken row of shared shingles."""
+        return F.aggregate(
+            F.sequence(F.lit(SHINGLE), F.lit(need)),
+            F.lit(SHINGLE - 1),
+            lambda n, d: F.when((n == d - 1) & F.array_contains("_held", start(d)), d).otherwise(n),
+        )
 
-    held = F.filter("_marks", lambda m: inner(m["pos"]))
-    expected = F.greatest(F.col("l") - SHINGLE + 1, F.lit(0)) + F.greatest(F.col("r") - SHINGLE + 1, F.lit(0))
+    # A key that two matches share has all its inner shingles shared; other keys are never built.
+    at = wins.select("search_id", "match_id", "norm", F.explode("anchors").alias("ia")).join(marks, "match_id")
+    lean = at.withColumn("_left", F.least(ia, reach(lambda d: ia - d, -1))).withColumn(
+        "_right", F.least(F.size("norm") - 1 - ia, reach(lambda d: ia + d - SHINGLE + 1, 1))
+    )
+    lefts = F.sequence(F.greatest(F.lit(0), need - F.col("_right")), F.col("_left"))
+    keyed = (
+        lean.filter(F.col("_left") + F.col("_right") >= need)
+        .withColumn("l", F.explode(lefts))
+        .filter(F.col("l") <= need)
+        .withColumn("r", need - F.col("l"))
+    )
+    before = F.exists("_open", lambda p: (p >= ia - F.col("l")) & (p <= ia - SHINGLE))
+    after = F.exists("_open", lambda p: (p > ia) & (p <= ia + F.col("r") - SHINGLE + 1))
     key = F.concat_ws(
         " ",
         F.col("l").cast("string"),
@@ -119,15 +130,9 @@ def spot_links(
         F.lit("|"),
         F.array_join(F.slice("norm", F.col("ia") + 2, F.col("r")), " "),
     )
-    # A key that two matches share has all its inner shingles shared, so the others go unshuffled.
-    rows = keyed.filter(fits).withColumn("_held", held).filter(F.size("_held") == expected)
-    rows = materialise(rows.select(
-        "search_id",
-        "match_id",
-        key.alias("key"),
-        F.exists("_held", lambda m: m["usable"]).alias("_direct"),
-        "_usable",
-    ))
+    rows = materialise(
+        keyed.select("search_id", "match_id", key.alias("key"), (before | after).alias("_direct"), "_usable")
+    )
     direct = star_links(rows.filter("_direct").select("search_id", "key", "match_id"), ["search_id", "key"], "match_id")
     via = rows.filter("NOT _direct").select("search_id", "key", "match_id", F.explode("_usable").alias("shingle"))
     indirect = star_links(via, ["search_id", "key", "shingle"], "match_id")
