@@ -12,8 +12,10 @@ from mediawatch.functions.timefn import (
     freshness_band,
     heartbeat_band,
     seconds,
+    shift_seconds,
     stability_pct,
 )
+from mediawatch.operators.ordered import HOUR, time_bucket
 
 MIN_OK_CHUNKS = 20
 ALIVE_SECONDS = 300
@@ -282,10 +284,7 @@ def caption_spans(blocks: DataFrame) -> DataFrame:
 
     blocks: channel_id, end_ts, duration_sec, plus a tie-breaking `seq`.
     """
-    from mediawatch.functions.timefn import shift_seconds
-    from mediawatch.operators.ordered import DAY, time_bucket
-
-    own = blocks.withColumn("_b", time_bucket(F.col("end_ts"), DAY))
+    own = blocks.withColumn("_b", time_bucket(F.col("end_ts"), HOUR))
     inside = Window.partitionBy("channel_id", "_b").orderBy("end_ts", "seq")
     across = Window.partitionBy("channel_id").orderBy("_b")
     edges = own.groupBy("channel_id", "_b").agg(F.max("end_ts").alias("_last")).select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mediawatch.functions.timefn import epoch_seconds
 
-DAY = 86_400
+HOUR = 3_600
 GAP_BUCKET = 6 * 3_600
 
 
@@ -22,7 +22,7 @@ def time_bucket(ts: Column, width: int) -> Column:
 
 
 def neighbour_instants(
-    rows: DataFrame, keys: list[str], order: str, width: int = DAY
+    rows: DataFrame, keys: list[str], order: str, width: int = HOUR
 ) -> DataFrame:
     """Distinct (keys, order) with the nearest earlier and later instant of the same key."""
     marks = rows.select(*keys, order).distinct().withColumn("_b", time_bucket(F.col(order), width))
@@ -81,7 +81,7 @@ def asof_last(
         F.lit(None).cast(lrows.schema["_l"].dataType).alias("_l"),
         "_r",
     )
-    place = bucket or (lambda c: time_bucket(c, DAY))
+    place = bucket or (lambda c: time_bucket(c, HOUR))
     timeline = lrows.unionByName(rrows).withColumn("_b", place(F.col("_t")))
     inside = (
         Window.partitionBy(*keys, "_b")

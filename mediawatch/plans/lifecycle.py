@@ -91,13 +91,15 @@ def news_due(spark: SparkSession, sf: str) -> DataFrame:
     O.with_ctes(
         """SELECT search_id, CASE WHEN channel_id = 9001 THEN 'news' ELSE 'broadcast' END AS origin, count(*) AS n FROM (
           SELECT search_id, channel_id FROM matches
-          UNION ALL SELECT k.search_id, 9001 FROM (SELECT DISTINCT published FROM articles) a, kws k WHERE k.keyword = 'that')
+          UNION ALL SELECT k.search_id, 9001 FROM (SELECT DISTINCT published, CASE WHEN contains(title, 'que') THEN 'que' ELSE 'that' END AS keyword FROM articles) a
+          JOIN kws k ON k.keyword = a.keyword)
         GROUP BY 1, 2"""
     ),
 )
 def news_union(spark: SparkSession, sf: str) -> DataFrame:
-    """Broadcast matches together with the news landed for one keyword, keyed inserts included."""
-    landed = X.articles(spark, sf).withColumn("keyword", F.lit("that"))
+    """Broadcast matches together with the news landed for two keywords, keyed inserts included."""
+    asked_for = F.when(F.contains("title", F.lit("que")), "que").otherwise("that")
+    landed = X.articles(spark, sf).withColumn("keyword", asked_for)
     found = F.lit(X.NOW).cast("timestamp_ntz")
     news = lifecycle.news_matches(X.searches(spark), landed, found)
     fresh = matching.drop_known(news, X.matches(spark, sf))

@@ -104,10 +104,26 @@ def clip_plan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("match_clips")
+_MATCH_MOMENTS = """SELECT match_id, channel_name AS safe_channel, precise_ts AS ts, precise_ts - INTERVAL 10 SECOND AS lo,
+    precise_ts + INTERVAL 10 SECOND AS hi FROM enriched"""
+
+
+@query(
+    "match_clips",
+    O.with_ctes(
+        """SELECT match_id, (row_number() OVER (PARTITION BY match_id ORDER BY step) - 1)::INT AS piece, path, round(off, 6)::DOUBLE AS offset_sec, round(len, 6)::DOUBLE AS length_sec
+        FROM steps WHERE path IS NOT NULL""",
+        {**_LOCATED, "segs": _SEGS, "listed": _LISTED, "moments": _MATCH_MOMENTS, "opened": _OPEN, "cands": _CANDS, "steps": _WALK},
+        ("steps",),
+    ),
+)
 def match_clips(spark: SparkSession, sf: str) -> DataFrame:
+    """Clips around the exact time of every match."""
     enriched = detail.enrich(X.matches(spark, sf), X.searches(spark))
-    return recordings.clip_plans(enriched, segments(spark, sf))
+    rows = recordings.clip_plans(enriched, segments(spark, sf))
+    return rows.select(
+        "match_id", "piece", "path", F.round("offset_sec", 6).alias("offset_sec"), F.round("length_sec", 6).alias("length_sec")
+    )
 
 
 @query(

@@ -118,8 +118,18 @@ def question_context(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("question_id", "n_sources", F.md5("context").alias("context_md5"))
 
 
-@query("answer_messages")
+@query(
+    "answer_messages",
+    O.with_ctes(
+        """SELECT r.question_id, 'source' AS type, r.rank::INT AS pos, md5(c.text) AS text_md5 FROM ranked r JOIN chunks c ON c.id = r.id WHERE r.rank <= r.k
+        UNION ALL SELECT q.question_id, 'context', 0, NULL FROM questions q""",
+        _CTES,
+    ),
+)
 def answer_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Outbox rows of every question: its sources and its context."""
     questions = X.questions(spark)
     found = retrieval.retrieve(X.chunks(spark, sf), questions, X.now())
-    return retrieval.answer_messages(questions, found)
+    rows = retrieval.answer_messages(questions, found)
+    said = F.when(F.col("type") == "source", F.md5(F.get_json_object("payload", "$.text")))
+    return rows.select("question_id", "type", "pos", said.alias("text_md5"))

@@ -93,7 +93,14 @@ def spot_components(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.clustered(windows(spark, sf)).select("match_id", "cluster_id")
 
 
-@query("spot_components_uncapped")
+_ANY_TWINS = """SELECT DISTINCT x.match_id AS a, y.match_id AS b FROM runkeys x JOIN runkeys y
+    ON x.search_id = y.search_id AND x.key = y.key AND x.match_id <> y.match_id"""
+
+
+@query(
+    "spot_components_uncapped",
+    O.with_ctes("SELECT match_id, cluster_id FROM comps", {**_CTES, "twins": _ANY_TWINS}, ("reach",)),
+)
 def spot_components_uncapped(spark: SparkSession, sf: str) -> DataFrame:
     """The same with very common shingles admitted as candidates."""
     return similarity.clustered(windows(spark, sf), max_docs=None).select("match_id", "cluster_id")

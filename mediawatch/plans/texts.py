@@ -109,12 +109,24 @@ def highlight_exact(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("highlight_phonetic")
+@query(
+    "highlight_phonetic",
+    O.with_ctes(
+        f"""SELECT m.match_id, any_value(length({_escape('m.cur_text')})) AS plain_len, count(*) FILTER (contains({O.phonetic('w.wd')}, {O.phonetic('m.keyword')})) AS n_marked
+        FROM matches m JOIN searches s ON s.search_id = m.search_id AND s.phonetic
+        JOIN (SELECT id, unnest({O.word_list('text')}) AS wd FROM chunks) w ON w.id = m.chunk_id GROUP BY m.match_id"""
+    ),
+)
 def highlight_phonetic(spark: SparkSession, sf: str) -> DataFrame:
+    """Words marked in each phonetic match, and the length of its HTML without the marks."""
     m = X.matches(spark, sf).join(X.searches(spark).filter("phonetic").select("search_id", "whole_word"), "search_id")
     html = T.highlight_phonetic(F.col("cur_text"), F.col("keyword"), F.col("whole_word"))
     marks = F.regexp_count(F.col("html"), F.lit("<mark>"))
-    return m.select("match_id", html.alias("html")).select("match_id", marks.alias("n_marked"), F.md5("html").alias("html_md5"))
+    return m.select("match_id", html.alias("html")).select(
+        "match_id",
+        (F.length("html").cast("bigint") - marks * len("<mark></mark>")).alias("plain_len"),
+        marks.cast("bigint").alias("n_marked"),
+    )
 
 
 _NOISE = "list_contains(['[música]', '[music]', '(música)', '(music)', '[silencio]', '[silence]'], bare)"
