@@ -289,9 +289,34 @@ def html_escape(c: Column) -> Column:
     return c
 
 
-def highlight(c: Column, keyword: Column, whole_word: Column) -> Column:
-    """HTML-escape and wrap case-insensitive hits in <mark> (accents must agree)."""
-    kw = quote(html_escape(keyword))
+@lru_cache(maxsize=1)
+def _letter_classes() -> dict[str, str]:
+    """Regex class of each plain Latin letter and its accented forms."""
+    forms: dict[str, str] = {}
+    for accented, base in zip(*_accent_table()):
+        if "a" <= base <= "z":
+            forms[base] = forms.get(base, base) + accented
+    return {base: f"[{chars}]" for base, chars in forms.items()}
+
+
+def _accent_blind(needle: Column) -> Column:
+    """Regex of a literal in which every letter also stands for its accented forms."""
+    classes = F.create_map(*[F.lit(x) for pair in _letter_classes().items() for x in pair])
+    return F.array_join(
+        F.transform(
+            F.split(strip_accents(needle), ""),
+            lambda ch: F.coalesce(F.try_element_at(classes, ch), quote(ch)),
+        ),
+        "",
+    )
+
+
+def highlight(
+    c: Column, keyword: Column, whole_word: Column, accent_insensitive: bool = False
+) -> Column:
+    """HTML-escape and wrap case-insensitive hits in <mark>; accents must agree unless told otherwise."""
+    kw = html_escape(keyword)
+    kw = _accent_blind(kw) if accent_insensitive else quote(kw)
     bounded = F.concat(F.lit(f"(?iu)({NOT_BEFORE}"), kw, F.lit(f"{NOT_AFTER})"))
     loose = F.concat(F.lit("(?iu)("), kw, F.lit(")"))
     marked = F.regexp_replace(

@@ -301,6 +301,15 @@ def staleness(stored: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
+def to_generate(searches: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
+    """Searches whose report must be computed: all when forced, else those without a stored one.
+
+    A stored report whose match count moved on is still served, with its `stale` flag.
+    """
+    ids = searches.select("search_id")
+    return ids if force else ids.join(stored.select("search_id"), "search_id", "left_anti")
+
+
 def similarity_report(matches: DataFrame, max_docs: int | None = MAX_SHINGLE_DOCS) -> dict[str, DataFrame]:
     """Spots of all the given searches in one job: clusters, their members and the unique matches."""
     wins = materialise(windows(matches))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediawatch import fixtures as X
+from mediawatch.functions.timefn import epoch_seconds
+from mediawatch.operators.health import warning_count
 from mediawatch.plans import oracle as O
 from mediawatch.plans.registry import query
 from mediawatch.sources import landed
@@ -56,11 +58,14 @@ def guide_scan(spark: SparkSession, sf: str) -> DataFrame:
 )
 def guide_event_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Live-guide pages written as JSON and read back; one title's entries have a zero stop."""
-    unix = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+
+    def unix(c: str) -> Column:
+        return epoch_seconds(F.col(c)).cast("bigint")
+
     entry = F.struct(
         F.col("channel_name").alias("channelUuid"),
         unix("start_ts").alias("start"),
-        F.when(F.col("title") == "prog_5", F.lit(0)).otherwise(unix("stop_ts")).alias("stop"),
+        F.when(F.col("title") == "prog_5", F.lit(0).cast("bigint")).otherwise(unix("stop_ts")).alias("stop"),
         F.concat("title", F.lit("   live")).alias("title"),
     )
     pages = X.programmes(spark, sf).groupBy("channel_name").agg(F.to_json(F.struct(F.collect_list(entry).alias("entries"))).alias("page"))
@@ -117,8 +122,6 @@ def roster_union(spark: SparkSession, sf: str) -> DataFrame:
 )
 def warning_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Events as log lines, errors as warnings."""
-    from mediawatch.operators.health import warning_count
-
     level = F.when(F.col("event_type") == "error", F.lit("WARNING")).otherwise(F.lit("INFO"))
     lines = spark.read.parquet(f"{sf}/events.parquet").select(
         F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), level, "props").alias("value")

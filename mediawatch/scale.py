@@ -10,47 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 200_000
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session; a scratch one only on a local master."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+def use_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoint into the shared folder the session names; a scratch one only on a local master."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    current = context.getCheckpointDir()
+    if shared:
+        if current is None or shared.rstrip("/") not in current:
+            context.setCheckpointDir(shared)
+    elif current is None:
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="mediawatch-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="mediawatch-ckpt-"))
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder and cut the lineage, so a lost executor costs one stage."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    use_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def fits_broadcast(
-    df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
-) -> bool:
-    """True when the rows, read up to the bound and no further, are few and small enough to ship."""
-    row = (
-        df.limit(max_rows + 1)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b"),
-        )
-        .first()
-    )
-    return row["n"] <= max_rows and row["b"] <= max_bytes
-
-
-def broadcast_if_small(df: DataFrame, **bounds: int) -> DataFrame:
-    """Hint a broadcast only for a side measured to fit; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if fits_broadcast(df, **bounds) else df
-
-
 def broadcast_slices(
     df: DataFrame, key: list[str], max_rows: int = MAX_BROADCAST_ROWS
 ) -> list[DataFrame]:

@@ -150,6 +150,8 @@ def test_highlight(spark):
     assert hl("diálogo día", "día", True) == "diálogo <mark>día</mark>"
     assert hl("x $1 \\ y", "$1") == "x <mark>$1</mark> \\ y"
     assert hl("A & B", "") == "A &amp; B"
+    blind = T.highlight(lit("DIA día (díà) medio"), lit("dia"), F.lit(False), accent_insensitive=True)
+    assert one(spark, blind) == "<mark>DIA</mark> <mark>día</mark> (<mark>díà</mark>) medio"
     ph = T.highlight_phonetic(lit(" una  Vaca y baca"), lit("vaca"), F.lit(False))
     assert one(spark, ph) == " una  <mark>Vaca</mark> y <mark>baca</mark>"
     two = T.highlight_phonetic(lit("la bella vaca ve"), lit("vella baca"), F.lit(True))
