@@ -85,7 +85,7 @@ def spot_links(
 ) -> DataFrame:
     """Links between matches that share a run of `min_words` around a mention.
 
-    As in the reference semantics a link also needs a shared shingle held by at most `max_docs`
+    A link also needs a shared shingle held by at most `max_docs`
     matches (None lifts that). A key all of whose inner shingles are held by more is grouped once
     more by each usable shingle of its matches, which keeps the outcome exact.
     """
