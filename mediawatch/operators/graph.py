@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediawatch.scale import materialise
+from mediawatch.scale import discard, stored
 
 SALTS = 1024
 
@@ -28,24 +28,23 @@ def star_links(rows: DataFrame, group: list[str], member: str) -> DataFrame:
     return links.filter("a <> b").distinct()
 
 
-def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(id, component) for every linked id; the component is its lowest id.
 
-    Lowest-label propagation with pointer jumping; every round is written to the checkpoint folder.
-    The label tables have one row per id, so a busy id is a skewed probe side that adaptive execution
-    splits; the minimum itself is combined before each shuffle.
+    Lowest-label propagation with pointer jumping until no label moves; every round is a Parquet stage
+    that replaces the one before. The label tables have one row per id, so a busy id is a skewed probe
+    side that adaptive execution splits; the minimum itself is combined before each shuffle.
     """
-    edges = materialise(
-        links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = stored(
+        links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "component-links"
     )
-    labels = materialise(
+    labels = stored(
         edges.groupBy("a").agg(F.min("b").alias("_m")).select(
             F.col("a").alias("id"), F.least("a", "_m").alias("label"), F.lit(True).alias("moved")
-        )
+        ),
+        "component-labels",
     )
-    for _ in range(max_rounds):
-        if labels.filter("moved").isEmpty():
-            break
+    while not labels.filter("moved").isEmpty():
         heard = (
             edges.join(labels.select(F.col("id").alias("b"), "label"), "b")
             .groupBy("a")
@@ -55,13 +54,14 @@ def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
             "id", F.col("label").alias("_old"), F.least("label", "_heard").alias("_new")
         )
         roots = labels.select(F.col("id").alias("_new"), F.col("label").alias("_root"))
-        labels = materialise(
+        last, labels = labels, stored(
             nearer.join(roots, "_new", "left").select(
                 "id",
                 F.least("_new", F.coalesce("_root", "_new")).alias("label"),
                 (F.least("_new", F.coalesce("_root", "_new")) < F.col("_old")).alias("moved"),
-            )
+            ),
+            "component-labels",
         )
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        discard(last)
+    discard(edges)
     return labels.select("id", F.col("label").alias("component"))

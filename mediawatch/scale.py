@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import tempfile
+import uuid
 from functools import reduce
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +35,45 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_PATHS: WeakKeyDictionary = WeakKeyDictionary()
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows as a named Parquet stage into the folder all executors share, and read them back.
+
+    The lineage ends there: a lost executor costs tasks of one stage, and a second reader computes nothing
+    again. Stages are removed by `discard`, at the latest when the program ends.
+    """
+    spark = df.sparkSession
+    use_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    _WRITTEN[path] = spark
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a stored table that nothing reads any more."""
+    path = _PATHS.pop(df, None)
+    if path is not None:
+        _remove(path, _WRITTEN.pop(path))
+
+
+def _remove(path: str, spark: SparkSession) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@atexit.register
+def _remove_stages() -> None:
+    for path, spark in _WRITTEN.items():
+        if spark.sparkContext._jsc is not None:
+            _remove(path, spark)
+
+
 def broadcast_slices(
     df: DataFrame, key: list[str], max_rows: int = MAX_BROADCAST_ROWS
 ) -> list[DataFrame]:
