@@ -1,13 +1,11 @@
-"""What the operators of this package share: stored stages, hidden column names, row identity, words."""
+"""What the operators of this package share: stored stages, hidden column names, row identity."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediawatch.scale import use_checkpoint_dir
+from mediawatch.scale import stored  # noqa: F401  (re-exported)
 
 #: Rows that may be shipped to every executor; a side with more takes an ordinary join.
 SHIPPED_ROWS = 500_000
@@ -17,20 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows as Parquet into the folder all executors share and read them back.
-
-    The lineage ends there, so a lost executor costs tasks of one stage, and what was computed once is
-    not computed again by the second reader.
-    """
-    spark = df.sparkSession
-    use_checkpoint_dir(spark)
-    root = spark.sparkContext.getCheckpointDir()
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shipped(df: DataFrame, rows: int = SHIPPED_ROWS) -> DataFrame:
     """Mark a stored table for a broadcast join if it has at most so many rows; else leave it to a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -51,7 +35,3 @@ def identity(id_col: str, text_col: str) -> list[Column]:
     Rows equal in both are copies of one row and share every decision.
     """
     return [F.col(f"`{id_col}`").cast("string").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_text_hash")]
-
-
-def same_document(left: DataFrame, right: DataFrame):
-    return left["_id"].eqNullSafe(right["_id"]) & (left["_text_hash"] == right["_text_hash"])
