@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediawatch.llm import decontamination, line_templates, packing, sharding, simhash
+from mediawatch.llm import decontamination, line_templates, packing, repeats, sharding, simhash
 from mediawatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_repeat_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -41,7 +49,8 @@ def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_line_templates, op2_best_two_fit, op4_decontamination, op6_covering_simhash, op8_rendezvous_sharding,
+        op1_line_templates, op2_best_two_fit, op4_decontamination, op5_repeat_intervals,
+        op6_covering_simhash, op8_rendezvous_sharding,
     )
 }
 
