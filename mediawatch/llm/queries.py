@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediawatch.llm import decontamination, line_templates, packing, repeats, sharding, simhash
+from mediawatch.llm import decontamination, line_templates, packing, repeats, sharding, simhash, topk
 from mediawatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_line_templates, op2_best_two_fit, op4_decontamination, op5_repeat_intervals,
-        op6_covering_simhash, op8_rendezvous_sharding,
+        op6_covering_simhash, op7_threshold_topk,
+        op8_rendezvous_sharding,
     )
 }
 
