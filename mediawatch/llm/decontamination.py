@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediawatch.llm.common import hidden, identity, shipped, stored
+from mediawatch.llm.common import identity, shipped, stored, without
 
 WORDS = 5
 CONTAINED = 0.8
@@ -139,9 +139,4 @@ def contained_items(
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of `docs` that contain no test item, with all their columns; null and empty texts stay."""
     bad = contained_items(docs, items, id_col, text_col, **how).select("_id", "_text_hash").distinct()
-    key, text_hash = hidden(docs, "id"), hidden(docs, "text_hash")
-    bad = shipped(stored(bad.withColumnsRenamed({"_id": "_bad_id", "_text_hash": "_bad_hash"}), "contaminated"))
-    left = docs.select("*", *(c.alias(n) for c, n in zip(identity(id_col, text_col), (key, text_hash))))
-    return left.join(
-        bad, left[key].eqNullSafe(bad["_bad_id"]) & (left[text_hash] == bad["_bad_hash"]), "left_anti"
-    ).drop(key, text_hash)
+    return without(docs, bad, id_col, text_col)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediawatch.llm import decontamination, line_templates, packing, repeats, sharding, simhash, topk
+from mediawatch.llm import decontamination, language, line_templates, packing, repeats, sharding, simhash, topk, toxicity
 from mediawatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,13 @@ def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identified(
+        table(spark, sf_dir, "documents"), declared=F.col("lang"), address=F.col("source")
+    )
+    return found.select("doc_id", "language", "posterior", "text_language", "accepted")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -50,12 +57,15 @@ def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_line_templates, op2_best_two_fit, op4_decontamination, op5_repeat_intervals,
-        op6_covering_simhash, op7_threshold_topk,
-        op8_rendezvous_sharding,
+        op1_line_templates, op2_best_two_fit, op3_language_fusion, op4_decontamination, op5_repeat_intervals,
+        op6_covering_simhash, op7_threshold_topk, op8_rendezvous_sharding, op9_factorization_toxicity,
     )
 }
 
