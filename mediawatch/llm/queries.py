@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediawatch.llm import decontamination, language, line_templates, packing, repeats, sharding, simhash, topk, toxicity
+from mediawatch.llm import decontamination, language, line_templates, packing, rendering, repeats, sharding, simhash, topk, toxicity
 from mediawatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,11 +61,16 @@ def op9_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_layout_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendering.rendered(table(spark, sf_dir, "pages")).select("page_id", "url", "text")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_line_templates, op2_best_two_fit, op3_language_fusion, op4_decontamination, op5_repeat_intervals,
         op6_covering_simhash, op7_threshold_topk, op8_rendezvous_sharding, op9_factorization_toxicity,
+        op10_layout_rendering,
     )
 }
 
