@@ -74,4 +74,79 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+LINE_TEMPLATES_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, line, trim(line, ' ' || chr(9) || chr(13)) AS bare
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+        FROM documents)
+), held AS (
+  SELECT DISTINCT doc_id, line, regexp_split_to_array(bare, '[ \t\r]+') AS words FROM lines WHERE bare <> ''
+), filed AS (
+  SELECT *, [CAST(len(words) AS VARCHAR)]
+    || list_transform(words[1:3], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS leaf
+  FROM held
+), leaves AS (
+  SELECT leaf FROM filed GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5
+), distinct_lines AS (
+  SELECT line, leaf, words, count(*) AS documents FROM filed JOIN leaves USING (leaf) GROUP BY ALL
+), tokens AS (
+  SELECT line, leaf, documents, generate_subscripts(words, 1) AS spot, unnest(words) AS raw FROM distinct_lines
+), masked AS (
+  SELECT line, leaf, documents, spot, CASE WHEN regexp_matches(raw, '[0-9]') THEN '<*>' ELSE raw END AS token FROM tokens
+), fixed AS (
+  SELECT leaf, spot, token FROM masked WHERE token <> '<*>' GROUP BY ALL HAVING sum(documents) >= 5
+), templates AS (
+  SELECT m.line, m.leaf,
+    string_agg(CASE WHEN f.token IS NULL THEN '<*>' ELSE m.token END, ' ' ORDER BY m.spot) AS template
+  FROM masked m LEFT JOIN fixed f ON m.leaf = f.leaf AND m.spot = f.spot AND m.token = f.token
+  GROUP BY m.line, m.leaf HAVING count(f.token) >= 0.6 * count(*)
+), recurring AS (
+  SELECT leaf, template, min(doc_id) AS keeper
+  FROM filed JOIN templates USING (line, leaf) GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT l.doc_id, l.i, l.line, l.bare, coalesce(l.doc_id <> r.keeper, false) AS gone
+  FROM lines l LEFT JOIN templates t ON l.line = t.line LEFT JOIN recurring r ON t.leaf = r.leaf AND t.template = r.template
+)
+SELECT d.doc_id, CAST(count(*) FILTER (m.bare <> '') AS INTEGER) AS n_lines,
+  CAST(count(*) FILTER (m.gone) AS INTEGER) AS n_dropped,
+  CASE WHEN d.text IS NOT NULL THEN md5(coalesce(string_agg(m.line, chr(10) ORDER BY m.i) FILTER (NOT m.gone), '')) END AS kept_md5
+FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id
+GROUP BY d.doc_id, d.text
+"""
+
+DECONTAMINATION_SQL = r"""
+WITH texts AS (
+  SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words, true AS is_doc FROM documents
+  UNION ALL
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''), false FROM benchmark
+), shingles AS (
+  SELECT DISTINCT id, is_doc, array_to_string(words[i : i + 4], ' ') AS shingle
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM texts WHERE len(words) > 0)
+), items AS (
+  SELECT id AS item_id, shingle, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE NOT is_doc
+)
+SELECT s.id AS doc_id, i.item_id, CAST(i.n AS INTEGER) AS n_item, CAST(count(*) AS INTEGER) AS n_shared,
+  round(count(*) / i.n, 6) AS containment
+FROM shingles s JOIN items i USING (shingle) WHERE s.is_doc
+GROUP BY s.id, i.item_id, i.n HAVING 5 * count(*) >= 4 * i.n
+"""
+
+TOPK_SQL = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+#: The others have no SQL (hash functions, tokenizers, fitted models, suffix arrays, page trees); see tests/llm.
+ORACLES: dict[str, str] = {
+    "op1_line_templates": LINE_TEMPLATES_SQL,
+    "op4_decontamination": DECONTAMINATION_SQL,
+    "op7_threshold_topk": TOPK_SQL,
+}
