@@ -66,7 +66,7 @@ def recurring_lines(
     """(_id, _text_hash, _line_hash, template): the lines to drop, by document.
 
     A template recurs when at least `min_documents` documents hold it and at least `fixed_share` of its
-    positions are fixed. The lowest document id that holds a template keeps its lines. Documents are
+    positions are fixed, of all as of those after the leading tokens (which the leaf fixes anyway). The lowest document id that holds a template keeps its lines. Documents are
     told apart by id and text, so repeated rows count once and lose the same lines.
     """
     lines = lines_of(docs, id_col, text_col)
@@ -108,9 +108,12 @@ def recurring_lines(
         .groupBy("_line_hash", "_leaf")
         .agg(
             F.array_sort(F.collect_list(F.struct("_at", shown.alias("_shown")))).alias("_parts"),
-            (F.count("_kept") / F.count("*")).alias("_share"),
+            F.count("_kept").alias("_fixed"),
+            F.count("*").alias("_n"),
+            F.count(F.when(F.col("_at") >= depth, F.col("_kept"))).alias("_tail_fixed"),
+            F.count(F.when(F.col("_at") >= depth, 1)).alias("_tail"),
         )
-        .filter(F.col("_share") >= fixed_share)
+        .filter((F.col("_fixed") >= fixed_share * F.col("_n")) & (F.col("_tail_fixed") >= fixed_share * F.col("_tail")))
         .select("_line_hash", "_leaf", F.array_join(F.transform("_parts", lambda p: p["_shown"]), " ").alias("template"))
     )
     held = stored(

@@ -200,7 +200,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, parts: int = PARTS) -> Dat
     full = rows.filter(F.col("length") == capacity).select(
         "*", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
     )
-    part, before, place = (hidden(rows, n) for n in ("part", "before", "place"))
+    part, before, place, size, low, high, first, offset = (
+        hidden(rows, n) for n in ("part", "before", "place", "size", "low", "high", "first", "at")
+    )
     short = rows.filter(F.col("length") < capacity).withColumn(
         part, F.pmod(F.xxhash64(*[c for c in rows.columns if c != "ids"]), F.lit(parts)).cast("int")
     )
@@ -209,7 +211,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, parts: int = PARTS) -> Dat
     if any(n < 1 for n in counts) or not odd.isEmpty():
         raise ValueError(f"a piece's length is not from 1 to {capacity}")
     blocks = spark.createDataFrame(
-        deal(fillings(counts, capacity)), "_length long, _from long, _to long, _sequence long, _offset long"
+        deal(fillings(counts, capacity)), f"`{size}` long, `{low}` long, `{high}` long, `{first}` long, `{offset}` long"
     )
     running = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn(before, F.coalesce(F.sum(before).over(running), F.lit(0)))
@@ -221,11 +223,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, parts: int = PARTS) -> Dat
     )
     dealt = numbered.join(
         F.broadcast(blocks),
-        (F.col("length") == F.col("_length")) & F.col(place).between(F.col("_from"), F.col("_to")),
+        (F.col("length") == F.col(size)) & F.col(place).between(F.col(low), F.col(high)),
     ).select(
         *[F.col(f"`{c}`") for c in rows.columns],
-        (F.col("_sequence") + F.col(place) - F.col("_from")).alias("sequence_id"),
-        F.col("_offset").alias("offset"),
+        (F.col(first) + F.col(place) - F.col(low)).alias("sequence_id"),
+        F.col(offset).alias("offset"),
     )
     return dealt.unionByName(full)
 

@@ -100,6 +100,7 @@ WITH lines AS (
     string_agg(CASE WHEN f.token IS NULL THEN '<*>' ELSE m.token END, ' ' ORDER BY m.spot) AS template
   FROM masked m LEFT JOIN fixed f ON m.leaf = f.leaf AND m.spot = f.spot AND m.token = f.token
   GROUP BY m.line, m.leaf HAVING count(f.token) >= 0.6 * count(*)
+    AND count(f.token) FILTER (m.spot > 3) >= 0.6 * count(*) FILTER (m.spot > 3)
 ), recurring AS (
   SELECT leaf, template, min(doc_id) AS keeper
   FROM filed JOIN templates USING (line, leaf) GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5
