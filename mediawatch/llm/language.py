@@ -82,7 +82,7 @@ def normalised(logs: Column) -> Column:
 
 
 def summed(n: int, what: str) -> list[Column]:
-    return [F.sum(F.get(what, F.lit(i))).alias(f"_{i}") for i in range(n)]
+    return [F.coalesce(F.sum(F.get(what, F.lit(i))), F.lit(0.0)).alias(f"_{i}") for i in range(n)]
 
 
 def vector(n: int) -> Column:
@@ -181,7 +181,7 @@ def identified(
         F.when(F.col("_logs").isNotNull(), normalised(F.col("_logs"))).alias("_share"),
     )
     whole = seen.agg(*summed(n, "_share")).first()
-    totals = [float(x or 0.0) for x in whole]
+    totals = list(whole)
     base = [(t + 1.0) / (sum(totals) + n) for t in totals]
     everywhere = F.array(*[F.lit(p) for p in base])
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mediawatch.llm.common import hidden
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 NEVER_SHOWN = frozenset(
@@ -38,6 +40,9 @@ CLOSES = {
 #: A closing tag does not reach beyond these.
 FENCES = frozenset("table td th caption".split())
 TABLE = FENCES | frozenset("tr thead tbody tfoot".split())
+#: Elements whose lines are laid out by themselves; cells only inside a table.
+APART = frozenset("li dd blockquote table".split())
+CELLS = frozenset("td th caption".split())
 #: A column is padded up to this width.
 WIDEST = 100
 
@@ -304,7 +309,7 @@ def render(page: str | None) -> str:
                 tables.append([])
             if tag == "tr" and tables:
                 tables[-1].append([])
-            if tag in ("li", "dd", "blockquote", "table", "td", "th", "caption"):
+            if tag in APART or tag in CELLS and tables:
                 flows.append(Flow())
             stack.append((node, True))
             children = node.children
@@ -316,7 +321,7 @@ def render(page: str | None) -> str:
             continue
         if tag in ("pre", "textarea", "xmp"):
             verbatim -= 1
-        if tag in ("li", "dd", "blockquote", "table", "td", "th", "caption"):
+        if tag in APART or tag in CELLS and tables:
             lines = flows.pop().done()
             above = flows[-1]
             if tag == "li":
@@ -327,7 +332,7 @@ def render(page: str | None) -> str:
                     mark = f"{own}. "
                 if lines:
                     above.add(lines, mark, " " * len(mark))
-            elif tag in ("td", "th") and tables:
+            elif tag in ("td", "th"):
                 if not tables[-1]:
                     tables[-1].append([])  # a cell without a row implies one
                 tables[-1][-1].append((lines, node))
@@ -350,7 +355,7 @@ def rendered(pages: DataFrame, html_col: str = "html", to: str = "text") -> Data
     """
     plain = pages.drop(to) if to != html_col else pages
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields if f.name != to)
-    source = plain.select(F.col(f"`{html_col}`").cast("string").alias("_"), *[F.col(f"`{c}`") for c in plain.columns if c != to])
+    source = plain.select(F.col(f"`{html_col}`").cast("string").alias(hidden(plain, "page")), *[F.col(f"`{c}`") for c in plain.columns if c != to])
 
     def laid_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
