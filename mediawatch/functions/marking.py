@@ -1,86 +1,88 @@
-"""Marking a cluster's fragment inside one occurrence (a small per-row helper behind a pandas UDF)."""
+"""Marking the words that an occurrence shares with its spot's fragment, as column expressions."""
 
 from __future__ import annotations
 
-import html
-from difflib import SequenceMatcher
-
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-from mediawatch.functions.text import FOLD_FROM, FOLD_TO
-
-PROBE = 25
-REACH = 200
-SHORTEST_PROBE = 8
-SHORTEST_MARK = 20
-
-_FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
-
-
-def _escape(s: str) -> str:
-    return html.escape(s, quote=False).replace('"', "&#34;").replace("'", "&#39;")
-
-
-def comparable(text: str) -> tuple[str, list[int]]:
-    """Folded text with single spaces between alphanumeric runs, and where each character came from."""
-    chars: list[str] = []
-    origin: list[int] = []
-    gap = False
-    for i, c in enumerate(text):
-        base = c.lower().translate(_FOLD)
-        if not base.isalnum():
-            gap = gap or bool(chars)
-            if gap and chars and chars[-1] != " ":
-                chars.append(" ")
-                origin.append(i)
-            continue
-        gap = False
-        chars.append(base)
-        origin.append(i)
-    if chars and chars[-1] == " ":
-        chars.pop()
-        origin.pop()
-    return "".join(chars), origin
-
-
-def _span(norm: str, frag: str) -> tuple[int, int] | None:
-    at = norm.find(frag)
-    if at >= 0:
-        return at, at + len(frag)
-    n = len(frag)
-    for p in sorted({0, max(0, n // 2 - PROBE // 2), max(0, n - PROBE)}):
-        probe = frag[p : p + PROBE]
-        found = norm.find(probe) if len(probe) >= SHORTEST_PROBE else -1
-        if found >= 0:
-            lo = max(0, found - p - REACH)
-            area = norm[lo : found - p + n + REACH]
-            m = SequenceMatcher(None, frag, area, autojunk=False).find_longest_match()
-            if m.size < min(SHORTEST_MARK, n // 2):
-                return None
-            return lo + m.b, lo + m.b + m.size
-    return None
-
-
-def mark_one(text: str | None, fragment: str | None) -> str:
-    if not text or not fragment:
-        return _escape(text or "")
-    norm, origin = comparable(text)
-    frag, _ = comparable(fragment)
-    span = _span(norm, frag) if frag else None
-    if span is None:
-        return _escape(text)
-    start, stop = origin[span[0]], origin[span[1] - 1] + 1
-    return f"{_escape(text[:start])}<mark>{_escape(text[start:stop])}</mark>{_escape(text[stop:])}"
-
-
-@F.pandas_udf(StringType())
-def mark_fragment(text: pd.Series, fragment: pd.Series) -> pd.Series:
-    """HTML of the text with its longest stretch of the fragment marked."""
-    return pd.Series([mark_one(t, f) for t, f in zip(text, fragment)])
-
-
-def register(spark) -> None:
-    """Make mark_fragment callable from SQL."""
-    spark.udf.register("mark_fragment", mark_fragment)
+
+from mediawatch.functions.text import FOLD_FROM, FOLD_TO, html_escape, let
+
+WORD = r"[\p{L}\p{N}]+"
+#: A shared run of fewer words is marked only if it is the whole fragment.
+SHORTEST_RUN = 4
+
+
+def runs_of_letters(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+
+
+def folded(words: Column) -> Column:
+    return F.transform(words, lambda w: F.translate(F.lower(w), FOLD_FROM, FOLD_TO))
+
+
+def longest_shared_run(a: Column, b: Column) -> Column:
+    """struct(size, stop): length and last place in `a` of its longest run of words that `b` has too.
+
+    Word by word of `a`, `open[j]` is the length of the shared run that ends here and at word j of `b`; the first longest wins.
+    """
+    places = F.sequence(F.lit(0), F.greatest(F.size(b) - 1, F.lit(0)))
+    start = F.struct(
+        F.transform(places, lambda j: F.lit(0)).alias("open"), F.lit(0).alias("size"), F.lit(-1).alias("stop"), F.lit(0).alias("at")
+    )
+
+    def step(state: Column, word: Column) -> Column:
+        grown = F.transform(
+            places,
+            lambda j: F.when(F.get(b, j) == word, F.coalesce(F.get(state["open"], j - 1), F.lit(0)) + 1).otherwise(F.lit(0)),
+        )
+
+        def kept(open_: Column) -> Column:
+            longest = F.array_max(open_)
+            better = longest > state["size"]
+            return F.struct(
+                open_.alias("open"),
+                F.when(better, longest).otherwise(state["size"]).alias("size"),
+                F.when(better, state["at"]).otherwise(state["stop"]).alias("stop"),
+                (state["at"] + 1).alias("at"),
+            )
+
+        return let(grown, kept)
+
+    return F.aggregate(a, start, step, lambda s: F.struct(s["size"].alias("size"), s["stop"].alias("stop")))
+
+
+def mark_fragment(text: Column, fragment: Column) -> Column:
+    """HTML of the text with its longest run of the fragment's words marked; case and accents do not count.
+
+    A null text is empty; without a fragment, or a long enough run, nothing is marked.
+    """
+
+    def joined(gaps: Column, words: Column, first: Column, n: Column) -> Column:
+        """n gaps from a place on, each with the word after it."""
+        pairs = F.zip_with(F.slice(gaps, first + 1, n), F.slice(words, first + 1, n), lambda g, w: F.concat(g, w))
+        return F.when(n > 0, F.array_join(pairs, "")).otherwise(F.lit(""))
+
+    def marked(parts: Column) -> Column:
+        words, gaps, own = parts["words"], parts["gaps"], parts["own"]
+
+        def placed(run: Column) -> Column:
+            first, n = run["stop"] - run["size"] + 1, F.size(words)
+            inside = F.concat(F.get(words, first), joined_after(gaps, words, first, run["size"] - 1))
+            after = F.concat(joined_after(gaps, words, run["stop"], n - 1 - run["stop"]), F.element_at(gaps, -1))
+            before = F.concat(joined(gaps, words, F.lit(0), first), F.get(gaps, first))
+            enough = (run["size"] > 0) & (run["size"] >= F.least(F.lit(SHORTEST_RUN), F.size(own)))
+            return F.when(
+                enough, F.concat(html_escape(before), F.lit("<mark>"), html_escape(inside), F.lit("</mark>"), html_escape(after))
+            ).otherwise(html_escape(text))
+
+        return let(longest_shared_run(folded(words), folded(own)), placed)
+
+    def joined_after(gaps: Column, words: Column, place: Column, n: Column) -> Column:
+        """The n words after a place, each with the gap before it."""
+        return joined(gaps, words, place + 1, F.greatest(n, F.lit(0)))
+
+    parts = F.struct(
+        runs_of_letters(text).alias("words"), F.split(text, WORD).alias("gaps"),
+        runs_of_letters(F.coalesce(fragment, F.lit(""))).alias("own"),
+    )
+    return F.when(text.isNull(), F.lit("")).otherwise(let(parts, marked))

@@ -13,18 +13,16 @@ from pyspark.sql import functions as F
 
 from mediawatch.functions import text as T
 from mediawatch.operators.graph import connected_components, star_links
-from mediawatch.scale import materialise
+from mediawatch.scale import stored
 
 # Fixed values.
 SHINGLE = 5
 MIN_WORDS = 12
-MAX_SHINGLE_DOCS = 150
 SIDE = 50
 FRAGMENT_WORDS = 26
 FULL_SPAN = 0.9
 MIN_SHOWN = 3
 SHOWN_CLUSTERS = 150
-SHOWN_UNIQUE = 200
 
 
 def windows(matches: DataFrame) -> DataFrame:
@@ -72,8 +70,8 @@ def _runs(norm: str) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(norm, i, SHINGLE), " "))
 
 
-def shingle_counts(wins: DataFrame, max_docs: int | None = MAX_SHINGLE_DOCS) -> DataFrame:
-    """Shingles held by at least two matches of a search; `usable` if by no more than `max_docs`."""
+def shingle_counts(wins: DataFrame, max_docs: int | None = None) -> DataFrame:
+    """Shingles held by at least two matches of a search; all are `usable` unless `max_docs` sets a limit."""
     held = wins.select("search_id", F.explode(F.array_distinct(_runs("norm"))).alias("shingle"))
     counts = held.groupBy("search_id", "shingle").agg(F.count(F.lit(1)).alias("n_docs")).filter("n_docs >= 2")
     usable = F.col("n_docs") <= max_docs if max_docs is not None else F.lit(True)
@@ -81,13 +79,13 @@ def shingle_counts(wins: DataFrame, max_docs: int | None = MAX_SHINGLE_DOCS) ->
 
 
 def spot_links(
-    wins: DataFrame, min_words: int = MIN_WORDS, max_docs: int | None = MAX_SHINGLE_DOCS
+    wins: DataFrame, min_words: int = MIN_WORDS, max_docs: int | None = None
 ) -> DataFrame:
     """Links between matches that share a run of `min_words` around a mention.
 
-    A link also needs a shared shingle held by at most `max_docs`
-    matches (None lifts that). A key all of whose inner shingles are held by more is grouped once
-    more by each usable shingle of its matches, which keeps the outcome exact.
+    With `max_docs` a link also needs a shared shingle held by at most so many matches: a key all of
+    whose inner shingles are held by more is then grouped once more by each usable shingle of its
+    matches, which are joined to these rows alone.
     """
     need = min_words - 1
     runs = wins.select("search_id", "match_id", F.posexplode(_runs("norm")).alias("pos", "shingle"))
@@ -95,9 +93,7 @@ def spot_links(
         shingle_counts(wins, max_docs).select("search_id", "shingle", "usable"), ["search_id", "shingle"]
     )
     marks = shared.groupBy("match_id").agg(
-        F.collect_set("pos").alias("_held"),
-        F.collect_set(F.when(F.col("usable"), F.col("pos"))).alias("_open"),
-        F.collect_set(F.when(F.col("usable"), F.col("shingle"))).alias("_usable"),
+        F.collect_set("pos").alias("_held"), F.collect_set(F.when(F.col("usable"), F.col("pos"))).alias("_open")
     )
     ia = F.col("ia")
 
@@ -130,12 +126,16 @@ def spot_links(
         F.lit("|"),
         F.array_join(F.slice("norm", F.col("ia") + 2, F.col("r")), " "),
     )
-    rows = materialise(
-        keyed.select("search_id", "match_id", key.alias("key"), (before | after).alias("_direct"), "_usable")
+    rows = stored(
+        keyed.select("search_id", "match_id", key.alias("key"), (before | after).alias("_direct")), "spot-keys"
     )
     direct = star_links(rows.filter("_direct").select("search_id", "key", "match_id"), ["search_id", "key"], "match_id")
-    via = rows.filter("NOT _direct").select("search_id", "key", "match_id", F.explode("_usable").alias("shingle"))
-    indirect = star_links(via, ["search_id", "key", "shingle"], "match_id")
+    if max_docs is None:
+        # Whatever two matches share has shared shingles only, so every key is direct.
+        return direct
+    usable = shared.filter("usable").select("match_id", "shingle").distinct()
+    via = rows.filter("NOT _direct").select("search_id", "key", "match_id").join(usable, "match_id")
+    indirect = star_links(via.select("search_id", "key", "match_id", "shingle"), ["search_id", "key", "shingle"], "match_id")
     return direct.unionByName(indirect).distinct()
 
 
@@ -208,7 +208,7 @@ def _fragments(members: DataFrame) -> DataFrame:
     return best.join(ref, "cluster_id").select("cluster_id", fragment.alias("common_fragment"))
 
 
-def clustered(wins: DataFrame, max_docs: int | None = MAX_SHINGLE_DOCS) -> DataFrame:
+def clustered(wins: DataFrame, max_docs: int | None = None) -> DataFrame:
     """Windows that belong to a spot, with its cluster_id (the lowest match id) before merging."""
     comps = connected_components(spot_links(wins, max_docs=max_docs))
     return wins.join(
@@ -237,9 +237,9 @@ def merged(members: DataFrame) -> DataFrame:
     return members.join(to, "cluster_id", "left").withColumn("cluster_id", F.coalesce("_to", "cluster_id")).drop("_to")
 
 
-def cluster_members(wins: DataFrame, max_docs: int | None = MAX_SHINGLE_DOCS) -> DataFrame:
+def cluster_members(wins: DataFrame, max_docs: int | None = None) -> DataFrame:
     """Final members: cluster_id is the lowest match id of the merged cluster."""
-    rows = materialise(merged(materialise(clustered(wins, max_docs))))
+    rows = stored(merged(stored(clustered(wins, max_docs), "spot-members")), "merged-members")
     lowest = rows.groupBy("cluster_id").agg(F.min("match_id").alias("_low"))
     return rows.join(lowest, "cluster_id").withColumn("cluster_id", F.col("_low")).drop("_low")
 
@@ -267,18 +267,20 @@ def unique_matches(matches: DataFrame, members: DataFrame) -> DataFrame:
     return matches.join(members.select("match_id"), "match_id", "left_anti")
 
 
-def shown_clusters(report: DataFrame, min_size: int = MIN_SHOWN, cap: int = SHOWN_CLUSTERS) -> DataFrame:
-    """Display list of each search: its largest spots, 150 at most."""
+def shown_clusters(report: DataFrame, min_size: int = MIN_SHOWN, cap: int | None = SHOWN_CLUSTERS) -> DataFrame:
+    """Display list of each search: its largest spots, `cap` of them (None: all)."""
     w = Window.partitionBy("search_id").orderBy(F.col("size").desc(), "first_ts", "cluster_id")
     return (
         report.filter(F.col("size") >= min_size)
         .withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= cap)
+        .filter(F.col("rank") <= cap if cap is not None else F.lit(True))
     )
 
 
-def display_counts(report: DataFrame, unique: DataFrame, min_size: int = MIN_SHOWN) -> DataFrame:
-    """What the display list leaves out: hidden pairs, spots and unique matches beyond the caps."""
+def display_counts(
+    report: DataFrame, unique: DataFrame, min_size: int = MIN_SHOWN, cap: int = SHOWN_CLUSTERS, unique_cap: int | None = None
+) -> DataFrame:
+    """What a display list leaves out: hidden pairs, spots beyond its cap, unique matches beyond one for them."""
     spots = report.groupBy("search_id").agg(
         F.count_if(F.col("size") == 2).alias("n_pairs"), F.count_if(F.col("size") >= min_size).alias("n_shown")
     )
@@ -286,8 +288,8 @@ def display_counts(report: DataFrame, unique: DataFrame, min_size: int = MIN_SHO
     return spots.join(singles, "search_id", "full").na.fill(0).select(
         "search_id",
         (F.col("n_pairs") if min_size > 2 else F.lit(0)).alias("pairs_hidden"),
-        F.greatest(F.col("n_shown") - SHOWN_CLUSTERS, F.lit(0)).alias("clusters_truncated"),
-        F.greatest(F.col("n_unique") - SHOWN_UNIQUE, F.lit(0)).alias("unique_truncated"),
+        F.greatest(F.col("n_shown") - cap, F.lit(0)).alias("clusters_truncated"),
+        (F.greatest(F.col("n_unique") - unique_cap, F.lit(0)) if unique_cap is not None else F.lit(0).cast("bigint")).alias("unique_truncated"),
     )
 
 
@@ -310,10 +312,10 @@ def to_generate(searches: DataFrame, stored: DataFrame, force: bool = False) ->
     return ids if force else ids.join(stored.select("search_id"), "search_id", "left_anti")
 
 
-def similarity_report(matches: DataFrame, max_docs: int | None = MAX_SHINGLE_DOCS) -> dict[str, DataFrame]:
+def similarity_report(matches: DataFrame, max_docs: int | None = None) -> dict[str, DataFrame]:
     """Spots of all the given searches in one job: clusters, their members and the unique matches."""
-    wins = materialise(windows(matches))
-    members = materialise(cluster_members(wins, max_docs))
+    wins = stored(windows(matches), "spot-windows")
+    members = stored(cluster_members(wins, max_docs), "spot-clusters")
     return {
         "clusters": cluster_report(members),
         "members": members.select("search_id", "cluster_id", "match_id", "channel_name", "keyword", "ts"),

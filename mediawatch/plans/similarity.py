@@ -122,7 +122,7 @@ def spot_display(spark: SparkSession, sf: str) -> DataFrame:
     texts = detail.enrich(X.matches(spark, sf), X.searches(spark)).select("match_id", "centered_text")
     out = rows.select("cluster_id", "match_id").join(shown.select("cluster_id", "common_fragment", "rank"), "cluster_id")
     return out.join(texts, "match_id").select(
-        "cluster_id", "match_id", "rank", F.md5(mark_fragment("centered_text", "common_fragment")).alias("html_md5")
+        "cluster_id", "match_id", "rank", F.md5(mark_fragment(F.col("centered_text"), F.col("common_fragment"))).alias("html_md5")
     )
 
 

@@ -112,8 +112,15 @@ def test_threshold(spark, shared, linked):
 def test_common_shingle_cut(spark, copies, clustered):
     text = "uno dos tres cuatro cinco seis sol siete ocho nueve diez once doce trece"
     wins = windows_of(spark, [text] * copies).cache()
-    assert similarity.clustered(wins).count() == clustered
-    assert similarity.clustered(wins, max_docs=None).count() == copies
+    assert similarity.clustered(wins, max_docs=150).count() == clustered
+    assert similarity.clustered(wins).count() == copies
+
+
+def test_a_spot_of_a_thousand_airings_is_one_cluster(spark):
+    text = "uno dos tres cuatro cinco seis sol siete ocho nueve diez once doce trece"
+    wins = windows_of(spark, [f"a{i} {text} b{i % 7}" for i in range(1000)])
+    got = similarity.clustered(wins).groupBy("cluster_id").count().collect()
+    assert [r["count"] for r in got] == [1000]
 
 
 def test_connected_components(spark):

@@ -1,3 +1,4 @@
+import random
 import re
 import unicodedata
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediawatch.functions import text as T
-from mediawatch.functions.marking import mark_fragment, mark_one
+from mediawatch.functions.marking import longest_shared_run, mark_fragment
 
 
 def one(spark, col):
@@ -160,15 +161,37 @@ def test_highlight(spark):
 
 def test_mark_fragment(spark):
     frag = "compre ahora el nuevo producto de limpieza para toda la casa"
-    assert mark_one("¡Hola! Compre, AHORA el nuevo producto de limpieza para toda la casa. Fin", frag) == (
-        "¡Hola! <mark>Compre, AHORA el nuevo producto de limpieza para toda la casa</mark>. Fin"
-    )
-    near = mark_one("antes compre ahora el nuevo producto de otra marca", frag)
-    assert near == "antes <mark>compre ahora el nuevo producto de </mark>otra marca"
-    assert mark_one("nada que ver aquí", frag) == "nada que ver aquí"
-    assert mark_one("a < b", None) == "a &lt; b"
-    df = spark.createDataFrame([("x compre ahora el nuevo y", "compre ahora el nuevo")], "t string, f string")
-    assert df.select(mark_fragment("t", "f").alias("m")).first()["m"] == "x <mark>compre ahora el nuevo</mark> y"
+    cases = [
+        ("¡Hola! Compre, AHORA el nuevo producto de limpieza para toda la casa. Fin", frag,
+         "¡Hola! <mark>Compre, AHORA el nuevo producto de limpieza para toda la casa</mark>. Fin"),
+        ("antes compre ahora el nuevo producto de otra marca", frag,
+         "antes <mark>compre ahora el nuevo producto de</mark> otra marca"),
+        ("nada que ver aquí, el nuevo", frag, "nada que ver aquí, el nuevo"),
+        ("a < b", None, "a &lt; b"),
+        (None, frag, ""),
+        ("", frag, ""),
+        ("x compre ahora el nuevo y", "compre ahora el nuevo", "x <mark>compre ahora el nuevo</mark> y"),
+        ("Sól", "sol", "<mark>Sól</mark>"),
+        ("<sol> sol & sol", "sol sol", "&lt;<mark>sol&gt; sol</mark> &amp; sol"),
+    ]
+    df = spark.createDataFrame([(i, t, f) for i, (t, f, _) in enumerate(cases)], "i int, t string, f string")
+    got = df.select("i", mark_fragment(F.col("t"), F.col("f")).alias("m")).orderBy("i").collect()
+    assert [r["m"] for r in got] == [c[2] for c in cases]
+
+
+def test_longest_shared_run_against_every_run(spark):
+    rng = random.Random(4)
+    rows = [([rng.choice("abc") for _ in range(rng.randrange(9))], [rng.choice("abc") for _ in range(rng.randrange(7))]) for _ in range(80)]
+
+    def plain(a, b):
+        held = {tuple(b[j : j + n]) for n in range(1, len(b) + 1) for j in range(len(b) - n + 1)}
+        runs = [(n, -i) for i in range(len(a)) for n in range(1, len(a) - i + 1) if tuple(a[i : i + n]) in held]
+        n, i = max(runs, default=(0, 0))
+        return (n, -i + n - 1)
+
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a array<string>, b array<string>")
+    got = df.select("i", longest_shared_run(F.col("a"), F.col("b")).alias("r")).orderBy("i").collect()
+    assert [tuple(r["r"]) for r in got] == [plain(*r) for r in rows]
 
 
 def test_noise_questions_and_lists(spark):
