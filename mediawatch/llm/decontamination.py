@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediawatch.llm.common import identity, shipped, stored, without
+from mediawatch.scale import pinned
 
 WORDS = 5
 CONTAINED = 0.8
@@ -26,13 +27,15 @@ def words_of(text: Column) -> Column:
 
 
 def with_words(df: DataFrame, text: Column, to: str) -> DataFrame:
-    """Add the words of a text as an array without the empty ends; rows without words go."""
-    raw = df.withColumn(to, words_of(text)).filter(F.col(to).isNotNull())
+    """Add the words of a text as an array without the empty ends; rows without words go.
+
+    `pinned` keeps the optimizer from splitting a text again for every filter and place that reads the words.
+    """
+    raw = pinned(df, to, words_of(text)).filter(F.size(to) > 0)
     skip = F.when(F.get(to, F.lit(0)) == "", 1).otherwise(0)
     tail = F.when(F.element_at(to, -1) == "", 1).otherwise(0)
-    return raw.withColumn(
-        to, F.slice(to, skip + 1, F.greatest(F.size(to) - skip - tail, F.lit(0)))
-    ).filter(F.size(to) > 0)
+    inner = pinned(raw, "_inner", F.slice(to, skip + 1, F.greatest(F.size(to) - skip - tail, F.lit(0))))
+    return inner.filter(F.size("_inner") > 0).drop(to).withColumnRenamed("_inner", to)
 
 
 def window(words: Column, at: Column, size: int) -> list[Column]:
@@ -96,10 +99,10 @@ def contained_items(
     whole, sketch = item_sketches(items, item_id, item_text, size, contained)
     least = sketch.groupBy("_class").agg(F.min("_needed").alias("_least"), F.max("_h").alias("_cutoff"))
     top, fewest = least.agg(F.max("_cutoff"), F.min("_least")).first()
-    parts = with_words(
-        docs.select(F.col(f"`{id_col}`").alias("_doc"), *identity(id_col, text_col), F.col(f"`{text_col}`").alias("_text")),
-        F.col("_text"), "_words",
-    ).drop("_text")
+    texts = docs.select(
+        F.col(f"`{id_col}`").alias("_doc"), *identity(id_col, text_col), F.col(f"`{text_col}`").alias("_text")
+    )
+    parts = with_words(texts, F.col("_text"), "_words").drop("_text")
     has = F.greatest(F.size("_words") - (size - 1), F.lit(1))
     at = parts.filter(has >= F.lit(fewest or 0)).select(
         "_doc", "_id", "_text_hash", has.alias("_has"), "_words", F.posexplode("_words").alias("_at", "_word")
@@ -117,10 +120,12 @@ def contained_items(
         F.first("_doc").alias("_doc"), F.collect_set(F.struct("_item", "_item_hash")).alias("_items")
     )
     listed = shipped(stored(listed, "containment-documents"))
-    texts = parts.select("_id", "_text_hash", F.col("_words"))
+    suspects = texts.select("_id", "_text_hash", "_text").join(
+        listed, texts["_id"].eqNullSafe(listed["_id"]) & (texts["_text_hash"] == listed["_text_hash"])
+    ).select(listed["_doc"], listed["_id"], listed["_text_hash"], "_text", "_items")
+    held = with_words(suspects, F.col("_text"), "_words")
     found = (
-        texts.join(listed, texts["_id"].eqNullSafe(listed["_id"]) & (texts["_text_hash"] == listed["_text_hash"]))
-        .select(listed["_doc"], texts["_id"], texts["_text_hash"], shingles(F.col("_words"), size).alias("_held"), "_items")
+        pinned(held.drop("_text"), "_held", shingles(F.col("_words"), size))
         .select("_doc", "_id", "_text_hash", "_held", F.explode("_items").alias("_i"))
         .select("_doc", "_id", "_text_hash", "_held", F.col("_i._item").alias("_item"), F.col("_i._item_hash").alias("_item_hash"))
     )
