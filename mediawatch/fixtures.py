@@ -10,8 +10,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediawatch.operators import matching
-from mediawatch.scale import materialise, spread_small_scan
+from mediawatch.operators import matching, retrieval
+from mediawatch.scale import stored
 
 TODAY = "2024-01-10"
 NOW = "2024-01-10 08:00:00"
@@ -57,8 +57,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as chunks: 60 channels, bursts of eight 30 s chunks, whole texts."""
-    documents = spread_small_scan(_table(spark, sf_dir, "documents"), "doc_id")
-    return documents.selectExpr(
+    return _table(spark, sf_dir, "documents").selectExpr(
         "doc_id AS id",
         "cast(doc_id % 60 + 1 AS int) AS channel_id",
         "concat('ch', lpad(cast(doc_id % 60 + 1 AS string), 2, '0')) AS channel_name",
@@ -121,16 +120,21 @@ def _stored(name: str, build, spark: SparkSession, sf_dir: str) -> DataFrame:
     """A derived table as a user would keep it: built once per session, read by later queries."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        rows = materialise(build(spark, sf_dir))
-        if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-            rows = materialise(spread_small_scan(rows, rows.columns[0]))
-        _STORED[key] = rows
+        _STORED[key] = stored(build(spark, sf_dir), name)
     return _STORED[key]
 
 
 matches = partial(_stored, "matches", _build_matches)
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> retrieval.TextIndex:
+    """The chunks' postings and documents as tables in use."""
+    tables = retrieval.index_tables(chunks(spark, sf_dir))
+    return retrieval.TextIndex(
+        _stored("postings", lambda *_: tables.postings, spark, sf_dir), _stored("indexed-documents", lambda *_: tables.documents, spark, sf_dir)
+    )
+
+
 def programmes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half-hour slots of every channel day, odd slots overlapping the next, every 11th missing."""
     days = chunks(spark, sf_dir).select("channel_id", "channel_name", F.to_date("ts").alias("day")).distinct()

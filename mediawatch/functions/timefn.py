@@ -91,6 +91,11 @@ def caption_duration(line: Column) -> Column:
     return F.coalesce(F.greatest(span, F.lit(0.0)), F.lit(0.0))
 
 
+def caption_end_ms(line: Column) -> Column:
+    """End of 'start --> end' in milliseconds; null if malformed."""
+    return timecode_ms(F.get(F.split(line, " --> ", 2), F.lit(1)))
+
+
 def precise_timestamp(ts: Column, idx: Column, total: Column) -> Column:
     """Estimated instant of word `idx` of `total` inside a 30 s chunk, to the whole second."""
     offset = (idx + F.lit(0.5)) / total * CHUNK_SECONDS

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediawatch.functions.timefn import floor_second, hour_bucket, seconds, seconds_between
-from mediawatch.scale import theta_join
+from mediawatch.operators.matching import keyword_hits
 
 
 def _by_hour(programmes: DataFrame) -> DataFrame:
@@ -104,20 +104,26 @@ def map_guide_channels(guide: DataFrame, wanted: DataFrame) -> DataFrame:
     Each wanted name takes the first guide channel in file order containing any of its fragments; a
     guide channel taken twice goes to the later wanted name. Both tables are station lists.
     """
-    hit = F.exists("fragments", lambda f: F.contains(F.lower("haystack"), f))
+    names = wanted.select("wanted_pos", "name", F.explode("fragments").alias("norm_kw"))
     first = (
-        theta_join(guide, wanted, hit, ["wanted_pos"])
+        _holding(guide.select("guide_id", "file_pos", F.lower("haystack").alias("_text")), names)
         .groupBy("wanted_pos", "name")
         .agg(F.min_by("guide_id", "file_pos").alias("guide_id"))
     )
     return first.groupBy("guide_id").agg(F.max_by("name", "wanted_pos").alias("name"))
 
 
+def _holding(rows: DataFrame, fragments: DataFrame) -> DataFrame:
+    """Rows beside the fragments (column norm_kw) that their `_text` holds; an empty fragment is held by none."""
+    asked = fragments.filter("norm_kw <> ''")
+    return keyword_hits(rows, "_text", asked.select("norm_kw", F.lit(False).alias("whole_word"))).join(asked, "norm_kw")
+
+
 def map_live_channels(channels: DataFrame, fragments: DataFrame) -> DataFrame:
     """Live-guide channel to internal name: the first fragment, in map order, found in its name."""
-    hit = F.contains(F.lower("live_name"), F.col("fragment"))
+    asked = fragments.select("frag_pos", "name", F.col("fragment").alias("norm_kw"))
     return (
-        theta_join(channels, fragments, hit, ["frag_pos"])
+        _holding(channels.select("uuid", F.lower("live_name").alias("_text")), asked)
         .groupBy("uuid")
         .agg(F.min_by("name", "frag_pos").alias("name"))
     )

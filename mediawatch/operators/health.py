@@ -16,6 +16,8 @@ from mediawatch.functions.timefn import (
     stability_pct,
 )
 from mediawatch.operators.ordered import HOUR, time_bucket
+from mediawatch.scale import shipped, stored
+from mediawatch.sources.transcripts import between_days
 
 MIN_OK_CHUNKS = 20
 ALIVE_SECONDS = 300
@@ -23,8 +25,8 @@ ZOMBIE_SECONDS = 180
 
 
 def on_day(rows: DataFrame, day: Column, ts: str = "ts") -> DataFrame:
-    """Rows of one calendar day, as a range that reaches the scan."""
-    return rows.filter((F.col(ts) >= day) & (F.col(ts) < F.date_add(day, 1)))
+    """Rows of one calendar day, as a range that reaches the scan (and its folder, if the table has one a day)."""
+    return between_days(rows, day, day, ts)
 
 
 def failure_counts(failures: DataFrame, day: Column) -> DataFrame:
@@ -145,13 +147,27 @@ def health_report(
 
 
 def latest_per_channel(chunks: DataFrame) -> DataFrame:
-    """The newest chunk (highest id) of each channel; combined map-side, so a busy channel is no hot spot."""
-    rest = [c for c in chunks.columns if c != "channel_id"]
-    return (
-        chunks.groupBy("channel_id")
-        .agg(F.max_by(F.struct(*rest), "id").alias("_r"))
-        .select("channel_id", "_r.*")
+    """The newest chunk (highest id) of each channel.
+
+    The ids are found on narrow columns, combined map-side; then only the days that hold them are read with their text.
+    """
+    newest = stored(
+        chunks.groupBy("channel_id").agg(F.max_by(F.struct("id", "ts"), "id").alias("_n")).select("channel_id", "_n.*"),
+        "newest-chunks",
     )
+    return recent_days(chunks, newest).join(shipped(newest), ["channel_id", "id", "ts"]).groupBy("channel_id").agg(
+        F.max(F.struct(*[c for c in chunks.columns if c != "channel_id"])).alias("_r")
+    ).select("channel_id", "_r.*")
+
+
+def recent_days(chunks: DataFrame, marks: DataFrame, back: int = 0) -> DataFrame:
+    """The chunks from the day of the earliest mark on, or `back` seconds before it."""
+    first = marks.agg(F.min("ts")).first()[0]
+    if first is None:
+        return chunks
+    since = F.lit(first).cast("timestamp_ntz") - seconds(back)
+    own = chunks.filter(F.col("ts") >= since)
+    return own.filter(F.col("date") >= F.to_date(since)) if "date" in chunks.columns else own
 
 
 def latest_with_status(chunks: DataFrame, status: DataFrame, limit: int = 20) -> DataFrame:
@@ -169,18 +185,24 @@ def alive_channels(status: DataFrame, now: Column, limit: int | None = None) ->
 def live_snapshot(chunks: DataFrame, status: DataFrame, now: Column, window: int = 30) -> DataFrame:
     """Per live channel: speech of the last `window` seconds before its newest chunk, and how it flows.
 
-    Without speech in the window the last chunk by id is shown. The newest instant of a channel comes
-    from a partial aggregate, and only chunks at or after it minus the window are then gathered.
+    Without speech in the window the last chunk by id is shown. The newest instants come from narrow columns;
+    texts are read only of the days from the earliest of them on.
     """
     live = alive_channels(status, now)
-    own = chunks.join(live.select("channel_id"), "channel_id", "left_semi")
+    thin = chunks.select(*[c for c in ("channel_id", "id", "ts", "date") if c in chunks.columns])
+    tops = stored(
+        thin.join(live.select("channel_id"), "channel_id", "left_semi")
+        .groupBy("channel_id").agg(F.max("ts").alias("_top"), F.max_by("ts", "id").alias("_last_ts")),
+        "newest-instants",
+    )
+    marks = tops.select(F.least(F.col("_top"), F.col("_last_ts")).alias("ts"))
+    own = recent_days(chunks, marks, window).join(shipped(tops), "channel_id")
     anchor = own.groupBy("channel_id").agg(
-        F.max("ts").alias("_top"), F.max_by(F.struct("text", "confidence"), "id").alias("_last")
+        F.max("_top").alias("_top"), F.max_by(F.struct("text", "confidence"), "id").alias("_last")
     )
     speech = T.is_speech(F.col("text"))
     recent = (
-        own.join(anchor.select("channel_id", "_top"), "channel_id")
-        .filter(F.col("ts") >= F.col("_top") - seconds(window))
+        own.filter(F.col("ts") >= F.col("_top") - seconds(window))
         .groupBy("channel_id")
         .agg(
             F.array_sort(F.collect_list(F.when(speech, F.struct("id", "text")))).alias("_said"),
@@ -228,7 +250,9 @@ def status_snapshot(status: DataFrame, now: Column) -> DataFrame:
 
 def status_today(status: DataFrame, chunks: DataFrame, today: Column) -> DataFrame:
     """Status list with the number of chunks since the start of the day."""
-    n = chunks.filter(F.col("ts") >= today).groupBy("channel_id").agg(F.count(F.lit(1)).alias("segments_today"))
+    own = chunks.filter(F.col("ts") >= today)
+    own = own.filter(F.col("date") >= F.to_date(today)) if "date" in chunks.columns else own
+    n = own.groupBy("channel_id").agg(F.count(F.lit(1)).alias("segments_today"))
     return status.join(n, "channel_id", "left").na.fill(0, ["segments_today"])
 
 

@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from mediawatch.functions import text as T
 from mediawatch.functions.timefn import CHUNK_SECONDS, media_type, seconds
 from mediawatch.operators import ordered
-from mediawatch.scale import MAX_BROADCAST_ROWS, broadcast_slices, materialise
+from mediawatch.scale import SHIPPED_ROWS, pinned, shipped, stored
+from mediawatch.sources.transcripts import between_days
 
 HIT_KEY = ["search_id", "kw_pos", "keyword", "channel_id"]
 MATCH_KEY = ["search_id", "keyword", "channel_id", "ts"]
 DEDUP_SECONDS = 60
 CAPTION_GRACE_SECONDS = 90
+#: Characters of a keyword that are looked up in the texts.
+PROBE = 3
+#: Letters from frequent to rare; the order only decides which part of a keyword is looked up.
+LETTERS_BY_USE = " eaosrnidlctumpbgvyqhfzjxkw"
 
 
 def active_searches(searches: DataFrame, today: Column) -> DataFrame:
@@ -49,46 +54,81 @@ def keyword_table(searches: DataFrame) -> DataFrame:
     )
 
 
-def match_chunks(
-    chunks: DataFrame,
-    searches: DataFrame,
-    by_row_date: bool = True,
-    max_keywords: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
+def probe_of(norm_kw: Column) -> Column:
+    """The part of a keyword that is looked up in the texts: its run of three characters with the rarest letters.
+
+    A shorter keyword is looked up whole. Any part would do; a rare one has fewer false candidates.
+    """
+
+    def rarity(part: Column) -> Column:
+        places = F.transform(F.split(part, ""), lambda c: F.position(c, F.lit(LETTERS_BY_USE)))
+        return F.aggregate(places, F.lit(0), lambda n, i: n + F.when(i == 0, len(LETTERS_BY_USE)).otherwise(i))
+
+    starts = F.sequence(F.lit(1), F.greatest(F.length(norm_kw) - (PROBE - 1), F.lit(1)))
+    parts = F.transform(starts, lambda i: F.substring(norm_kw, i, F.lit(PROBE)))
+    return F.array_max(F.transform(parts, lambda p: F.struct(rarity(p).alias("n"), p.alias("p"))))["p"]
+
+
+def probe_hash(*characters: Column) -> Column:
+    """Hash of the characters there are: null ones, past an end, add nothing."""
+    return F.xxhash64(*characters)
+
+
+def keyword_hits(rows: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
+    """(`_id` columns of rows, norm_kw, whole_word) for every keyword that the text holds.
+
+    Every place of the text meets the keywords' probes by hash, so a keyword is tried only where its rarest part is.
+    The probes are shipped within the bound of `shipped` and each candidate is decided on the spot; beyond it
+    thin candidates are exchanged first and their texts are read again.
+    """
+    kws = keywords.select("norm_kw", "whole_word").distinct()
+    at = F.split(probe_of(F.col("norm_kw")), "")
+    probes = stored(
+        kws.select("norm_kw", "whole_word", F.size(at).alias("_width"), probe_hash(*[F.get(at, F.lit(i)) for i in range(PROBE)]).alias("_probe")),
+        "keyword-probes",
+    )
+    widths = [r[0] for r in probes.select("_width").distinct().collect()]  # 1 to 3
+    few = probes.limit(SHIPPED_ROWS + 1).count() <= SHIPPED_ROWS
+    sent = F.broadcast(probes.drop("_width")) if few else probes.drop("_width")
+    ids = [c for c in rows.columns if c != text]
+    carried = [*ids, text] if few else ids
+    placed = pinned(rows, "_chars", F.split(F.col(text), "")).select(*carried, "_chars", F.posexplode("_chars").alias("_at", "_c"))
+    found = None
+    for width in widths:
+        key = probe_hash(*[F.get("_chars", F.col("_at") + i) for i in range(width)])
+        candidates = placed.select(*carried, key.alias("_probe")).join(sent, "_probe")
+        here = candidates.drop("_probe") if few else candidates.drop("_probe").distinct().join(rows, ids)
+        hits = here.filter(T.keyword_hit(F.col(text), F.col("norm_kw"), F.col("whole_word"))).select(*ids, "norm_kw", "whole_word")
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return rows.select(*ids, F.lit("").alias("norm_kw"), F.lit(False).alias("whole_word")).limit(0)
+    return found.distinct()
+
+
+def match_chunks(chunks: DataFrame, searches: DataFrame, by_row_date: bool = True) -> DataFrame:
     """Thin hits (no text) of every keyword in every chunk its search covers.
 
-    The keyword table is counted first. It is shipped to the executors and joined on the medium, so
-    chunks are read once and never shuffled; beyond `max_keywords` it is cut into slices of that size.
+    Each distinct (mode, normalised keyword) is tried once, however many searches have it; the searches
+    come in afterwards. With `by_row_date` only the days that some search covers are read.
     """
     kws = keyword_table(searches)
-    has_phonetic = not kws.filter("phonetic").isEmpty()
+    if by_row_date:
+        span = searches.agg(F.min("date_start").alias("lo"), F.max("date_end").alias("hi")).first()
+        if span["lo"] is not None:
+            chunks = between_days(chunks, F.lit(span["lo"]), F.lit(span["hi"]))
     spoken = chunks.filter(T.is_speech(F.col("text"))).select(
-        "id",
-        "channel_id",
-        "channel_name",
-        "ts",
-        media_type(F.col("channel_id")).alias("medium"),
-        T.strip_accents(F.col("text")).alias("plain"),
+        "id", "channel_id", "channel_name", "ts", T.strip_accents(F.col("text")).alias("plain")
     )
-    if has_phonetic:
-        spoken = spoken.withColumn("sound", T.phonetic_of(F.col("plain")))
-        norm = F.when(F.col("phonetic"), F.col("sound")).otherwise(F.col("plain"))
-    else:
-        norm = F.col("plain")
-    in_range = (F.col("ts") >= F.col("date_start")) & (
-        F.col("ts") < F.date_add(F.col("date_end"), 1)
+    plain = keyword_hits(spoken, "plain", kws.filter("NOT phonetic")).withColumn("phonetic", F.lit(False))
+    hits = plain
+    if not searches.filter("phonetic").isEmpty():
+        sounds = spoken.withColumn("plain", T.phonetic_of(F.col("plain"))).withColumnRenamed("plain", "sound")
+        hits = plain.unionByName(keyword_hits(sounds, "sound", kws.filter("phonetic")).withColumn("phonetic", F.lit(True)))
+    owned = hits.withColumn("medium", media_type(F.col("channel_id"))).join(
+        kws, ["norm_kw", "whole_word", "phonetic", "medium"]
     )
-
-    def joined(slice_: DataFrame) -> DataFrame:
-        hit = T.keyword_hit(norm, F.col("norm_kw"), F.col("whole_word"))
-        right = slice_.withColumnRenamed("medium", "_medium")
-        cond = (F.col("medium") == F.col("_medium")) & hit
-        return spoken.join(F.broadcast(right), cond & in_range if by_row_date else cond).select(
-            *HIT_KEY, "channel_name", "id", "ts", "dedup_channel"
-        )
-
-    slices = broadcast_slices(kws, ["search_id", "keyword"], max_keywords)
-    return reduce(DataFrame.unionByName, [joined(s) for s in slices])
+    in_range = (F.col("ts") >= F.col("date_start")) & (F.col("ts") < F.date_add(F.col("date_end"), 1))
+    return (owned.filter(in_range) if by_row_date else owned).select(*HIT_KEY, "channel_name", "id", "ts", "dedup_channel")
 
 
 def spaced_hits(hits: DataFrame, gap: int = DEDUP_SECONDS) -> DataFrame:
@@ -97,23 +137,27 @@ def spaced_hits(hits: DataFrame, gap: int = DEDUP_SECONDS) -> DataFrame:
     The fold reads its input twice; the thin hits are stored first so that chunks are scanned once.
     """
     keys = [*HIT_KEY, "channel_name"]
-    return ordered.keep_spaced(materialise(hits), keys, "ts", "id", "dedup_channel", gap)
+    return ordered.keep_spaced(stored(hits, "hits"), keys, "ts", "id", "dedup_channel", gap)
 
 
 def with_context(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Attach the text of the hit's chunk and of its nearest neighbours on the channel.
 
-    The neighbours are found on a narrow (channel, ts) projection; only the wanted texts are then
-    read, by a semi join that the optimizer can broadcast or bloom-filter. A neighbour without
-    speech is still the neighbour, and contributes nothing.
+    The neighbours are found on a narrow (channel, ts) projection. The wanted instants are then shipped to
+    the texts (beyond the bound of `shipped` exchanged with them), which are read once, from the days that
+    hold one, and stored. A neighbour without speech is still the neighbour, and contributes nothing.
     """
     marks = ordered.neighbour_instants(chunks, ["channel_id"], "ts")
-    placed = hits.join(marks, ["channel_id", "ts"])
-    wanted = placed.select(
-        "channel_id", F.explode(F.array("ts", "prev_ts", "next_ts")).alias("ts")
-    ).filter(F.col("ts").isNotNull())
-    texts = chunks.select("channel_id", "ts", "id", "text").join(
-        wanted.distinct(), ["channel_id", "ts"], "left_semi"
+    placed = stored(hits.join(marks, ["channel_id", "ts"]), "placed-hits")
+    wanted = stored(
+        placed.select("channel_id", F.explode(F.array("ts", "prev_ts", "next_ts")).alias("ts"))
+        .filter(F.col("ts").isNotNull()).distinct(),
+        "wanted-instants",
+    )
+    span = wanted.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    days = chunks if span["lo"] is None else between_days(chunks, F.lit(span["lo"].date()), F.lit(span["hi"].date()))
+    texts = stored(
+        days.select("channel_id", "ts", "id", "text").join(shipped(wanted), ["channel_id", "ts"], "left_semi"), "wanted-texts"
     )
     near = texts.groupBy("channel_id", "ts").agg(F.min_by("text", "id").alias("text"))
 
@@ -153,7 +197,7 @@ def backfill(
     chunks: DataFrame, searches: DataFrame, found_at: Column | None = None, by_row_date: bool = True
 ) -> DataFrame:
     """Matches of the given searches over the given chunks, with context, ready for the keyed sink."""
-    hits = materialise(spaced_hits(match_chunks(chunks, searches, by_row_date)))
+    hits = stored(spaced_hits(match_chunks(chunks, searches, by_row_date)), "spaced-hits")
     return as_matches(with_context(hits, chunks), found_at)
 
 
@@ -183,11 +227,12 @@ def backfill_progress(chunks: DataFrame, searches: DataFrame) -> DataFrame:
 
 def caption_first(chunks: DataFrame, grace: int = CAPTION_GRACE_SECONDS) -> DataFrame:
     """Chunks after source precedence: a recognised chunk yields to a caption seen in the
-    `grace` seconds before the chunk was complete."""
+    `grace` seconds before the chunk was complete. Decided on thin rows; the chunks themselves are read once."""
     end = F.col("ts") + seconds(CHUNK_SECONDS)
-    asr = chunks.filter(F.col("source") == "asr").withColumn("_end", end)
+    asr = chunks.filter(F.col("source") == "asr").select("id", "channel_id", "ts", end.alias("_end"))
     captions = chunks.filter(F.col("source") == "cc").select("channel_id", F.col("ts").alias("cc_ts"))
     seen = ordered.asof_last(asr, captions, ["channel_id"], "_end", "cc_ts", [], out="_cc")
-    free = F.col("_cc").isNull() | (F.col("_cc.at") <= F.col("_end") - seconds(grace))
-    kept = seen.filter(free).select(*chunks.columns)
-    return kept.unionByName(chunks.filter(F.col("source") != "asr"))
+    held = seen.filter(F.col("_cc.at") > F.col("_end") - seconds(grace)).select("id", "channel_id", "ts")
+    gone = shipped(stored(held, "captioned"))
+    kept = chunks.filter(F.col("source") == "asr").join(gone, ["id", "channel_id", "ts"], "left_anti").select(*chunks.columns)
+    return kept.unionByName(chunks.filter(F.col("source").isNull() | (F.col("source") != "asr")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mediawatch.functions import text as T
 from mediawatch.operators import ordered
-from mediawatch.scale import materialise
+from mediawatch.scale import stored
 
 REPORT_ROWS = 1000
 BLOCK_CHARS = 3800
@@ -132,23 +132,27 @@ def chat_report(matches: DataFrame, block: int = BLOCK_CHARS) -> DataFrame:
     """Match lines of each search packed in order into messages of at most `block` characters.
 
     Every line has a place on its search's running length; a message starts at the first line that
-    would overflow the one before. Running lengths are summed by day, hour and second, so no task
-    holds a whole search.
+    would overflow the one before. Running lengths are summed by day, hour, instant and part of the match
+    ids (a backfill gives all its matches one instant), so no task holds a whole search.
     """
-    lines = materialise(
+    lines = stored(
         chat_lines(matches)
         .withColumn("_len", F.length("line") + 1)
         .withColumn("_day", F.to_date("found_at"))
         .withColumn("_hour", F.hour("found_at"))
+        .withColumn("_shelf", F.shiftright("match_id", 40))
+        .withColumn("_part", F.shiftright("match_id", 20)),
+        "chat-lines",
     )
     placed = ordered.running_total(
-        lines, "_len", ["_day", "_hour", "found_at"], ["match_id"], "start_at", keys=["search_id"]
+        lines, "_len", ["_day", "_hour", "found_at", "_shelf", "_part"], ["match_id"], "start_at", keys=["search_id"]
     )
-    placed = materialise(
+    placed = stored(
         placed.withColumn("start_at", F.col("start_at").cast("bigint"))
         .withColumn("stop_at", F.col("start_at") + F.col("_len"))
         .withColumn("_on", F.lit(True))
-        .select("search_id", "match_id", "line", "start_at", "stop_at", "_on")
+        .select("search_id", "match_id", "line", "start_at", "stop_at", "_on"),
+        "placed-lines",
     )
     starts = ordered.greedy_starts(
         placed, ["search_id"], "start_at", "stop_at", "match_id", "_on", block, 100 * block

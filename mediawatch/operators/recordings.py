@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mediawatch.functions import text as T
 from mediawatch.functions.timefn import epoch_seconds, seconds, seconds_between
 from mediawatch.operators import guide, ordered
-from mediawatch.scale import materialise
+from mediawatch.scale import stored
 
 # How recorded files and channel folders are named.
 SEGMENT_NAME = r"_(\d{4}-\d{2}-\d{2})_(\d{2})-(\d{2})\.(ts|mp4|mkv)$"
@@ -191,7 +191,7 @@ def locate_matches(enriched: DataFrame, segments: DataFrame) -> DataFrame:
     moments = enriched.select(
         "match_id", T.safe_name(F.col("channel_name")).alias("safe_channel"), F.col("precise_ts").alias("ts")
     )
-    return segment_at(materialise(moments), segments)
+    return segment_at(stored(moments, "moments"), segments)
 
 
 def clip_plans(enriched: DataFrame, segments: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def clip_plans(enriched: DataFrame, segments: DataFrame) -> DataFrame:
     moments = enriched.select(
         "match_id", T.safe_name(F.col("channel_name")).alias("safe_channel"), F.col("precise_ts").alias("ts")
     )
-    return clip_plan(materialise(moments), segments, "match_id")
+    return clip_plan(stored(moments, "moments"), segments, "match_id")
 
 
 def retention_plan(segments: DataFrame, free_bytes: int, target_bytes: int) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediawatch.functions import text as T
 from mediawatch.functions.timefn import range_cutoff
-from mediawatch.scale import broadcast_slices, pinned
+from mediawatch.scale import pinned, shipped, stored
+from mediawatch.sources.transcripts import between_days
 
 # Published Okapi BM25 parameters.
 K1 = 1.2
@@ -23,37 +24,81 @@ MIN_TOP, MAX_TOP = 3, 30
 NOTHING_FOUND = "(sin fragmentos relevantes)"
 
 
-def term_counts(tokens: Column) -> Column:
-    """array<struct<term,tf>> of a token array: sorted, then cut where the term changes."""
+#: Folders of the postings table, by the first letter of the term.
+BUCKETS = 64
+#: Leading letters that a term and a prefix must share to meet in a join.
+LEAD = 3
+
+
+def term_places(tokens: Column) -> Column:
+    """array<struct<term,places>> of a token array: sorted with their places, then cut where the term changes."""
+    placed = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("at"))))
 
     def of(ws: Column) -> Column:
         n = F.size(ws)
         firsts = F.filter(
             F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-            lambda i: (i < n) & ((i == 0) | (F.get(ws, i) != F.get(ws, i - 1))),
+            lambda i: (i < n) & ((i == 0) | (F.get(ws, i)["term"] != F.get(ws, i - 1)["term"])),
         )
         return T.let(
             firsts,
             lambda at: F.transform(
                 at,
                 lambda p, j: F.struct(
-                    F.get(ws, p).alias("term"), (F.coalesce(F.get(at, j + 1), n) - p).cast("bigint").alias("tf")
+                    F.get(ws, p)["term"].alias("term"),
+                    F.slice(ws, p + 1, F.coalesce(F.get(at, j + 1), n) - p)["at"].alias("places"),
                 ),
             ),
         )
 
-    return T.let(F.sort_array(tokens), of)
+    return T.let(placed, of)
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(F.substring(term, 1, 1)), F.lit(BUCKETS)).cast("int")
+
+
+def _tokenised(chunks: DataFrame) -> DataFrame:
+    spoken = chunks.filter(F.col("text").isNotNull()).select(F.col("id").alias("doc_id"), "channel_name", "ts", "text")
+    return pinned(spoken, "_t", T.index_terms(F.col("text"))).drop("text")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, doc_len) of every chunk, counted inside its row without a shuffle."""
-    spoken = chunks.filter(F.col("text").isNotNull()).select(F.col("id").alias("doc_id"), "text")
-    rows = pinned(spoken, "_t", T.index_terms(F.col("text")))
-    return rows.select("doc_id", F.size("_t").alias("doc_len"), F.inline(term_counts(F.col("_t")))).select(
-        "doc_id", "term", "doc_len", "tf"
+    """(doc_id, term, tf, doc_len, places) of every chunk, counted inside its row without a shuffle."""
+    return (
+        _tokenised(chunks)
+        .select("doc_id", F.size("_t").alias("doc_len"), F.inline(term_places(F.col("_t"))))
+        .select("doc_id", "term", "doc_len", F.size("places").cast("bigint").alias("tf"), "places")
     )
 
 
+@dataclass
+class TextIndex:
+    """Stored postings (doc_id, term, doc_len, tf, places, bucket) and documents (doc_id, channel_name, ts, doc_len)."""
+
+    postings: DataFrame
+    documents: DataFrame
+
+
+def index_tables(chunks: DataFrame) -> TextIndex:
+    """The rows of both index tables for some chunks."""
+    documents = _tokenised(chunks).select("doc_id", "channel_name", "ts", F.size("_t").alias("doc_len"))
+    return TextIndex(postings(chunks).withColumn("bucket", bucket_of(F.col("term"))), documents)
+
+
+def append_index(chunks: DataFrame, path: str) -> None:
+    """Add new chunks to the index at `path`: only their own postings are written, in folders by first letter."""
+    new = index_tables(chunks)
+    new.postings.repartition("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy(
+        "bucket"
+    ).parquet(f"{path}/postings")
+    new.documents.write.mode("append").parquet(f"{path}/documents")
+
+
+def read_index(spark: SparkSession, path: str) -> TextIndex:
+    return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents"))
+
+
 @dataclass
 class TextQuery:
     """Structured full-text query; a trailing * makes a term a prefix.
@@ -67,23 +112,11 @@ class TextQuery:
     phrase: str | None = None
 
 
-def _term_count(tokens: Column, term: str) -> Column:
+def _wanted(term: str) -> tuple[Column, Column]:
+    """(postings of a query term, its folder): both reach the scan."""
     norm = F.get(T.index_terms(F.lit(term.rstrip("*"))), F.lit(0))
-    prefix = term.endswith("*")
-    return T.let(
-        norm, lambda w: F.size(F.filter(tokens, lambda t: F.startswith(t, w) if prefix else t == w))
-    )
-
-
-def _phrase_count(tokens: Column, phrase: str) -> Column:
-    def of(words: Column, ws: Column) -> Column:
-        k = F.size(words)
-        starts = F.when(
-            F.size(ws) >= k, F.sequence(F.lit(1), F.greatest(F.size(ws) - k + 1, F.lit(1)))
-        ).otherwise(F.array().cast("array<int>"))
-        return F.size(F.filter(starts, lambda i: F.slice(ws, i, k) == words))
-
-    return T.let(T.index_terms(F.lit(phrase)), lambda words: T.let(tokens, lambda ws: of(words, ws)))
+    hit = F.startswith(F.col("term"), norm) if term.endswith("*") else F.col("term") == norm
+    return hit, bucket_of(norm)
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -94,77 +127,92 @@ def _saturation(tf: Column, doc_len: Column, avg_len: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / avg_len))
 
 
-def _parts(query: TextQuery) -> dict[str, tuple[str, str]]:
-    parts = {f"_q{i}": ("term", t) for i, t in enumerate([*query.any_of, *query.all_of])}
-    if query.phrase:
-        parts["_qp"] = ("phrase", query.phrase)
-    return parts
+def _parts(query: TextQuery) -> dict[str, str]:
+    return {f"_q{i}": t for i, t in enumerate([*query.any_of, *query.all_of])}
 
 
-def _counted(chunks: DataFrame, query: TextQuery) -> DataFrame:
-    """Chunks with their length in tokens, a count per query part, and whether a banned term occurs."""
+def _phrase_counts(index: TextIndex, phrase: str) -> DataFrame:
+    """(doc_id, _qp): places where the words of the phrase follow one another."""
+    words = F.transform(T.index_terms(F.lit(phrase)), lambda w, i: F.struct(w.alias("term"), i.alias("offset"), bucket_of(w).alias("bucket")))
+    asked = index.documents.sparkSession.range(1).select(F.explode(words).alias("w")).select("w.*")
+    n = stored(asked, "phrase")
+    size = n.count()
+    starts = (
+        index.postings.join(F.broadcast(n), ["bucket", "term"])  # as many rows as the phrase has words
+        .select("doc_id", "offset", F.explode("places").alias("at"))
+        .select("doc_id", "offset", (F.col("at") - F.col("offset")).alias("start"))
+    )
+    return (
+        starts.groupBy("doc_id", "start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == size)
+        .groupBy("doc_id").agg(F.count(F.lit(1)).alias("_qp"))
+    )
 
-    def counts(ws: Column) -> Column:
-        cols = [
-            (_term_count(ws, t) if kind == "term" else _phrase_count(ws, t)).alias(name)
-            for name, (kind, t) in _parts(query).items()
-        ]
-        banned = reduce(lambda a, b: a | b, [_term_count(ws, t) > 0 for t in query.none_of], F.lit(False))
-        return F.struct(F.size(ws).alias("_len"), *cols, banned.alias("_banned"))
 
-    spoken = chunks.filter(F.col("text").isNotNull())
-    rows = pinned(spoken, "_c", T.let(T.index_terms(F.col("text")), counts))
-    return rows.select(*chunks.columns, "_c.*")
+def _counted(index: TextIndex, query: TextQuery) -> DataFrame:
+    """(doc_id, counts per query part, _banned) of the documents that hold a term of the query."""
+    parts = {name: _wanted(t) for name, t in _parts(query).items()}
+    banned = [_wanted(t) for t in query.none_of]
+    asked = [*parts.values(), *banned]
+    no = F.lit(False)
+    either = reduce(lambda a, b: a | b, [hit & (F.col("bucket") == bucket) for hit, bucket in asked], no)
+    counts = [F.sum(F.when(hit, F.col("tf")).otherwise(0)).alias(name) for name, (hit, _) in parts.items()]
+    out = F.max(reduce(lambda a, b: a | b, [hit for hit, _ in banned], no)).alias("_banned")
+    held = index.postings.filter(either).groupBy("doc_id").agg(*counts, out)
+    if query.phrase:
+        held = held.join(_phrase_counts(index, query.phrase), "doc_id", "full")
+    return held.na.fill(0).na.fill(False)
 
 
 def _matching(counted: DataFrame, query: TextQuery) -> DataFrame:
-    names = list(_parts(query))
+    names = [*_parts(query), *(["_qp"] if query.phrase else [])]
     n_any = len(query.any_of)
     some = reduce(lambda a, b: a | b, [F.col(n) > 0 for n in names[:n_any]], F.lit(n_any == 0))
     every = reduce(lambda a, b: a & b, [F.col(n) > 0 for n in names[n_any:]], F.lit(True))
     return counted.filter(some & every & ~F.col("_banned"))
 
 
-def matching_chunks(chunks: DataFrame, query: TextQuery) -> DataFrame:
-    """Every chunk the query accepts, with its counts per query part."""
-    return _matching(_counted(chunks, query), query)
+def matching_chunks(index: TextIndex, query: TextQuery) -> DataFrame:
+    """(id, channel_name, ts, doc_len, counts) of every chunk the query accepts. No text is read."""
+    counted = _counted(index, query)
+    if not (query.any_of or query.all_of or query.phrase):  # whatever holds no banned term
+        counted = index.documents.select("doc_id").join(counted, "doc_id", "left").na.fill(0).na.fill(False)
+    return index.documents.join(_matching(counted, query), "doc_id").withColumnRenamed("doc_id", "id").drop("_banned")
 
 
 def ranked_search(
-    chunks: DataFrame,
+    index: TextIndex,
     query: TextQuery,
     channel: str | None = None,
     since: Column | None = None,
     until: Column | None = None,
-    limit: int = 20,
+    limit: int | None = 20,
 ) -> DataFrame:
-    """Best chunks by relevance, then newest. Statistics are those of the whole table.
+    """(id, channel_name, ts, score): best chunks by relevance, then newest; `limit` None gives all.
 
-    Counts are columns of the scan, so the only shuffles are a one-row aggregate and the top k.
+    Statistics are those of the whole index. Only the query's postings are read, and the thin documents table.
     """
-    names = list(_parts(query))
-    counted = _counted(chunks, query)
-    stats = counted.agg(
-        F.struct(
-            F.count(F.lit(1)).alias("n"),
-            F.avg("_len").alias("avg"),
-            *[F.count_if(F.col(n) > 0).alias(n) for n in names],
-        ).alias("s")
-    ).scalar()
+    names = [*_parts(query), *(["_qp"] if query.phrase else [])]
+    counted = _counted(index, query)
+    held = counted.agg(F.struct(F.lit(0).alias("_"), *[F.count_if(F.col(n) > 0).alias(n) for n in names]).alias("d")).scalar()
+    whole = index.documents.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg")).alias("s")).scalar()
     score = reduce(
         lambda a, b: a + b,
-        [
-            _idf(F.col("_s.n"), F.col(f"_s.{n}")) * _saturation(F.col(n), F.col("_len"), F.col("_s.avg"))
-            for n in names
-        ],
+        [_idf(F.col("_s.n"), F.col(f"_d.{n}")) * _saturation(F.col(n), F.col("doc_len"), F.col("_s.avg")) for n in names],
         F.lit(0.0),
     )
-    found = _facets(_matching(counted, query), channel, since, until).withColumn("_s", stats)
-    return (
-        found.select(*chunks.columns, F.round(score, 6).alias("score"))
-        .orderBy(F.col("score").desc(), F.col("ts").desc(), F.col("id").desc())
-        .limit(limit)
+    found = _facets(matching_chunks(index, query), channel, since, until).withColumn("_s", whole).withColumn("_d", held)
+    ranked = found.select("id", "channel_name", "ts", F.round(score, 6).alias("score")).orderBy(
+        F.col("score").desc(), F.col("ts").desc(), F.col("id").desc()
     )
+    return ranked.limit(limit) if limit is not None else ranked
+
+
+def with_texts(winners: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The rows (id, ts, ...) with their texts: read from the days that hold one, next to the shipped rows."""
+    rows = stored(winners, "winners")
+    span = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    days = chunks if span["lo"] is None else between_days(chunks, F.lit(span["lo"].date()), F.lit(span["hi"].date()))
+    return days.select("id", "text").join(shipped(rows), "id")
 
 
 def _facets(rows: DataFrame, channel: str | None, since: Column | None, until: Column | None) -> DataFrame:
@@ -196,84 +244,53 @@ def question_table(questions: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def _token_gate(vocabulary: DataFrame, head: int, bound: int = 5000):
-    """Array filter that drops tokens sharing no beginning with the vocabulary; skipped when the
-    beginnings are too many to list in the plan."""
-    start = F.when(F.col("prefix"), F.substring("term", 1, head)).otherwise(F.col("term"))
-    rows = vocabulary.select(start.alias("s"), "prefix").distinct().limit(bound + 1).collect()
-    if len(rows) > bound:
-        return lambda tokens: tokens
-    heads = [r["s"] for r in rows if r["prefix"]]
-    exact = [r["s"] for r in rows if not r["prefix"]]
-    return lambda tokens: F.filter(
-        tokens, lambda t: F.substring(t, 1, head).isin(heads) | t.isin(exact)
-    )
-
-
-def retrieve(chunks: DataFrame, questions: DataFrame, now: Column) -> DataFrame:
+def retrieve(index: TextIndex, chunks: DataFrame, questions: DataFrame, now: Column) -> DataFrame:
     """Top chunks of every question at once: (question_id, rank, score, id, channel_name, ts, text).
 
-    Query terms are few and shipped; each token meets them by hash on its own prefixes, so the chunk
-    table is read without a shuffle and only hits are exchanged. Texts are fetched for the winners.
+    The questions' terms (shipped within the bound of `shipped`) meet the postings on their folder and first
+    letters, so only those folders are read and only hits are exchanged. Texts are fetched for the winners.
     """
     asked = question_table(questions, now)
     terms = asked.select("question_id", "need_all", F.size("terms").alias("n_terms"), F.explode("terms").alias("_t")).select(
-        "question_id", "need_all", "n_terms", "_t.term", "_t.prefix"
+        "question_id", "need_all", "n_terms", F.col("_t.term").alias("vterm"), "_t.prefix"
     )
-    vocabulary = terms.select("term", "prefix").distinct()
-    lengths = vocabulary.filter("prefix").agg(F.sort_array(F.collect_set(F.length("term"))).alias("l")).first()["l"]
-    plausible = _token_gate(vocabulary, lengths[0] if lengths else 1)
-    spoken = pinned(
-        chunks.filter(F.col("text").isNotNull()).select("id", "channel_name", "ts", "text"),
-        "_tokens",
-        T.index_terms(F.col("text")),
+    vocabulary = stored(
+        terms.select("vterm", "prefix").distinct().withColumn("bucket", bucket_of(F.col("vterm")))
+        .withColumn("_lead", F.substring("vterm", 1, LEAD)),
+        "vocabulary",
     )
-    totals = spoken.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("_tokens")).alias("avg")).alias("s")).scalar()
-
-    def forms(t: Column) -> Column:
-        cuts = [
-            F.when(F.length(t) >= n, F.struct(F.substring(t, 1, n).alias("term"), F.lit(True).alias("prefix")))
-            for n in lengths
-        ]
-        return F.array(F.struct(t.alias("term"), F.lit(False).alias("prefix")), *cuts)
-
-    tokens = spoken.select(
-        "id", "channel_name", "ts", F.size("_tokens").alias("doc_len"), F.explode(plausible(F.col("_tokens"))).alias("_token")
+    totals = index.documents.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg")).alias("s")).scalar()
+    hit = (F.col("term") == F.col("vterm")) | (F.col("prefix") & F.startswith(F.col("term"), F.col("vterm")))
+    tf = (
+        index.postings.select("doc_id", "term", "doc_len", "tf", "bucket", F.substring("term", 1, LEAD).alias("_lead"))
+        .join(shipped(vocabulary), ["bucket", "_lead"]).filter(hit)
+        .groupBy("doc_id", "doc_len", "vterm", "prefix").agg(F.sum("tf").alias("tf"))
     )
-    seen = tokens.select("id", "channel_name", "ts", "doc_len", F.explode(forms(F.col("_token"))).alias("_f")).filter(
-        F.col("_f").isNotNull()
-    ).select("id", "channel_name", "ts", "doc_len", "_f.term", "_f.prefix")
-    hits = [
-        seen.join(part, ["term", "prefix"]).groupBy("id", "channel_name", "ts", "doc_len", "term", "prefix").agg(
-            F.count(F.lit(1)).alias("tf")
-        )
-        for part in broadcast_slices(vocabulary, ["term", "prefix"])
-    ]
-    tf = reduce(DataFrame.unionByName, hits)
-    df = tf.groupBy("term", "prefix").agg(F.count(F.lit(1)).alias("df"))
+    tf = stored(tf, "question-hits")
+    df = tf.groupBy("vterm", "prefix").agg(F.count(F.lit(1)).alias("df"))
     weighted = (
-        tf.join(df, ["term", "prefix"])
+        tf.join(df, ["vterm", "prefix"])
         .withColumn("_s", totals)
         .withColumn("w", _idf(F.col("_s.n"), F.col("df")) * _saturation(F.col("tf"), F.col("doc_len"), F.col("_s.avg")))
     )
     limits = asked.select("question_id", "since", "channel", "k")
     scored = (
-        weighted.join(terms, ["term", "prefix"])
-        .groupBy("question_id", "need_all", "n_terms", "id", "channel_name", "ts")
+        weighted.join(terms, ["vterm", "prefix"])
+        .groupBy("question_id", "need_all", "n_terms", "doc_id")
         .agg(F.round(F.sum("w"), 6).alias("score"), F.count(F.lit(1)).alias("_got"))
         .filter(~F.col("need_all") | (F.col("_got") == F.col("n_terms")))
+        .join(index.documents.select("doc_id", "channel_name", "ts"), "doc_id")
         .join(limits, "question_id")
         .filter(F.col("since").isNull() | (F.col("ts") >= F.col("since")))
         .filter(F.contains(F.lower("channel_name"), F.col("channel")))
     )
-    w = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("ts").desc(), F.col("id").desc())
+    w = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("ts").desc(), F.col("doc_id").desc())
     top = (
         scored.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= MAX_TOP)
         .filter(F.col("rank") <= F.col("k"))
-        .select("question_id", "rank", "score", "id", "channel_name", "ts")
+        .select("question_id", "rank", "score", F.col("doc_id").alias("id"), "channel_name", "ts")
     )
-    return top.join(chunks.select("id", "text"), "id")
+    return with_texts(top, chunks)
 
 
 def answer_context(questions: DataFrame, retrieved: DataFrame) -> DataFrame:
@@ -305,6 +322,6 @@ def answer_messages(questions: DataFrame, retrieved: DataFrame) -> DataFrame:
     return sources.unionByName(context)
 
 
-def retrieve_context(chunks: DataFrame, questions: DataFrame, now: Column) -> DataFrame:
+def retrieve_context(index: TextIndex, chunks: DataFrame, questions: DataFrame, now: Column) -> DataFrame:
     """Question in, assembled context out, for any number of questions."""
-    return answer_context(questions, retrieve(chunks, questions, now))
+    return answer_context(questions, retrieve(index, chunks, questions, now))

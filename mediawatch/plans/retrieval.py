@@ -25,7 +25,7 @@ _SAT = "tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))"
     ),
 )
 def postings(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.postings(X.chunks(spark, sf))
+    return retrieval.postings(X.chunks(spark, sf)).drop("places")
 
 
 _COUNTS = """SELECT *, len(ws) AS doc_len, len(list_filter(ws, lambda t: starts_with(t, 'eaux'))) AS c1,
@@ -43,8 +43,7 @@ _COUNTS = """SELECT *, len(ws) AS doc_len, len(list_filter(ws, lambda t: starts_
 def boolean_match(spark: SparkSession, sf: str) -> DataFrame:
     """Any of eaux*/que, the phrase "et la", and not "the"."""
     q = TextQuery(any_of=["eaux*", "que"], none_of=["the"], phrase="et la")
-    chunks = X.chunks(spark, sf)
-    rows = retrieval.matching_chunks(chunks, q)
+    rows = retrieval.matching_chunks(X.text_index(spark, sf), q)
     hits = sum((F.col(c) for c in rows.columns if c.startswith("_q")), F.lit(0))
     return rows.select("id", hits.cast("bigint").alias("n_hits"))
 
@@ -62,7 +61,7 @@ def boolean_match(spark: SparkSession, sf: str) -> DataFrame:
 )
 def ranked_search(spark: SparkSession, sf: str) -> DataFrame:
     rows = retrieval.ranked_search(
-        X.chunks(spark, sf),
+        X.text_index(spark, sf),
         TextQuery(any_of=["eaux*", "que"]),
         channel="CH1",
         since=F.lit("2024-01-01 06:00:00").cast("timestamp_ntz"),
@@ -100,7 +99,7 @@ _CTES = {
     O.with_ctes("SELECT question_id, rank::INT AS rank, id, score FROM ranked WHERE rank <= k", _CTES),
 )
 def question_hits(spark: SparkSession, sf: str) -> DataFrame:
-    rows = retrieval.retrieve(X.chunks(spark, sf), X.questions(spark), X.now())
+    rows = retrieval.retrieve(X.text_index(spark, sf), X.chunks(spark, sf), X.questions(spark), X.now())
     return rows.select("question_id", "rank", "id", "score")
 
 
@@ -114,7 +113,7 @@ def question_hits(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def question_context(spark: SparkSession, sf: str) -> DataFrame:
-    rows = retrieval.retrieve_context(X.chunks(spark, sf), X.questions(spark), X.now())
+    rows = retrieval.retrieve_context(X.text_index(spark, sf), X.chunks(spark, sf), X.questions(spark), X.now())
     return rows.select("question_id", "n_sources", F.md5("context").alias("context_md5"))
 
 
@@ -122,14 +121,16 @@ def question_context(spark: SparkSession, sf: str) -> DataFrame:
     "answer_messages",
     O.with_ctes(
         """SELECT r.question_id, 'source' AS type, r.rank::INT AS pos, md5(c.text) AS text_md5 FROM ranked r JOIN chunks c ON c.id = r.id WHERE r.rank <= r.k
-        UNION ALL SELECT q.question_id, 'context', 0, NULL FROM questions q""",
+        UNION ALL SELECT q.question_id, 'context', 0, coalesce(md5(string_agg('[' || r.rank || '] [' || r.channel_name || ', ' ||
+          strftime(r.ts, '%H:%M:%S') || '] ' || c.text, chr(10) ORDER BY r.rank)), md5('(sin fragmentos relevantes)'))
+        FROM questions q LEFT JOIN ranked r ON r.question_id = q.question_id AND r.rank <= r.k LEFT JOIN chunks c ON c.id = r.id GROUP BY 1""",
         _CTES,
     ),
 )
 def answer_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Outbox rows of every question: its sources and its context."""
     questions = X.questions(spark)
-    found = retrieval.retrieve(X.chunks(spark, sf), questions, X.now())
+    found = retrieval.retrieve(X.text_index(spark, sf), X.chunks(spark, sf), questions, X.now())
     rows = retrieval.answer_messages(questions, found)
-    said = F.when(F.col("type") == "source", F.md5(F.get_json_object("payload", "$.text")))
+    said = F.when(F.col("type") == "source", F.md5(F.get_json_object("payload", "$.text"))).otherwise(F.md5("payload"))
     return rows.select("question_id", "type", "pos", said.alias("text_md5"))

@@ -1,19 +1,15 @@
-"""Helpers that keep plans safe when the data grows: lineage cuts and checked broadcasts."""
+"""Helpers that keep plans safe when the data grows: stored stages and checked broadcasts."""
 
 from __future__ import annotations
 
 import atexit
-import math
 import tempfile
 import uuid
-from functools import reduce
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 200_000
-
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
     """Checkpoint into the shared folder the session names; a scratch one only on a local master."""
@@ -29,12 +25,6 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="mediawatch-ckpt-"))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder and cut the lineage, so a lost executor costs one stage."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 _PATHS: WeakKeyDictionary = WeakKeyDictionary()
 _WRITTEN: dict[str, SparkSession] = {}
 
@@ -59,10 +49,11 @@ def discard(df: DataFrame) -> None:
     """Remove the files of a stored table that nothing reads any more."""
     path = _PATHS.pop(df, None)
     if path is not None:
-        _remove(path, _WRITTEN.pop(path))
+        remove(path, _WRITTEN.pop(path))
 
 
-def _remove(path: str, spark: SparkSession) -> None:
+def remove(path: str, spark: SparkSession) -> None:
+    """Delete a folder of the table store, wherever that is."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
@@ -71,39 +62,16 @@ def _remove(path: str, spark: SparkSession) -> None:
 def _remove_stages() -> None:
     for path, spark in _WRITTEN.items():
         if spark.sparkContext._jsc is not None:
-            _remove(path, spark)
+            remove(path, spark)
 
 
-def broadcast_slices(
-    df: DataFrame, key: list[str], max_rows: int = MAX_BROADCAST_ROWS
-) -> list[DataFrame]:
-    """Cut a table that drives a non-equi test into hash slices, each within the broadcast bound.
-
-    One slice (the whole table) is the usual case; beyond the bound the caller joins each slice in
-    turn, which keeps every row and never falls back to an unbounded nested loop.
-    """
-    n_rows = df.count()
-    n = max(1, math.ceil(n_rows / max(1, max_rows // 2))) if n_rows > max_rows else 1
-    if n == 1:
-        return [F.broadcast(df)]
-    slot = F.pmod(F.xxhash64(*key), F.lit(n))
-    return [F.broadcast(df.filter(slot == i)) for i in range(n)]
-
-
-def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan with fewer splits than cores (one small file) a partition per core.
-
-    A table of any size has more splits than that already and is returned untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+#: Rows that may be shipped to every executor.
+SHIPPED_ROWS = 500_000
 
 
-def theta_join(left: DataFrame, right: DataFrame, cond, key: list[str]) -> DataFrame:
-    """Inner join on a condition without an equi key: the right side is counted and shipped whole,
-    or slice by slice when it is too large, so the left side is never shuffled or multiplied."""
-    parts = [left.join(s, cond) for s in broadcast_slices(right, key)]
-    return reduce(DataFrame.unionByName, parts)
+def shipped(df: DataFrame, rows: int = SHIPPED_ROWS) -> DataFrame:
+    """Mark a stored table for a broadcast join if it has at most so many rows; else leave it to a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def pinned(df: DataFrame, name: str, value) -> DataFrame:

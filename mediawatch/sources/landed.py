@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from mediawatch.functions import text as T
-from mediawatch.functions.timefn import caption_duration, media_type, parse_guide_ts
+from mediawatch.functions.timefn import caption_duration, caption_end_ms, media_type, parse_guide_ts
+from mediawatch.operators.matching import keyword_hits
 from mediawatch.operators.recordings import parse_segments
 
 NEWS_ITEMS = 50
+# Fixed value: outlet of an item that names none.
 NEWS_LABEL = "Google Noticias"
 
 
@@ -204,13 +206,34 @@ def news_from(items: DataFrame, tz: str = "UTC", limit: int = NEWS_ITEMS) -> Dat
 
 
 def read_caption_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Caption blocks of landed SRT files, one row per blank-line separated block."""
-    blocks = spark.read.option("lineSep", "\n\n").text(path)
-    return captions_from(blocks.select(F.input_file_name().alias("file"), F.col("value").alias("block")))
+    """Captions of landed SRT files with their file and place in it (`block`, from 0).
+
+    Blocks end at a blank line, whatever the line ends; a file is read whole, as one half hour of one channel.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    unix = F.regexp_replace("value", "\r\n?", "\n")
+    blocks = files.select("file", F.posexplode(F.split(unix, "\n(?:[ \t]*\n)+")).alias("block_no", "block"))
+    return captions_from(blocks).withColumnRenamed("block_no", "block")
+
+
+def caption_rows(captions: DataFrame, channels: DataFrame, started: Column) -> DataFrame:
+    """Captions of files as rows of the live order: channel, end instant, duration, text and place.
+
+    channels: file pattern (a part of the file's path), channel_id, channel_name. `started` is the instant the
+    file begins; a caption ends at its time line's end after that.
+    """
+    seen = captions.withColumn("_text", F.lower("file"))
+    owners = channels.select(F.lower("pattern").alias("norm_kw"), "channel_id", "channel_name")
+    own = keyword_hits(seen.select("file", "block", "_text"), "_text", owners.select("norm_kw", F.lit(False).alias("whole_word")))
+    return (
+        captions.join(own.join(owners, "norm_kw").select("file", "block", "channel_id", "channel_name"), ["file", "block"])
+        .withColumn("end_ts", started + F.make_dt_interval(secs=(F.col("end_ms") / 1000).cast("decimal(18,6)")))
+        .select("channel_id", "channel_name", "block", "end_ts", "duration_sec", "text")
+    )
 
 
 def captions_from(blocks: DataFrame) -> DataFrame:
-    """Blocks of at least three lines with a time line second: joined text and its duration."""
+    """Blocks of at least three lines with a time line second: joined text, its duration and end in the file."""
     lines = F.split(F.regexp_replace("block", r"^[\r\n]+|[\r\n]+$", ""), r"\r?\n")
     spoken = F.filter(F.transform(F.slice("_lines", 3, F.size("_lines")), lambda t: F.regexp_replace(t, T.EDGE_SPACE, "")), lambda t: t != "")
     rest = [c for c in blocks.columns if c != "block"]
@@ -221,6 +244,7 @@ def captions_from(blocks: DataFrame) -> DataFrame:
             *rest,
             F.regexp_replace(F.array_join(spoken, " "), " {2,}", " ").alias("text"),
             caption_duration(F.get("_lines", F.lit(1))).alias("duration_sec"),
+            caption_end_ms(F.get("_lines", F.lit(1))).alias("end_ms"),
         )
         .filter("text <> ''")
     )

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from mediawatch.operators import guide, matching
 from mediawatch.operators.health import latest_status
-from mediawatch.scale import materialise
+from mediawatch.operators.similarity import staleness
+from mediawatch.scale import remove, stored
 
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -37,45 +38,97 @@ def insert_matches(new: DataFrame, path: str) -> DataFrame:
     spark = new.sparkSession
     dated = new.withColumn("date", F.to_date("ts"))
     known = same_days(read_or_empty(spark, path, dated), dated)
-    fresh = materialise(matching.drop_known(dated, known))
+    fresh = stored(matching.drop_known(dated, known), "fresh-matches")
     fresh.write.mode("append").partitionBy("date").parquet(path)
     return fresh.drop("date")
 
 
+def replace_days(rows: DataFrame, touched: DataFrame, path: str) -> None:
+    """Write the stored rows over their days' folders; a touched day (column date) without rows is removed."""
+    gone = touched.distinct().join(rows.select("date").distinct(), "date", "left_anti").collect()  # days, not rows
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    for r in gone:
+        remove(f"{path}/date={r['date']}", rows.sparkSession)
+
+
 def replace_searches_matches(rebuilt: DataFrame, stale_ids: DataFrame, path: str) -> None:
-    """Rescan of edited searches: their stored matches give way to the rebuilt ones."""
+    """Rescan of edited searches: their stored matches give way to the rebuilt ones. Only the days that
+    hold either are read and written."""
     spark = rebuilt.sparkSession
-    dated = rebuilt.withColumn("date", F.to_date("ts"))
-    left = read_or_empty(spark, path, dated).join(stale_ids, "search_id", "left_anti")
-    rows = materialise(left.unionByName(dated))
-    rows.write.mode("overwrite").partitionBy("date").parquet(path)
+    dated = stored(rebuilt.withColumn("date", F.to_date("ts")), "rebuilt-matches")
+    known = read_or_empty(spark, path, dated)
+    stale = known.join(stale_ids, "search_id", "left_semi").select("date")
+    touched = stored(stale.unionByName(dated.select("date")).distinct(), "touched-days")
+    days = [r["date"] for r in touched.collect()]
+    left = known.filter(F.col("date").isin(days)).join(stale_ids, "search_id", "left_anti")
+    replace_days(stored(left.select(*dated.columns).unionByName(dated), "day-matches"), touched, path)
 
 
 def insert_programmes(new: DataFrame, path: str) -> None:
-    """Append programmes whose (channel, start) is not stored yet; the first source wins."""
+    """Append programmes whose (channel, start) is not stored yet; the first source wins. The guide is
+    kept by day of start, and only the new programmes' days are compared."""
     spark = new.sparkSession
-    first = guide.first_source_wins(new)
-    known = read_or_empty(spark, path, first).select("channel_name", "start_ts")
-    fresh = materialise(first.join(known, ["channel_name", "start_ts"], "left_anti"))
-    fresh.write.mode("append").parquet(path)
+    first = guide.first_source_wins(new).withColumn("date", F.to_date("start_ts"))
+    known = same_days(read_or_empty(spark, path, first), first, "start_ts").select("channel_name", "start_ts")
+    fresh = stored(first.join(known, ["channel_name", "start_ts"], "left_anti"), "fresh-programmes")
+    fresh.write.mode("append").partitionBy("date").parquet(path)
 
 
 def upsert_latest(new: DataFrame, path: str, key: str, at: str) -> None:
-    """Keep the latest row of each key over the stored and the new ones."""
+    """Keep the latest row of each key over the stored and the new ones.
+
+    The rows are written as a new version beside the old one, which stays until the new one is whole; readers
+    take the highest version that is (`read_versions`).
+    """
     spark = new.sparkSession
-    both = read_or_empty(spark, path, new).unionByName(new)
-    materialise(latest_status(both, key, at)).write.mode("overwrite").parquet(path)
+    versions = complete_versions(spark, path)
+    both = new if not versions else spark.read.parquet(f"{path}/v{versions[-1]}").unionByName(new)
+    latest_status(both, key, at).write.mode("overwrite").parquet(f"{path}/v{(versions or [0])[-1] + 1}")
+    for old in versions:
+        remove(f"{path}/v{old}", spark)
+
+
+def complete_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions whose write has ended, in order."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")) or []
+    return sorted(int(f.getPath().getParent().getName()[1:]) for f in done)
+
+
+def read_versions(spark: SparkSession, path: str) -> DataFrame:
+    """The table that `upsert_latest` keeps."""
+    return spark.read.parquet(f"{path}/v{complete_versions(spark, path)[-1]}")
 
 
 def write_report(rows: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Export rows, one folder per search, in time order inside each."""
+    """Export rows, one folder per search and sheet, in time order inside each.
+
+    Sheet names are cut to 31 characters, so two searches may share one; their folders differ by search.
+    """
     writer = (
-        rows.repartitionByRange("sheet", "signal_time")
-        .sortWithinPartitions("sheet", "signal_time", "match_id")
+        rows.withColumn("search", F.col("search_id"))
+        .repartitionByRange("search", "signal_time")
+        .sortWithinPartitions("search", "signal_time", "match_id")
         .write.mode("overwrite")
-        .partitionBy("sheet")
+        .partitionBy("search", "sheet")
     )
     if fmt == "csv":
         writer.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
     else:
         writer.format(fmt).save(path)
+
+
+def write_similarity_report(report: dict[str, DataFrame], matches: DataFrame, generated_at, path: str) -> None:
+    """Store the spots of searches: clusters, members and unique matches by search, and what they were made from."""
+    counts = matches.groupBy("search_id").agg(F.count(F.lit(1)).alias("match_count"))
+    parts = {**report, "reports": counts.withColumn("generated_at", generated_at)}
+    for name, rows in parts.items():
+        stored(rows, name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("search_id").parquet(
+            f"{path}/{name}"
+        )
+
+
+def read_similarity_reports(spark: SparkSession, matches: DataFrame, path: str) -> DataFrame:
+    """Stored reports with their stale flag: the searches' matches have changed in number since."""
+    return staleness(spark.read.parquet(f"{path}/reports"), matches)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,12 @@ def append_chunks(chunks: DataFrame, path: str) -> None:
     chunks.withColumn("date", F.to_date("ts")).write.mode("append").partitionBy("date").parquet(path)
 
 
+def between_days(rows: DataFrame, first: Column, last: Column, ts: str = "ts") -> DataFrame:
+    """Rows whose instant lies in the days first .. last; of a table written by day only their folders are read."""
+    out = rows.filter((F.col(ts) >= first) & (F.col(ts) < F.date_add(last, 1)))
+    return out.filter(F.col("date").between(F.to_date(first), F.to_date(last))) if "date" in rows.columns else out
+
+
 def scan_chunks(
     chunks: DataFrame,
     after_id: int | None = None,

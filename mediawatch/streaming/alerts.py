@@ -12,9 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from mediawatch.functions import text as T
 from mediawatch.functions.timefn import epoch_seconds, floor_second, seconds
 from mediawatch.operators import matching, outbox
-from mediawatch.scale import materialise
-from mediawatch.sources.tables import insert_matches, read_or_empty, same_days
-from mediawatch.sources.transcripts import CHUNK_SCHEMA
+from mediawatch.scale import stored
+from mediawatch.sources.tables import insert_matches, read_or_empty, replace_days, same_days
+from mediawatch.sources.transcripts import CHUNK_SCHEMA, between_days
 
 
 @dataclass
@@ -37,13 +37,13 @@ def stream_chunks(spark: SparkSession, path: str, files_per_trigger: int | None
     return reader.parquet(path)
 
 
-def not_held_back(hits: DataFrame, stored: DataFrame, gap: int = matching.DEDUP_SECONDS) -> DataFrame:
+def not_held_back(hits: DataFrame, known: DataFrame, gap: int = matching.DEDUP_SECONDS) -> DataFrame:
     """Hits without a stored match of their key in [floor(second) - gap, hit].
 
     The equi key is the match key and the minute; a stored match reaches into the minute after its own.
     """
     minute = F.floor(epoch_seconds(F.col("ts")) / 60).cast("bigint")
-    held = stored.select(
+    held = known.select(
         F.struct("search_id", "keyword", "channel_id").alias("_k"),
         F.col("ts").alias("_at"),
         F.explode(F.sequence(minute, minute + F.ceil(F.lit(gap / 60)).cast("bigint") + 1)).alias("_m"),
@@ -63,39 +63,61 @@ def process_batch(
     today: Column,
     found_at: Column | None = None,
     global_chat: str | None = None,
-    context_days: int = 1,
 ) -> DataFrame:
     """Match a batch, space it against what is stored, write messages and matches; returns the new matches.
 
-    Messages are written before matches and both are keyed, so a replayed batch adds nothing. Context
-    is sought in the last `context_days`; the later repair job looks at the whole table.
+    Messages are written before matches and both are keyed, so a replayed batch adds nothing. Both are kept
+    by day, and only the days of the batch are compared.
     """
     spark = batch.sparkSession
     live = matching.active_searches(searches, today)
-    hits = materialise(matching.match_chunks(batch, live, by_row_date=False))
+    hits = stored(matching.match_chunks(batch, live, by_row_date=False), "batch-hits")
     if hits.isEmpty():
         return hits
-    span = hits.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    lo = F.lit(span["lo"]).cast("timestamp_ntz")
     shape = hits.select("search_id", "keyword", "channel_id", "ts").withColumn("date", F.to_date("ts"))
-    stored = read_or_empty(spark, paths.matches, shape)
-    recent = stored.filter(
-        (F.col("date") >= F.to_date(lo - seconds(120))) & (F.col("ts") >= lo - seconds(120))
+    span = hits.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    lo, hi = (F.lit(span[x]).cast("timestamp_ntz") for x in ("lo", "hi"))
+    recent = between(read_or_empty(spark, paths.matches, shape), lo - seconds(120), hi)
+    kept = stored(matching.spaced_hits(not_held_back(hits, recent)), "batch-kept")
+    rows = matching.as_matches(matching.with_context(kept, nearby(chunks, kept, lo, hi)), found_at)
+    dated = rows.withColumn("date", F.to_date("ts"))
+    fresh = stored(
+        matching.drop_known(dated, same_days(read_or_empty(spark, paths.matches, dated), dated)), "batch-fresh"
     )
-    kept = materialise(matching.spaced_hits(not_held_back(hits, recent)))
-    nearby = chunks.filter(
-        (F.col("ts") >= lo - F.make_dt_interval(days=F.lit(context_days)))
-        & (F.col("ts") <= F.lit(span["hi"]).cast("timestamp_ntz") + seconds(3600))
+    messages = outbox.alerts(fresh.drop("date"), live, users, global_chat).join(
+        fresh.select("match_id", "date").dropDuplicates(["match_id"]), "match_id"
     )
-    rows = matching.as_matches(matching.with_context(kept, nearby), found_at)
-    dated = rows.withColumn("date", F.to_date("ts"))
-    fresh = materialise(matching.drop_known(dated, same_days(read_or_empty(spark, paths.matches, dated), dated)))
-    messages = outbox.alerts(fresh.drop("date"), live, users, global_chat)
-    sent = read_or_empty(spark, paths.outbox, messages).select("match_id", "channel")
-    messages.join(sent, ["match_id", "channel"], "left_anti").write.mode("append").parquet(paths.outbox)
+    sent = same_days(read_or_empty(spark, paths.outbox, messages), fresh).select("match_id", "channel")
+    messages.join(sent, ["match_id", "channel"], "left_anti").write.mode("append").partitionBy("date").parquet(paths.outbox)
     return insert_matches(fresh.drop("date"), paths.matches)
 
 
+def between(rows: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Rows in [first, last]; of a table written by day only their folders are read."""
+    own = rows.filter((F.col("ts") >= first) & (F.col("ts") <= last))
+    return own.filter(F.col("date").between(F.to_date(first), F.to_date(last))) if "date" in rows.columns else own
+
+
+def nearby(chunks: DataFrame, hits: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    """The chunks that hold the hits and their nearest neighbours.
+
+    Reaches back a day, then ever further, until every channel with a hit has an earlier chunk or none is left; the
+    instants alone are read for that. The next chunk after the last hit has not arrived as a rule, or is close by.
+    """
+    first = hits.groupBy("channel_id").agg(F.min("ts").alias("_first"))
+    thin = chunks.select(*[c for c in ("channel_id", "ts", "date") if c in chunks.columns])
+    days, last = 1, hi + seconds(3600)
+    while True:
+        since = lo - F.make_dt_interval(days=F.lit(days))
+        seen = between(thin, since, hi).join(first, "channel_id").filter(F.col("ts") < F.col("_first")).select("channel_id").distinct()
+        lacking = first.join(seen, "channel_id", "left_anti")
+        older = thin.filter(F.col("ts") < since)
+        older = older.filter(F.col("date") <= F.to_date(since)) if "date" in thin.columns else older
+        if lacking.isEmpty() or older.join(lacking, "channel_id", "left_semi").isEmpty():
+            return between(chunks, since, last)
+        days *= 8
+
+
 def start_watch(
     spark: SparkSession,
     paths: WatchPaths,
@@ -113,7 +135,7 @@ def start_watch(
             batch,
             session.read.parquet(paths.searches),
             session.read.parquet(paths.users),
-            session.read.schema(CHUNK_SCHEMA).parquet(paths.chunks),
+            session.read.parquet(paths.chunks),
             paths,
             today(),
             found_at,
@@ -127,11 +149,27 @@ def start_watch(
 
 
 def repair_context(matches: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Matches with the neighbours that had not arrived when they were found."""
-    bare = matches.drop("prev_text", "cur_text", "next_text").withColumnRenamed("chunk_id", "id")
-    broadcast = bare.filter(F.col("id").isNotNull())
-    fixed = matching.with_context(broadcast, chunks).withColumnRenamed("id", "chunk_id").select(*matches.columns)
-    return fixed.unionByName(matches.filter(F.col("chunk_id").isNull()))
+    """Every match, with the neighbours that had not arrived when it was found.
+
+    A match whose chunk is no longer stored, or that never had one, keeps the texts it has.
+    """
+    keys = matches.filter(F.col("chunk_id").isNotNull()).select("channel_id", "ts", F.col("chunk_id").alias("id")).distinct()
+    texts = matching.with_context(keys, chunks).select(
+        "channel_id", "ts", F.col("id").alias("chunk_id"), F.lit(True).alias("_found"),
+        *[F.col(c).alias(f"_{c}") for c in ("prev_text", "cur_text", "next_text")],
+    )
+    both = matches.join(texts, ["channel_id", "ts", "chunk_id"], "left")
+    fixed = {c: F.when(F.col("_found"), F.col(f"_{c}")).otherwise(F.col(c)) for c in ("prev_text", "cur_text", "next_text")}
+    return both.withColumns(fixed).select(*matches.columns)
+
+
+def repair_matches(spark: SparkSession, paths: WatchPaths, first: Column, last: Column) -> None:
+    """Repair the stored matches of the days first .. last in place; their folders alone are read and written."""
+    days = between_days(spark.read.parquet(paths.matches), first, last)
+    lo, hi = F.to_timestamp_ntz(first.cast("date").cast("string")), F.to_timestamp_ntz(F.date_add(last, 1).cast("string"))
+    chunks = nearby(spark.read.parquet(paths.chunks), days, lo, hi)
+    fixed = stored(repair_context(days, chunks), "repaired-matches")
+    replace_days(fixed, days.select("date").distinct(), paths.matches)
 
 
 def suppress_captioned(batch: DataFrame, captions: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from datetime import timedelta
 
 import pytest
@@ -7,7 +8,9 @@ from helpers import T0, at, chunks, search, searches
 from pyspark.sql import functions as F
 
 from mediawatch.functions import text as T
-from mediawatch.operators import detail, matching, ordered
+from mediawatch.operators import detail, health, matching, ordered
+from mediawatch.sources.transcripts import append_chunks
+from mediawatch.streaming import alerts
 
 
 def spaced(spark, seconds, key=None, gap=60):
@@ -125,11 +128,29 @@ def test_enrich_centres_on_the_current_chunk(spark):
     assert row["channel_kind"] == "tv"
 
 
-def test_sliced_keywords_give_the_same_matches(spark):
-    c = chunks(spark, [(i, i % 20 + 1, 60 * i, f"palabra{i} comun sol") for i in range(50)])
-    s = searches(spark, *[search(i, keywords=[f"palabra{i}", "sol"]) for i in range(30)])
+def test_many_keywords_give_the_same_matches(spark, monkeypatch):
+    c = chunks(spark, [(i, i % 20 + 1, 60 * i, f"palabra{i} comun sol, x") for i in range(50)])
+    s = searches(spark, *[search(i, keywords=[f"palabra{i}", "sol", "x"]) for i in range(30)])
     whole = {tuple(r) for r in matching.match_chunks(c, s).collect()}
-    assert whole and whole == {tuple(r) for r in matching.match_chunks(c, s, max_keywords=16).collect()}
+    assert {r[2] for r in whole} > {"palabra7", "sol", "x"}
+    more = searches(spark, *[search(i, keywords=[f"palabra{i}", "sol", "x"]) for i in range(30)],
+                    search(99, keywords=[f"zz{i}q" for i in range(100_000)]))
+    assert whole == {tuple(r) for r in matching.match_chunks(c, more).collect()}
+    monkeypatch.setattr(matching, "SHIPPED_ROWS", 5)  # beyond the bound texts are read again
+    assert whole == {tuple(r) for r in matching.match_chunks(c, s).collect()}
+
+
+def test_keywords_meet_texts_as_by_trying_all(spark):
+    words = ["sol", "so", "s", "ñu", "c++", "la casa", "ción", "a b", " s"]
+    texts = ["sol so s", "el sol.", "c++ y c", "acción", "ñu", "la  casa la casa", "la", "", "xsolx a b", "😀 so"]
+    c = chunks(spark, [(i, 1, 60 * i, t) for i, t in enumerate(texts)])
+    for whole in (False, True):
+        s = searches(spark, search(1, keywords=words, whole_word=whole, dedup_channel=False))
+        got = {(r["keyword"], r["id"]) for r in matching.match_chunks(c, s).collect()}
+        norm = lambda t: t.replace("ó", "o").replace("ñ", "n")
+        edge = r"(?<!\w){}(?!\w)" if whole else "{}"
+        want = {(w, i) for w in words for i, t in enumerate(texts) if t and re.search(edge.format(re.escape(norm(w))), norm(t))}
+        assert got == want
 
 
 def test_match_plan_reads_chunks_once_without_shuffle(spark, tmp_path):
@@ -138,7 +159,32 @@ def test_match_plan_reads_chunks_once_without_shuffle(spark, tmp_path):
     df = matching.match_chunks(spark.read.parquet(path), searches(spark, search()))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert plan.count("FileScan parquet") == 1 and "Exchange hashpartitioning" not in plan
+    assert plan.count(f"file:{path}"[:60]) == 1
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not any("plain" in line or "text" in line for line in moved)  # thin hits alone
+
+
+def test_reads_by_day_prune_folders(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    append_chunks(chunks(spark, [(i, 1, 86400 * i, "sol y luna") for i in range(5)]), path)
+    table = spark.read.parquet(path)
+
+    def folders(df):
+        scans = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan parquet" in x and "chunks" in x]
+        assert scans and all("PartitionFilters: [isnotnull(date" in x for x in scans), scans
+
+    day = F.lit("2024-01-02").cast("date")
+    folders(health.daily_chunks(table, day))
+    folders(matching.match_chunks(table, searches(spark, search())))
+    folders(alerts.between(table, F.lit(at(0)).cast("timestamp_ntz"), F.lit(at(9)).cast("timestamp_ntz")))
+    assert health.daily_chunks(table, day).first()["n_chunks"] == 1
+
+
+def test_context_of_silent_and_repeated_instants(spark):
+    c = chunks(spark, [(1, 1, 0, "uno"), (2, 1, 30, "[~]"), (3, 1, 60, "sol"), (4, 1, 60, "otro"), (5, 1, 90, ""), (6, 2, 0, "sol"), (7, 1, 7200, "sol")])
+    rows = matching.backfill(c, searches(spark, search(dedup_channel=False))).collect()
+    got = {r["chunk_id"]: (r["prev_text"], r["cur_text"], r["next_text"]) for r in rows}
+    assert got == {3: (None, "sol", None), 6: (None, "sol", None), 7: (None, "sol", None)}
 
 
 def test_text_words_survive_extra_spaces(spark):
