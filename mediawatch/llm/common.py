@@ -5,21 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediawatch.scale import stored  # noqa: F401  (re-exported)
-
-#: Rows that may be shipped to every executor; a side with more takes an ordinary join.
-SHIPPED_ROWS = 500_000
-
+from mediawatch.scale import shipped, stored  # noqa: F401  (re-exported)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shipped(df: DataFrame, rows: int = SHIPPED_ROWS) -> DataFrame:
-    """Mark a stored table for a broadcast join if it has at most so many rows; else leave it to a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def hidden(df: DataFrame, name: str) -> str:
     """A column name that no column of the table has, whatever its case."""
     taken = {c.lower() for c in df.columns}
