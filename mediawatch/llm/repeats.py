@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediawatch.llm.common import identity, shipped, stored
@@ -23,7 +23,7 @@ from mediawatch.scale import discard
 LENGTH = 400
 ANCHOR = 128
 #: Different contexts that one group compares at once; a larger group is divided by longer shared strings.
-GROUP = 2048
+GROUP = 32_768
 CHUNK = 1 << 16
 SALTS = 8
 PLACE = np.uint64((1 << 20) - 1)
@@ -209,45 +209,58 @@ def grouped(rows: DataFrame, length: int) -> DataFrame:
     )
 
 
+def shared_length(a: str, b: str, most: int) -> Column:
+    """Bytes that two hexadecimal strings have in common at the start."""
+    at = lambda x, i: F.substring(x, 2 * i - 1, 2)
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(most)), F.lit(0),
+        lambda n, i: F.when((n == i - 1) & (at(F.col(a), i) != "") & (at(F.col(a), i) == at(F.col(b), i)), i).otherwise(n),
+    )
+
+
 def compared(contexts: DataFrame, length: int, anchor: int, most: int) -> DataFrame:
     """Reach of every context that shares a string of the length with another one of its anchor group.
 
-    A group of more than `most` contexts is divided: whatever string of the length holds the bytes that all
-    members share also holds half of what it has more on the left or on the right of them, so the members
-    are grouped anew by either longer string. Strings that have grown to the full length are decided by a count.
+    A group of more than `most` contexts is divided. What all of it shares, found from the least and the
+    greatest text on either side, is a repeat of all members if it is long enough. Any other string of the length
+    goes on beyond that on the left or on the right, where the members differ: they are grouped anew by the
+    shared bytes with one more on the left, and by those with one more on the right.
     """
     level = contexts.select("*", F.col("_key").alias("_group"), F.lit(0).alias("_s"), F.lit(anchor).alias("_t"))
-    out = []
+    found = None
     while True:
         sizes = level.groupBy("_group").agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
-        large = stored(sizes, "large-groups")
-        if large.isEmpty():
-            out.append(grouped(level, length))
-            break
-        out.append(grouped(level.join(large, "_group", "left_anti"), length))
-        step = F.ceil((F.lit(length) - F.col("_s") - F.col("_t")) / 2).cast("int")
+        large = stored(sizes.select("_group"), "large-groups")
+        none = large.isEmpty()
+        small = grouped(level if none else level.join(large, "_group", "left_anti"), length)
+        found = small if found is None else found.unionByName(small)
+        if none:
+            return found
+        members = level.join(large, "_group", "left_semi")
+        left, right = F.reverse(F.hex(F.expr("substring(_bytes, 1, _left)"))), F.hex(F.expr("substring(_bytes, _left + 1, _right)"))
+        ends = members.groupBy("_group").agg(
+            F.min(left).alias("_l0"), F.max(left).alias("_l1"), F.min(right).alias("_r0"), F.max(right).alias("_r1")
+        )
+        shared = stored(
+            ends.select("_group", shared_length("_l0", "_l1", length).alias("_l"), shared_length("_r0", "_r1", length).alias("_r")),
+            "shared-by-groups",
+        )
+        known = members.join(shared, "_group")
+        found = found.unionByName(
+            known.filter(F.col("_l") + F.col("_r") >= length)
+            .select("_key", "_context", F.col("_l").alias("_reach_left"), F.col("_r").alias("_reach_right"))
+        )
         longer = F.explode(F.array(
-            F.struct((F.col("_s") + step).alias("_s"), F.col("_t").alias("_t")),
-            F.struct(F.col("_s").alias("_s"), (F.col("_t") + step).alias("_t")),
+            F.struct((F.col("_l") + 1).alias("s"), F.col("_t").alias("t")), F.struct(F.col("_s").alias("s"), (F.col("_r") + 1).alias("t"))
         ))
-        grown = (
-            level.join(large.select("_group"), "_group", "left_semi")
-            .withColumn("_more", longer).withColumn("_s", F.col("_more._s")).withColumn("_t", F.col("_more._t")).drop("_more")
-            .filter((F.col("_s") <= F.col("_left")) & (F.col("_t") <= F.col("_right")))
+        level = stored(
+            known.withColumn("_more", longer)
+            .select("_key", "_context", "_left", "_right", "_bytes", F.col("_more.s").alias("_s"), F.col("_more.t").alias("_t"))
+            .filter((F.col("_s") <= F.col("_left")) & (F.col("_t") <= F.col("_right")) & (F.col("_s") + F.col("_t") <= length))
             .withColumn("_group", F.expr("xxhash64(_key, _s, _t, substring(_bytes, _left - _s + 1, _s + _t))"))
-            .dropDuplicates(["_group", "_context"])
+            .dropDuplicates(["_group", "_context"]),
+            "divided-groups",
         )
-        grown = stored(grown, "divided-groups")
-        done = grown.filter(F.col("_s") + F.col("_t") >= length)
-        twice = done.groupBy("_group").agg(F.count("*").alias("_n")).filter("_n > 1").select("_group")
-        out.append(done.join(twice, "_group", "left_semi").select(
-            "_key", "_context", F.col("_s").alias("_reach_left"), F.col("_t").alias("_reach_right")
-        ))
-        level = grown.filter(F.col("_s") + F.col("_t") < length)
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return found
 
 
 def occurrences(
