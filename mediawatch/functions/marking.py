@@ -25,7 +25,11 @@ def longest_shared_run(a: Column, b: Column) -> Column:
 
     Word by word of `a`, `open[j]` is the length of the shared run that ends here and at word j of `b`; the first longest wins.
     """
-    places = F.sequence(F.lit(0), F.greatest(F.size(b) - 1, F.lit(0)))
+    given = F.struct(a.alias("a"), b.alias("b"), F.sequence(F.lit(0), F.greatest(F.size(b) - 1, F.lit(0))).alias("places"))
+    return let(given, lambda g: _longest_shared_run(g["a"], g["b"], g["places"]))
+
+
+def _longest_shared_run(a: Column, b: Column, places: Column) -> Column:
     start = F.struct(
         F.transform(places, lambda j: F.lit(0)).alias("open"), F.lit(0).alias("size"), F.lit(-1).alias("stop"), F.lit(0).alias("at")
     )

@@ -176,24 +176,35 @@ def scored_links(wins: DataFrame, links: DataFrame) -> DataFrame:
     return links.join(left, "a").join(right, "b").select("a", "b", score.alias("score"))
 
 
-def _fragments(members: DataFrame) -> DataFrame:
-    """(cluster_id, common_fragment): the run the longest text shares best with another member.
-
-    The order of members is (ts, match_id): the first longest text is the reference and the first
-    best run wins. A run that fills nearly the whole window is a repeated block and is cut to 26 words.
-    """
+def _against_reference(members: DataFrame) -> DataFrame:
+    """Every other member beside its cluster's reference, the first longest text, with the best run `m`."""
     order = F.struct((-F.col("text_len")).alias("n"), "ts", "match_id")
     ref = members.groupBy("cluster_id").agg(
         F.min_by(F.struct("match_id", "orig", "norm", "anchors"), order).alias("ref")
     )
     m = best_match(F.col("ref.norm"), F.col("ref.anchors"), F.col("norm"), F.col("anchors"))
+    return members.join(ref, "cluster_id").filter(F.col("match_id") != F.col("ref.match_id")).withColumn("m", m)
+
+
+def scored_members(members: DataFrame) -> DataFrame:
+    """(cluster_id, match_id, score): longest lined-up run of each member with the cluster's longest text."""
+    return _against_reference(members).select("cluster_id", "match_id", F.col("m.total").cast("int").alias("score"))
+
+
+def _fragments(members: DataFrame) -> DataFrame:
+    """(cluster_id, common_fragment): the run the longest text shares best with another member.
+
+    The order of members is (ts, match_id): the first longest text is the reference and the first
+    best run wins, found in salted parts of the cluster first. A run that fills nearly the whole window is a
+    repeated block and is cut to 26 words.
+    """
     ranked = F.struct((-F.col("m.total")).alias("n"), "ts", "match_id")
     best = (
-        members.join(ref, "cluster_id")
-        .filter(F.col("match_id") != F.col("ref.match_id"))
-        .withColumn("m", m)
-        .groupBy("cluster_id")
-        .agg(F.min_by("m", ranked).alias("m"))
+        _against_reference(members)
+        .groupBy("cluster_id", F.pmod(F.xxhash64("match_id"), F.lit(64)).alias("_part"))
+        .agg(F.min_by(F.struct("m", "ref"), ranked).alias("_b"), F.min(ranked).alias("_r"))
+        .groupBy("cluster_id").agg(F.min_by("_b", "_r").alias("_b"))
+        .select("cluster_id", "_b.m", "_b.ref")
     )
     start, stop = F.col("m.start"), F.col("m.stop")
     filled = (stop - start + 1) >= FULL_SPAN * (2 * SIDE + 1)
@@ -205,7 +216,7 @@ def _fragments(members: DataFrame) -> DataFrame:
     cut_stop = F.when(filled, F.least(stop, cut_start + FRAGMENT_WORDS - 1)).otherwise(stop)
     words = F.slice("ref.orig", cut_start + 1, cut_stop - cut_start + 1)
     fragment = F.when(F.col("m.total") >= MIN_WORDS, F.array_join(words, " ")).otherwise("")
-    return best.join(ref, "cluster_id").select("cluster_id", fragment.alias("common_fragment"))
+    return best.select("cluster_id", fragment.alias("common_fragment"))
 
 
 def clustered(wins: DataFrame, max_docs: int | None = None) -> DataFrame:
