@@ -15,6 +15,8 @@ from mediawatch.functions.timefn import epoch_seconds
 
 HOUR = 3_600
 GAP_BUCKET = 6 * 3_600
+#: Buckets, or groups of them, whose maps are composed at once.
+GROUP = 64
 
 
 def time_bucket(ts: Column, width: int) -> Column:
@@ -113,8 +115,9 @@ def greedy_starts(
     flag is off are all kept. `width` is the bucket size, several times the gap.
 
     A bucket's effect on the next one is the map from its possible first kept rows to its last kept
-    one. Composing those maps per key gives every bucket its entry state; the buckets are then
-    folded independently, so a key's rows never meet in one task.
+    one. The maps of 64 buckets in a row are composed to one, and those of 64 such groups again, so the
+    fold over a key has one step per 4096 buckets; entry states then go down the same way, as rows, and the
+    buckets are folded independently. No task holds a key's rows, and no array more than 64 maps (but that last one).
     """
     scope = [*keys, active]
     packs = (
@@ -146,33 +149,63 @@ def greedy_starts(
         F.filter("_rows", lambda r: F.col("_open").isNull() | (r["_t"] <= F.col("_open"))),
         lambda r: F.struct(r["r"].alias("r"), last_from(r["_t"]).alias("out")),
     )
-    maps = (
-        packs.withColumn("_open", opening)
-        .select(*scope, F.struct("_b", heads.alias("heads")).alias("_m"))
-        .groupBy(*scope)
-        .agg(F.array_sort(F.collect_list("_m")).alias("_ms"))
+    maps = packs.withColumn("_open", opening).select(
+        *scope, F.struct("_b", F.col("_b").alias("end"), heads.alias("heads"), none.alias("none")).alias("_m")
     )
 
-    def advance(acc: Column, m: Column) -> Column:
-        entry = F.when(acc["b"] == m["_b"] - 1, acc["last"])
-        first = F.get(F.filter(m["heads"], lambda h: free(h, entry)), F.lit(0))
-        noted = F.concat(
-            acc["entries"], F.array(F.struct(m["_b"].alias("_b"), entry.alias("_entry")))
+    def passed(m: Column, entry: Column) -> Column:
+        """Last kept position after a map that is entered with `entry`."""
+        first = F.filter(m["heads"], lambda h: free(h, entry))
+        return F.when(F.size(first) > 0, F.get(first, F.lit(0))["out"]).otherwise(m["none"])
+
+    def entered(acc: Column, m: Column) -> Column:
+        return F.when(acc["b"] == m["_b"] - 1, acc["last"])
+
+    def through(ms: Column, end: Column, last: Column) -> Column:
+        start = F.struct(end.alias("b"), last.alias("last"))
+        return F.aggregate(
+            ms, start, lambda acc, m: F.struct(m["end"].alias("b"), passed(m, entered(acc, m)).alias("last"))
+        )["last"]
+
+    def composed(lower: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+        """(maps of the groups, the maps they are made of as arrays): `width` buckets to a group."""
+        packed = lower.groupBy(*scope, F.floor(F.col("_m._b") / width).cast("bigint").alias("_g")).agg(
+            F.array_sort(F.collect_list("_m")).alias("_ms")
         )
-        return F.struct(
-            m["_b"].alias("b"),
-            first["out"].alias("last"),
-            F.when(entry.isNotNull(), noted).otherwise(acc["entries"]).alias("entries"),
+        first, rest = F.get("_ms", F.lit(0)), F.slice("_ms", 2, F.size("_ms"))
+        whole = F.struct(
+            first["_b"].alias("_b"),
+            F.element_at("_ms", -1)["end"].alias("end"),
+            F.transform(first["heads"], lambda h: F.struct(h["r"].alias("r"), through(rest, first["end"], h["out"]).alias("out"))).alias("heads"),
+            through(rest, first["end"], first["none"]).alias("none"),
         )
+        return packed.select(*scope, whole.alias("_m")), packed
 
-    start = F.struct(
-        none.alias("b"),
-        none.alias("last"),
-        F.array().cast("array<struct<_b:bigint,_entry:bigint>>").alias("entries"),
-    )
-    entries = maps.select(
-        *scope, F.explode(F.aggregate("_ms", start, advance)["entries"]).alias("_e")
-    ).select(F.struct(*scope, "_e._b").alias("_at"), "_e._entry")
+    def entries_of(packed: DataFrame, width: int, above: DataFrame | None) -> DataFrame:
+        """(_at: scope and first bucket, _entry) of every map in the arrays, from the entries of the groups above."""
+        given = packed.withColumn("_entry", none)
+        if above is not None:
+            group = above.select(F.struct("_at.*").alias("_up"), F.col("_entry").alias("_given"))
+            same = [F.col(c).eqNullSafe(F.col(f"_up.{c}")) for c in scope]
+            given = packed.join(group, [*same, F.floor(F.col("_up._b") / width) == F.col("_g")], "left").withColumn("_entry", F.col("_given"))
+
+        def step(acc: Column, m: Column) -> Column:
+            entry = F.when(F.size(acc["entries"]) == 0, F.col("_entry")).otherwise(entered(acc, m))
+            return F.struct(
+                m["end"].alias("b"), passed(m, entry).alias("last"),
+                F.concat(acc["entries"], F.array(F.struct(m["_b"].alias("_b"), entry.alias("_entry")))).alias("entries"),
+            )
+
+        start = F.struct(none.alias("b"), none.alias("last"), F.array().cast("array<struct<_b:bigint,_entry:bigint>>").alias("entries"))
+        found = given.select(*scope, F.explode(F.aggregate("_ms", start, step)["entries"]).alias("_e"))
+        return found.select(F.struct(*scope, "_e._b").alias("_at"), "_e._entry").filter(F.col("_entry").isNotNull())
+
+    groups, low = composed(maps, GROUP)
+    tops, middle = composed(groups, GROUP * GROUP)
+    high = tops.groupBy(*scope).agg(F.array_sort(F.collect_list("_m")).alias("_ms"))
+    entries = entries_of(high, 1, None)
+    entries = entries_of(middle, GROUP * GROUP, entries)
+    entries = entries_of(low, GROUP, entries)
 
     element = packs.schema["_rows"].dataType.simpleString()
     fold_start = F.struct(F.col("_entry").alias("last"), F.array().cast(element).alias("kept"))

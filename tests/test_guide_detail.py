@@ -1,3 +1,4 @@
+import pytest
 from datetime import date, datetime
 
 from helpers import at, search, searches, users
@@ -91,8 +92,11 @@ def test_alerts_go_where_they_should(spark):
     assert outbox.phone_payloads(m, s).count() == 3
 
 
-def test_chat_report_packs_greedily(spark):
-    m = spark.createDataFrame([match(i, 1, i * 3601, "sol " + "y" * (i % 90)) for i in range(400)], MATCH)
+@pytest.mark.parametrize("apart", [3601, 0])
+def test_chat_report_packs_greedily(spark, apart):
+    # apart 0: a backfill gives all its matches one instant
+    m = spark.createDataFrame([match(i, 1, i * apart, "sol " + "y" * (i % 90)) for i in range(400)], MATCH)
+    m = m.withColumn("match_id", F.col("match_id") * F.lit(10**15) - F.lit(2 * 10**17))
     lines = [r["line"] for r in outbox.chat_lines(m).orderBy("found_at", "match_id").collect()]
     want, block = [], []
     for line in lines:

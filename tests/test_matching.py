@@ -35,7 +35,9 @@ def test_greedy_spacing(spark):
     assert spaced(spark, [0, 61]) == [0, 61]
 
 
-def test_greedy_spacing_across_buckets_agrees_with_brute_force(spark):
+@pytest.mark.parametrize("group", [64, 2])
+def test_greedy_spacing_across_buckets_agrees_with_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(ordered, "GROUP", group)  # 2: buckets, pairs of them and pairs of pairs
     rng = random.Random(7)
     span = 3 * ordered.GAP_BUCKET
     edge = ordered.GAP_BUCKET
@@ -44,6 +46,7 @@ def test_greedy_spacing_across_buckets_agrees_with_brute_force(spark):
         sorted(round(rng.uniform(edge - 400, edge + 400), 3) for _ in range(120)),
         sorted(round(rng.uniform(0, span), 3) for _ in range(900)),
         [edge - 61, edge - 60.5, edge - 0.001, edge, edge + 0.5, edge + 59.9, edge + 61, edge + 122],
+        [k * edge + d for k in (0, 1, 2, 5, 6, 7, 8, 9, 10, 11) for d in (0.5, 30, 59, 61, edge - 40, edge - 1)],
     ]
     rows = [(k, i, at(s), True) for k, c in enumerate(cases) for i, s in enumerate(c)]
     df = spark.createDataFrame(rows, "k int, id bigint, ts timestamp_ntz, on boolean")
