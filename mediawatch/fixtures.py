@@ -56,7 +56,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as chunks: 60 channels, bursts of eight 30 s chunks, whole texts."""
+    """documents as chunks: 60 channels, bursts of eight 30 s chunks, whole texts, some silent."""
     return _table(spark, sf_dir, "documents").selectExpr(
         "doc_id AS id",
         "cast(doc_id % 60 + 1 AS int) AS channel_id",
@@ -64,7 +64,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         """timestamp_ntz'2024-01-01 00:00:00'
              + make_dt_interval(cast(doc_id div 60 div 8 AS int), cast((doc_id % 60 + 1) % 24 AS int), 0,
                  cast((doc_id div 60) % 8 * 30 + (doc_id div 60) % 4 * 0.25 AS decimal(18,6))) AS ts""",
-        "text",
+        "CASE WHEN doc_id % 97 = 5 THEN '' WHEN doc_id % 101 = 7 THEN '[~]' WHEN doc_id % 103 <> 9 THEN text END AS text",
         "CASE WHEN (doc_id div 60) % 3 = 0 THEN ((doc_id div 60) % 10) / 10.0D END AS confidence",
         "30.0D AS duration_sec",
         "CASE WHEN (doc_id div 60) % 5 = 0 THEN 'cc' ELSE 'asr' END AS source",
@@ -213,7 +213,6 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 def caption_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _table(spark, sf_dir, "conversations")
-        .filter("role = 'user'")
         .selectExpr(
             "cast(conv_id % 26 + 1 AS int) AS channel_id",
             "conv_id",
@@ -236,10 +235,9 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """view events as recorded files whose names carry channel and start minute."""
+    """events as recorded files whose names carry channel and start minute."""
     return (
         _table(spark, sf_dir, "events")
-        .filter("event_type = 'view'")
         .selectExpr(
             """concat('canal_', lpad(cast(user_id % 60 + 1 AS string), 2, '0'), '_ch',
                  lpad(cast(user_id % 60 + 1 AS string), 2, '0'), '/x_',

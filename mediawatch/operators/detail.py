@@ -281,7 +281,7 @@ def search_detail(
         "total": shown.agg(F.count(F.lit(1)).alias("total")),
         "total_all": own.agg(F.count(F.lit(1)).alias("total_all")),
         "facets": facet_values(own),
-        "titles": guide.programme_titles(own, programmes),
+        "titles": guide.programme_titles(own, programmes, guide.TITLES_SHOWN),
         "keyword_stats": counts_by(own, "keyword").orderBy(F.col("n").desc(), "keyword"),
         "channel_stats": counts_by(own, "channel_name").orderBy(F.col("n").desc(), "channel_name"),
         "heatmap": heatmap_rows(heatmap(own, one, today)),

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from mediawatch.functions.timefn import floor_second, hour_bucket, seconds, seconds_between
 from mediawatch.operators.matching import keyword_hits
 
+#: Titles of a display list.
+TITLES_SHOWN = 200
+
 
 def _by_hour(programmes: DataFrame) -> DataFrame:
     """Programmes repeated for each hour they touch."""
@@ -58,10 +61,11 @@ def _covers(rows: DataFrame, programmes: DataFrame) -> tuple[DataFrame, DataFram
     return left, right, cond
 
 
-def programme_titles(matches: DataFrame, programmes: DataFrame, limit: int = 200) -> DataFrame:
-    """Distinct titles on air during the matches, alphabetical; a display list of 200."""
+def programme_titles(matches: DataFrame, programmes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct titles on air during the matches, alphabetical; all, or the first `limit` for a display list."""
     left, right, cond = _covers(matches.select("channel_name", "ts"), programmes)
-    return left.join(right, cond).select(F.col("_title").alias("title")).distinct().orderBy("title").limit(limit)
+    titles = left.join(right, cond).select(F.col("_title").alias("title")).distinct().orderBy("title")
+    return titles.limit(limit) if limit is not None else titles
 
 
 def during_programmes(matches: DataFrame, programmes: DataFrame, titles: list[str]) -> DataFrame:

@@ -113,12 +113,12 @@ def clip_plan(
     ts: str = "ts",
     before: int = CLIP_SIDE,
     after: int = CLIP_SIDE,
-    steps: int = CLIP_STEPS,
+    steps: int | None = None,
 ) -> DataFrame:
     """(moment_id, piece, path, offset_sec, length_sec) whose pieces in order make the clip.
 
     A cursor walks from the window's start: take the segment on at the cursor up to its end or the
-    window's, else jump to the next start inside the window; four steps at most, jumps included.
+    window's, else jump to the next start inside the window; with `steps` so many at most, jumps included.
     Candidates are the segment on at the window's start and the few that start inside it.
     """
     listed = segments.filter(F.col("start_ts").isNotNull()).withColumn("_order", _order())
@@ -177,7 +177,8 @@ def clip_plan(
         jumped = F.struct(F.coalesce(following, F.lit(window)).alias("cur"), acc["pieces"].alias("pieces"))
         return F.when(cur >= window, acc).when(on, taken).otherwise(jumped)
 
-    plan = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["pieces"]
+    turns = F.lit(steps) if steps is not None else 2 * F.size("_segs") + 2  # each segment is taken and jumped to once at most
+    plan = F.aggregate(F.sequence(F.lit(1), turns), start, step)["pieces"]
     return (
         opening.join(inside, moment_id, "left")
         .withColumn("_segs", everything)
@@ -194,12 +195,12 @@ def locate_matches(enriched: DataFrame, segments: DataFrame) -> DataFrame:
     return segment_at(stored(moments, "moments"), segments)
 
 
-def clip_plans(enriched: DataFrame, segments: DataFrame) -> DataFrame:
+def clip_plans(enriched: DataFrame, segments: DataFrame, steps: int | None = None) -> DataFrame:
     """Clip pieces of each match, ten seconds either side of its exact time."""
     moments = enriched.select(
         "match_id", T.safe_name(F.col("channel_name")).alias("safe_channel"), F.col("precise_ts").alias("ts")
     )
-    return clip_plan(stored(moments, "moments"), segments, "match_id")
+    return clip_plan(stored(moments, "moments"), segments, "match_id", steps=steps)
 
 
 def retention_plan(segments: DataFrame, free_bytes: int, target_bytes: int) -> DataFrame:

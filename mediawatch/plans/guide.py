@@ -33,7 +33,7 @@ _COVERED = """m JOIN programmes p ON p.channel_name = m.channel_name AND p.start
 )
 def programme_facet(spark: SparkSession, sf: str) -> DataFrame:
     own = X.matches(spark, sf).filter("search_id = 1")
-    return guide.programme_titles(own, X.programmes(spark, sf))
+    return guide.programme_titles(own, X.programmes(spark, sf), guide.TITLES_SHOWN)
 
 
 @query(

@@ -37,7 +37,7 @@ def word_list(e: str) -> str:
 def english(e: str) -> str:
     listed = ", ".join(f"'{w}'" for w in ENGLISH_WORDS)
     return (
-        rf"len(list_filter(regexp_extract_all(lower({e}), '[\p{{L}}\p{{N}}_]+'), "
+        rf"len(list_filter(regexp_extract_all(lower(coalesce({e}, '')), '[\p{{L}}\p{{N}}_]+'), "
         f"lambda w: list_contains([{listed}], w)))"
     )
 
@@ -78,7 +78,7 @@ CTES: dict[str, str] = {
         TIMESTAMP '2024-01-01 00:00:00' + to_days((doc_id // 60 // 8)::INT)
           + to_hours(((doc_id % 60 + 1) % 24)::INT)
           + to_milliseconds(((doc_id // 60) % 8 * 30000 + (doc_id // 60) % 4 * 250)::INT) AS ts,
-        text,
+        CASE WHEN doc_id % 97 = 5 THEN '' WHEN doc_id % 101 = 7 THEN '[~]' WHEN doc_id % 103 <> 9 THEN text END AS text,
         CASE WHEN (doc_id // 60) % 3 = 0 THEN ((doc_id // 60) % 10)::DOUBLE / 10.0 END AS confidence,
         30.0::DOUBLE AS duration_sec,
         CASE WHEN (doc_id // 60) % 5 = 0 THEN 'cc' ELSE 'asr' END AS source
@@ -155,7 +155,7 @@ CTES: dict[str, str] = {
         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(conv_id::INT) + to_seconds((turn * 7)::INT) AS end_ts,
         '00:00:00,000 --> 00:00:' || lpad((turn + 5)::VARCHAR, 2, '0') || ',500' AS timecode,
         string_split(text, chr(10)) AS lines
-        FROM conversations WHERE role = 'user'""",
+        FROM conversations""",
     "articles": """SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, url AS link,
         regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS outlet,
         TIMESTAMP '2024-01-01 00:00:00' + to_hours(page_id::INT) AS published FROM pages""",
@@ -166,7 +166,7 @@ CTES: dict[str, str] = {
           CASE event_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.mp4' ELSE '.mkv' END AS path,
           trunc(value * 1e6)::BIGINT AS length, ts AS modified,
           CASE WHEN event_id % 9 <> 0 THEN 1800.0::DOUBLE END AS duration_sec
-        FROM events WHERE event_type = 'view') GROUP BY path""",
+        FROM events) GROUP BY path""",
     "asr_segments": """SELECT conv_id AS file_id, h.hop::INT AS hop, (turn * 37)::DOUBLE AS start_s,
         (turn * 37 + 20)::DOUBLE AS end_s, text
         FROM conversations, unnest([turn * 37 // 120, turn * 37 // 120 + 1]) AS h(hop)""",

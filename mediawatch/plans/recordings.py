@@ -68,7 +68,7 @@ def segment_at(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _EVENT_MOMENTS = """SELECT event_id AS match_id, 'ch' || lpad((user_id % 60 + 1)::VARCHAR, 2, '0') AS safe_channel, ts,
-    ts - INTERVAL 10 SECOND AS lo, ts + INTERVAL 10 SECOND AS hi FROM events WHERE event_type = 'click'"""
+    ts - INTERVAL 10 SECOND AS lo, ts + INTERVAL 10 SECOND AS hi FROM events"""
 _OPEN = """SELECT m.match_id, max(l.s) AS s FROM moments m JOIN (SELECT safe_channel, start_ts, {'at': start_ts, 'o': o, 'path': path, 'dur': coalesce(duration_sec, 0)} AS s FROM listed) l
     ON l.safe_channel = m.safe_channel AND l.start_ts <= m.lo GROUP BY 1"""
 _CANDS = """SELECT match_id, s FROM opened UNION ALL SELECT m.match_id, {'at': l.start_ts, 'o': l.o, 'path': l.path, 'dur': coalesce(l.duration_sec, 0)}
@@ -94,11 +94,11 @@ _WALK = """SELECT match_id, 1 AS step, lo AS cur, NULL::VARCHAR AS path, NULL::D
     ),
 )
 def clip_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Clips around every click event, from the recordings of its channel."""
-    moments = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'click'").selectExpr(
+    """Clips around every event, from the recordings of its channel."""
+    moments = spark.read.parquet(f"{sf}/events.parquet").selectExpr(
         "event_id AS match_id", "concat('ch', lpad(cast(user_id % 60 + 1 AS string), 2, '0')) AS safe_channel", "ts"
     )
-    rows = recordings.clip_plan(moments, segments(spark, sf), "match_id")
+    rows = recordings.clip_plan(moments, segments(spark, sf), "match_id", steps=recordings.CLIP_STEPS)
     return rows.select(
         "match_id", "piece", "path", F.round("offset_sec", 6).alias("offset_sec"), F.round("length_sec", 6).alias("length_sec")
     )
@@ -120,7 +120,7 @@ _MATCH_MOMENTS = """SELECT match_id, channel_name AS safe_channel, precise_ts AS
 def match_clips(spark: SparkSession, sf: str) -> DataFrame:
     """Clips around the exact time of every match."""
     enriched = detail.enrich(X.matches(spark, sf), X.searches(spark))
-    rows = recordings.clip_plans(enriched, segments(spark, sf))
+    rows = recordings.clip_plans(enriched, segments(spark, sf), recordings.CLIP_STEPS)
     return rows.select(
         "match_id", "piece", "path", F.round("offset_sec", 6).alias("offset_sec"), F.round("length_sec", 6).alias("length_sec")
     )

@@ -90,7 +90,7 @@ def news_scan(spark: SparkSession, sf: str) -> DataFrame:
         "outlet",
         F.date_format("published", "E, dd MMM yyyy HH:mm:ss 'GMT'").alias("published"),
     )
-    return landed.news_from(items)
+    return landed.news_from(items, limit=landed.NEWS_ITEMS)
 
 
 @query(

@@ -170,23 +170,23 @@ _ITEM = ST.StructType(
 )
 
 
-def read_news(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
-    """Articles of landed RSS files, the first 50 items of each."""
+def read_news(spark: SparkSession, path: str, tz: str = "UTC", limit: int | None = None) -> DataFrame:
+    """Articles of landed RSS files; with `limit` those among the first items of each."""
     rows = spark.read.format("xml").option("rowTag", "item").schema(_ITEM).load(path)
     placed = rows.select(
         F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), "title", "link",
         F.col("source._VALUE").alias("outlet"), F.col("pubDate").alias("published"),
     )
-    return news_from(placed, tz)
+    return news_from(placed, tz, limit)
 
 
-def news_from(items: DataFrame, tz: str = "UTC", limit: int = NEWS_ITEMS) -> DataFrame:
+def news_from(items: DataFrame, tz: str = "UTC", limit: int | None = None) -> DataFrame:
     """(file, title, link, outlet, published) of items with title, link and a readable date.
 
-    The first `limit` items of a file count, complete or not, as a feed lists its newest first.
+    With `limit` only the first items of a file count, complete or not, as a feed lists its newest first.
     """
     w = Window.partitionBy("file").orderBy("pos")
-    first = items.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)
+    first = items if limit is None else items.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)
     outlet = F.trim(F.coalesce("outlet", F.lit("")))
     title = F.trim("title")
     bare = F.regexp_replace(F.trim("published"), r"^[A-Za-z]{3,},?\s*", "")

@@ -59,7 +59,7 @@ def test_news(spark, tmp_path):
     )
     odd = "<item><title>No date</title><link>l</link></item><item><title>Bad</title><link>l</link><pubDate>yesterday</pubDate></item>"
     (tmp_path / "n.xml").write_text(f"<rss><channel><title>feed</title>{odd}{items}</channel></rss>")
-    rows = landed.read_news(spark, str(tmp_path / "n.xml"), "America/Mexico_City").orderBy("published").collect()
+    rows = landed.read_news(spark, str(tmp_path / "n.xml"), "America/Mexico_City", landed.NEWS_ITEMS).orderBy("published").collect()
     assert len(rows) == 48  # the first 50 items hold two unusable ones
     assert (rows[0]["title"], rows[0]["outlet"], rows[0]["published"]) == ("T0", "Paper", datetime(2024, 1, 1, 4, 0))
 
