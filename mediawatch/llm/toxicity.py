@@ -22,6 +22,8 @@ BITS = 18
 SAMPLE = 24_000
 #: Terms with a weight: those whose frequency differs most between the labels in the sample.
 TERMS = 1024
+#: Sampled documents that must hold a term for it to count; rarer ones say more about the sample than the label.
+SUPPORT = 4
 FACTORS = 8
 EPOCHS = 40
 RATE = 0.1
@@ -71,7 +73,7 @@ def telling_terms(found: list[np.ndarray], label: np.ndarray, bits: int, most: i
     yes = np.bincount(np.concatenate([empty, *(x for x, y in zip(found, label) if y)]), minlength=n) + 0.5
     no = np.bincount(np.concatenate([empty, *(x for x, y in zip(found, label) if not y)]), minlength=n) + 0.5
     odds = np.log(yes / (label.sum() + 1)) - np.log(no / ((1 - label).sum() + 1))
-    seen = (yes + no) > 1
+    seen = yes + no - 1 >= SUPPORT
     order = np.argsort(np.where(seen, -np.abs(odds) / np.sqrt(1 / yes + 1 / no), 0.0), kind="stable")[:most]
     return order[seen[order]]
 
