@@ -4,13 +4,15 @@ An item of n distinct five-word shingles is contained in a document that holds a
 of them. Of the item's n - c + 1 lowest shingle hashes (its bottom MinHash values) such a document holds
 at least one, however long it is, so looking these up loses no pair; signatures of whole documents could
 not promise that for a short item in a long text. Items are partitioned by the power of two of their
-size: a document takes part in a partition only if it has the shingles its smallest item needs, and a
-shingle hash above every partition's highest kept value is not looked up at all. Pairs with a hit are
-then decided by their distinct shingles, as strings.
+size: a document's shingle is looked up only if, for some partition, the document has as many shingles as
+its least demanding item needs and the hash is not above the highest it keeps. Pairs with a hit are then
+decided by their distinct shingles, as strings.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,18 +100,21 @@ def contained_items(
     """
     whole, sketch = item_sketches(items, item_id, item_text, size, contained)
     least = sketch.groupBy("_class").agg(F.min("_needed").alias("_least"), F.max("_h").alias("_cutoff"))
-    top, fewest = least.agg(F.max("_cutoff"), F.min("_least")).first()
+    classes = least.collect()  # one row per power of two
+    of_use = reduce(
+        lambda a, b: a | b, [(F.col("_has") >= r["_least"]) & (F.col("_h") <= r["_cutoff"]) for r in classes], F.lit(False)
+    )
     texts = docs.select(
         F.col(f"`{id_col}`").alias("_doc"), *identity(id_col, text_col), F.col(f"`{text_col}`").alias("_text")
     )
     parts = with_words(texts, F.col("_text"), "_words").drop("_text")
     has = F.greatest(F.size("_words") - (size - 1), F.lit(1))
-    at = parts.filter(has >= F.lit(fewest or 0)).select(
+    at = parts.select(
         "_doc", "_id", "_text_hash", has.alias("_has"), "_words", F.posexplode("_words").alias("_at", "_word")
     )
     hashed = at.filter(F.col("_at") < F.col("_has")).select(
         "_doc", "_id", "_text_hash", "_has", F.xxhash64(*window(F.col("_words"), F.col("_at"), size)).alias("_h")
-    ).filter(F.col("_h") <= F.lit(top))
+    ).filter(of_use)
     candidates = stored(
         hashed.join(shipped(sketch), "_h")
         .filter(F.col("_has") >= F.col("_needed"))
