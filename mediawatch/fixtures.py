@@ -56,8 +56,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as chunks: 60 channels, bursts of eight 30 s chunks, whole texts, some silent."""
-    return _table(spark, sf_dir, "documents").selectExpr(
+    """documents as chunks: 60 channels, bursts of eight 30 s chunks, whole texts, some silent.
+
+    The driver's table is one file of one row group, so one task would read it; a chunk table in use has a folder a
+    day. Its rows are therefore dealt out here, by id.
+    """
+    documents = _table(spark, sf_dir, "documents")
+    return documents.repartition(spark.sparkContext.defaultParallelism, "doc_id").selectExpr(
         "doc_id AS id",
         "cast(doc_id % 60 + 1 AS int) AS channel_id",
         "concat('ch', lpad(cast(doc_id % 60 + 1 AS string), 2, '0')) AS channel_name",
