@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediawatch.llm.common import hidden, stored
+from mediawatch.llm.common import hidden, shipped, stored
 from mediawatch.operators.graph import connected_components
 
 WORDS = 3
@@ -191,5 +191,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The rows of `docs` with the lowest id of their group, all columns kept; repeated rows and rows without id stay."""
     found = near_duplicates(docs, id_col, text_col, **how)
     name = hidden(docs, "extra")
-    extra = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    extra = shipped(stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "near-copies"))
     return docs.join(extra, docs[f"`{id_col}`"] == extra[name], "left_anti")
