@@ -288,8 +288,9 @@ def occurrences(
         "anchor-contexts",
     )
     several = classes.groupBy("_key").agg(F.count("*").alias("_c")).filter("_c > 1").select("_key")
+    own = F.pmod("_context", F.lit(SALTS)).cast("int")
     wanted = stored(
-        classes.join(several, "_key", "left_semi").select(
+        classes.withColumn("_salt", own).join(several.select("_key", spread), ["_key", "_salt"], "left_semi").select(
             "_key", "_context", "_left", "_right", "_one._id", "_one._text_hash", "_one._at"
         ),
         "contexts-to-read",
