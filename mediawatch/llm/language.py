@@ -20,6 +20,8 @@ from mediawatch.llm.common import identity, shipped, stored, without
 CELLS = 1 << 15
 #: Rows of each language to fit on: the lowest hashes of their texts.
 SAMPLE = 400
+#: Parts that the rows of one language are ranked in first.
+PARTS = 64
 #: A declared value is a language if at least this share of the declaring rows has it (so there are 200 at most).
 SHARE = 0.005
 #: Trigrams that count as independent; a longer text weighs no more.
@@ -51,11 +53,14 @@ def declared_languages(rows: DataFrame, share: float) -> list[str]:
 def fitted(rows: DataFrame, languages: list[str], sample: int) -> np.ndarray:
     """Log probabilities, one row per cell and one column per language, from `sample` texts of each."""
     place = {name: i for i, name in enumerate(languages)}
+    inside = Window.partitionBy("_declared", "_part").orderBy("_hash")
     order = Window.partitionBy("_declared").orderBy("_hash")
     chosen = (
         rows.filter(F.col("_declared").isin(languages) & (F.octet_length("_text") > 0))
         .select("_declared", F.xxhash64("_text").alias("_hash")).distinct()
-        .withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample).drop("_rank")
+        .withColumn("_part", F.pmod("_hash", F.lit(PARTS)))
+        .withColumn("_rank", F.row_number().over(inside)).filter(F.col("_rank") <= sample)
+        .withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample).drop("_rank", "_part")
     )
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
