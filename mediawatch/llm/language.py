@@ -72,7 +72,8 @@ def fitted(rows: DataFrame, languages: list[str], sample: int) -> np.ndarray:
 
     texts = rows.select("_declared", F.xxhash64("_text").alias("_hash"), "_text")
     model = (
-        texts.join(F.broadcast(chosen), ["_declared", "_hash"]).select("_declared", "_text")
+        texts.join(F.broadcast(chosen), ["_declared", "_hash"])
+        .groupBy("_declared", "_hash").agg(F.min("_text").alias("_text")).select("_declared", "_text")  # copies count once
         .repartition(1).mapInArrow(counted, "counts binary").first()
     )
     counts = np.frombuffer(model["counts"], dtype="<f8").reshape(CELLS, len(languages))

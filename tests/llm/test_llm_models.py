@@ -66,6 +66,13 @@ def test_fusion_equals_the_plain_version(spark):
     assert got[18]["language"] == "es"  # the text outweighs a wrong declaration
 
 
+def test_copies_of_a_sampled_text_count_once(spark):
+    rows = [(f"{EN} {i}", "en") for i in range(5)] + [(f"{ES} {i}", "es") for i in range(5)]
+    df = lambda x: spark.createDataFrame(x, "_text string, _declared string").coalesce(2)
+    once, copied = (L.fitted(df(x), ["en", "es"], 400) for x in (rows, rows + [rows[0]] * 500))
+    assert np.array_equal(once, copied)
+
+
 def test_language_of_odd_rows(spark):
     docs = odd.documents(spark)
     got = L.identified(docs, declared=F.col("lang"), address=F.col("source")).collect()
