@@ -22,8 +22,11 @@ CELLS = 1 << 15
 SAMPLE = 400
 #: Parts that the rows of one language are ranked in first.
 PARTS = 64
-#: A declared value is a language if at least this share of the declaring rows has it (so there are 200 at most).
+#: A declared value is a language if so many different texts have it, or at least this share of the declaring rows.
+ENOUGH = 50
 SHARE = 0.005
+#: Prior of a text of no language, whose trigrams are all equally likely.
+OTHER = 0.01
 #: Trigrams that count as independent; a longer text weighs no more.
 INDEPENDENT = 64
 #: Rows of its parent that a host or domain starts from.
@@ -43,15 +46,18 @@ def trigrams(text: str | None) -> np.ndarray:
     return ((b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * np.uint32(2654435761)) >> np.uint32(17)
 
 
-def declared_languages(rows: DataFrame, share: float) -> list[str]:
-    """Declared values with at least the share of the rows that declare one: at most 1 / share values."""
-    counts = rows.filter("_declared is not null").groupBy("_declared").agg(F.count("*").alias("n"))
+def declared_languages(rows: DataFrame, share: float, enough: int = ENOUGH) -> list[str]:
+    """Declared values with `enough` different texts, whatever their share, or with at least the share of the declaring rows."""
+    each = rows.filter("_declared is not null").groupBy("_declared", F.xxhash64("_text").alias("_hash")).agg(
+        F.count("*").alias("n"), F.max((F.octet_length("_text") > 0).cast("int")).alias("text")
+    )
+    counts = stored(each.groupBy("_declared").agg(F.sum("n").alias("n"), F.sum("text").alias("texts")), "declared-values")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return sorted(r[0] for r in counts.filter(F.col("n") >= share * total).collect())
+    return sorted(r[0] for r in counts.filter((F.col("n") >= share * total) | (F.col("texts") >= enough)).collect())
 
 
-def fitted(rows: DataFrame, languages: list[str], sample: int) -> np.ndarray:
-    """Log probabilities, one row per cell and one column per language, from `sample` texts of each."""
+def fitted(rows: DataFrame, languages: list[str], sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities, one row per cell and one column per language, from `sample` texts of each; texts read of each."""
     place = {name: i for i, name in enumerate(languages)}
     inside = Window.partitionBy("_declared", "_part").orderBy("_hash")
     order = Window.partitionBy("_declared").orderBy("_hash")
@@ -64,20 +70,21 @@ def fitted(rows: DataFrame, languages: list[str], sample: int) -> np.ndarray:
     )
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.full((CELLS, len(languages)), 0.5)
+        counts, texts = np.full((CELLS, len(languages)), 0.5), np.zeros(len(languages))
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 counts[:, place[name]] += np.bincount(trigrams(text.as_py()), minlength=CELLS)
-        yield pa.RecordBatch.from_arrays([pa.array([counts.astype("<f8").tobytes()], pa.binary())], ["counts"])
+                texts[place[name]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f8").tobytes()], pa.binary()) for x in (counts, texts)], ["counts", "texts"])
 
     texts = rows.select("_declared", F.xxhash64("_text").alias("_hash"), "_text")
     model = (
         texts.join(F.broadcast(chosen), ["_declared", "_hash"])
         .groupBy("_declared", "_hash").agg(F.min("_text").alias("_text")).select("_declared", "_text")  # copies count once
-        .repartition(1).mapInArrow(counted, "counts binary").first()
+        .repartition(1).mapInArrow(counted, "counts binary, texts binary").first()
     )
     counts = np.frombuffer(model["counts"], dtype="<f8").reshape(CELLS, len(languages))
-    return np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    return np.log(counts / counts.sum(axis=0)).astype(np.float32), np.frombuffer(model["texts"], dtype="<f8")
 
 
 def normalised(logs: Column) -> Column:
@@ -123,21 +130,30 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
 
 
-def evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    """The rows with `_logs`, the text's log likelihood per language (null without letters), instead of the text."""
-    n = table.shape[1]
+def evidence(rows: DataFrame, table: np.ndarray, judges: np.ndarray) -> DataFrame:
+    """The rows with `_logs`, the text's log likelihood per language (null without letters), and `_explained` instead of the text.
+
+    A text is unexplained if equally likely trigrams, with the prior of such texts, explain it better than
+    its best language does, and that is one that judges.
+    """
+    chance, other = -np.log(CELLS), np.log(OTHER)
 
     def likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            logs = []
+            logs, explained = [], []
             for t in batch.column(0):
                 cells = trigrams(t.as_py())
-                logs.append(table[cells].sum(axis=0, dtype=np.float64) * min(1.0, INDEPENDENT / len(cells)) if len(cells) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(logs, pa.list_(pa.float64()))], [*batch.schema.names[1:], "_logs"])
+                own = table[cells].sum(axis=0, dtype=np.float64) * min(1.0, INDEPENDENT / len(cells)) if len(cells) else None
+                logs.append(own)
+                explained.append(own is None or not judges[own.argmax()] or bool(own.max() >= min(len(cells), INDEPENDENT) * chance + other))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], pa.array(logs, pa.list_(pa.float64())), pa.array(explained, pa.bool_())],
+                [*batch.schema.names[1:], "_logs", "_explained"],
+            )
 
     rest = rows.select("_text", *[c for c in rows.columns if c != "_text"])
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields[1:])
-    return rest.mapInArrow(likely, f"{kept}, _logs array<double>")
+    return rest.mapInArrow(likely, f"{kept}, _logs array<double>, _explained boolean")
 
 
 def worth(rows: DataFrame, key: str, n: int) -> DataFrame:
@@ -158,12 +174,15 @@ def likelihood(rows: DataFrame, key: str, totals: list[float]) -> DataFrame:
 def identified(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None,
     address: Column | None = None, sample: int = SAMPLE, share: float = SHARE, languages: list[str] | None = None,
+    enough: int = ENOUGH,
 ) -> DataFrame:
     """(doc_id, _id, _text_hash, language, posterior, text_language, accepted): one row per row of `docs`.
 
     A null declaration or address says nothing (without address the prior is the whole table's). A text without
     letters, null and empty ones included, says nothing either and is not accepted; nor is a row whose best
-    posterior is under one half. Ties go to the first language by name. A row's own text is left out of its
+    posterior is under one half, nor a text that equally likely trigrams explain better than any language (noise, or a
+    language that is not in the model), if its best language was fitted on `enough` texts: one fitted on fewer has not
+    seen most of its own trigrams. Ties go to the first language by name. A row's own text is left out of its
     host's counts. Repeated rows count each and get equal results; a table that declares nothing gives
     'und' throughout, an empty table no rows. Very long texts are read whole and weigh as much as 64
     independent trigrams; further columns are not read.
@@ -175,14 +194,15 @@ def identified(
         F.lower(null if declared is None else declared).alias("_declared"),
         host_of(null if address is None else address).alias("_host"),
     )
-    known = languages or declared_languages(rows, share)
+    known = languages or declared_languages(rows, share, enough)
     if not known:
         return rows.select(
             "doc_id", "_id", "_text_hash", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("posterior"),
             F.lit(UNKNOWN).alias("text_language"), F.lit(False).alias("accepted"),
         )
     n = len(known)
-    seen = stored(evidence(rows, fitted(rows, known, sample)), "language-evidence").select(
+    table, texts = fitted(rows, known, sample)
+    seen = stored(evidence(rows, table, texts >= min(enough, sample)), "language-evidence").select(
         "*", domain_of(F.col("_host")).alias("_domain"), suffix_of(F.col("_host")).alias("_suffix"),
         F.when(F.col("_logs").isNotNull(), normalised(F.col("_logs"))).alias("_share"),
     )
@@ -218,7 +238,7 @@ def identified(
         F.element_at(names, F.array_position("_posterior", best).cast("int")).alias("language"),
         F.round(best, 6).alias("posterior"),
         F.coalesce(F.element_at(names, F.array_position("_logs", F.array_max("_logs")).cast("int")), F.lit(UNKNOWN)).alias("text_language"),
-        (F.col("_logs").isNotNull() & (best >= LEAST_POSTERIOR)).alias("accepted"),
+        (F.col("_logs").isNotNull() & (best >= LEAST_POSTERIOR) & F.col("_explained")).alias("accepted"),
     )
 
 

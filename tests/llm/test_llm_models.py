@@ -69,10 +69,22 @@ def test_fusion_equals_the_plain_version(spark):
 def test_copies_of_a_sampled_text_count_once(spark):
     rows = [(f"{EN} {i}", "en") for i in range(5)] + [(f"{ES} {i}", "es") for i in range(5)]
     df = lambda x: spark.createDataFrame(x, "_text string, _declared string").coalesce(2)
-    once, copied = (L.fitted(df(x), ["en", "es"], 400) for x in (rows, rows + [rows[0]] * 500))
+    once, copied = (L.fitted(df(x), ["en", "es"], 400)[0] for x in (rows, rows + [rows[0]] * 500))
     assert np.array_equal(once, copied)
 
 
+def test_rare_languages_are_found_and_unknown_text_is_rejected(spark):
+    draw = np.random.default_rng(1)
+    text = lambda words, i: " ".join(draw.choice(words.split(), 20)) + f" {i}"
+    fi = "hyvää huomenta kaikille ja tervetuloa tänään kokoukseen jossa keskustelemme tulevaisuudesta"
+    rows = [(text(EN, i), "en") for i in range(15_000)] + [(text(fi, i), "fi") for i in range(60)]  # 0.4 %
+    rows += [(text(fi, 0), None), ("быстрая лиса прыгает через ленивую собаку и бежит домой", "en"), ("qzx vkj wqq zzxj kqvx jjwq xzk qvvz", "en")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string").coalesce(2)
+    got = {r["doc_id"]: r for r in L.identified(df, declared=F.col("lang")).collect()}
+    assert all(got[i]["language"] == "fi" and got[i]["accepted"] for i in range(15_000, 15_061))
+    assert all(got[i]["accepted"] for i in range(15_000)) and not got[15_061]["accepted"] and not got[15_062]["accepted"]
+
+
 def test_language_of_odd_rows(spark):
     docs = odd.documents(spark)
     got = L.identified(docs, declared=F.col("lang"), address=F.col("source")).collect()
