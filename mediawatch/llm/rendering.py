@@ -55,8 +55,21 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-RULE = re.compile(r"([^{}@;]+)\{([^{}]*)\}")
-HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+IGNORED = re.compile(r"""/\*.*?(?:\*/|\Z)|<!--|-->|("(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')""", re.S)
+DECLARATION = re.compile(r"\s*(display|visibility)\s*:\s*([a-z-]+(?:\s+[a-z-]+)*)\s*(!\s*important)?\s*\Z", re.I)
+DISPLAYS = frozenset(
+    "block inline inline-block flex inline-flex grid inline-grid table inline-table table-row table-cell table-row-group "
+    "table-header-group table-footer-group table-column table-column-group table-caption list-item flow-root flow contents "
+    "ruby run-in initial inherit unset revert revert-layer".split()
+)
+VISIBILITIES = {"hidden": False, "collapse": False, "visible": True, "initial": True} | dict.fromkeys(("inherit", "unset", "revert", "revert-layer"))
+#: The screen that media queries are asked for: lengths in pixels, and features with the values that hold.
+SCREEN = {"width": 1280.0, "height": 800.0, "device-width": 1280.0, "device-height": 800.0}
+FEATURES = {
+    "orientation": "landscape", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "hover": "hover",
+    "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "scripting": "none", "update": "fast", "color": "", "grid": "0",
+}
+LENGTH = re.compile(r"(\d*\.?\d+)(px|em|rem)?\Z")
 SIMPLE = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?\Z", re.I)
 BLANK = re.compile(r"[ \t\n\r\f]+")
 
@@ -131,32 +144,131 @@ def tree(page: str) -> Node:
     return root
 
 
-def hidden_by_sheet(root: Node) -> set[tuple[str, str, str]]:
-    """(tag, sign, name) of the simple selectors that a style element hides."""
-    out, stack = set(), [root]
+def holds(feature: str) -> bool | None:
+    """Whether a media feature holds on a normal screen; None if it is not known."""
+    feature = " ".join(feature.split())
+    name, _, value = (x.strip() for x in feature.partition(":"))
+    bound = re.match(r"(min|max)-(.+)\Z", name)
+    own = re.match(r"([a-z-]+) ?(<=?|>=?|=) ?(.+)\Z", feature)
+    if bound and bound[2] in SCREEN or name in SCREEN and value:
+        side, name = (bound[1], bound[2]) if bound else ("", name)
+    elif own and own[1] in SCREEN:
+        name, side, value = own.groups()
+    elif name in FEATURES:
+        return value == FEATURES[name] if value else FEATURES[name] not in ("0", "none")
+    else:
+        return None
+    m = LENGTH.match(value)
+    if not m:
+        return None
+    length, has = float(m[1]) * (16 if m[2] in ("em", "rem") else 1), SCREEN[name]
+    return {"min": has >= length, ">=": has >= length, "max": has <= length, "<=": has <= length, ">": has > length, "<": has < length}.get(side, has == length)
+
+
+def on_screen(media: str) -> bool:
+    """Whether one of the media queries matches a normal screen; what is not known does not match."""
+    for query in media.lower().split(",") if media.strip() else ["all"]:
+        parts = [p.strip() for p in re.split(r"\band\b", query)]
+        first = re.match(r"(?:(only|not)\s+)?([a-z]+)\Z", parts[0])
+        known: list[bool | None] = [first[2] in ("screen", "all")] if first else []
+        known += [holds(p[1:-1]) if p[:1] == "(" and p[-1:] == ")" else None for p in parts[bool(first) :]]
+        fits = False if False in known else None if None in known else True
+        if fits is not None and fits != bool(first and first[1] == "not"):
+            return True
+    return False
+
+
+def declarations(body: str) -> list[tuple[str, bool | None, bool]]:
+    """(property, shows, important) of a rule's display and visibility; None inherits."""
+    out = []
+    for m in map(DECLARATION.match, body.split(";")):
+        if m:
+            name, value = m[1].lower(), " ".join(m[2].lower().split())
+            if name == "display" and (value == "none" or set(value.split()) <= DISPLAYS):
+                out.append((name, value != "none", bool(m[3])))
+            elif name == "visibility" and value in VISIBILITIES:
+                out.append((name, VISIBILITIES[value], bool(m[3])))
+    return out
+
+
+def own_part(body: str) -> str:
+    """A rule's declarations without the rules nested in it."""
+    kept, depth = [], 0
+    for piece in re.split(r"([{}])", body):
+        if piece == "{":
+            if not depth:
+                kept.append(kept.pop().rpartition(";")[0] + ";")
+            depth += 1
+        elif piece == "}":
+            depth -= 1
+        elif not depth:
+            kept.append(piece)
+    return "".join(kept)
+
+
+def rules_of(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that apply on a normal screen, in order."""
+    sheet = IGNORED.sub(lambda m: '""' if m[1] else " ", sheet)
+    at, applies = 0, [True]
+    while m := re.compile(r"[{};]").search(sheet, at):
+        before, at = sheet[at : m.start()].strip(), m.end()
+        if m[0] == "}":
+            if len(applies) > 1:
+                applies.pop()
+        elif m[0] == "{" and before[:1] == "@":
+            name, _, rest = before[1:].replace("(", " (", 1).partition(" ")
+            fits = on_screen(rest) if name.lower() == "media" else not rest.strip().lower().startswith("not") if name.lower() == "supports" else name.lower() == "layer"
+            applies.append(applies[-1] and fits)
+        elif m[0] == "{":
+            depth, start = 1, at
+            while depth and (m := re.compile(r"[{}]").search(sheet, at)):
+                depth, at = depth + (1 if m[0] == "{" else -1), m.end()
+            body = sheet[start : at - 1] if not depth else sheet[start:]
+            at = at if not depth else len(sheet)
+            if applies[-1]:
+                yield before, own_part(body)
+
+
+Sheet = dict[tuple[str, str, str], list[tuple[str, bool | None, tuple[bool, bool, int, int]]]]
+
+
+def sheet_of(root: Node) -> Sheet:
+    """Display and visibility that the style elements give to (tag, sign, name) of simple selectors, with their rank."""
+    out: Sheet = {}
+    stack, order = [root], 0
     while stack:
         node = stack.pop()
-        if node.tag == "style":
-            for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", "".join(node.children), flags=re.S)):
-                if HIDING.search(body):
-                    found = (SIMPLE.match(s.strip()) for s in selectors.split(","))
-                    out |= {(m[1] or "", m[2] or "", m[3] or "") for m in found if m and m[0]}
-        stack.extend(c for c in node.children if not isinstance(c, str))
-    return {(tag.lower(), sign, name) for tag, sign, name in out}
+        if node.tag == "style" and on_screen(node.attrs.get("media", "")):
+            for selectors, body in rules_of("".join(node.children)):
+                order += 1
+                for name, shows, important in declarations(body):
+                    for m in (SIMPLE.match(s.strip()) for s in selectors.split(",")):
+                        if m and m[0]:
+                            weight = {"#": 10_000, ".": 100}.get(m[2] or "", 0) + bool(m[1])
+                            key = ((m[1] or "").lower(), m[2] or "", m[3] or "")
+                            out.setdefault(key, []).append((name, shows, (important, False, weight, order)))
+        stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
+    return out
 
 
-def shown(node: Node, sheet: set[tuple[str, str, str]]) -> bool:
+def shown(node: Node, sheet: Sheet) -> tuple[bool, bool | None]:
+    """Whether an element is displayed, and whether it is visible (None: as its parent); the cascade decides."""
     a = node.attrs
-    if node.tag in NEVER_SHOWN or "hidden" in a or HIDING.search(a.get("style", "")):
-        return False
-    if node.tag == "input" and a.get("type", "").lower() not in ("submit", "button", "reset"):
-        return False
-    if node.tag == "dialog" and "open" not in a:
-        return False
+    if node.tag in NEVER_SHOWN or node.tag == "input" and a.get("type", "").lower() not in ("submit", "button", "reset"):
+        return False, None
+    displayed, visible = not ("hidden" in a or node.tag == "dialog" and "open" not in a), None
+    found = []
     if sheet:
-        names = [("", "")] + [(".", c) for c in a.get("class", "").split()] + [("#", a.get("id", ""))]
-        return not any((tag, *n) in sheet for n in names for tag in ("", node.tag) if tag or n[0])
-    return True
+        names = [("", "")] + [(".", c) for c in set(a.get("class", "").split())] + [("#", a.get("id", ""))]
+        found = [x for n in names for tag in ("", node.tag) if tag or n[0] for x in sheet.get((tag, *n), ())]
+    if "style" in a:
+        found += [(name, shows, (important, True, 0, i)) for i, (name, shows, important) in enumerate(declarations(IGNORED.sub(" ", a["style"])))]
+    for name, shows, _ in sorted(found, key=lambda x: x[2]):
+        if name == "display":
+            displayed = shows
+        else:
+            visible = shows
+    return displayed, visible
 
 
 class Flow:
@@ -278,24 +390,29 @@ def aligned(rows: list[list[tuple[list[str], Node]]]) -> list[str]:
 def render(page: str | None) -> str:
     """All visible text of a page; walks the tree without recursion, so depth is no limit."""
     root = tree(page or "")
-    sheet = hidden_by_sheet(root)
+    sheet, seen = sheet_of(root), [True]
     flows, tables, lists, verbatim = [Flow()], [], [], 0
     stack: list[tuple[Node | str, bool]] = [(root, False)]
     while stack:
         node, leaving = stack.pop()
         flow = flows[-1]
         if isinstance(node, str):
-            (flow.verbatim if verbatim else flow.write)(node)
+            if seen[-1]:
+                (flow.verbatim if verbatim else flow.write)(node)
             continue
         tag = node.tag
         if not leaving:
-            if not shown(node, sheet):
+            displayed, visible = shown(node, sheet)
+            if not displayed:
                 continue
+            visible = seen[-1] if visible is None else visible
             if tag == "br":
-                flow.newline()
+                if visible:
+                    flow.newline()
                 continue
             if tag == "input":
-                flow.write(f" {node.attrs.get('value', '')} ")
+                if visible:
+                    flow.write(f" {node.attrs.get('value', '')} ")
                 continue
             if tag in BLOCKS:
                 flow.block(1 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 0)
@@ -312,6 +429,7 @@ def render(page: str | None) -> str:
             if tag in APART or tag in CELLS and tables:
                 flows.append(Flow())
             stack.append((node, True))
+            seen.append(visible)
             children = node.children
             if tag == "details" and "open" not in node.attrs:
                 children = [c for c in children if not isinstance(c, str) and c.tag == "summary"][:1]
@@ -319,6 +437,7 @@ def render(page: str | None) -> str:
                 children = sorted(children, key=lambda c: isinstance(c, Node) and c.tag != "caption")
             stack.extend((c, False) for c in reversed(children))
             continue
+        seen.pop()
         if tag in ("pre", "textarea", "xmp"):
             verbatim -= 1
         if tag in APART or tag in CELLS and tables:

@@ -33,6 +33,30 @@ def test_layout(page):
     assert render(page) == CASES[page]
 
 
+SHEETS = {
+    "<style>@media print{nav,.ad{display:none}} .x{display:none}</style><nav>1</nav><p class=ad>2</p><p class=x>3</p>": "1\n\n2",
+    "<style>@media print{article{display:none}} @import 'a{b'; i{display:none}</style><article>1<i>2</i></article>": "1",
+    "<style>@media (max-width:600px){.a{display:none}}@media screen and (min-width: 40em){.b{display:none}}</style><b class=a>1</b><b class=b>2</b>": "1",
+    "<style>@media not print{.a{display:none}}@media print, screen{.b{display:none}}</style><b class=a>1</b><b class=b>2</b>3": "3",
+    "<style>@media screen{@media print{.a{display:none}}.b{display:none}}.c{display:none}</style><b class=a>1</b><b class=b>2</b><b class=c>3</b>": "1",
+    "<style>@keyframes k{from{visibility:hidden}to{x:y}}@font-face{a:b}.c{display:none}</style><b class=c>1</b>2": "2",
+    "<style media=print>p{display:none}</style><style>q::before{content:'}'} .a{display:none}</style><p>1</p><b class=a>2</b>": "1",
+    "<style>.a{display:none}.a{display:block}</style><b class=a>1</b>": "1",
+    "<style>p.a{display:none}.a{display:block}</style><p class=a>1</p>2": "2",
+    "<style>.a{display:none !important}.a{display:block}</style><b class=a style='display:block'>1</b>2": "2",
+    "<style>.a{color:red;.b{display:none}@media print{display:none}}.c{.d{x:y} display:none}</style><b class=a>1</b><b class=c>2</b>": "1",
+    "<style>.a{display:none}</style><b class=a style='display:block'>1</b><i hidden style='display:inline'>2</i>": "12",
+    "<div style='visibility:hidden'>1<b style='visibility:visible'>2</b>3</div>": "2",
+    "<style>.h{visibility:hidden}.v{visibility:visible}</style><div class=h>1<p class=v>2<i class=h>3</i></p></div>4": "2\n\n4",
+    "<style>@media print{.a{display:none}": "",
+}
+
+
+@pytest.mark.parametrize("page", SHEETS)
+def test_rules_apply_as_on_a_screen(page):
+    assert render(page) == SHEETS[page]
+
+
 @pytest.mark.parametrize(
     "page",
     [None, "", "<", "<" * 20_000, "<p " * 20_000, "<b>" * 20_000 + "x", "<div>" * 20_000 + "y", "<table>" * 300 + "<td>z",
