@@ -18,6 +18,8 @@ MIN_DOCUMENTS = 5
 FIXED_SHARE = 0.6
 #: Parts a busy line, leaf or token is counted and looked up in.
 SALTS = 16
+#: From one level of generalising to the next, a token needs so many times the documents to stay fixed.
+GROWTH = 4
 FIELD = "<*>"
 BLANKS = " \t\r"
 
@@ -62,12 +64,17 @@ def recurring_lines(
     depth: int = DEPTH,
     min_documents: int = MIN_DOCUMENTS,
     fixed_share: float = FIXED_SHARE,
+    growth: int | None = None,
 ) -> DataFrame:
     """(_id, _text_hash, _line_hash, template): the lines to drop, by document.
 
     A template recurs when at least `min_documents` documents hold it and at least `fixed_share` of its
     positions are fixed, of all as of those after the leading tokens (which the leaf fixes anyway). The lowest document id that holds a template keeps its lines. Documents are
     told apart by id and text, so repeated rows count once and lose the same lines.
+
+    With `growth` a line whose template does not recur is generalised level by level: at level k a token stays
+    fixed if min_documents * growth^k line holders of the leaf have it there. A line belongs to the most specific of its
+    templates that recurs, so the values of a variable field are generalised however often each of them occurs.
     """
     lines = lines_of(docs, id_col, text_col)
     thin = stored(
@@ -99,8 +106,11 @@ def recurring_lines(
         words.filter(F.col("_token") != FIELD)
         .groupBy("_leaf", "_at", "_token").agg(F.sum("_documents").alias("_held"))
         .filter(F.col("_held") >= min_documents)
-        .select("_leaf", "_at", "_token", F.lit(True).alias("_kept"))
+        .select("_leaf", "_at", "_token", F.lit(True).alias("_kept"), "_held")
     )
+    if growth is not None:
+        return generalised_lines(thin, words, fixed, depth, min_documents, fixed_share, growth)
+    fixed = fixed.drop("_held")
     shown = F.when(F.col("_kept"), F.col("_token")).otherwise(F.lit(FIELD))
     templates = (
         words.withColumn("_salt", salt("_line_hash"))
@@ -135,6 +145,49 @@ def recurring_lines(
     )
 
 
+def generalised_lines(
+    thin: DataFrame, words: DataFrame, fixed: DataFrame, depth: int, min_documents: int, fixed_share: float, growth: int
+) -> DataFrame:
+    """The lines to drop if each belongs to its most specific recurring template of any level."""
+    level = F.floor(F.log(float(growth), F.col("_held") / min_documents) + 1e-9).cast("int")
+    parts = (
+        words.withColumn("_salt", salt("_line_hash"))
+        .join(fixed.withColumn("_up_to", level), ["_leaf", "_at", "_token", "_salt"], "left")
+        .groupBy("_line_hash", "_leaf")
+        .agg(F.array_sort(F.collect_list(F.struct("_at", "_token", F.coalesce("_up_to", F.lit(-1)).alias("_up_to")))).alias("_parts"))
+    )
+    tail = F.filter("_parts", lambda p: p["_at"] >= depth)
+    kept = lambda of, k: F.size(F.filter(of, lambda p: p["_up_to"] >= k))
+    enough = lambda k: (kept(F.col("_parts"), k) >= fixed_share * F.size("_parts")) & (kept(tail, k) >= fixed_share * F.size(tail))
+    # A template changes only at the levels that one of the tokens does not reach.
+    steps = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform("_parts", lambda p: p["_up_to"] + 1)))
+    leveled = parts.select("_line_hash", "_leaf", "_parts", F.explode(F.filter(steps, enough)).alias("_level"))
+    shown = F.transform("_parts", lambda p: F.when(p["_up_to"] >= F.col("_level"), p["_token"]).otherwise(F.lit(FIELD)))
+    templates = stored(
+        leveled.select("_line_hash", "_leaf", "_level", F.array_join(shown, " ").alias("template")), "leveled-templates"
+    )
+    held = (
+        thin.withColumn("_salt", salt("_id", "_text_hash"))
+        .join(salted(templates.select("_line_hash", "_leaf", "template").distinct()), ["_line_hash", "_leaf", "_salt"])
+        .select("_doc", "_id", "_text_hash", "_leaf", "template").distinct()
+    )
+    recurring = salted(
+        held.groupBy("_leaf", "template").agg(F.count("*").alias("_n"), F.min("_doc").alias("_keeper"))
+        .filter(F.col("_n") >= min_documents).drop("_n")
+    )
+    chosen = (
+        templates.withColumn("_salt", salt("_line_hash")).join(recurring, ["_leaf", "template", "_salt"])
+        .groupBy("_line_hash", "_leaf").agg(F.min(F.struct("_level", "template", "_keeper")).alias("_best"))
+        .select("_line_hash", "_leaf", "_best.template", "_best._keeper")
+    )
+    return (
+        thin.withColumn("_salt", salt("_id", "_text_hash"))
+        .join(salted(stored(chosen, "chosen-templates")), ["_line_hash", "_leaf", "_salt"])
+        .filter(~F.col("_doc").eqNullSafe(F.col("_keeper")))
+        .select("_id", "_text_hash", "_line_hash", "template")
+    )
+
+
 def drop_recurring_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -142,6 +195,7 @@ def drop_recurring_lines(
     depth: int = DEPTH,
     min_documents: int = MIN_DOCUMENTS,
     fixed_share: float = FIXED_SHARE,
+    growth: int | None = None,
 ) -> DataFrame:
     """Every row of `docs` with its recurring lines taken out of the text, plus what was done to it.
 
@@ -152,7 +206,7 @@ def drop_recurring_lines(
     most as long as the document.
     """
     gone = (
-        recurring_lines(docs, id_col, text_col, depth, min_documents, fixed_share)
+        recurring_lines(docs, id_col, text_col, depth, min_documents, fixed_share, growth)
         .groupBy("_id", "_text_hash").agg(F.collect_set("_line_hash").alias("_gone"))
     )
     plain = docs.drop("n_lines", "n_dropped")

@@ -42,3 +42,19 @@ def test_odd_rows(spark):
     assert sum(r["text"] is None for r in got) == 2
     assert L.drop_recurring_lines(odd.empty(spark)).count() == 0
     assert L.drop_recurring_lines(docs.filter(F.col("text").isNull())).count() == 2
+
+
+def test_fields_of_many_values_are_generalised_at_every_size(spark):
+    for values, copies in ((4, 1), (6, 3), (12, 2)):  # a value is held by 4, 18 and 24 documents
+        rows = [
+            ((a * values + d) * copies + k, f"Written by staff member {'abcdefghijkl'[a]} for the {'abcdefghijkl'[d]} desk")
+            for a in range(values) for d in range(values) for k in range(copies)
+        ]
+        out = cleaned(spark, rows, growth=L.GROWTH)
+        assert [i for i in out if out[i]] == [0], (values, copies)
+
+
+def test_a_specific_template_that_recurs_is_not_generalised(spark):
+    rows = [(i, f"Posted by the user {'ann' if i < 30 else 'bob'} on this site") for i in range(60)]
+    out = cleaned(spark, rows, growth=L.GROWTH)
+    assert [i for i in sorted(out) if out[i]] == [0, 30]
