@@ -16,10 +16,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediawatch.llm.common import hidden, stored
+from mediawatch.llm.common import stored
 
 RANKS = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
@@ -148,9 +148,9 @@ def in_parts(texts: list[str | None], most_bytes: int, most_texts: int) -> Itera
 def aligned(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, pieces: str = PIECES,
 ) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs) of every document.
+    """(_row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs) of every document.
 
-    `pairs` holds the document's distinct linked id pairs with the number of links, struct<a, b, times>. A null or
+    `_row` numbers the rows. `pairs` holds the document's distinct linked id pairs with the number of links, struct<a, b, times>. A null or
     empty text, or one that a tokenizer does not give back byte by byte, has zeros, '' and no pairs.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -166,11 +166,15 @@ def aligned(
             for first, end in in_parts(texts, BATCH_BYTES, BATCH_TEXTS):
                 found = aligned_batch(tokens, texts[first:end])
                 columns = [c if isinstance(c := found[f], pa.Array) else pa.array(c, t) for f, t in zip(fields, types)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *columns], ["doc_id", *fields])
+                own = [batch.column(c).slice(first, end - first) for c in (2, 0)]
+                yield pa.RecordBatch.from_arrays([*own, *columns], ["_row", "doc_id", *fields])
 
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
+    return docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
+        F.monotonically_increasing_id().alias("_row"),
+    ).mapInArrow(
         align,
-        f"doc_id {id_type}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
+        f"_row long, doc_id {id_type}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
         "pairs array<struct<a:int,b:int,times:int>>",
     )
 
@@ -191,20 +195,16 @@ def with_pair_counts(rows: DataFrame, common: int = COMMON) -> DataFrame:
     counts = stored(pair_counts(rows), "pair-counts")
     total = counts.agg(F.sum("documents")).first()[0] or 0
     often = F.col("documents") * F.lit(common) > F.lit(total)
-    row = hidden(rows, "row")
-    numbered = stored(rows.withColumn(row, F.monotonically_increasing_id()), "aligned-rows")
-    each = numbered.select(row, F.explode("pairs").alias("p")).select(row, "p.a", "p.b", "p.times")
+    each = rows.select("_row", F.explode("pairs").alias("p")).select("_row", "p.a", "p.b", "p.times")
     key = ["a", "b"]
     usual = each.join(F.broadcast(counts.filter(often)), key)
     rare = each.join(F.broadcast(counts.filter(often).select(*key)), key, "left_anti").join(counts.filter(~often), key)
-    sums = (
-        usual.select(row, "times", "documents", "best").unionByName(rare.select(row, "times", "documents", "best"))
-        .groupBy(row).agg(
-            F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).cast("bigint").alias("n_best"),
-            F.sum(F.col("times") * F.col("documents")).cast("bigint").alias("count_sum"),
-        )
+    found = [x.select("_row", "times", "documents", "best") for x in (usual, rare)]
+    sums = found[0].unionByName(found[1]).groupBy("_row").agg(
+        F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).cast("bigint").alias("n_best"),
+        F.sum(F.col("times") * F.col("documents")).cast("bigint").alias("count_sum"),
     )
-    return numbered.drop("pairs").join(sums, row, "left").na.fill(0, ["n_best", "count_sum"]).drop(row)
+    return rows.drop("pairs").join(sums, "_row", "left").na.fill(0, ["n_best", "count_sum"])
 
 
 def token_alignment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **tokenizers) -> DataFrame:

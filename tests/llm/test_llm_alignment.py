@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from mediawatch.llm import alignment
+from mediawatch.llm.common import stored
 from tokenizers import Tokenizer
 
 TEXTS = [
@@ -81,7 +82,7 @@ def test_alignment_equals_a_plain_double_loop(spark, monkeypatch):
 def test_common_and_rare_pairs_give_the_same_counts(spark, common):
     texts = TEXTS + [f"some words {i} and the" for i in range(30)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    done = alignment.with_pair_counts(alignment.aligned(rows), common).orderBy("doc_id").collect()
+    done = alignment.with_pair_counts(stored(alignment.aligned(rows), "aligned"), common).orderBy("doc_id").collect()
     want = brute(texts)
     assert [(r["n_best"], r["count_sum"]) for r in done] == [w[4:6] for w in want]
 
