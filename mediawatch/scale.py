@@ -65,12 +65,26 @@ def _remove_stages() -> None:
             remove(path, spark)
 
 
-#: Rows that may be shipped to every executor.
+#: Rows, and bytes of a stored table's files, that may be shipped to every executor.
 SHIPPED_ROWS = 500_000
+SHIPPED_BYTES = 64 << 20
 
 
-def shipped(df: DataFrame, rows: int = SHIPPED_ROWS) -> DataFrame:
-    """Mark a stored table for a broadcast join if it has at most so many rows; else leave it to a shuffle."""
+def stored_bytes(df: DataFrame) -> int | None:
+    """Size of a stored table's files, None for any other table."""
+    path = _PATHS.get(df)
+    if path is None:
+        return None
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    return system.getContentSummary(hadoop).getLength()
+
+
+def shipped(df: DataFrame, rows: int | None = None, most_bytes: int | None = None) -> DataFrame:
+    """Mark a stored table for a broadcast join if its rows and its files are within the bounds; else leave it to a shuffle."""
+    rows = SHIPPED_ROWS if rows is None else rows
+    if (stored_bytes(df) or 0) > (SHIPPED_BYTES if most_bytes is None else most_bytes):
+        return df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
