@@ -203,12 +203,15 @@ def drop_recurring_lines(
     is replaced). Null and empty texts stay as they are, with no lines; blank lines stay; ties do not
     exist (a line is judged by its template alone, the lowest id keeps it); repeated rows lose the same
     lines; an empty table gives no rows. One list of dropped line hashes is gathered per document, at
-    most as long as the document.
+    most as long as the document. The lists are shipped to the texts; beyond the bounds of `shipped` both sides are
+    exchanged.
     """
-    gone = (
+    gone = stored(
         recurring_lines(docs, id_col, text_col, depth, min_documents, fixed_share, growth)
-        .groupBy("_id", "_text_hash").agg(F.collect_set("_line_hash").alias("_gone"))
+        .groupBy("_id", "_text_hash").agg(F.collect_set("_line_hash").alias("_gone")),
+        "dropped-lines",
     )
+    gone = shipped(gone)
     plain = docs.drop("n_lines", "n_dropped")
     names = {c: hidden(docs, c.strip("_")) for c in ("_id", "_text_hash", "_gone")}
     for old, new in names.items():

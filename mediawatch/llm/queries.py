@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    done = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"), growth=line_templates.GROWTH)
     return done.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
 
 
@@ -113,19 +113,27 @@ WITH lines AS (
 ), masked AS (
   SELECT line, leaf, documents, spot, CASE WHEN regexp_matches(raw, '[0-9]') THEN '<*>' ELSE raw END AS token FROM tokens
 ), fixed AS (
-  SELECT leaf, spot, token FROM masked WHERE token <> '<*>' GROUP BY ALL HAVING sum(documents) >= 5
-), templates AS (
-  SELECT m.line, m.leaf,
-    string_agg(CASE WHEN f.token IS NULL THEN '<*>' ELSE m.token END, ' ' ORDER BY m.spot) AS template
+  SELECT leaf, spot, token, CAST(floor(ln(sum(documents) / 5.0) / ln(4) + 1e-9) AS INTEGER) AS up_to
+  FROM masked WHERE token <> '<*>' GROUP BY ALL HAVING sum(documents) >= 5
+), parts AS (
+  SELECT m.line, m.leaf, m.spot, m.token, coalesce(f.up_to, -1) AS up_to
   FROM masked m LEFT JOIN fixed f ON m.leaf = f.leaf AND m.spot = f.spot AND m.token = f.token
-  GROUP BY m.line, m.leaf HAVING count(f.token) >= 0.6 * count(*)
-    AND count(f.token) FILTER (m.spot > 3) >= 0.6 * count(*) FILTER (m.spot > 3)
+), steps AS (
+  SELECT line, leaf, 0 AS level FROM parts UNION SELECT line, leaf, up_to + 1 FROM parts
+), templates AS (
+  SELECT p.line, p.leaf, s.level,
+    string_agg(CASE WHEN p.up_to < s.level THEN '<*>' ELSE p.token END, ' ' ORDER BY p.spot) AS template
+  FROM parts p JOIN steps s ON p.line = s.line AND p.leaf = s.leaf
+  GROUP BY p.line, p.leaf, s.level HAVING count(*) FILTER (p.up_to >= s.level) >= 0.6 * count(*)
+    AND count(*) FILTER (p.up_to >= s.level AND p.spot > 3) >= 0.6 * count(*) FILTER (p.spot > 3)
 ), recurring AS (
   SELECT leaf, template, min(doc_id) AS keeper
   FROM filed JOIN templates USING (line, leaf) GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5
+), chosen AS (
+  SELECT line, min_by(keeper, level) AS keeper FROM templates JOIN recurring USING (leaf, template) GROUP BY line
 ), marked AS (
-  SELECT l.doc_id, l.i, l.line, l.bare, coalesce(l.doc_id <> r.keeper, false) AS gone
-  FROM lines l LEFT JOIN templates t ON l.line = t.line LEFT JOIN recurring r ON t.leaf = r.leaf AND t.template = r.template
+  SELECT l.doc_id, l.i, l.line, l.bare, coalesce(l.doc_id <> c.keeper, false) AS gone
+  FROM lines l LEFT JOIN chosen c ON l.line = c.line
 )
 SELECT d.doc_id, CAST(count(*) FILTER (m.bare <> '') AS INTEGER) AS n_lines,
   CAST(count(*) FILTER (m.gone) AS INTEGER) AS n_dropped,
