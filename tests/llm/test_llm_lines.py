@@ -58,3 +58,10 @@ def test_a_specific_template_that_recurs_is_not_generalised(spark):
     rows = [(i, f"Posted by the user {'ann' if i < 30 else 'bob'} on this site") for i in range(60)]
     out = cleaned(spark, rows, growth=L.GROWTH)
     assert [i for i in sorted(out) if out[i]] == [0, 30]
+
+
+def test_lists_beyond_the_bound_are_exchanged_with_the_same_result(spark, monkeypatch):
+    rows = [(i, f"Body {i % 7} of text\nAll rights reserved here.\n{'x' * (i % 5)}") for i in range(40)]
+    sent = cleaned(spark, rows, growth=L.GROWTH)
+    monkeypatch.setattr("mediawatch.scale.SHIPPED_ROWS", 0)
+    assert cleaned(spark, rows, growth=L.GROWTH) == sent and sum(t == rows[i][1] for i, t in sent.items()) < 5

@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline as P
-from mediawatch.llm import packing, simhash
+from mediawatch.llm import near_copies, packing
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="driver tables not mounted")
@@ -59,12 +59,11 @@ def test_line_stage_drops_templates_of_many_documents(steps):
 
 
 def test_near_copy_stage_keeps_the_lowest_of_each_group(steps):
-    before = sorted(rows(steps[2]).items())
-    prints = [(i, simhash.simhash(r["text"])) for i, r in before]
-    group = {i: i for i, _ in prints}
-    for a, x in prints:
-        for b, y in prints:
-            if b < a and (x ^ y).bit_count() <= 3 and group[a] != group[b]:
+    before = [(i, set(near_copies.shingle_set(r["text"]).tolist())) for i, r in sorted(rows(steps[2]).items())]
+    group = {i: i for i, _ in before}
+    for a, x in before:
+        for b, y in before:
+            if b < a and 5 * len(x & y) >= 4 * len(x | y) and group[a] != group[b]:
                 old, new = max(group[a], group[b]), min(group[a], group[b])
                 group = {i: new if g == old else g for i, g in group.items()}
     assert set(rows(steps[3])) == set(group.values()) and len(set(group.values())) < len(group)
