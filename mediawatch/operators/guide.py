@@ -120,7 +120,7 @@ def map_guide_channels(guide: DataFrame, wanted: DataFrame) -> DataFrame:
 def _holding(rows: DataFrame, fragments: DataFrame) -> DataFrame:
     """Rows beside the fragments (column norm_kw) that their `_text` holds; an empty fragment is held by none."""
     asked = fragments.filter("norm_kw <> ''")
-    return keyword_hits(rows, "_text", asked.select("norm_kw", F.lit(False).alias("whole_word"))).join(asked, "norm_kw")
+    return keyword_hits(rows, "_text", asked.select("norm_kw", F.lit(False).alias("whole_word"), F.lit(False).alias("phonetic"))).join(asked, "norm_kw")
 
 
 def map_live_channels(channels: DataFrame, fragments: DataFrame) -> DataFrame:

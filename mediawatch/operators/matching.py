@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mediawatch.functions import text as T
 from mediawatch.functions.timefn import CHUNK_SECONDS, media_type, seconds
 from mediawatch.operators import ordered
-from mediawatch.scale import SHIPPED_ROWS, pinned, shipped, stored
+from mediawatch.scale import SHIPPED_ROWS, shipped, stored
 from mediawatch.sources.transcripts import between_days
 
 HIT_KEY = ["search_id", "kw_pos", "keyword", "channel_id"]
@@ -19,6 +19,10 @@ DEDUP_SECONDS = 60
 CAPTION_GRACE_SECONDS = 90
 #: Characters of a keyword that are looked up in the texts.
 PROBE = 3
+#: Keywords that are simply all tried on a text.
+FEW = 48
+#: Log2 of the most bits in the bitmap of probes (it is part of the plan).
+MOST_BITS = 20
 #: Letters from frequent to rare; the order only decides which part of a keyword is looked up.
 LETTERS_BY_USE = " eaosrnidlctumpbgvyqhfzjxkw"
 
@@ -69,40 +73,100 @@ def probe_of(norm_kw: Column) -> Column:
     return F.array_max(F.transform(parts, lambda p: F.struct(rarity(p).alias("n"), p.alias("p"))))["p"]
 
 
-def probe_hash(*characters: Column) -> Column:
-    """Hash of the characters there are: null ones, past an end, add nothing."""
-    return F.xxhash64(*characters)
+def tried_keywords(rows: DataFrame, text: str, keywords: list) -> DataFrame:
+    """Every (norm_kw, whole_word, phonetic) tried on every text, inside the row; only hits become rows."""
+    ids = [F.col(c) for c in rows.columns if c != text]
 
+    def held(value: Column, phonetic: bool) -> Column:
+        own = [F.struct(F.lit(k).alias("norm_kw"), F.lit(w).alias("whole_word"), F.lit(p).alias("phonetic")) for k, w, p in keywords if p == phonetic]
+        return T.let(value, lambda t: F.filter(F.array(*own), lambda k: T.keyword_hit(t, k["norm_kw"], k["whole_word"]))) if own else None
 
-def keyword_hits(rows: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
-    """(`_id` columns of rows, norm_kw, whole_word) for every keyword that the text holds.
+    both = T.let(
+        F.col(text),
+        lambda t: F.concat(*[h for h in (held(t, False), held(T.phonetic_of(t), True)) if h is not None]),
+    )
+    return rows.select(*ids, F.explode(both).alias("_k")).select(*ids, "_k.norm_kw", "_k.whole_word", "_k.phonetic")
+
+
+def grams(text: Column, widths: list[int]) -> Column:
+    """The distinct runs of so many characters, at every place of the text."""
+    runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{w}}}))"), F.lit(1)) for w in widths]
+    return F.array_distinct(F.concat(*runs))
 
-    Every place of the text meets the keywords' probes by hash, so a keyword is tried only where its rarest part is.
-    The probes are shipped within the bound of `shipped` and each candidate is decided on the spot; beyond it
+
+def bitmap_of(probes: DataFrame, probe: str) -> tuple[Column, int]:
+    """(bitmap as an array of 64-bit words, log2 of its bits) with the hash of every probe set.
+
+    Sixteen bits and more to a probe, 2^12 bits at least and 2^MOST_BITS at most; beyond that more grams pass and the
+    join on the probe, which decides, meets more of them.
+    """
+    n = probes.select(probe).distinct().count()
+    bits = min(max(12, (16 * n).bit_length()), MOST_BITS)
+    place = gram_place(F.col(probe), bits)
+    words = {
+        r["w"]: r["b"] for r in probes.select(place.alias("h")).groupBy(F.shiftright("h", 6).alias("w"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).collect()
+    }
+    listed = ",".join(str(words.get(i, 0)) for i in range(1 << (bits - 6)))
+    return F.split(F.lit(listed), ",").cast("array<bigint>"), bits
+
+
+def gram_place(gram: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(gram), 64 - bits)
+
+
+def looked_up_keywords(rows: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
+    """Keywords are tried where a text holds their probe: its distinct grams are tested against a bitmap of all
+    probes inside the row, those that pass meet the keywords by an equi join.
+
+    The keywords are shipped within the bound of `shipped` and each candidate is decided on the spot; beyond it
     thin candidates are exchanged first and their texts are read again.
     """
-    kws = keywords.select("norm_kw", "whole_word").distinct()
-    at = F.split(probe_of(F.col("norm_kw")), "")
     probes = stored(
-        kws.select("norm_kw", "whole_word", F.size(at).alias("_width"), probe_hash(*[F.get(at, F.lit(i)) for i in range(PROBE)]).alias("_probe")),
+        keywords.select("norm_kw", "whole_word", probe_of(F.col("norm_kw")).alias("_probe")).withColumn("_width", F.length("_probe")),
         "keyword-probes",
     )
     widths = [r[0] for r in probes.select("_width").distinct().collect()]  # 1 to 3
+    bitmap, bits = bitmap_of(probes, "_probe")
+
+    def set_in_bitmap(gram: Column) -> Column:
+        h = gram_place(gram, bits)
+        return F.getbit(F.get(bitmap, F.shiftright(h, 6).cast("int")), h.bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1
+
     few = probes.limit(SHIPPED_ROWS + 1).count() <= SHIPPED_ROWS
-    sent = F.broadcast(probes.drop("_width")) if few else probes.drop("_width")
     ids = [c for c in rows.columns if c != text]
     carried = [*ids, text] if few else ids
-    placed = pinned(rows, "_chars", F.split(F.col(text), "")).select(*carried, "_chars", F.posexplode("_chars").alias("_at", "_c"))
-    found = None
-    for width in widths:
-        key = probe_hash(*[F.get("_chars", F.col("_at") + i) for i in range(width)])
-        candidates = placed.select(*carried, key.alias("_probe")).join(sent, "_probe")
-        here = candidates.drop("_probe") if few else candidates.drop("_probe").distinct().join(rows, ids)
-        hits = here.filter(T.keyword_hit(F.col(text), F.col("norm_kw"), F.col("whole_word"))).select(*ids, "norm_kw", "whole_word")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return rows.select(*ids, F.lit("").alias("norm_kw"), F.lit(False).alias("whole_word")).limit(0)
-    return found.distinct()
+    passed = T.let(F.col(text), lambda t: F.filter(grams(t, widths), set_in_bitmap))
+    met = rows.select(*carried, F.explode(passed).alias("_probe"))
+    sent = F.broadcast(probes.drop("_width")) if few else probes.drop("_width")
+    candidates = met.join(sent, "_probe").drop("_probe")
+    here = candidates if few else candidates.distinct().join(rows, ids)
+    return here.filter(T.keyword_hit(F.col(text), F.col("norm_kw"), F.col("whole_word"))).select(*ids, "norm_kw", "whole_word")
+
+
+def keyword_hits(rows: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
+    """(columns of `rows` but the text, norm_kw, whole_word, phonetic) for every distinct keyword that a row's text holds.
+
+    Texts have no accents; a phonetic keyword is looked for in their sounds. Up to `FEW` keywords are all tried;
+    of more, those whose probe the text holds.
+    """
+    kws = keywords.select("norm_kw", "whole_word", "phonetic").filter("norm_kw <> ''").distinct()
+    own = [tuple(r) for r in kws.limit(FEW + 1).collect()]
+    if not own:
+        return rows.drop(text).withColumns({"norm_kw": F.lit(""), "whole_word": F.lit(False), "phonetic": F.lit(False)}).limit(0)
+    if len(own) <= FEW:
+        return tried_keywords(rows, text, own)
+    kws = stored(kws, "distinct-keywords")
+    found = []
+    for phonetic in sorted(r[0] for r in kws.select("phonetic").distinct().collect()):
+        mine = kws.filter(F.col("phonetic") == phonetic)
+        own = [tuple(r) for r in mine.limit(FEW + 1).collect()]
+        if len(own) <= FEW:
+            found.append(tried_keywords(rows, text, own))
+        else:
+            said = rows.withColumn(text, T.phonetic_of(F.col(text))) if phonetic else rows
+            found.append(looked_up_keywords(said, text, mine).withColumn("phonetic", F.lit(phonetic)))
+    return reduce(DataFrame.unionByName, found)
 
 
 def match_chunks(chunks: DataFrame, searches: DataFrame, by_row_date: bool = True) -> DataFrame:
@@ -119,11 +183,7 @@ def match_chunks(chunks: DataFrame, searches: DataFrame, by_row_date: bool = Tru
     spoken = chunks.filter(T.is_speech(F.col("text"))).select(
         "id", "channel_id", "channel_name", "ts", T.strip_accents(F.col("text")).alias("plain")
     )
-    plain = keyword_hits(spoken, "plain", kws.filter("NOT phonetic")).withColumn("phonetic", F.lit(False))
-    hits = plain
-    if not searches.filter("phonetic").isEmpty():
-        sounds = spoken.withColumn("plain", T.phonetic_of(F.col("plain"))).withColumnRenamed("plain", "sound")
-        hits = plain.unionByName(keyword_hits(sounds, "sound", kws.filter("phonetic")).withColumn("phonetic", F.lit(True)))
+    hits = keyword_hits(spoken, "plain", kws)
     owned = hits.withColumn("medium", media_type(F.col("channel_id"))).join(
         kws, ["norm_kw", "whole_word", "phonetic", "medium"]
     )
@@ -143,35 +203,39 @@ def spaced_hits(hits: DataFrame, gap: int = DEDUP_SECONDS) -> DataFrame:
 def with_context(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Attach the text of the hit's chunk and of its nearest neighbours on the channel.
 
-    The neighbours are found on a narrow (channel, ts) projection. The wanted instants are then shipped to
-    the texts (beyond the bound of `shipped` exchanged with them), which are read once, from the days that
-    hold one, and stored. A neighbour without speech is still the neighbour, and contributes nothing.
+    The neighbours are found on a narrow (channel, ts) projection. Each hit then asks for three instants; these are
+    shipped to the texts (beyond the bounds of `shipped` exchanged with them), which are read once, from the days
+    that hold one, and go to their hit with their role. A neighbour without speech is still the neighbour, and
+    contributes nothing; of several chunks at one instant the lowest id is the neighbour.
     """
     marks = ordered.neighbour_instants(chunks, ["channel_id"], "ts")
-    placed = stored(hits.join(marks, ["channel_id", "ts"]), "placed-hits")
-    wanted = stored(
-        placed.select("channel_id", F.explode(F.array("ts", "prev_ts", "next_ts")).alias("ts"))
-        .filter(F.col("ts").isNotNull()).distinct(),
-        "wanted-instants",
+    placed = stored(
+        hits.join(marks, ["channel_id", "ts"]).withColumn("_hit", F.monotonically_increasing_id()), "placed-hits"
+    )
+    roles = [F.struct(F.lit(role).alias("role"), F.col(at).alias("ts")) for role, at in (("cur", "ts"), ("prev", "prev_ts"), ("next", "next_ts"))]
+    asked = stored(
+        placed.select("_hit", "channel_id", F.col("id").alias("_id"), F.explode(F.array(*roles)).alias("_a"))
+        .select("_hit", "channel_id", "_id", "_a.role", "_a.ts").filter(F.col("ts").isNotNull()),
+        "asked-instants",
     )
-    span = wanted.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    span = asked.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     days = chunks if span["lo"] is None else between_days(chunks, F.lit(span["lo"].date()), F.lit(span["hi"].date()))
-    texts = stored(
-        days.select("channel_id", "ts", "id", "text").join(shipped(wanted), ["channel_id", "ts"], "left_semi"), "wanted-texts"
+    told = days.select("channel_id", "ts", "id", "text").join(shipped(asked), ["channel_id", "ts"]).filter(
+        (F.col("role") != "cur") | (F.col("id") == F.col("_id"))
     )
-    near = texts.groupBy("channel_id", "ts").agg(F.min_by("text", "id").alias("text"))
 
-    def spoken(c: str) -> Column:
-        return F.when(T.is_speech(F.col(c)), F.col(c))
+    def text_of(role: str) -> Column:
+        mine = F.col("role") == role
+        return F.min_by(F.when(mine, F.col("text")), F.when(mine, F.col("id")))
 
-    prev = near.select("channel_id", F.col("ts").alias("prev_ts"), spoken("text").alias("prev_text"))
-    nxt = near.select("channel_id", F.col("ts").alias("next_ts"), spoken("text").alias("next_text"))
-    return (
-        placed.join(texts.withColumnRenamed("text", "cur_text"), ["channel_id", "ts", "id"])
-        .join(prev, ["channel_id", "prev_ts"], "left")
-        .join(nxt, ["channel_id", "next_ts"], "left")
-        .drop("prev_ts", "next_ts")
-    )
+    def spoken(role: str) -> Column:
+        return F.when(T.is_speech(F.col(role)), F.col(role)).alias(role)
+
+    texts = told.groupBy("_hit").agg(
+        text_of("cur").alias("cur_text"), text_of("prev").alias("prev_text"), text_of("next").alias("next_text"),
+        F.count(F.when(F.col("role") == "cur", 1)).alias("_here"),
+    ).filter("_here > 0").select("_hit", "cur_text", spoken("prev_text"), spoken("next_text"))
+    return placed.join(texts, "_hit").drop("_hit", "prev_ts", "next_ts")
 
 
 def as_matches(hits: DataFrame, found_at: Column | None = None) -> DataFrame:

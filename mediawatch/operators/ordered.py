@@ -17,6 +17,8 @@ HOUR = 3_600
 GAP_BUCKET = 6 * 3_600
 #: Buckets, or groups of them, whose maps are composed at once.
 GROUP = 64
+#: Levels at which maps may be composed.
+LEVELS = 5
 
 
 def time_bucket(ts: Column, width: int) -> Column:
@@ -115,9 +117,9 @@ def greedy_starts(
     flag is off are all kept. `width` is the bucket size, several times the gap.
 
     A bucket's effect on the next one is the map from its possible first kept rows to its last kept
-    one. The maps of 64 buckets in a row are composed to one, and those of 64 such groups again, so the
-    fold over a key has one step per 4096 buckets; entry states then go down the same way, as rows, and the
-    buckets are folded independently. No task holds a key's rows, and no array more than 64 maps (but that last one).
+    one. Where a key has more than 64 maps, those of 64 buckets in a row are composed to one, and so on level by
+    level; entry states then go down the same way, as rows, and the buckets are folded independently. No task holds a
+    key's rows, and no array more than 64 maps (the last of the levels holds 64^4 buckets, thousands of years).
     """
     scope = [*keys, active]
     packs = (
@@ -200,12 +202,21 @@ def greedy_starts(
         found = given.select(*scope, F.explode(F.aggregate("_ms", start, step)["entries"]).alias("_e"))
         return found.select(F.struct(*scope, "_e._b").alias("_at"), "_e._entry").filter(F.col("_entry").isNotNull())
 
-    groups, low = composed(maps, GROUP)
-    tops, middle = composed(groups, GROUP * GROUP)
+    # As many levels as it takes until a key's maps fit one array.
+    buckets = rows.select(*scope, F.floor(F.col(pos) / width).cast("bigint").alias("_b")).distinct()
+    spans = [GROUP**n for n in range(LEVELS)]
+    sizes = buckets.groupBy(*scope).agg(*[F.count_distinct(F.floor(F.col("_b") / w)).alias(f"_{w}") for w in spans])
+    most = sizes.agg(*[F.max(f"_{w}") for w in spans]).first()
+    tops, levels = maps, []
+    for group, n in zip(spans[1:], most):
+        if (n or 0) <= GROUP:
+            break
+        tops, packed = composed(tops, group)
+        levels.append((packed, group))
     high = tops.groupBy(*scope).agg(F.array_sort(F.collect_list("_m")).alias("_ms"))
     entries = entries_of(high, 1, None)
-    entries = entries_of(middle, GROUP * GROUP, entries)
-    entries = entries_of(low, GROUP, entries)
+    for packed, group in reversed(levels):
+        entries = entries_of(packed, group, entries)
 
     element = packs.schema["_rows"].dataType.simpleString()
     fold_start = F.struct(F.col("_entry").alias("last"), F.array().cast(element).alias("kept"))

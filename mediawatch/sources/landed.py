@@ -224,7 +224,7 @@ def caption_rows(captions: DataFrame, channels: DataFrame, started: Column) -> D
     """
     seen = captions.withColumn("_text", F.lower("file"))
     owners = channels.select(F.lower("pattern").alias("norm_kw"), "channel_id", "channel_name")
-    own = keyword_hits(seen.select("file", "block", "_text"), "_text", owners.select("norm_kw", F.lit(False).alias("whole_word")))
+    own = keyword_hits(seen.select("file", "block", "_text"), "_text", owners.select("norm_kw", F.lit(False).alias("whole_word"), F.lit(False).alias("phonetic")))
     return (
         captions.join(own.join(owners, "norm_kw").select("file", "block", "channel_id", "channel_name"), ["file", "block"])
         .withColumn("end_ts", started + F.make_dt_interval(secs=(F.col("end_ms") / 1000).cast("decimal(18,6)")))

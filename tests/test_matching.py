@@ -143,13 +143,18 @@ def test_many_keywords_give_the_same_matches(spark, monkeypatch):
     assert whole == {tuple(r) for r in matching.match_chunks(c, s).collect()}
 
 
-def test_keywords_meet_texts_as_by_trying_all(spark):
+@pytest.mark.parametrize("few,shipped", [(48, 500_000), (0, 500_000), (0, 0)])
+def test_keywords_meet_texts_as_by_trying_all(spark, monkeypatch, few, shipped):
+    monkeypatch.setattr(matching, "FEW", few)  # beyond it the texts' grams choose the keywords
+    monkeypatch.setattr(matching, "SHIPPED_ROWS", shipped)
     words = ["sol", "so", "s", "ñu", "c++", "la casa", "ción", "a b", " s"]
     texts = ["sol so s", "el sol.", "c++ y c", "acción", "ñu", "la  casa la casa", "la", "", "xsolx a b", "😀 so"]
     c = chunks(spark, [(i, 1, 60 * i, t) for i, t in enumerate(texts)])
     for whole in (False, True):
         s = searches(spark, search(1, keywords=words, whole_word=whole, dedup_channel=False))
-        got = {(r["keyword"], r["id"]) for r in matching.match_chunks(c, s).collect()}
+        rows = [(r["keyword"], r["id"]) for r in matching.match_chunks(c, s).collect()]
+        got = set(rows)
+        assert len(rows) == len(got)
         norm = lambda t: t.replace("ó", "o").replace("ñ", "n")
         edge = r"(?<!\w){}(?!\w)" if whole else "{}"
         want = {(w, i) for w in words for i, t in enumerate(texts) if t and re.search(edge.format(re.escape(norm(w))), norm(t))}
@@ -164,7 +169,7 @@ def test_match_plan_reads_chunks_once_without_shuffle(spark, tmp_path):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert plan.count(f"file:{path}"[:60]) == 1
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-    assert moved and not any("plain" in line or "text" in line for line in moved)  # thin hits alone
+    assert not moved
 
 
 def test_reads_by_day_prune_folders(spark, tmp_path):
@@ -195,3 +200,19 @@ def test_context_of_silent_and_repeated_instants(spark):
 def test_text_words_survive_extra_spaces(spark):
     df = spark.createDataFrame([("  a  b\n\tc ",)], "s string")
     assert df.select(T.words(F.col("s")).alias("w")).first()["w"] == ["a", "b", "c"]
+
+
+def test_both_ways_of_looking_up_agree_on_sounds(spark, monkeypatch):
+    c = chunks(spark, [(i, 1, 60 * i, t) for i, t in enumerate(["vaca y baca", "hola ola", "queso keso", "ll y yuvia lluvia", "nada"])])
+    s = searches(spark, search(1, keywords=["baca", "ola", "keso", "yuvia", "h"], phonetic=True), search(2, keywords=["hola", "ll"]))
+    one = sorted(tuple(r) for r in matching.match_chunks(c, s).collect())
+    monkeypatch.setattr(matching, "FEW", 0)
+    assert sorted(tuple(r) for r in matching.match_chunks(c, s).collect()) == one and len(one) == 6
+
+
+def test_a_bitmap_too_small_only_lets_more_through(spark, monkeypatch):
+    c = chunks(spark, [(i, 1, 60 * i, f"palabra{i} abc xyz") for i in range(30)])
+    s = searches(spark, search(1, keywords=[f"palabra{i}" for i in range(0, 30, 2)] + [f"q{i}w" for i in range(90)], dedup_channel=False))
+    monkeypatch.setattr(matching, "MOST_BITS", 6)
+    got = {(r["keyword"], r["id"]) for r in matching.match_chunks(c, s).collect()}
+    assert got == {(k, i) for i in range(30) for k in [f"palabra{j}" for j in range(0, 30, 2)] if k in f"palabra{i} abc"}
