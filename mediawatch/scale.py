@@ -52,10 +52,27 @@ def discard(df: DataFrame) -> None:
         remove(path, _WRITTEN.pop(path))
 
 
-def remove(path: str, spark: SparkSession) -> None:
-    """Delete a folder of the table store, wherever that is."""
+def place_of(path: str, spark: SparkSession) -> tuple:
+    """(file system, path) of a folder of the table store, wherever that is."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def remove(path: str, spark: SparkSession) -> None:
+    """Delete a folder of the table store."""
+    system, place = place_of(path, spark)
+    system.delete(place, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    system, place = place_of(path, spark)
+    system.mkdirs(place)
+
+
+def whole_folder(spark: SparkSession, path: str) -> bool:
+    """A write into the folder has ended well."""
+    system, place = place_of(f"{path}/_SUCCESS", spark)
+    return system.exists(place)
 
 
 @atexit.register
@@ -75,9 +92,8 @@ def stored_bytes(df: DataFrame) -> int | None:
     path = _PATHS.get(df)
     if path is None:
         return None
-    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    system = hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
-    return system.getContentSummary(hadoop).getLength()
+    system, place = place_of(path, df.sparkSession)
+    return system.getContentSummary(place).getLength()
 
 
 def shipped(df: DataFrame, rows: int | None = None, most_bytes: int | None = None) -> DataFrame:

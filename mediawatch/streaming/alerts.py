@@ -12,9 +12,10 @@ from pyspark.sql.streaming import StreamingQuery
 from mediawatch.functions import text as T
 from mediawatch.functions.timefn import epoch_seconds, floor_second, seconds
 from mediawatch.operators import matching, outbox
-from mediawatch.scale import stored
-from mediawatch.sources.tables import insert_matches, read_or_empty, replace_days, same_days
+from mediawatch.scale import make_folder, stored, whole_folder
+from mediawatch.sources.tables import read_or_empty, replace_days, same_days
 from mediawatch.sources.transcripts import CHUNK_SCHEMA, between_days
+from mediawatch.streaming import state
 
 
 @dataclass
@@ -27,6 +28,11 @@ class WatchPaths:
     matches: str
     outbox: str
     checkpoint: str
+    #: Raw hits on their way from the matching to the alerting query; beside the matches by default.
+    hits: str = ""
+
+    def __post_init__(self) -> None:
+        self.hits = self.hits or f"{self.matches}-hits"
 
 
 def stream_chunks(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -64,32 +70,49 @@ def process_batch(
     found_at: Column | None = None,
     global_chat: str | None = None,
 ) -> DataFrame:
-    """Match a batch, space it against what is stored, write messages and matches; returns the new matches.
+    """Match a batch, space it against the stored matches, write messages and matches; returns the new matches.
 
-    Messages are written before matches and both are keyed, so a replayed batch adds nothing. Both are kept
-    by day, and only the days of the batch are compared.
+    For a batch outside the live job, which keeps its spacing as state.
     """
-    spark = batch.sparkSession
     live = matching.active_searches(searches, today)
     hits = stored(matching.match_chunks(batch, live, by_row_date=False), "batch-hits")
     if hits.isEmpty():
         return hits
     shape = hits.select("search_id", "keyword", "channel_id", "ts").withColumn("date", F.to_date("ts"))
-    span = hits.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    lo, hi = (F.lit(span[x]).cast("timestamp_ntz") for x in ("lo", "hi"))
-    recent = between(read_or_empty(spark, paths.matches, shape), lo - seconds(120), hi)
+    lo, hi = span_of(hits)
+    recent = between(read_or_empty(batch.sparkSession, paths.matches, shape), lo - seconds(120), hi)
     kept = stored(matching.spaced_hits(not_held_back(hits, recent)), "batch-kept")
+    return process_kept(kept, live, users, chunks, paths, found_at, global_chat)
+
+
+def process_kept(
+    kept: DataFrame, live: DataFrame, users: DataFrame, chunks: DataFrame, paths: WatchPaths,
+    found_at: Column | None = None, global_chat: str | None = None,
+) -> DataFrame:
+    """Write messages and matches of stored, spaced hits; returns the new matches.
+
+    Messages are written before matches and both are keyed, so a replayed batch adds nothing. Both are kept
+    by day, and only the days of the batch are compared.
+    """
+    spark = kept.sparkSession
+    lo, hi = span_of(kept)
     rows = matching.as_matches(matching.with_context(kept, nearby(chunks, kept, lo, hi)), found_at)
     dated = rows.withColumn("date", F.to_date("ts"))
     fresh = stored(
-        matching.drop_known(dated, same_days(read_or_empty(spark, paths.matches, dated), dated)), "batch-fresh"
+        matching.drop_known(dated, same_days(read_or_empty(spark, paths.matches, dated), kept)), "batch-fresh"
     )
     messages = outbox.alerts(fresh.drop("date"), live, users, global_chat).join(
         fresh.select("match_id", "date").dropDuplicates(["match_id"]), "match_id"
     )
-    sent = same_days(read_or_empty(spark, paths.outbox, messages), fresh).select("match_id", "channel")
+    sent = same_days(read_or_empty(spark, paths.outbox, messages), kept).select("match_id", "channel")
     messages.join(sent, ["match_id", "channel"], "left_anti").write.mode("append").partitionBy("date").parquet(paths.outbox)
-    return insert_matches(fresh.drop("date"), paths.matches)
+    fresh.write.mode("append").partitionBy("date").parquet(paths.matches)
+    return fresh.drop("date")
+
+
+def span_of(rows: DataFrame) -> tuple[Column, Column]:
+    span = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    return tuple(F.lit(span[x]).cast("timestamp_ntz") for x in ("lo", "hi"))
 
 
 def between(rows: DataFrame, first: Column, last: Column) -> DataFrame:
@@ -118,6 +141,68 @@ def nearby(chunks: DataFrame, hits: DataFrame, lo: Column, hi: Column) -> DataFr
         days *= 8
 
 
+@dataclass
+class Watch:
+    """The queries of a live run: chunks to hits, hits to alerts."""
+
+    matching: StreamingQuery
+    alerting: StreamingQuery
+
+    def awaitTermination(self, timeout: int | None = None) -> bool | None:  # noqa: N802  (as a query's)
+        self.matching.awaitTermination(timeout)
+        return self.alerting.awaitTermination(timeout)
+
+    def stop(self) -> None:
+        self.matching.stop()
+        self.alerting.stop()
+
+
+def start_matching(
+    spark: SparkSession, paths: WatchPaths, today: Callable[[], Column], trigger: dict, files_per_trigger: int | None = None,
+    captions: bool = False,
+) -> StreamingQuery:
+    """Chunks to raw hits, one folder per batch; a folder that is whole is not written again by a replay.
+
+    With `captions` a recognised chunk first waits for captions (`state.caption_first_stream`).
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        folder = f"{paths.hits}/batch={number}"
+        if whole_folder(session, folder):
+            return
+        live = matching.active_searches(session.read.parquet(paths.searches), today())
+        hits = matching.match_chunks(batch, live, by_row_date=False).withColumn("landed", F.current_timestamp())
+        hits.select(*[f.split()[0] for f in state.HITS.split(", ")]).write.mode("overwrite").parquet(folder)
+
+    chunks = stream_chunks(spark, paths.chunks, files_per_trigger)
+    chosen = state.caption_first_stream(chunks) if captions else chunks
+    writer = chosen.writeStream.foreachBatch(run).option("checkpointLocation", f"{paths.checkpoint}/matching")
+    return writer.queryName(f"matching {paths.checkpoint}").trigger(**trigger).start()
+
+
+def start_alerting(
+    spark: SparkSession, paths: WatchPaths, today: Callable[[], Column], trigger: dict, found_at: Column | None = None,
+    global_chat: str | None = None,
+) -> StreamingQuery:
+    """Raw hits to messages and matches; the minimum gap is state (`state.spaced_stream`)."""
+
+    def run(batch: DataFrame, _: int) -> None:
+        kept = stored(batch, "batch-kept")
+        if kept.isEmpty():
+            return
+        session = batch.sparkSession
+        live = matching.active_searches(session.read.parquet(paths.searches), today())
+        process_kept(
+            kept, live, session.read.parquet(paths.users), session.read.parquet(paths.chunks), paths, found_at, global_chat
+        )
+
+    make_folder(spark, paths.hits)
+    hits = spark.readStream.schema(state.HITS).parquet(paths.hits)
+    writer = state.spaced_stream(hits).writeStream.foreachBatch(run).option("checkpointLocation", f"{paths.checkpoint}/alerting")
+    return writer.queryName(f"alerting {paths.checkpoint}").trigger(**trigger).start()
+
+
 def start_watch(
     spark: SparkSession,
     paths: WatchPaths,
@@ -126,26 +211,15 @@ def start_watch(
     once: bool = False,
     files_per_trigger: int | None = None,
     global_chat: str | None = None,
-) -> StreamingQuery:
+    captions: bool = False,
+) -> Watch:
     """The live alert job: every five seconds, or over everything there is when `once`."""
-
-    def run(batch: DataFrame, _: int) -> None:
-        session = batch.sparkSession
-        process_batch(
-            batch,
-            session.read.parquet(paths.searches),
-            session.read.parquet(paths.users),
-            session.read.parquet(paths.chunks),
-            paths,
-            today(),
-            found_at,
-            global_chat,
-        )
-
-    writer = stream_chunks(spark, paths.chunks, files_per_trigger).writeStream.foreachBatch(run).option(
-        "checkpointLocation", paths.checkpoint
-    )
-    return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime="5 seconds").start()
+    state.use_state_store(spark)
+    trigger = {"availableNow": True} if once else {"processingTime": "5 seconds"}
+    first = start_matching(spark, paths, today, trigger, files_per_trigger, captions)
+    if once:
+        first.awaitTermination()
+    return Watch(first, start_alerting(spark, paths, today, trigger, found_at, global_chat))
 
 
 def repair_context(matches: DataFrame, chunks: DataFrame) -> DataFrame:
