@@ -198,7 +198,8 @@ def start_alerting(
         )
 
     make_folder(spark, paths.hits)
-    hits = spark.readStream.schema(state.HITS).parquet(paths.hits)
+    # Folders are read as such: there may be none yet when the query starts.
+    hits = spark.readStream.schema(state.HITS).option("recursiveFileLookup", True).parquet(paths.hits)
     writer = state.spaced_stream(hits).writeStream.foreachBatch(run).option("checkpointLocation", f"{paths.checkpoint}/alerting")
     return writer.queryName(f"alerting {paths.checkpoint}").trigger(**trigger).start()
 
