@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediawatch.operators import matching, retrieval
-from mediawatch.scale import stored
+from mediawatch.scale import own_folder, stored
+from mediawatch.sources.text_index import append_index, read_index
 
 TODAY = "2024-01-10"
 NOW = "2024-01-10 08:00:00"
@@ -132,12 +133,18 @@ def _stored(name: str, build, spark: SparkSession, sf_dir: str) -> DataFrame:
 matches = partial(_stored, "matches", _build_matches)
 
 
+_INDEXES: dict[tuple[str, str], retrieval.TextIndex] = {}
+
+
 def text_index(spark: SparkSession, sf_dir: str) -> retrieval.TextIndex:
-    """The chunks' postings and documents as tables in use."""
-    tables = retrieval.index_tables(chunks(spark, sf_dir))
-    return retrieval.TextIndex(
-        _stored("postings", lambda *_: tables.postings, spark, sf_dir), _stored("indexed-documents", lambda *_: tables.documents, spark, sf_dir)
-    )
+    """The stored index of all chunks, appended in two segments: nights and mornings, then the rest of the days."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path, rows, early = own_folder(spark, "text-index"), chunks(spark, sf_dir), F.hour("ts") < 12
+        append_index(rows.filter(early), path)
+        append_index(rows.filter(~early), path)
+        _INDEXES[key] = read_index(spark, path)
+    return _INDEXES[key]
 
 
 def programmes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +28,16 @@ NOTHING_FOUND = "(sin fragmentos relevantes)"
 BUCKETS = 64
 #: Leading letters that a term and a prefix must share to meet in a join.
 LEAD = 3
+#: Lengths of the leading parts of terms that the dictionary counts documents of.
+PARTS = (3, 6)
+#: Document ids in a block of postings.
+BLOCK_IDS = 64
+#: Blocks that a search by bounds scores first, for its threshold; at least as many as it wants rows.
+FIRST_BLOCKS = 8
+#: Postings of a query that are simply all scored.
+DIRECT = 1_000_000
+#: Scores are rounded to six digits; a bound this much below one may still round up to it.
+SLACK = 2e-6
 
 
 def term_places(tokens: Column) -> Column:
@@ -58,15 +68,20 @@ def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(term, 1, 1)), F.lit(BUCKETS)).cast("int")
 
 
-def _tokenised(chunks: DataFrame) -> DataFrame:
+def tokenised(chunks: DataFrame) -> DataFrame:
+    """(doc_id, channel_name, ts, _t): the terms of every chunk with a text, in order."""
     spoken = chunks.filter(F.col("text").isNotNull()).select(F.col("id").alias("doc_id"), "channel_name", "ts", "text")
     return pinned(spoken, "_t", T.index_terms(F.col("text"))).drop("text")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(doc_id, term, tf, doc_len, places) of every chunk, counted inside its row without a shuffle."""
+    return _postings_of(tokenised(chunks))
+
+
+def _postings_of(tokens: DataFrame) -> DataFrame:
     return (
-        _tokenised(chunks)
+        tokens
         .select("doc_id", F.size("_t").alias("doc_len"), F.inline(term_places(F.col("_t"))))
         .select("doc_id", "term", "doc_len", F.size("places").cast("bigint").alias("tf"), "places")
     )
@@ -74,29 +89,28 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 @dataclass
 class TextIndex:
-    """Stored postings (doc_id, term, doc_len, tf, places, bucket) and documents (doc_id, channel_name, ts, doc_len)."""
+    """Postings (doc_id, term, doc_len, tf, places, bucket) and documents (doc_id, channel_name, ts, doc_len).
+
+    A stored index (`text_index`) also has a dictionary (term, prefix, bucket, df), whose rows add up, totals (n,
+    len_sum), and blocks of postings (term, bucket, block, max_tf, min_len, n, first_ts, last_ts).
+    """
 
     postings: DataFrame
     documents: DataFrame
+    terms: DataFrame | None = None
+    totals: DataFrame | None = None
+    blocks: DataFrame | None = None
 
 
 def index_tables(chunks: DataFrame) -> TextIndex:
     """The rows of both index tables for some chunks."""
-    documents = _tokenised(chunks).select("doc_id", "channel_name", "ts", F.size("_t").alias("doc_len"))
-    return TextIndex(postings(chunks).withColumn("bucket", bucket_of(F.col("term"))), documents)
-
+    return tables_of(tokenised(chunks))
 
-def append_index(chunks: DataFrame, path: str) -> None:
-    """Add new chunks to the index at `path`: only their own postings are written, in folders by first letter."""
-    new = index_tables(chunks)
-    new.postings.repartition("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy(
-        "bucket"
-    ).parquet(f"{path}/postings")
-    new.documents.write.mode("append").parquet(f"{path}/documents")
 
-
-def read_index(spark: SparkSession, path: str) -> TextIndex:
-    return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents"))
+def tables_of(tokens: DataFrame) -> TextIndex:
+    """The same from `tokenised` chunks."""
+    documents = tokens.select("doc_id", "channel_name", "ts", F.size("_t").alias("doc_len"))
+    return TextIndex(_postings_of(tokens).withColumn("bucket", bucket_of(F.col("term"))), documents)
 
 
 @dataclass
@@ -148,8 +162,8 @@ def _phrase_counts(index: TextIndex, phrase: str) -> DataFrame:
     )
 
 
-def _counted(index: TextIndex, query: TextQuery) -> DataFrame:
-    """(doc_id, counts per query part, _banned) of the documents that hold a term of the query."""
+def _counted(index: TextIndex, query: TextQuery, kept: DataFrame | None = None) -> DataFrame:
+    """(doc_id, counts per query part, _banned) of the documents (in the blocks `kept`) that hold a term of the query."""
     parts = {name: _wanted(t) for name, t in _parts(query).items()}
     banned = [_wanted(t) for t in query.none_of]
     asked = [*parts.values(), *banned]
@@ -157,7 +171,10 @@ def _counted(index: TextIndex, query: TextQuery) -> DataFrame:
     either = reduce(lambda a, b: a | b, [hit & (F.col("bucket") == bucket) for hit, bucket in asked], no)
     counts = [F.sum(F.when(hit, F.col("tf")).otherwise(0)).alias(name) for name, (hit, _) in parts.items()]
     out = F.max(reduce(lambda a, b: a | b, [hit for hit, _ in banned], no)).alias("_banned")
-    held = index.postings.filter(either).groupBy("doc_id").agg(*counts, out)
+    rows = index.postings.filter(either)
+    if kept is not None:
+        rows = rows.join(shipped(kept.select("block")), "block", "left_semi")
+    held = rows.groupBy("doc_id").agg(*counts, out)
     if query.phrase:
         held = held.join(_phrase_counts(index, query.phrase), "doc_id", "full")
     return held.na.fill(0).na.fill(False)
@@ -171,14 +188,61 @@ def _matching(counted: DataFrame, query: TextQuery) -> DataFrame:
     return counted.filter(some & every & ~F.col("_banned"))
 
 
-def matching_chunks(index: TextIndex, query: TextQuery) -> DataFrame:
-    """(id, channel_name, ts, doc_len, counts) of every chunk the query accepts. No text is read."""
-    counted = _counted(index, query)
+def matching_chunks(index: TextIndex, query: TextQuery, kept: DataFrame | None = None) -> DataFrame:
+    """(id, channel_name, ts, doc_len, counts) of every chunk (in the blocks `kept`) the query accepts. No text is read."""
+    counted = _counted(index, query, kept)
     if not (query.any_of or query.all_of or query.phrase):  # whatever holds no banned term
         counted = index.documents.select("doc_id").join(counted, "doc_id", "left").na.fill(0).na.fill(False)
     return index.documents.join(_matching(counted, query), "doc_id").withColumnRenamed("doc_id", "id").drop("_banned")
 
 
+def _totals(index: TextIndex) -> DataFrame:
+    """One row (n, avg): documents and their mean length, read from the totals where the index keeps them."""
+    if index.totals is None:
+        return index.documents.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg"))
+    return index.totals.agg(F.sum("n").alias("n"), F.try_divide(F.sum("len_sum"), F.sum("n")).alias("avg"))
+
+
+def _numbers(index: TextIndex, query: TextQuery) -> dict[str, float]:
+    """What the scores of a query need to know of the whole index: n, avg and the documents that hold each part."""
+    row = _document_counts(index, query).crossJoin(_totals(index)).first()  # one row beside one row
+    return {k: v or 0 for k, v in row.asDict().items()}
+
+
+def known_length(term: str) -> bool:
+    """The dictionary counts the documents of this query term: a whole term, or a leading part of a length it keeps."""
+    return not term.endswith("*") or PARTS[0] <= len(term) - 1 <= PARTS[1]
+
+
+def _document_counts(index: TextIndex, query: TextQuery) -> DataFrame:
+    """One row: the number of documents that hold each part of the query.
+
+    From the dictionary, where the index has one; a phrase, and a leading part of a length that the dictionary does
+    not keep, are counted in the postings.
+    """
+    names = [*_parts(query), *(["_qp"] if query.phrase else [])]
+    read = {n: t for n, t in _parts(query).items() if index.terms is not None and known_length(t)}
+    entries = {}
+    for name, term in read.items():
+        norm = F.get(T.index_terms(F.lit(term.rstrip("*"))), F.lit(0))
+        entries[name] = (F.col("term") == norm) & (F.col("prefix") == term.endswith("*")) & (F.col("bucket") == bucket_of(norm))
+    rest = [n for n in names if n not in read]
+    from_dictionary = None
+    if entries:
+        asked = index.terms.filter(reduce(lambda a, b: a | b, entries.values()))
+        from_dictionary = asked.agg(*[F.coalesce(F.sum(F.when(e, F.col("df"))), F.lit(0)).alias(n) for n, e in entries.items()])
+    if not rest:
+        return index.documents.sparkSession.range(1) if from_dictionary is None else from_dictionary
+    counts = _counted(index, query).agg(*[F.count_if(F.col(n) > 0).alias(n) for n in rest])
+    return counts if from_dictionary is None else counts.crossJoin(from_dictionary)  # one row beside one row
+
+
+def _score(names: list[str], numbers: dict[str, float]) -> Column:
+    n, avg = F.lit(numbers["n"]), F.lit(numbers["avg"])
+    parts = [_idf(n, F.lit(numbers[p])) * _saturation(F.col(p), F.col("doc_len"), avg) for p in names]
+    return reduce(lambda a, b: a + b, parts, F.lit(0.0))
+
+
 def ranked_search(
     index: TextIndex,
     query: TextQuery,
@@ -189,22 +253,87 @@ def ranked_search(
 ) -> DataFrame:
     """(id, channel_name, ts, score): best chunks by relevance, then newest; `limit` None gives all.
 
-    Statistics are those of the whole index. Only the query's postings are read, and the thin documents table.
+    Statistics are those of the whole index, read from its dictionary where it has one. Only the query's postings are
+    read, and the thin documents table. With blocks and a limit, blocks whose bound is below the limit-th best score
+    of the most promising ones are not read (`block_bounds`).
     """
+    numbers = _numbers(index, query)
+    scored = partial(_scored, index, query, numbers, channel, since, until)
+    order = (F.col("score").desc(), F.col("ts").desc(), F.col("id").desc())
+    if limit is None:
+        return scored(None).orderBy(*order)
+    bounds, least = _threshold(index, query, numbers, scored, since, until, limit)
+    return scored(None if least is None else reaching(bounds, least)).orderBy(*order).limit(limit)
+
+
+def _scored(
+    index: TextIndex, query: TextQuery, numbers: dict, channel: str | None, since: Column | None, until: Column | None,
+    kept: DataFrame | None,
+) -> DataFrame:
     names = [*_parts(query), *(["_qp"] if query.phrase else [])]
-    counted = _counted(index, query)
-    held = counted.agg(F.struct(F.lit(0).alias("_"), *[F.count_if(F.col(n) > 0).alias(n) for n in names]).alias("d")).scalar()
-    whole = index.documents.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg")).alias("s")).scalar()
-    score = reduce(
-        lambda a, b: a + b,
-        [_idf(F.col("_s.n"), F.col(f"_d.{n}")) * _saturation(F.col(n), F.col("doc_len"), F.col("_s.avg")) for n in names],
-        F.lit(0.0),
-    )
-    found = _facets(matching_chunks(index, query), channel, since, until).withColumn("_s", whole).withColumn("_d", held)
-    ranked = found.select("id", "channel_name", "ts", F.round(score, 6).alias("score")).orderBy(
-        F.col("score").desc(), F.col("ts").desc(), F.col("id").desc()
+    found = _facets(matching_chunks(index, query, kept), channel, since, until)
+    return found.select("id", "channel_name", "ts", F.round(_score(names, numbers), 6).alias("score"))
+
+
+def postings_read(
+    index: TextIndex, query: TextQuery, channel: str | None = None, since: Column | None = None, until: Column | None = None,
+    limit: int = 20,
+) -> DataFrame:
+    """One row: blocks and postings of the query, and how many of them a search for the first `limit` reads last."""
+    numbers = _numbers(index, query)
+    scored = partial(_scored, index, query, numbers, channel, since, until)
+    bounds, least = _threshold(index, query, numbers, scored, since, until, limit)
+    bounds = block_bounds(index, query, numbers, since, until) if bounds is None else bounds
+    kept = F.lit(True) if least is None else F.col("bound") >= least - SLACK
+    return bounds.agg(
+        F.count(F.lit(1)).alias("blocks"), F.count_if(kept).alias("kept_blocks"),
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(kept, F.col("rows"))), F.lit(0)).alias("kept_rows"),
     )
-    return ranked.limit(limit) if limit is not None else ranked
+
+
+def _threshold(
+    index: TextIndex, query: TextQuery, numbers: dict, scored, since: Column | None, until: Column | None, limit: int
+) -> tuple[DataFrame | None, float | None]:
+    """(bounds of the query's blocks, the limit-th best score of the most promising ones).
+
+    No score if one pass over the query's postings costs less than three (`DIRECT`), if the index has no blocks or the
+    query no terms that bound a score, or if the first blocks hold too few documents.
+    """
+    held = sum(numbers[n] for n in _parts(query))
+    if index.blocks is None or query.phrase or not held > DIRECT:
+        return None, None
+    bounds = stored(block_bounds(index, query, numbers, since, until), "block-bounds")
+    first = stored(bounds.orderBy(F.desc("bound"), "block").limit(max(FIRST_BLOCKS, limit)), "first-blocks")
+    best = scored(first).orderBy(F.desc("score")).limit(limit).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).first()
+    return bounds, best["s"] if best["n"] == limit else None
+
+
+def reaching(bounds: DataFrame, score: float) -> DataFrame:
+    """The blocks that may hold a document of this (rounded) score."""
+    return bounds.filter(F.col("bound") >= score - SLACK)
+
+
+def block_bounds(
+    index: TextIndex, query: TextQuery, numbers: dict[str, float], since: Column | None = None, until: Column | None = None
+) -> DataFrame:
+    """(block, bound, rows): the highest score a document of the block can have, and the block's postings of the query.
+
+    A part's count in a document is at most the sum of its terms' highest counts in the block, the document at least as
+    short as the block's shortest, and the score rises with the one and falls with the other. Blocks outside the
+    time range, or without a part that all documents must hold, are left out.
+    """
+    parts = {name: _wanted(t) for name, t in _parts(query).items()}
+    either = reduce(lambda a, b: a | b, [hit & (F.col("bucket") == bucket) for hit, bucket in parts.values()])
+    rows = index.blocks.filter(either)
+    if since is not None:
+        rows = rows.filter(F.col("last_ts") >= since)
+    if until is not None:
+        rows = rows.filter(F.col("first_ts") <= until)
+    most = [F.sum(F.when(hit, F.col("max_tf")).otherwise(0)).alias(name) for name, (hit, _) in parts.items()]
+    per = rows.groupBy("block").agg(*most, F.min("min_len").alias("doc_len"), F.sum("n").alias("rows"))
+    must = list(parts)[len(query.any_of) :]
+    per = per.filter(reduce(lambda a, b: a & b, [F.col(n) > 0 for n in must], F.lit(True)))
+    return per.select("block", _score(list(parts), numbers).alias("bound"), "rows")
 
 
 def with_texts(winners: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -259,7 +388,8 @@ def retrieve(index: TextIndex, chunks: DataFrame, questions: DataFrame, now: Col
         .withColumn("_lead", F.substring("vterm", 1, LEAD)),
         "vocabulary",
     )
-    totals = index.documents.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg")).alias("s")).scalar()
+    totals = _totals(index).first()
+    n, avg = F.lit(totals["n"] or 0), F.lit(totals["avg"] or 0.0)
     hit = (F.col("term") == F.col("vterm")) | (F.col("prefix") & F.startswith(F.col("term"), F.col("vterm")))
     tf = (
         index.postings.select("doc_id", "term", "doc_len", "tf", "bucket", F.substring("term", 1, LEAD).alias("_lead"))
@@ -267,11 +397,10 @@ def retrieve(index: TextIndex, chunks: DataFrame, questions: DataFrame, now: Col
         .groupBy("doc_id", "doc_len", "vterm", "prefix").agg(F.sum("tf").alias("tf"))
     )
     tf = stored(tf, "question-hits")
-    df = tf.groupBy("vterm", "prefix").agg(F.count(F.lit(1)).alias("df"))
+    df = _vocabulary_counts(index, vocabulary, tf)
     weighted = (
         tf.join(df, ["vterm", "prefix"])
-        .withColumn("_s", totals)
-        .withColumn("w", _idf(F.col("_s.n"), F.col("df")) * _saturation(F.col("tf"), F.col("doc_len"), F.col("_s.avg")))
+        .withColumn("w", _idf(n, F.col("df")) * _saturation(F.col("tf"), F.col("doc_len"), avg))
     )
     limits = asked.select("question_id", "since", "channel", "k")
     scored = (
@@ -293,6 +422,18 @@ def retrieve(index: TextIndex, chunks: DataFrame, questions: DataFrame, now: Col
     return with_texts(top, chunks)
 
 
+def _vocabulary_counts(index: TextIndex, vocabulary: DataFrame, hits: DataFrame) -> DataFrame:
+    """(vterm, prefix, df) of the questions' terms: from the dictionary what it keeps, the rest from their hits."""
+    if index.terms is None:
+        return hits.groupBy("vterm", "prefix").agg(F.count(F.lit(1)).alias("df"))
+    size = F.length("vterm")
+    known = ~F.col("prefix") | size.between(*PARTS)
+    asked = vocabulary.filter(known).select("vterm", F.col("prefix").alias("_prefix"), F.col("bucket").alias("_bucket"))
+    same = (F.col("bucket") == F.col("_bucket")) & (F.col("term") == F.col("vterm")) & (F.col("prefix") == F.col("_prefix"))
+    read = index.terms.join(shipped(asked), same).groupBy("vterm", "prefix").agg(F.sum("df").alias("df"))
+    return read.unionByName(hits.filter(~known).groupBy("vterm", "prefix").agg(F.count(F.lit(1)).alias("df")))
+
+
 def answer_context(questions: DataFrame, retrieved: DataFrame) -> DataFrame:
     """One context text per question: numbered lines in rank order, or the placeholder."""
     line = T.context_line(F.col("rank"), F.col("channel_name"), F.col("ts"), F.col("text"))

@@ -36,15 +36,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     again. Stages are removed by `discard`, at the latest when the program ends.
     """
     spark = df.sparkSession
-    use_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = own_folder(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
-    _WRITTEN[path] = spark
     return out
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the folder all executors share; what is written there is removed when the program ends."""
+    use_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a stored table that nothing reads any more."""
     path = _PATHS.pop(df, None)

@@ -6,7 +6,8 @@ from helpers import at, chunks, search, searches, users
 from pyspark.sql import functions as F
 
 from mediawatch.operators import detail, guide, matching
-from mediawatch.operators.retrieval import TextQuery, append_index, index_tables, matching_chunks, ranked_search, read_index
+from mediawatch.operators.retrieval import TextQuery, index_tables, matching_chunks, ranked_search
+from mediawatch.sources.text_index import append_index, read_index
 from mediawatch.sources import landed, tables
 from mediawatch.sources.transcripts import append_chunks, read_chunks, scan_chunks
 from mediawatch.streaming import alerts
