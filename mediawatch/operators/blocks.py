@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mediawatch.functions import text as T
 from mediawatch.functions.timefn import block_end, block_start, seconds_between, shift_seconds, srt_time
 from mediawatch.operators import guide
+from mediawatch.scale import place_of, stored
 
 
 def _stamp(c: Column) -> Column:
@@ -79,12 +80,23 @@ def srt_lines(chunks: DataFrame) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """One folder per (window, channel), its lines in order."""
+    """One folder per (window, channel), its lines in order. The windows of the lines are replaced, with all their
+    channels; other windows stay as they are."""
+    spark = lines.sparkSession
+    rows = stored(lines.select("window", "channel", "pos", "line"), "block-lines")
+    parts = {(r["window"], r["channel"]) for r in rows.select("window", "channel").distinct().collect()}  # files, not lines
     (
-        lines.repartition("window", "channel")
+        rows.repartition("window", "channel")
         .sortWithinPartitions("window", "channel", "pos")
         .select("window", "channel", "line")
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("window", "channel")
         .text(path)
     )
+    for window in {w for w, _ in parts}:
+        system, place = place_of(f"{path}/window={window}/channel=*", spark)
+        for found in system.globStatus(place) or []:
+            name = found.getPath().getName().removeprefix("channel=")
+            if (window, name) not in parts:
+                system.delete(found.getPath(), True)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mediawatch.functions import text as T
@@ -279,14 +280,46 @@ def purge_duplicates(rows: DataFrame, key: list[str] = MATCH_KEY, row_id: str =
     return rows.groupBy(*key).agg(first).select(*key, "_r.*").select(*rows.columns)
 
 
-def backfill_progress(chunks: DataFrame, searches: DataFrame) -> DataFrame:
-    """Chunks each search's date range covers: the scan's total (done equals total after the run)."""
+def backfill_days(
+    chunks: DataFrame, searches: DataFrame, first: date, last: date, found_at: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(matches, (search_id, first, last, rows_done)) of a backfill over the days first .. last.
+
+    The rows are counted where the scan reads them, by an observation of the job that matches; a search's count
+    is that of the chunks in its own dates. Searches are those of one rescan: one count each is observed.
+    """
+    spark = chunks.sparkSession
+    own = searches.select("search_id", "date_start", "date_end").collect()
+    day = F.to_date("ts")
+    read = Observation("backfill")
+    counts = [F.count_if(day.between(F.lit(r["date_start"]), F.lit(r["date_end"]))).alias(f"s{r['search_id']}") for r in own]
+    days = between_days(chunks, F.lit(first), F.lit(last))
+    seen = days.observe(read, F.count(F.lit(1)).alias("all"), *counts)
+    hits = stored(match_chunks(seen, searches), "hits")
+    done = read.get
+    kept = stored(spaced_hits(hits), "spaced-hits")
+    progress = spark.createDataFrame(
+        [(r["search_id"], first, last, done[f"s{r['search_id']}"]) for r in own], "search_id int, first date, last date, rows_done bigint"
+    )
+    return as_matches(with_context(kept, chunks), found_at), progress
+
+
+def backfill_progress(chunks: DataFrame, searches: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """(search_id, rows_total[, rows_done]): chunks that each search's dates cover, and of them those that runs have read.
+
+    done: the progress rows of `backfill_days`; a range of days that was run again counts once.
+    """
     days = chunks.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     span = searches.select(
         "search_id", F.explode(F.sequence("date_start", "date_end")).alias("day")
     )
     counts = span.join(days, "day").groupBy("search_id").agg(F.sum("n").alias("rows_total"))
-    return searches.select("search_id").join(counts, "search_id", "left").na.fill(0, ["rows_total"])
+    out = searches.select("search_id").join(counts, "search_id", "left").na.fill(0, ["rows_total"])
+    if done is None:
+        return out
+    once = done.groupBy("search_id", "first", "last").agg(F.max("rows_done").alias("rows_done"))
+    read = once.groupBy("search_id").agg(F.sum("rows_done").alias("rows_done"))
+    return out.join(read, "search_id", "left").na.fill(0, ["rows_done"])
 
 
 def caption_first(chunks: DataFrame, grace: int = CAPTION_GRACE_SECONDS) -> DataFrame:

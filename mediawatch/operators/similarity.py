@@ -304,14 +304,22 @@ def display_counts(
     )
 
 
+def match_marks() -> list[Column]:
+    """What a stored report remembers of a search's matches: their number, and a mark that any other set changes."""
+    return [F.count(F.lit(1)).alias("match_count"), F.bit_xor(F.xxhash64("match_id", "cur_text")).alias("match_mark")]
+
+
 def staleness(stored: DataFrame, matches: DataFrame) -> DataFrame:
-    """Stored reports against the matches of today. stored: search_id, match_count, generated_at."""
-    now = matches.groupBy("search_id").agg(F.count(F.lit(1)).alias("current_count"))
-    return (
-        stored.join(now, "search_id", "left")
-        .na.fill(0, ["current_count"])
-        .withColumn("stale", F.col("match_count") != F.col("current_count"))
-    )
+    """Stored reports against the matches of today. stored: search_id, match_count, generated_at and, where the report
+    has one, match_mark: then a match exchanged for another, or a changed text, counts as well."""
+    number, mark = match_marks()
+    marked = "match_mark" in stored.columns
+    aggregates = [number.alias("current_count"), *([mark.alias("_mark")] if marked else [])]
+    both = stored.join(matches.groupBy("search_id").agg(*aggregates), "search_id", "left").na.fill(0, ["current_count"])
+    stale = F.col("match_count") != F.col("current_count")
+    if marked:
+        stale = stale | ~F.col("match_mark").eqNullSafe(F.col("_mark"))
+    return both.withColumn("stale", stale).drop("_mark")
 
 
 def to_generate(searches: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,20 +136,19 @@ def range_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "backfill_progress",
     O.with_ctes(
-        """SELECT search_id, n AS rows_total, n AS rows_done, CASE WHEN n > 0 THEN 100 ELSE 100 END AS pct FROM (
-        SELECT s.search_id, count(c.id) AS n FROM searches s LEFT JOIN chunks c
-        ON c.ts >= s.date_start AND c.ts < s.date_end + INTERVAL 1 DAY GROUP BY s.search_id)"""
+        """SELECT search_id, n AS rows_total, m AS rows_done,
+        CASE WHEN n > 0 THEN round_even(100.0 * m / n, 0)::INT ELSE CASE WHEN initialized THEN 100 ELSE 0 END END AS pct FROM (
+        SELECT s.search_id, s.initialized, count(c.id) AS n, count(c.id) FILTER (c.ts < TIMESTAMP '2024-01-03') AS m FROM searches s LEFT JOIN chunks c
+        ON c.ts >= s.date_start AND c.ts < s.date_end + INTERVAL 1 DAY GROUP BY s.search_id, s.initialized)"""
     ),
 )
 def backfill_progress(spark: SparkSession, sf: str) -> DataFrame:
-    searches = X.searches(spark)
-    counts = matching.backfill_progress(X.chunks(spark, sf), searches)
-    return counts.select(
-        "search_id",
-        "rows_total",
-        F.col("rows_total").alias("rows_done"),
-        M.progress_pct(F.col("rows_total"), F.col("rows_total"), F.lit(True)).alias("pct"),
-    )
+    """Progress of all searches after a backfill over the first two days, by what that run has read."""
+    searches, chunks = X.searches(spark), X.chunks(spark, sf)
+    _, done = matching.backfill_days(chunks, searches, date(2024, 1, 1), date(2024, 1, 2))
+    counts = matching.backfill_progress(chunks, searches, done).join(searches.select("search_id", "initialized"), "search_id")
+    pct = M.progress_pct(F.col("rows_done"), F.col("rows_total"), F.col("initialized"))
+    return counts.select("search_id", "rows_total", "rows_done", pct.alias("pct"))
 
 
 @query(

@@ -32,6 +32,11 @@ def folders(spark: SparkSession, path: str, version: int | None = None) -> list[
     return sorted(r["folder"] for r in spark.read.schema("folder string").parquet(f"{path}/manifest/v{at}").collect())
 
 
+def all_folders(spark: SparkSession, path: str) -> set[str]:
+    """Names that any version kept names."""
+    return {n for v in versions(spark, path) for n in folders(spark, path, v)}
+
+
 def publish(spark: SparkSession, path: str, names: list[str]) -> int:
     """Make these folders the table; the number of the new version. An interrupted publication is written over."""
     version = (versions(spark, path) or [0])[-1] + 1

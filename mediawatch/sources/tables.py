@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from mediawatch.operators import guide, matching
 from mediawatch.operators.health import latest_status
-from mediawatch.operators.similarity import staleness
+from mediawatch.operators.similarity import match_marks, staleness
 from mediawatch.scale import remove, stored
+from mediawatch.sources import manifest
+
+#: Buckets of a keyed table; the same for all of its writes.
+KEY_BUCKETS = 32
 
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -45,10 +49,15 @@ def insert_matches(new: DataFrame, path: str) -> DataFrame:
 
 def replace_days(rows: DataFrame, touched: DataFrame, path: str) -> None:
     """Write the stored rows over their days' folders; a touched day (column date) without rows is removed."""
-    gone = touched.distinct().join(rows.select("date").distinct(), "date", "left_anti").collect()  # days, not rows
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    replace_parts(rows, touched, path, "date")
+
+
+def replace_parts(rows: DataFrame, touched: DataFrame, path: str, by: str) -> None:
+    """Write the stored rows over their folders by the column `by`; a touched folder without rows is removed."""
+    gone = touched.select(by).distinct().join(rows.select(by).distinct(), by, "left_anti").collect()  # folders, not rows
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
     for r in gone:
-        remove(f"{path}/date={r['date']}", rows.sparkSession)
+        remove(f"{path}/{by}={r[by]}", rows.sparkSession)
 
 
 def replace_searches_matches(rebuilt: DataFrame, stale_ids: DataFrame, path: str) -> None:
@@ -77,28 +86,29 @@ def insert_programmes(new: DataFrame, path: str) -> None:
 def upsert_latest(new: DataFrame, path: str, key: str, at: str) -> None:
     """Keep the latest row of each key over the stored and the new ones.
 
-    The rows are written as a new version beside the old one, which stays until the new one is whole; readers
-    take the highest version that is (`read_versions`).
+    Keys lie in `KEY_BUCKETS` buckets by their hash. Only the buckets that the new rows touch are read and written anew,
+    beside the old ones; the list of current folders is then published at once. Readers of the list before keep
+    their files until `manifest.vacuum(spark, path, ["data"])`.
     """
     spark = new.sparkSession
-    versions = complete_versions(spark, path)
-    both = new if not versions else spark.read.parquet(f"{path}/v{versions[-1]}").unionByName(new)
-    latest_status(both, key, at).write.mode("overwrite").parquet(f"{path}/v{(versions or [0])[-1] + 1}")
-    for old in versions:
-        remove(f"{path}/v{old}", spark)
+    placed = stored(new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")), "new-rows")
+    touched = {f"bucket={r[0]}" for r in placed.select("bucket").distinct().collect()}
+    now = manifest.folders(spark, path)
+    old = [n for n in now if n.split("/")[1] in touched]
+    both = placed if not old else _folders_of(spark, path, old).unionByName(placed, allowMissingColumns=True)
+    write = max([int(n.split("/")[0].split("=")[1]) for n in manifest.all_folders(spark, path)], default=0) + 1
+    latest_status(both, key, at).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/write={write}")
+    manifest.publish(spark, path, [n for n in now if n not in old] + [f"write={write}/{t}" for t in touched])
 
 
-def complete_versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the versions whose write has ended, in order."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")) or []
-    return sorted(int(f.getPath().getParent().getName()[1:]) for f in done)
+def _folders_of(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    data = f"{path}/data"
+    return spark.read.option("basePath", data).parquet(*[f"{data}/{n}" for n in names]).drop("write")
 
 
 def read_versions(spark: SparkSession, path: str) -> DataFrame:
-    """The table that `upsert_latest` keeps."""
-    return spark.read.parquet(f"{path}/v{complete_versions(spark, path)[-1]}")
+    """The table that `upsert_latest` keeps, as of its current version."""
+    return _folders_of(spark, path, manifest.folders(spark, path)).drop("bucket")
 
 
 def write_report(rows: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -119,14 +129,20 @@ def write_report(rows: DataFrame, path: str, fmt: str = "csv") -> None:
         writer.format(fmt).save(path)
 
 
-def write_similarity_report(report: dict[str, DataFrame], matches: DataFrame, generated_at, path: str) -> None:
-    """Store the spots of searches: clusters, members and unique matches by search, and what they were made from."""
-    counts = matches.groupBy("search_id").agg(F.count(F.lit(1)).alias("match_count"))
+def write_similarity_report(
+    report: dict[str, DataFrame], matches: DataFrame, generated_at, path: str, searches: DataFrame | None = None
+) -> None:
+    """Store the spots of searches: clusters, members and unique matches by search, and what they were made from.
+
+    All that was stored of the reported searches (column search_id of `searches`, or else those of the matches) gives way:
+    a search that has lost its last spot, member or match has none afterwards.
+    """
+    touched = stored((matches if searches is None else searches).select("search_id").distinct(), "reported-searches")
+    counts = matches.groupBy("search_id").agg(*match_marks())
+    counts = touched.join(counts, "search_id", "left").na.fill(0, ["match_count"])
     parts = {**report, "reports": counts.withColumn("generated_at", generated_at)}
     for name, rows in parts.items():
-        stored(rows, name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("search_id").parquet(
-            f"{path}/{name}"
-        )
+        replace_parts(stored(rows, name), touched, f"{path}/{name}", "search_id")
 
 
 def read_similarity_reports(spark: SparkSession, matches: DataFrame, path: str) -> DataFrame:

@@ -101,8 +101,7 @@ def _totals(documents: DataFrame) -> DataFrame:
 
 
 def _next(spark: SparkSession, path: str) -> int:
-    known = [n for v in manifest.versions(spark, path)[-1:] for n in manifest.folders(spark, path, v)]
-    return max([int(n.split("=")[1]) for n in known], default=0) + 1
+    return max([int(n.split("=")[1]) for n in manifest.all_folders(spark, path)], default=0) + 1
 
 
 def remove_chunks(gone: DataFrame, path: str) -> int:

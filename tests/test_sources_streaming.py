@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mediawatch.operators import detail, guide, matching
 from mediawatch.operators.retrieval import TextQuery, index_tables, matching_chunks, ranked_search
 from mediawatch.sources.text_index import append_index, read_index
-from mediawatch.sources import landed, tables
+from mediawatch.sources import landed, manifest, tables
 from mediawatch.sources.transcripts import append_chunks, read_chunks, scan_chunks
 from mediawatch.streaming import alerts
 
@@ -252,3 +252,72 @@ def test_a_day_appended_to_the_index_adds_its_own_postings(spark, tmp_path):
     assert [r["id"] for r in found.collect()] == [3, 1]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [(bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_upsert_writes_touched_buckets_and_keeps_old_files_for_readers(spark, tmp_path):
+    path, schema = str(tmp_path / "status"), "channel_id int, updated_at timestamp_ntz, status string"
+    upsert = lambda rows: tables.upsert_latest(spark.createDataFrame(rows, schema), path, "channel_id", "updated_at")
+    upsert([(i, at(1), "a") for i in range(200)])
+    before = tables.read_versions(spark, path)
+    upsert([(7, at(2), "b"), (500, at(0), "c"), (8, at(0), "older")])
+    files = [str(f) for f in (tmp_path / "status" / "data" / "write=2").rglob("*.parquet")]
+    assert 1 <= len({f.split("bucket=")[1].split("/")[0] for f in files}) <= 3
+    assert {r["status"] for r in before.collect()} == {"a"} and before.count() == 200
+    now = {r["channel_id"]: r["status"] for r in tables.read_versions(spark, path).collect()}
+    assert len(now) == 201 and (now[7], now[500], now[8]) == ("b", "c", "a")
+    upsert([(i, at(3), "d") for i in range(200)])  # touches every bucket
+    assert manifest.vacuum(spark, path, ["data"], keep=2) == []
+    assert manifest.vacuum(spark, path, ["data"]) == ["data/write=1", "data/write=2"]
+    now = {r["channel_id"]: r["status"] for r in tables.read_versions(spark, path).collect()}
+    assert len(now) == 201 and now[500] == "c" and {now[i] for i in range(200)} == {"d"}
+
+
+def test_a_stored_report_loses_what_its_search_has_lost(spark, tmp_path):
+    from mediawatch.operators import similarity
+
+    first = "uno dos tres cuatro cinco seis sol siete ocho nueve diez once doce trece"
+    other = "a b c d e f g h sol i j k l m n o p q r s t"
+    s = searches(spark, search(1, dedup_channel=False), search(2, keywords=["nueve"], dedup_channel=False))
+    rows = [(i, 1 + i, 3600 * i, first if i < 3 else other) for i in range(6)]  # each alone on its channel
+    path, when = str(tmp_path / "rep"), F.lit(at(9)).cast("timestamp_ntz")
+    matches = matching.backfill(chunks(spark, rows), s)
+    tables.write_similarity_report(similarity.similarity_report(matches), matches, when, path)
+    spots = lambda: sorted((r["search_id"], r["size"]) for r in spark.read.parquet(f"{path}/clusters").collect())
+    assert spots() == [(1, 3), (1, 3), (2, 3)]
+    fewer = matching.backfill(chunks(spark, [rows[0], rows[3]]), s.filter("search_id = 1"))
+    tables.write_similarity_report(similarity.similarity_report(fewer), fewer, when, path)
+    assert spots() == [(2, 3)]  # from two spots to none; the other search is left as it was
+    assert {r["search_id"] for r in spark.read.parquet(f"{path}/members").collect()} == {2}
+    exchanged = matching.backfill(chunks(spark, [rows[0], rows[4]]), s.filter("search_id = 1"))
+    assert [r["stale"] for r in tables.read_similarity_reports(spark, exchanged, path).orderBy("search_id").collect()] == [True, True]
+    tables.write_similarity_report(
+        similarity.similarity_report(fewer.limit(0)), fewer.limit(0), when, path, s.filter("search_id = 1")
+    )
+    assert {r["search_id"]: r["match_count"] for r in spark.read.parquet(f"{path}/reports").collect()} == {1: 0, 2: 3}
+    assert tables.read_or_empty(spark, f"{path}/unique", fewer).filter("search_id = 1").count() == 0
+
+
+def test_block_export_replaces_its_own_windows(spark, tmp_path):
+    from mediawatch.operators import blocks
+
+    progs = spark.createDataFrame([], "channel_name string, start_ts timestamp_ntz, stop_ts timestamp_ntz, title string, source string")
+    out = str(tmp_path / "txt")
+    write = lambda rows: blocks.write_lines(blocks.text_lines(chunks(spark, rows), progs), out)
+    write([(1, 1, 60, "uno"), (2, 2, 60, "dos"), (3, 1, 86400, "otro dia")])
+    write([(4, 1, 90, "de nuevo"), (5, 1, 2 * 86400, "tercero")])
+    kept = spark.read.text(out).filter("value not like '#%'").collect()
+    assert sorted((r["window"][:10], r["value"].split("] ")[1]) for r in kept) == [
+        ("2024-01-01", "de nuevo"), ("2024-01-02", "otro dia"), ("2024-01-03", "tercero")
+    ]
+
+
+def test_progress_is_what_a_run_has_read(spark):
+    from datetime import date
+
+    rows = [(d * 10 + i, 1, d * 86400 + 60 * i, "sol" if i else "[~]") for d in range(5) for i in range(4)]
+    s = searches(spark, search(1, date_start=date(2024, 1, 1), date_end=date(2024, 1, 5)), search(2, date_start=date(2024, 1, 2), date_end=date(2024, 1, 2)))
+    c = chunks(spark, rows)
+    found, done = matching.backfill_days(c, s, date(2024, 1, 1), date(2024, 1, 2))
+    got = {r["search_id"]: (r["rows_done"], r["rows_total"]) for r in matching.backfill_progress(c, s, done.unionByName(done)).collect()}
+    assert got == {1: (8, 20), 2: (4, 4)}  # 40 % of the first
+    assert {r["ts"].day for r in found.collect()} == {1, 2}
