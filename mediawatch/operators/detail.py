@@ -16,8 +16,11 @@ from mediawatch.functions.timefn import (
     seconds,
 )
 from mediawatch.operators import guide
+from mediawatch.scale import shipped, stored
 
 CONTEXT_SECONDS = 15
+#: Days that a plan names one by one.
+LISTED_DAYS = 400
 STATUS_ORDER = {"active": 0, "paused": 1, "completed": 2}
 
 
@@ -48,6 +51,9 @@ def facet_filter(
         out = out.filter(F.col("ts") >= F.lit(date_from).cast("date"))
     if date_to:
         out = out.filter(F.col("ts") < F.date_add(F.lit(date_to).cast("date"), 1))
+    if "date" in out.columns:  # written by day: only those folders are read
+        out = out.filter(F.col("date") >= F.lit(date_from).cast("date")) if date_from else out
+        out = out.filter(F.col("date") <= F.lit(date_to).cast("date")) if date_to else out
     if titles:
         out = guide.during_programmes(out, programmes, titles)
     return out
@@ -94,26 +100,27 @@ def enrich(matches: DataFrame, searches: DataFrame, side: int = 50) -> DataFrame
 def nearby_text(matches: DataFrame, chunks: DataFrame, window: int = CONTEXT_SECONDS) -> DataFrame:
     """Speech within `window` seconds of each match on its channel, in time order, as `context`.
 
-    Bounds are whole seconds, upper one exclusive. The equi key is (channel, half minute); chunks are
-    first cut to the half minutes that some match needs.
+    Bounds are whole seconds, upper one exclusive. The equi key is (channel, half minute). The matches' half minutes
+    are shipped to the texts (beyond the bounds of `shipped` exchanged with them); of chunks kept by day only the
+    matches' days are read, and their neighbours at midnight.
     """
     width = 2 * window
     at = floor_second(F.col("ts"))
-    spots = (
+    spots = stored(
         matches.select("match_id", "channel_id", (at - seconds(window)).alias("_lo"), (at + seconds(window)).alias("_hi"))
         .withColumn("_first", F.floor(epoch_seconds(F.col("_lo")) / width).cast("bigint"))
-        .withColumn("_b", F.explode(F.sequence(F.col("_first"), F.col("_first") + 1)))
+        .withColumn("_b", F.explode(F.sequence(F.col("_first"), F.col("_first") + 1))),
+        "match-spots",
     )
     near = (
-        chunks.filter(T.is_speech(F.col("text")))
+        _days_of(chunks, spots).filter(T.is_speech(F.col("text")))
         .select("channel_id", F.col("ts").alias("_cts"), F.col("id").alias("_cid"), "text")
         .withColumn("_b", F.floor(epoch_seconds(F.col("_cts")) / width).cast("bigint"))
-        .join(spots.select("channel_id", "_b").distinct(), ["channel_id", "_b"], "left_semi")
     )
     said = F.array_sort(F.collect_list(F.struct("_cts", "_cid", "text")))
     inside = (F.col("_cts") >= F.col("_lo")) & (F.col("_cts") < F.col("_hi"))
     context = (
-        spots.join(near, ["channel_id", "_b"])
+        near.join(shipped(spots), ["channel_id", "_b"])
         .filter(inside)
         .groupBy("match_id")
         .agg(said.alias("_s"))
@@ -122,6 +129,18 @@ def nearby_text(matches: DataFrame, chunks: DataFrame, window: int = CONTEXT_SEC
     return matches.join(context, "match_id", "left").na.fill("", ["context"])
 
 
+def _days_of(chunks: DataFrame, spots: DataFrame) -> DataFrame:
+    """The chunks of the spots' days, as a list of folders, or as a span if the list is long."""
+    if "date" not in chunks.columns:
+        return chunks
+    days = spots.select(F.explode(F.array(F.to_date("_lo"), F.to_date("_hi"))).alias("d")).distinct()
+    own = [r["d"] for r in days.limit(LISTED_DAYS + 1).collect()]
+    if len(own) <= LISTED_DAYS:
+        return chunks.filter(F.col("date").isin(own))
+    span = days.agg(F.min("d").alias("lo"), F.max("d").alias("hi")).first()
+    return chunks.filter(F.col("date").between(F.lit(span["lo"]), F.lit(span["hi"])))
+
+
 def export_rows(
     matches: DataFrame, searches: DataFrame, programmes: DataFrame, chunks: DataFrame
 ) -> DataFrame:

@@ -146,16 +146,28 @@ def health_report(
     }
 
 
-def latest_per_channel(chunks: DataFrame) -> DataFrame:
+def newest_instants(chunks: DataFrame) -> DataFrame:
+    """(channel_id, id, ts, top_ts): the highest id of each channel, its instant, and the channel's last instant."""
+    return chunks.groupBy("channel_id").agg(F.max(F.struct("id", "ts")).alias("_n"), F.max("ts").alias("top_ts")).select(
+        "channel_id", "_n.id", "_n.ts", "top_ts"
+    )
+
+
+def newer_instants(stored_rows: DataFrame, more: DataFrame) -> DataFrame:
+    """`newest_instants` of two tables, from theirs; the same rows again change nothing."""
+    return stored_rows.unionByName(more).groupBy("channel_id").agg(
+        F.max(F.struct("id", "ts")).alias("_n"), F.max("top_ts").alias("top_ts")
+    ).select("channel_id", "_n.id", "_n.ts", "top_ts")
+
+
+def latest_per_channel(chunks: DataFrame, newest: DataFrame | None = None) -> DataFrame:
     """The newest chunk (highest id) of each channel.
 
-    The ids are found on narrow columns, combined map-side; then only the days that hold them are read with their text.
+    newest: the table of `newest_instants` that a live job keeps (`alerts.read_newest`); without it they are found on
+    narrow columns of all days. Then only the days that hold them are read with their text.
     """
-    newest = stored(
-        chunks.groupBy("channel_id").agg(F.max_by(F.struct("id", "ts"), "id").alias("_n")).select("channel_id", "_n.*"),
-        "newest-chunks",
-    )
-    return recent_days(chunks, newest).join(shipped(newest), ["channel_id", "id", "ts"]).groupBy("channel_id").agg(
+    marks = stored((newest_instants(chunks) if newest is None else newest).select("channel_id", "id", "ts"), "newest-chunks")
+    return recent_days(chunks, marks).join(shipped(marks), ["channel_id", "id", "ts"]).groupBy("channel_id").agg(
         F.max(F.struct(*[c for c in chunks.columns if c != "channel_id"])).alias("_r")
     ).select("channel_id", "_r.*")
 
@@ -170,9 +182,9 @@ def recent_days(chunks: DataFrame, marks: DataFrame, back: int = 0) -> DataFrame
     return own.filter(F.col("date") >= F.to_date(since)) if "date" in chunks.columns else own
 
 
-def latest_with_status(chunks: DataFrame, status: DataFrame, limit: int = 20) -> DataFrame:
+def latest_with_status(chunks: DataFrame, status: DataFrame, limit: int = 20, newest: DataFrame | None = None) -> DataFrame:
     """Newest chunk of each channel with its status, the first 20 channels."""
-    last = latest_per_channel(chunks).select("channel_id", "channel_name", "ts", "text", "confidence")
+    last = latest_per_channel(chunks, newest).select("channel_id", "channel_name", "ts", "text", "confidence")
     return last.join(status.select("channel_id", "status", "total_segments"), "channel_id").orderBy("channel_id").limit(limit)
 
 
@@ -182,17 +194,21 @@ def alive_channels(status: DataFrame, now: Column, limit: int | None = None) ->
     return alive.orderBy("channel_id").limit(limit) if limit else alive
 
 
-def live_snapshot(chunks: DataFrame, status: DataFrame, now: Column, window: int = 30) -> DataFrame:
+def live_snapshot(
+    chunks: DataFrame, status: DataFrame, now: Column, window: int = 30, newest: DataFrame | None = None
+) -> DataFrame:
     """Per live channel: speech of the last `window` seconds before its newest chunk, and how it flows.
 
-    Without speech in the window the last chunk by id is shown. The newest instants come from narrow columns;
-    texts are read only of the days from the earliest of them on.
+    Without speech in the window the last chunk by id is shown. The newest instants come from the table that a live job
+    keeps (`newest`), or else from narrow columns of all days; texts are read only of the days from the earliest on.
     """
     live = alive_channels(status, now)
-    thin = chunks.select(*[c for c in ("channel_id", "id", "ts", "date") if c in chunks.columns])
+    if newest is None:
+        newest = newest_instants(chunks.select("channel_id", "id", "ts").join(live.select("channel_id"), "channel_id", "left_semi"))
     tops = stored(
-        thin.join(live.select("channel_id"), "channel_id", "left_semi")
-        .groupBy("channel_id").agg(F.max("ts").alias("_top"), F.max_by("ts", "id").alias("_last_ts")),
+        newest.join(live.select("channel_id"), "channel_id", "left_semi").select(
+            "channel_id", F.col("top_ts").alias("_top"), F.col("ts").alias("_last_ts")
+        ),
         "newest-instants",
     )
     marks = tops.select(F.least(F.col("_top"), F.col("_last_ts")).alias("ts"))

@@ -11,8 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from mediawatch.functions import text as T
 from mediawatch.functions.timefn import epoch_seconds, floor_second, seconds
-from mediawatch.operators import matching, outbox
+from mediawatch.operators import health, matching, outbox
 from mediawatch.scale import make_folder, stored, whole_folder
+from mediawatch.sources import manifest
 from mediawatch.sources.tables import read_or_empty, replace_days, same_days
 from mediawatch.sources.transcripts import CHUNK_SCHEMA, between_days
 from mediawatch.streaming import state
@@ -30,9 +31,12 @@ class WatchPaths:
     checkpoint: str
     #: Raw hits on their way from the matching to the alerting query; beside the matches by default.
     hits: str = ""
+    #: Newest instants of every channel, kept by the matching query; beside the chunks by default.
+    newest: str = ""
 
     def __post_init__(self) -> None:
         self.hits = self.hits or f"{self.matches}-hits"
+        self.newest = self.newest or f"{self.chunks}-newest"
 
 
 def stream_chunks(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -157,6 +161,34 @@ class Watch:
         self.alerting.stop()
 
 
+NEWEST = "channel_id int, id bigint, ts timestamp_ntz, top_ts timestamp_ntz"
+
+
+def keep_newest(batch: DataFrame, path: str) -> None:
+    """Carry the newest instants of the channels on to a batch; a replayed batch changes nothing."""
+    spark = batch.sparkSession
+    old = manifest.folders(spark, path)
+    number = max([int(n.split("=")[1]) for n in old], default=0) + 1
+    rows = health.newer_instants(read_newest(spark, path), health.newest_instants(batch))
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/data/write={number}")  # a row a channel
+    manifest.publish(spark, path, [f"write={number}"])
+    manifest.vacuum(spark, path, ["data"], keep=3)
+
+
+def read_newest(spark: SparkSession, path: str) -> DataFrame:
+    """The channels' newest instants that the live job keeps, for `health.live_snapshot` and `latest_per_channel`.
+
+    Rebuilt, if lost, by `rebuild_newest`.
+    """
+    own = manifest.folders(spark, path)
+    return spark.read.schema(NEWEST).parquet(f"{path}/data/{own[0]}") if own else spark.createDataFrame([], NEWEST)
+
+
+def rebuild_newest(chunks: DataFrame, path: str) -> None:
+    """Newest instants from all chunks (narrow columns), instead of what the table holds, which is not newer."""
+    keep_newest(chunks, path)
+
+
 def start_matching(
     spark: SparkSession, paths: WatchPaths, today: Callable[[], Column], trigger: dict, files_per_trigger: int | None = None,
     captions: bool = False,
@@ -173,6 +205,7 @@ def start_matching(
             return
         live = matching.active_searches(session.read.parquet(paths.searches), today())
         hits = matching.match_chunks(batch, live, by_row_date=False).withColumn("landed", F.current_timestamp())
+        keep_newest(batch, paths.newest)
         hits.select(*[f.split()[0] for f in state.HITS.split(", ")]).write.mode("overwrite").parquet(folder)
 
     chunks = stream_chunks(spark, paths.chunks, files_per_trigger)

@@ -1,6 +1,7 @@
 """State of the live job: any cut into batches, with a restart between them, equals the batch operator."""
 
 import random
+import re
 from datetime import timedelta
 
 import pytest
@@ -98,3 +99,44 @@ def test_live_run_with_captions_alerts_once(spark, tmp_path):
         alerts.start_watch(spark, paths, today=lambda: F.lit("2024-01-05").cast("date"), once=True, captions=True).awaitTermination(120)
     assert sorted(r["chunk_id"] for r in spark.read.parquet(paths.matches).collect()) == [1, 4]
     assert spark.read.parquet(paths.outbox).select("match_id").distinct().count() == 2
+
+
+def test_live_status_reads_the_newest_days_only(spark, tmp_path):
+    from helpers import chunks as made
+    from mediawatch.operators import detail, health
+    from mediawatch.sources.transcripts import append_chunks
+
+    paths = alerts.WatchPaths(*[str(tmp_path / n) for n in ("chunks", "searches", "users", "matches", "outbox", "ckpt")])
+    rows = [(60 * c + d, c, 86400 * d + 10 * c, f"dia {d}") for d in range(60) for c in (1, 2, 3)]
+    late = [(9999, 1, 86400 * 57, "tarde, pero la ultima"), (9998, 2, 86400 * 59 + 25, "casi")]
+    for part in (rows[:90], rows[90:], late, late):
+        append_chunks(made(spark, part), paths.chunks)
+        alerts.keep_newest(made(spark, part), paths.newest)
+    table, newest = spark.read.parquet(paths.chunks), alerts.read_newest(spark, paths.newest)
+    whole = health.newest_instants(table)
+    assert sorted(map(tuple, newest.collect())) == sorted(map(tuple, whole.collect())) and newest.count() == 3
+    status = spark.createDataFrame(
+        [(c, f"ch0{c}", at(0), "running", 5, at(86400 * 60), 0) for c in (1, 2, 3)],
+        "channel_id int, channel_name string, last_seen timestamp_ntz, status string, total_segments int, heartbeat timestamp_ntz, error_count int",
+    )
+    now = F.lit(at(86400 * 60)).cast("timestamp_ntz")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
+    for got, want in (
+        (health.live_snapshot(table, status, now, newest=newest), health.live_snapshot(table, status, now)),
+        (health.latest_per_channel(table, newest), health.latest_per_channel(table)),
+    ):
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 3
+        scans = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan parquet" in x and "/chunks" in x]
+        assert scans and all("date#" in x and ">= 2024-02-2" in x.split("PartitionFilters")[1] for x in scans), scans
+    matches = spark.createDataFrame([(1, 1, at(86400 * 5 + 5)), (2, 2, at(86400 * 9 - 3))], "match_id bigint, channel_id int, ts timestamp_ntz")
+    near = detail.nearby_text(matches, table)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    listed = [x.split("PartitionFilters: [")[1].split("]")[0] for x in plan.splitlines() if "PartitionFilters: [date#" in x]
+    assert len(listed) == 1 and set(re.findall(r"2024-\d\d-\d\d", listed[0])) == {"2024-01-05", "2024-01-06", "2024-01-09", "2024-01-10"}
+    plain = detail.nearby_text(matches, table.drop("date"))
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, plain.collect())) and {r["context"] for r in near.collect()} == {"dia 5", ""}
+    dated = matches.withColumn("keyword", F.lit("k")).withColumn("date", F.to_date("ts"))
+    dated.write.partitionBy("date").parquet(paths.matches)
+    plan = detail.facet_filter(spark.read.parquet(paths.matches), date_from="2024-01-08", date_to="2024-01-09")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "PartitionFilters: [isnotnull(date#" in plan and ">= 2024-01-08" in plan and "<= 2024-01-09" in plan.split("PartitionFilters")[1]
