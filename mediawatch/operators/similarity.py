@@ -191,7 +191,7 @@ def scored_members(members: DataFrame) -> DataFrame:
     return _against_reference(members).select("cluster_id", "match_id", F.col("m.total").cast("int").alias("score"))
 
 
-def _fragments(members: DataFrame) -> DataFrame:
+def fragments_of(members: DataFrame) -> DataFrame:
     """(cluster_id, common_fragment): the run the longest text shares best with another member.
 
     The order of members is (ts, match_id): the first longest text is the reference and the first
@@ -227,10 +227,28 @@ def clustered(wins: DataFrame, max_docs: int | None = None) -> DataFrame:
     )
 
 
-def merged(members: DataFrame) -> DataFrame:
+def run_keys(wins: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(search_id, key, match_id): a key for every run of `min_words` around a mention, as `spot_links` compares them.
+
+    Made from a match alone, whatever other matches there are; keys are digests.
+    """
+    need = min_words - 1
+    at = wins.select("search_id", "match_id", "norm", F.explode("anchors").alias("ia"))
+    ia, lefts = F.col("ia"), F.sequence(F.greatest(F.lit(0), need - (F.size("norm") - 1 - F.col("ia"))), F.least(F.col("ia"), F.lit(need)))
+    room = F.size("norm") >= min_words
+
+    def key(l: Column) -> Column:
+        before, after = F.slice("norm", ia - l + 1, l), F.slice("norm", ia + 2, need - l)
+        return F.md5(F.concat_ws(" ", l.cast("string"), F.array_join(before, " "), F.lit("|"), F.array_join(after, " ")))
+
+    return at.filter(room & (F.col("ia") >= 0)).select("search_id", F.explode(F.transform(lefts, key)).alias("key"), "match_id").distinct()
+
+
+def merged(members: DataFrame, fragments: DataFrame | None = None) -> DataFrame:
     """Members after clusters whose fragments share a 12-word run became one.
 
-    Two word lists share a contiguous run of 12 exactly when they share a 12-gram.
+    Two word lists share a contiguous run of 12 exactly when they share a 12-gram. Fragments (cluster_id,
+    common_fragment) are found anew unless given.
     """
     spots = members.select("cluster_id", "search_id").distinct()
     norm = F.transform(T.words(F.col("common_fragment")), T.fold_word)
@@ -238,7 +256,7 @@ def merged(members: DataFrame) -> DataFrame:
         F.array().cast("array<string>")
     )
     runs = (
-        _fragments(members)
+        (fragments_of(members) if fragments is None else fragments)
         .join(spots, "cluster_id")
         .withColumn("_n", norm)
         .select("search_id", "cluster_id", F.explode(grams).alias("gram"))
@@ -250,7 +268,11 @@ def merged(members: DataFrame) -> DataFrame:
 
 def cluster_members(wins: DataFrame, max_docs: int | None = None) -> DataFrame:
     """Final members: cluster_id is the lowest match id of the merged cluster."""
-    rows = stored(merged(stored(clustered(wins, max_docs), "spot-members")), "merged-members")
+    return lowest_ids(merged(stored(clustered(wins, max_docs), "spot-members")))
+
+
+def lowest_ids(merged_members: DataFrame) -> DataFrame:
+    rows = stored(merged_members, "merged-members")
     lowest = rows.groupBy("cluster_id").agg(F.min("match_id").alias("_low"))
     return rows.join(lowest, "cluster_id").withColumn("cluster_id", F.col("_low")).drop("_low")
 
@@ -269,7 +291,7 @@ def cluster_report(members: DataFrame) -> DataFrame:
             F.min("_f").alias("first_ts"),
             F.max("_l").alias("last_ts"),
         )
-        .join(_fragments(members), "cluster_id", "left")
+        .join(fragments_of(members), "cluster_id", "left")
     )
 
 
