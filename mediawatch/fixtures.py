@@ -57,24 +57,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as chunks: 60 channels, bursts of eight 30 s chunks, whole texts, some silent.
+    """documents as chunks: 60 channels, bursts of eight 30 s chunks, whole texts.
 
+    About three in a hundred are followed after 15 s by a silent chunk, a row of its own with a negative id.
     The driver's table is one file of one row group, so one task would read it; a chunk table in use has a folder a
     day. Its rows are therefore dealt out here, by id.
     """
-    documents = _table(spark, sf_dir, "documents")
-    return documents.repartition(spark.sparkContext.defaultParallelism, "doc_id").selectExpr(
-        "doc_id AS id",
-        "cast(doc_id % 60 + 1 AS int) AS channel_id",
-        "concat('ch', lpad(cast(doc_id % 60 + 1 AS string), 2, '0')) AS channel_name",
-        """timestamp_ntz'2024-01-01 00:00:00'
-             + make_dt_interval(cast(doc_id div 60 div 8 AS int), cast((doc_id % 60 + 1) % 24 AS int), 0,
-                 cast((doc_id div 60) % 8 * 30 + (doc_id div 60) % 4 * 0.25 AS decimal(18,6))) AS ts""",
-        "CASE WHEN doc_id % 97 = 5 THEN '' WHEN doc_id % 101 = 7 THEN '[~]' WHEN doc_id % 103 <> 9 THEN text END AS text",
-        "CASE WHEN (doc_id div 60) % 3 = 0 THEN ((doc_id div 60) % 10) / 10.0D END AS confidence",
-        "30.0D AS duration_sec",
-        "CASE WHEN (doc_id div 60) % 5 = 0 THEN 'cc' ELSE 'asr' END AS source",
-    )
+    documents = _table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+
+    def dealt(rows: DataFrame, chunk_id: str, later: str, text: str, seconds: str) -> DataFrame:
+        return rows.selectExpr(
+            f"{chunk_id} AS id",
+            "cast(doc_id % 60 + 1 AS int) AS channel_id",
+            "concat('ch', lpad(cast(doc_id % 60 + 1 AS string), 2, '0')) AS channel_name",
+            f"""timestamp_ntz'2024-01-01 00:00:00'
+                 + make_dt_interval(cast(doc_id div 60 div 8 AS int), cast((doc_id % 60 + 1) % 24 AS int), 0,
+                     cast((doc_id div 60) % 8 * 30 + (doc_id div 60) % 4 * 0.25 + {later} AS decimal(18,6))) AS ts""",
+            f"{text} AS text",
+            "CASE WHEN (doc_id div 60) % 3 = 0 THEN ((doc_id div 60) % 10) / 10.0D END AS confidence",
+            f"{seconds} AS duration_sec",
+            "CASE WHEN (doc_id div 60) % 5 = 0 THEN 'cc' ELSE 'asr' END AS source",
+        )
+
+    spoken = dealt(documents, "doc_id", "0", "text", "30.0D")
+    pauses = _table(spark, sf_dir, "documents").filter("doc_id % 97 = 5 OR doc_id % 101 = 7 OR doc_id % 103 = 9")
+    silence = "CASE WHEN doc_id % 97 = 5 THEN '' WHEN doc_id % 101 = 7 THEN '[~]' END"
+    return spoken.unionByName(dealt(pauses, "-1 - doc_id", "15", silence, "15.0D"))
 
 
 def searches(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:

@@ -73,16 +73,17 @@ def _searches() -> str:
 
 
 CTES: dict[str, str] = {
-    "chunks": """SELECT doc_id AS id, (doc_id % 60 + 1)::INT AS channel_id,
+    "chunks": """SELECT CASE WHEN silent THEN -1 - doc_id ELSE doc_id END AS id, (doc_id % 60 + 1)::INT AS channel_id,
         'ch' || lpad((doc_id % 60 + 1)::VARCHAR, 2, '0') AS channel_name,
         TIMESTAMP '2024-01-01 00:00:00' + to_days((doc_id // 60 // 8)::INT)
           + to_hours(((doc_id % 60 + 1) % 24)::INT)
-          + to_milliseconds(((doc_id // 60) % 8 * 30000 + (doc_id // 60) % 4 * 250)::INT) AS ts,
-        CASE WHEN doc_id % 97 = 5 THEN '' WHEN doc_id % 101 = 7 THEN '[~]' WHEN doc_id % 103 <> 9 THEN text END AS text,
+          + to_milliseconds(((doc_id // 60) % 8 * 30000 + (doc_id // 60) % 4 * 250 + CASE WHEN silent THEN 15000 ELSE 0 END)::INT) AS ts,
+        CASE WHEN NOT silent THEN text WHEN doc_id % 97 = 5 THEN '' WHEN doc_id % 101 = 7 THEN '[~]' END AS text,
         CASE WHEN (doc_id // 60) % 3 = 0 THEN ((doc_id // 60) % 10)::DOUBLE / 10.0 END AS confidence,
-        30.0::DOUBLE AS duration_sec,
+        CASE WHEN silent THEN 15.0 ELSE 30.0 END::DOUBLE AS duration_sec,
         CASE WHEN (doc_id // 60) % 5 = 0 THEN 'cc' ELSE 'asr' END AS source
-        FROM documents""",
+        FROM documents, (VALUES (false), (true)) t(silent)
+        WHERE NOT silent OR doc_id % 97 = 5 OR doc_id % 101 = 7 OR doc_id % 103 = 9""",
     "searches": _searches(),
     "users": "SELECT * FROM (VALUES "
     + ", ".join(f"({i}, '{n}', '{r}', '{c}')" for i, n, r, c in X.USERS)
