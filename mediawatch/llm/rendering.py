@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -70,7 +70,14 @@ FEATURES = {
     "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "scripting": "none", "update": "fast", "color": "", "grid": "0",
 }
 LENGTH = re.compile(r"(\d*\.?\d+)(px|em|rem)?\Z")
-SIMPLE = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?\Z", re.I)
+NAME = r"(?:[\w-]|[^\x00-\x7f]|\\.)+"
+SIMPLE = re.compile(
+    rf"(?P<tag>\*|{NAME})|(?P<sign>[.#])(?P<name>{NAME})|:(?P<colon>:?)(?P<pseudo>[\w-]+)(?P<open>\()?"
+    rf"""|\[\s*(?P<attr>{NAME})\s*(?:(?P<how>[~|^$*]?=)\s*(?:"(?P<q>(?:\\.|[^"\\])*)"|'(?P<r>(?:\\.|[^'\\])*)'|(?P<bare>[^\s\]]+))\s*(?P<flag>[is])?\s*)?\]""",
+    re.I | re.S,
+)
+JOIN = re.compile(r"\s*([>+~])\s*|\s+")
+ESCAPE = re.compile(r"\\(?:([0-9a-f]{1,6})[ \t\n]?|(.))", re.I | re.S)
 BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -79,6 +86,8 @@ class Node:
     tag: str
     attrs: dict[str, str]
     children: list = field(default_factory=list)  # of nodes and strings
+    place: int = 1  # among the elements of its parent
+    of: int = 1
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -208,7 +217,8 @@ def own_part(body: str) -> str:
 
 def rules_of(sheet: str) -> Iterator[tuple[str, str]]:
     """(selectors, declarations) of the rules that apply on a normal screen, in order."""
-    sheet = IGNORED.sub(lambda m: '""' if m[1] else " ", sheet)
+    quoted: list[str] = []  # strings wait here, as they may hold any sign
+    sheet = IGNORED.sub(lambda m: quoted.append(m[1]) or f'"{len(quoted) - 1}"' if m[1] else " ", sheet)
     at, applies = 0, [True]
     while m := re.compile(r"[{};]").search(sheet, at):
         before, at = sheet[at : m.start()].strip(), m.end()
@@ -226,41 +236,224 @@ def rules_of(sheet: str) -> Iterator[tuple[str, str]]:
             body = sheet[start : at - 1] if not depth else sheet[start:]
             at = at if not depth else len(sheet)
             if applies[-1]:
-                yield before, own_part(body)
+                yield re.sub(r'"(\d+)"', lambda m: quoted[int(m[1])], before), own_part(body)
+
+
+Test = Callable[[Node], bool]
+Found = tuple[str, bool | None, tuple[bool, bool, int, int]]
+
+
+def unescaped(name: str) -> str:
+    return ESCAPE.sub(lambda m: chr(min(int(m[1], 16), 0x10FFFF)) if m[1] else m[2], name)
+
+
+def attribute_test(name: str, how: str | None, value: str, folded: bool) -> Test:
+    fold = str.lower if folded else str
+    value = fold(value)
+    if how is None:
+        return lambda n: name in n.attrs
+    fits = {
+        "=": lambda x: x == value, "~=": lambda x: value in x.split(), "|=": lambda x: x == value or x.startswith(value + "-"),
+        "^=": lambda x: value != "" and x.startswith(value), "$=": lambda x: value != "" and x.endswith(value),
+        "*=": lambda x: value != "" and value in x,
+    }[how]
+    return lambda n: name in n.attrs and fits(fold(n.attrs[name]))
+
 
+def place_test(formula: str) -> Test | None:
+    """:nth-child of odd, even or a formula an+b."""
+    m = re.match(r"(?:([+-]?\d*)n)?([+-]?\d+)?\Z", {"odd": "2n+1", "even": "2n"}.get(formula, formula))
+    if not m or not m[0]:
+        return None
+    a, b = int({"": "1", "+": "1", "-": "-1"}.get(m[1], m[1])) if m[1] is not None else 0, int(m[2] or 0)
+    return lambda n: n.place == b if not a else (n.place - b) % a == 0 and (n.place - b) // a >= 0
+
+
+PLACES: dict[str, Test] = {
+    "first-child": lambda n: n.place == 1,
+    "last-child": lambda n: n.place == n.of,
+    "only-child": lambda n: n.of == 1,
+    "empty": lambda n: not any(n.children),
+}
 
-Sheet = dict[tuple[str, str, str], list[tuple[str, bool | None, tuple[bool, bool, int, int]]]]
+
+def closing(source: str, at: int) -> int:
+    """Place after the bracket that closes the one before `at`."""
+    depth = 1
+    for m in re.compile(r"""[()]|"[^"]*"|'[^']*'""").finditer(source, at):
+        depth += {"(": 1, ")": -1}.get(m[0], 0)
+        if not depth:
+            return m.end()
+    return len(source) + 1
+
+
+def pseudo_test(name: str, inner: str | None) -> tuple[Test, int] | None:
+    """The test of a pseudo-class and its weight; None for one that needs a reader (hover, focus) or is not known."""
+    if inner is None:
+        return (PLACES[name], 100) if name in PLACES else ((lambda n: n.tag == "html"), 100) if name == "root" else None
+    if name == "nth-child":
+        test = place_test("".join(inner.lower().split()))
+        return (test, 100) if test else None
+    if name not in ("not", "is", "where"):
+        return None
+    options = [compound(x.strip()) for x in split_list(inner)]
+    if any(x is None for x in options):
+        return None
+    weight = 0 if name == "where" else max(x[2] for x in options)
+    return (lambda n: any(all(t(n) for t in x[0]) for x in options) == (name != "not")), weight
+
+
+def split_list(selectors: str) -> list[str]:
+    """The selectors of a list; commas in brackets and strings do not part."""
+    out, depth, start = [], 0, 0
+    for m in re.compile(r"""[()\[\],]|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|\\.""", re.S).finditer(selectors):
+        depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(m[0], 0)
+        if m[0] == "," and not depth:
+            out.append(selectors[start : m.start()])
+            start = m.end()
+    return [*out, selectors[start:]]
+
+
+def compound(source: str) -> tuple[list[Test], str, int] | None:
+    """(tests, the name to look it up by, weight) of a selector of one element; None if it never holds."""
+    got = compound_at(source, 0)
+    return got[:3] if got and got[3] == len(source) else None
+
+
+def compound_at(source: str, at: int) -> tuple[list[Test], str, int, int] | None:
+    tests: list[Test] = []
+    key, weight, first = "*", 0, at
+    while m := SIMPLE.match(source, at):
+        if m["tag"] and at > first:
+            return None
+        at = m.end()
+        if m["tag"]:
+            tag = m["tag"].lower()
+            if tag != "*":
+                key, weight = tag, 1
+                tests.append(lambda n, t=tag: n.tag == t or t == "body" and n.tag == "html")
+        elif m["sign"]:
+            name, sign = unescaped(m["name"]), m["sign"]
+            weight += 10_000 if sign == "#" else 100
+            key = sign + name if sign == "#" or key[0] != "#" else key
+            if sign == "#":
+                tests.append(lambda n, i=name: n.attrs.get("id") == i)
+            else:
+                tests.append(lambda n, c=name: c in n.attrs.get("class", "").split())
+        elif m["attr"]:
+            value = unescaped(next((v for v in (m["q"], m["r"], m["bare"]) if v is not None), ""))
+            tests.append(attribute_test(unescaped(m["attr"]).lower(), m["how"], value, (m["flag"] or "").lower() == "i"))
+            weight += 100
+        else:
+            inner = None
+            if m["open"]:
+                end = closing(source, at)
+                inner, at = source[at : end - 1], min(end, len(source))
+            got = None if m["colon"] else pseudo_test(m["pseudo"].lower(), inner)
+            if got is None:
+                return None
+            tests.append(got[0])
+            weight += got[1]
+    return (tests, key, weight, at) if at > first else None
+
+
+@dataclass(slots=True)
+class Step:
+    """One element of a selector; `after` is the step that comes before it, related as `join` says."""
+
+    number: int
+    tests: list[Test]
+    after: int | None
+    join: str
+    rules: list[Found] = field(default_factory=list)
+
+
+Sheet = dict[str, list[Step]]
+
+
+def steps_of(selector: str) -> tuple[list[tuple[str, list[Test], str]], int] | None:
+    """[(join, tests, key)] from left to right, and the selector's weight."""
+    out, at, total, join = [], 0, 0, ""
+    while got := compound_at(selector, at):
+        tests, key, weight, at = got
+        if out and key == "body" and out[-1][2] == "html" and len(out) == 1:
+            out, join = [], ""  # the tree has one element for both
+        out.append((join, tests, key))
+        total += weight
+        if at == len(selector):
+            return out, total
+        m = JOIN.match(selector, at)
+        if not m:
+            return None
+        join, at = m[1] or " ", m.end()
+    return None
 
 
 def sheet_of(root: Node) -> Sheet:
-    """Display and visibility that the style elements give to (tag, sign, name) of simple selectors, with their rank."""
+    """The selectors of the style elements that set display or visibility, as steps by the name that leads to them."""
     out: Sheet = {}
-    stack, order = [root], 0
+    stack, order, number = [root], 0, 0
     while stack:
         node = stack.pop()
         if node.tag == "style" and on_screen(node.attrs.get("media", "")):
             for selectors, body in rules_of("".join(node.children)):
                 order += 1
-                for name, shows, important in declarations(body):
-                    for m in (SIMPLE.match(s.strip()) for s in selectors.split(",")):
-                        if m and m[0]:
-                            weight = {"#": 10_000, ".": 100}.get(m[2] or "", 0) + bool(m[1])
-                            key = ((m[1] or "").lower(), m[2] or "", m[3] or "")
-                            out.setdefault(key, []).append((name, shows, (important, False, weight, order)))
+                given = declarations(body)
+                for steps, weight in filter(None, map(steps_of, map(str.strip, split_list(selectors)))) if given else ():
+                    after = None
+                    for join, tests, key in steps:
+                        number += 1
+                        step = Step(number, tests, after, join)
+                        out.setdefault(key, []).append(step)
+                        after = number
+                    step.rules += [(name, shows, (important, False, weight, order)) for name, shows, important in given]
         stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
     return out
 
 
-def shown(node: Node, sheet: Sheet) -> tuple[bool, bool | None]:
+def rules_by_element(root: Node, sheet: Sheet) -> dict[int, list[Found]]:
+    """What the sheet gives to each element, by its identity.
+
+    One walk from the top: an element carries the steps that it and its ancestors have met, so a selector is
+    never searched backwards and the work is bounded by elements times steps.
+    """
+    out: dict[int, list[Found]] = {}
+    none: frozenset[int] = frozenset()
+
+    def met(node: Node, joins: dict[str, frozenset[int]]) -> frozenset[int]:
+        keys = {"*", node.tag, *("." + c for c in node.attrs.get("class", "").split()), "#" + node.attrs.get("id", "")}
+        own = []
+        for step in (s for k in keys | ({"body"} if node.tag == "html" else set()) for s in sheet.get(k, ())):
+            if (step.after is None or step.after in joins[step.join]) and all(t(node) for t in step.tests):
+                own.append(step.number)
+                if step.rules:
+                    out.setdefault(id(node), []).extend(step.rules)
+        return frozenset(own) if own else none
+
+    def added(a: frozenset[int], b: frozenset[int]) -> frozenset[int]:
+        return a if b <= a else a | b
+
+    first = met(root, dict.fromkeys(" >+~", none))
+    stack = [(root, first, first)]
+    while stack:
+        node, own, above = stack.pop()
+        elements = [c for c in node.children if not isinstance(c, str)]
+        before = earlier = none
+        for place, child in enumerate(elements, 1):
+            child.place, child.of = place, len(elements)
+            before = met(child, {" ": above, ">": own, "+": before, "~": earlier})
+            earlier = added(earlier, before)
+            stack.append((child, before, added(above, before)))
+    return out
+
+
+def shown(node: Node, ruled: dict[int, list[Found]]) -> tuple[bool, bool | None]:
     """Whether an element is displayed, and whether it is visible (None: as its parent); the cascade decides."""
     a = node.attrs
     if node.tag in NEVER_SHOWN or node.tag == "input" and a.get("type", "").lower() not in ("submit", "button", "reset"):
         return False, None
     displayed, visible = not ("hidden" in a or node.tag == "dialog" and "open" not in a), None
-    found = []
-    if sheet:
-        names = [("", "")] + [(".", c) for c in set(a.get("class", "").split())] + [("#", a.get("id", ""))]
-        found = [x for n in names for tag in ("", node.tag) if tag or n[0] for x in sheet.get((tag, *n), ())]
+    found = list(ruled.get(id(node), ()))
     if "style" in a:
         found += [(name, shows, (important, True, 0, i)) for i, (name, shows, important) in enumerate(declarations(IGNORED.sub(" ", a["style"])))]
     for name, shows, _ in sorted(found, key=lambda x: x[2]):
@@ -391,6 +584,7 @@ def render(page: str | None) -> str:
     """All visible text of a page; walks the tree without recursion, so depth is no limit."""
     root = tree(page or "")
     sheet, seen = sheet_of(root), [True]
+    ruled = rules_by_element(root, sheet) if sheet else {}
     flows, tables, lists, verbatim = [Flow()], [], [], 0
     stack: list[tuple[Node | str, bool]] = [(root, False)]
     while stack:
@@ -402,7 +596,7 @@ def render(page: str | None) -> str:
             continue
         tag = node.tag
         if not leaving:
-            displayed, visible = shown(node, sheet)
+            displayed, visible = shown(node, ruled)
             if not displayed:
                 continue
             visible = seen[-1] if visible is None else visible
@@ -469,7 +663,9 @@ def render(page: str | None) -> str:
 def rendered(pages: DataFrame, html_col: str = "html", to: str = "text") -> DataFrame:
     """Every row of `pages` with the visible text of its page in the column `to` (replaced if there).
 
-    A null or empty page gives the empty text; broken markup is read as far as it goes, never refused; a
+    Style selectors may be compound, joined (descendant, child, sibling) and hold attributes and :not, :is, :where,
+    :root, :empty and places among siblings; one with any other pseudo-class never holds. `html` and `body` are
+    one element, and a `tbody` that is only implied is none. A null or empty page gives the empty text; broken markup is read as far as it goes, never refused; a
     page is one row however long it is; repeated rows give repeated texts; an empty table gives no rows.
     """
     plain = pages.drop(to) if to != html_col else pages
