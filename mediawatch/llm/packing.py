@@ -10,7 +10,7 @@ better. A filling found once is used as often as the pieces last.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from mediawatch.llm.common import hidden, stored
 
 CAPACITY = 1024
+#: Least lengths, as parts of the capacity, of the two pieces that may replace a sequence's smallest.
+PARTNERS = (0, 1 / 16, 1 / 8, 3 / 16, 1 / 4)
 END = 2
 #: Parts that the pieces of one length are numbered in.
 PARTS = 256
@@ -110,10 +112,10 @@ def tokenised(
     )
 
 
-def best_pair(lengths: list[int], left: Counter, room: int, above: int) -> tuple[int, int] | None:
-    """The two unpacked lengths whose sum is highest within `room` and over `above`."""
+def best_pair(lengths: list[int], left: Counter, room: int, above: int, partner: int = 1) -> tuple[int, int] | None:
+    """The two unpacked lengths of at least `partner` whose sum is highest within `room` and over `above`."""
     best, pair = above, None
-    low, high = 0, bisect_right(lengths, room - 1) - 1
+    low, high = bisect_left(lengths, partner), bisect_right(lengths, room - 1) - 1
     while low <= high and best < room:
         a, b = lengths[low], lengths[high]
         if a + b > room or (low == high and left[a] < 2):
@@ -125,10 +127,20 @@ def best_pair(lengths: list[int], left: Counter, room: int, above: int) -> tuple
     return pair
 
 
-def fillings(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+def planned(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+    """The fillings with the fewest sequences, of those with each least length of a replacing pair.
+
+    A swap fills one sequence better with small pieces that a later one may lack. What is dearer depends on the
+    lengths, so every bound in PARTNERS is planned; a plan reads the counts alone.
+    """
+    plans = [fillings(counts, capacity, max(int(capacity * p), 1)) for p in PARTNERS]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def fillings(counts: dict[int, int], capacity: int = CAPACITY, partner: int = 1) -> list[tuple[list[int], int]]:
     """[(lengths in one sequence, number of such sequences)] that use up all counted pieces.
 
-    Every filling is used until one of its lengths runs out, so their number is bounded by the lengths.
+    The smallest piece gives way to two others of at least `partner`. Every filling is used until one of its lengths runs out, so their number is bounded by the lengths.
     """
     left = Counter({n: c for n, c in counts.items() if c > 0})
     out = []
@@ -153,7 +165,7 @@ def fillings(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[lis
             if len(own) < 2:
                 break
             least = min(own)
-            pair = best_pair(lengths, pool, room + least, least)
+            pair = best_pair(lengths, pool, room + least, least, partner)
             if pair is None:
                 break
             own.remove(least)
@@ -211,7 +223,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, parts: int = PARTS) -> Dat
     if any(n < 1 for n in counts) or not odd.isEmpty():
         raise ValueError(f"a piece's length is not from 1 to {capacity}")
     blocks = spark.createDataFrame(
-        deal(fillings(counts, capacity)), f"`{size}` long, `{low}` long, `{high}` long, `{first}` long, `{offset}` long"
+        deal(planned(counts, capacity)), f"`{size}` long, `{low}` long, `{high}` long, `{first}` long, `{offset}` long"
     )
     running = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn(before, F.coalesce(F.sum(before).over(running), F.lit(0)))

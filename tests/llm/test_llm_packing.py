@@ -1,3 +1,4 @@
+import bisect
 import random
 import zlib
 from collections import Counter
@@ -31,6 +32,38 @@ def test_the_smallest_piece_gives_way_to_a_better_pair():
     assert P.fillings({60: 1, 25: 1, 20: 1, 19: 1}, 100)[0][0] == [60, 20, 19]
 
 
+def best_fit_decreasing(counts, capacity):
+    rooms, n = [], 0
+    for length in sorted(counts.elements(), reverse=True):
+        at = bisect.bisect_left(rooms, length)
+        if at < len(rooms):
+            room = rooms.pop(at)
+        else:
+            room, n = capacity, n + 1
+        if room > length:
+            bisect.insort(rooms, room - length)
+    return n
+
+
+def test_no_more_sequences_than_best_fit_decreasing():
+    draw = random.Random(7)
+    fewer = 0
+    for i in range(50):
+        low, high, capacity = [(1, 1023, 1024), (1, 700, 1024), (200, 600, 1024), (1, 64, 64), (10, 30, 64)][i % 5]
+        counts = Counter(draw.randint(low, high) for _ in range(draw.randint(10, 2000)))
+        plan = P.planned(counts, capacity)
+        used = Counter()
+        for own, times in plan:
+            assert sum(own) <= capacity
+            for n in own:
+                used[n] += times
+        assert used == counts
+        n, plain = sum(times for _, times in plan), best_fit_decreasing(counts, capacity)
+        assert n <= plain
+        fewer += n < plain
+    assert fewer >= 10
+
+
 def test_cuts():
     assert P.cuts(10, 4) == [(0, 2), (2, 6), (6, 10)]
     assert P.cuts(8, 4) == [(0, 4), (4, 8)]
