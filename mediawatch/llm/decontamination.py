@@ -95,7 +95,7 @@ def contained_items(
 
     Null, empty and wordless texts have no shingles and no rows. A text of fewer than `size` words is one
     shingle, so an item that short is found only where a document has just these words. Repeated rows (equal id and
-    text) give one row; items of one id and different texts are told apart. A test set
+    text) give one row; items of one id, or of a null id, and different texts are told apart. A test set
     beyond the bound of `shipped` is joined by shuffle; an empty test set or table gives no rows.
     """
     whole, sketch = item_sketches(items, item_id, item_text, size, contained)
@@ -134,8 +134,9 @@ def contained_items(
         .select("_doc", "_id", "_text_hash", "_held", F.explode("_items").alias("_i"))
         .select("_doc", "_id", "_text_hash", "_held", F.col("_i._item").alias("_item"), F.col("_i._item_hash").alias("_item_hash"))
     )
-    checked = found.join(shipped(whole), ["_item", "_item_hash"]).select(
-        "_doc", "_id", "_text_hash", "_item", F.col("_n").alias("n_item"), "_needed",
+    known = shipped(whole)
+    checked = found.join(known, found["_item"].eqNullSafe(known["_item"]) & (found["_item_hash"] == known["_item_hash"])).select(
+        "_doc", "_id", "_text_hash", found["_item"], F.col("_n").alias("n_item"), "_needed",
         F.size(F.array_intersect("_shingles", "_held")).alias("n_shared"),
     )
     return (

@@ -35,3 +35,11 @@ def test_stage_keeps_clean_and_odd_rows(spark):
     kept = D.decontaminate(docs, items)
     assert kept.columns == docs.columns
     assert {r["text"] for r in kept.collect()} == set(odd.TEXTS) - {"one two three four five six seven"}
+
+
+def test_items_without_an_id_keep_their_pairs(spark):
+    docs = spark.createDataFrame([(1, "x " + ITEM), (2, odd.LONG + " y z"), (3, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, ITEM), (None, odd.LONG), (7, ITEM)], "item_id long, text string")
+    got = {(r["_doc"], r["_item"], r["n_item"]) for r in D.contained_items(docs, items).collect()}
+    assert got == {(1, None, 10), (1, 7, 10), (2, None, 977)}
+    assert [r["doc_id"] for r in D.decontaminate(docs, items).collect()] == [3]
