@@ -134,7 +134,8 @@ def learned(
 ) -> Machine:
     """Fit on at most `sample` labelled rows outside the held-out fold, in one task; null labels and ids are left out.
 
-    Several labels of one id count as toxic if one is. The ids are chosen before any text is read and shipped to the texts.
+    Several labels of one id count as toxic if one is, and a repeated id counts once, with the text of least hash. The
+    ids are chosen before any text is read and shipped to the texts.
     """
     chosen = (
         labels.filter(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull() & (fold(F.col(f"`{id_col}`")) != HELD_OUT))
@@ -146,7 +147,7 @@ def learned(
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([terms(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))], ["label", "terms"]
+                [*batch.columns[:3], pa.array([terms(t.as_py()) for t in batch.column(3)], pa.list_(pa.int32()))], ["key", "label", "hash", "terms"]
             )
 
     def fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,11 +161,17 @@ def learned(
             [pa.array([m.bias]), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], ["bias", "slot", "weight", "factors"]
         )
 
-    sampled = rows.join(F.broadcast(chosen), rows["_own"] == chosen["_key"]).select("_label", "_text")
+    sampled = rows.join(F.broadcast(chosen), rows["_own"] == chosen["_key"]).select(
+        F.xxhash64("_key").alias("key"), "_label", F.xxhash64("_text").alias("hash"), "_text"
+    )
     model = (
-        sampled.mapInArrow(hashed, "label int, terms array<int>").repartition(1)
+        sampled.mapInArrow(hashed, "key long, label int, hash long, terms array<int>")
+        .groupBy("key").agg(F.min(F.struct("hash", "terms", "label")).alias("row"))
+        .repartition(1).sortWithinPartitions("key").select("row.label", "row.terms")
         .mapInArrow(fitted, "bias double, slot binary, weight binary, factors binary").collect()
     )
+    if not model:  # no usable label, so no task was run
+        return fit([], np.zeros(0), **how)
     weight = np.frombuffer(model[0]["weight"], dtype="<f8")
     return Machine(
         model[0]["bias"], np.frombuffer(model[0]["slot"], dtype="<i4"), weight,

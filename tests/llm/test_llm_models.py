@@ -159,3 +159,11 @@ def test_toxicity_of_odd_rows(spark):
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
     assert T.toxicity(docs, labels.limit(0)).filter("predicted = 1").count() == 0
     assert T.toxicity(odd.empty(spark), labels).count() == 0
+
+
+def test_a_repeated_id_is_learned_once(spark):
+    once = [(i, f"word{i % 7} {'bad group' if i % 3 == 0 else 'good day'}") for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)], "doc_id long, toxic int")
+    many = spark.createDataFrame(once + [once[3]] * 500, "doc_id long, text string")
+    a, b = T.learned(spark.createDataFrame(once, "doc_id long, text string"), labels), T.learned(many.repartition(7), labels)
+    assert a.bias == b.bias and (a.weight == b.weight).all() and (a.factors == b.factors).all()
