@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediawatch.llm import decontamination, language, line_templates, near_copies, packing
+from mediawatch.llm import decontamination, language, line_templates, near_copies, packing, simhash
 from mediawatch.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,8 +31,12 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, with the lowest id, of every group linked by a Jaccard similarity of 0.8 on five words."""
-    return near_copies.keep_one(docs)
+    """One document, with the lowest id, of every group of near copies.
+
+    op6's covering search links SimHash fingerprints at three bits; MinHash bands find the pairs beyond its reach, with a
+    Jaccard similarity of 0.8 on five words. Groups are what links of either kind connect.
+    """
+    return near_copies.keep_one(docs, radius=simhash.RADIUS)
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

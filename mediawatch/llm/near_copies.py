@@ -3,7 +3,8 @@
 At a similarity of 0.8 SimHash fingerprints of 64 bits differ in 10 bits on average and often in more than 15, so
 covering masks (2^(r + 1) - 1 of them) cannot reach these pairs. A band is four MinHash values; a pair of similarity
 s shares one of 24 bands with probability 1 - (1 - s^4)^24, which is 0.999997 at 0.8. Whatever shares a band
-is then decided by the sets of shingle hashes (64 bits) themselves.
+is then decided by the sets of shingle hashes (64 bits) themselves. SimHash links (`simhash.near_links`) can be
+asked for as well; groups are then what links of either kind connect.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediawatch.llm import simhash
 from mediawatch.llm.common import hidden, shipped, stored
 from mediawatch.operators.graph import connected_components
 
@@ -89,8 +91,9 @@ def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(_id, _row, _set, _bands): per row its id, a hash of all its columns, its set's hash and band keys."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, fingerprints: bool = False) -> DataFrame:
+    """(_id, _row, _set, _bands, _fp): per row its id, a hash of all its columns, its set's hash and band keys, and its
+    SimHash fingerprint if `fingerprints` are wanted (else null)."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,13 +101,31 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
             found = [shingle_set(t.as_py(), words) for t in batch.column(2)]
             names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], dtype=np.uint64).view(np.int64)
             keys = pa.array([bands(s) for s in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), keys], ["_id", "_row", "_set", "_bands"])
+            own = [simhash.simhash(t.as_py()) for t in batch.column(2)] if fingerprints else []
+            fps = pa.array(np.array(own, dtype=np.uint64).view(np.int64)) if fingerprints else pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(names), keys, fps], ["_id", "_row", "_set", "_bands", "_fp"]
+            )
 
     return docs.select(F.col(f"`{id_col}`").alias("_id"), row_hash(docs).alias("_row"), F.col(f"`{text_col}`").cast("string")).mapInArrow(
-        sketched, f"_id {id_type}, _row long, _set long, _bands array<long>"
+        sketched, f"_id {id_type}, _row long, _set long, _bands array<long>, _fp long"
     )
 
 
+def fingerprint_links(marked: DataFrame, radius: int) -> DataFrame:
+    """(a, b) links between distinct sets (of `sketches`) that connect all rows whose fingerprints are within `radius` bits.
+
+    The lowest set of a fingerprint stands for it; the covering search links the fingerprints.
+    """
+    owned = stored(marked.select("_fp", "_set").distinct(), "fingerprint-sets")
+    heads = stored(owned.groupBy("_fp").agg(F.min("_set").alias("_head"), F.count("*").alias("_n")), "fingerprint-heads")
+    near = simhash.near_links(heads.select(F.col("_fp").alias("fp")), radius)
+    a, b = (heads.select(F.col("_fp").alias(c), F.col("_head").alias(f"_{c}")) for c in ("a", "b"))
+    between = near.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    within = owned.join(heads.filter("_n > 1"), "_fp").select(F.col("_set").alias("a"), F.col("_head").alias("b"))
+    return between.unionByName(within).filter("a <> b")
+
+
 def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, least: float, tile: int) -> DataFrame:
     """(a, b) links between distinct sets that connect all pairs that are similar and share a band."""
     keyed = distinct.select("_set", F.posexplode("_bands").alias("t", "k"))
@@ -168,20 +189,24 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, word
 
 
 def keep_one(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = SIMILAR, tile: int = TILE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = SIMILAR, tile: int = TILE,
+    radius: int | None = None,
 ) -> DataFrame:
     """One row of every group of near copies, all columns kept: that with the lowest id.
 
-    Groups are what pairs of Jaccard similarity `least` or more connect. Texts without words are copies of
-    one another. A row without id stays only if no row of its group has one; of rows with the lowest id, and of repeated
+    Groups are what pairs of Jaccard similarity `least` or more connect, and with a `radius` also pairs whose SimHash
+    fingerprints differ in so many bits at most. Texts without words are copies of one another. A row without id stays only if no row of its group has one; of rows with the lowest id, and of repeated
     rows, one stays. An empty table gives no rows.
     """
-    marked = stored(sketches(docs, id_col, text_col, words), "shingle-sketches")
+    marked = stored(sketches(docs, id_col, text_col, words, radius is not None), "shingle-sketches")
     place = F.struct(F.col("_id").isNull().alias("_none"), F.col("_id"), F.col("_row"))
     distinct = stored(
         marked.groupBy("_set").agg(F.min(place).alias("_first"), F.count("*").alias("_n"), F.min("_bands").alias("_bands")), "distinct-sets"
     )
-    groups = connected_components(links(docs, distinct, id_col, text_col, words, least, tile))
+    linked = links(docs, distinct, id_col, text_col, words, least, tile)
+    if radius is not None:
+        linked = linked.unionByName(fingerprint_links(marked, radius)).distinct()
+    groups = connected_components(linked)
     owned = distinct.drop("_bands").join(groups.withColumnRenamed("id", "_set"), "_set", "left").withColumn(
         "component", F.coalesce("component", "_set")
     )
@@ -192,7 +217,7 @@ def keep_one(
     )
     own_id, own_row = hidden(docs, "copy_id"), hidden(docs, "copy_row")
     copies = stored(
-        marked.drop("_bands").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+        marked.drop("_bands", "_fp").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
         .join(shipped(lookup), ["_set", "_salt"])
         .groupBy(F.col("_id").alias(own_id), F.col("_row").alias(own_row))
         .agg(F.count("*").alias("_n"), F.first(place == F.col("_keeper")).alias("_stays")),

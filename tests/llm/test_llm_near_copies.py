@@ -1,7 +1,9 @@
 import random
 
 import odd
+import corpus_pipeline as P
 from mediawatch.llm import near_copies as N
+from mediawatch.llm import simhash
 from pyspark.sql import functions as F
 
 
@@ -48,3 +50,25 @@ def test_repeated_rows_and_rows_without_id_leave_one(spark):
     assert N.keep_one(odd.empty(spark)).count() == 0
     unnamed = docs.filter("doc_id is null or doc_id in (4, 5)").withColumn("doc_id", F.lit(None).cast("long"))
     assert sorted(r["text"] or "" for r in N.keep_one(unnamed).collect()) == ["", odd.TEXTS[4]]
+
+
+def test_the_pipeline_stage_links_fingerprints_and_similar_sets(spark):
+    draw = random.Random(8)
+    words = [f"w{draw.randrange(5000)}" for _ in range(60)]
+    # Repeats weigh in the fingerprint alone: one passage twenty times with two ends has equal bits and unlike sets.
+    flat = " ".join(["a b c d e f g h i"] * 20)
+    near = [" ".join(words), " ".join(words[:-1] + ["other"])]
+    twins = [f"{flat} q r s t", f"{flat} z v u w", "x1 a b c d e f g h i"]
+    rows = [(i, t) for i, t in enumerate([*near, *twins, " ".join(words[::-1]), None])]
+    group = {i: i for i, _ in rows}
+    bits = 0
+    for a, x in rows:
+        for b, y in rows:
+            close = (simhash.simhash(x) ^ simhash.simhash(y)).bit_count() <= 3
+            bits += b < a and close and jaccard(x, y) < 0.8
+            if b < a and (close or jaccard(x, y) >= 0.8) and group[a] != group[b]:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {i: new if g == old else g for i, g in group.items()}
+    assert bits
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in P.keep_one_of_near_copies(spark, df, "").collect()} == set(group.values())
