@@ -60,10 +60,10 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as chunks: 60 channels, bursts of eight 30 s chunks, whole texts.
 
     About three in a hundred are followed after 15 s by a silent chunk, a row of its own with a negative id.
-    The driver's table is one file of one row group, so one task would read it; a chunk table in use has a folder a
-    day. Its rows are therefore dealt out here, by id.
+    The driver's small table is one file of one row group, so one task would read it; a chunk table in use has a folder
+    a day. Such a table's rows are therefore dealt out here, by id.
     """
-    documents = _table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    documents = _dealt_out(_table(spark, sf_dir, "documents"), sf_dir)
 
     def dealt(rows: DataFrame, chunk_id: str, later: str, text: str, seconds: str) -> DataFrame:
         return rows.selectExpr(
@@ -85,6 +85,21 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spoken.unionByName(dealt(pauses, "-1 - doc_id", "15", silence, "15.0D"))
 
 
+_EVEN: dict[tuple[str, str], int] = {}
+
+
+def _dealt_out(documents: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows as they lie if no task would read more than twice its share, else dealt by id over as many tasks."""
+    context = documents.sparkSession.sparkContext
+    key = (context.applicationId, sf_dir)
+    if key not in _EVEN:
+        read = documents.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        whole = read.agg(F.max("n").alias("most"), F.sum("n").alias("n")).first()
+        tasks = max(context.defaultParallelism, documents.rdd.getNumPartitions())
+        _EVEN[key] = tasks if (whole["most"] or 0) * context.defaultParallelism > 2 * (whole["n"] or 0) else 0
+    return documents.repartition(_EVEN[key], "doc_id") if _EVEN[key] else documents
+
+
 def searches(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     def row(r: tuple) -> str:
         kws = ", ".join(f"'{k}'" for k in r[3])

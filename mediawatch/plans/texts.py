@@ -10,6 +10,7 @@ from mediawatch.functions import text as T
 from mediawatch.operators.matching import match_chunks
 from mediawatch.plans import oracle as O
 from mediawatch.plans.registry import query
+from mediawatch.scale import pinned
 
 
 @query(
@@ -55,12 +56,13 @@ def content_words(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def text_shingles(spark: SparkSession, sf: str) -> DataFrame:
-    norm = X.chunks(spark, sf).select("id", T.content_words(F.col("text"))["norm"].alias("ns"))
-    exploded = norm.select("id", F.explode(T.shingles(F.col("ns"))).alias("sh"))
-    return exploded.groupBy("id").agg(
-        F.count(F.lit(1)).alias("n_shingles"),
-        F.min("sh").alias("first_shingle"),
-        F.max("sh").alias("last_shingle"),
+    # Counted inside the row: one thin row a chunk meets the others of its id, however many shingles it has.
+    held = pinned(X.chunks(spark, sf).select("id", "text"), "sh", T.shingles(T.content_words(F.col("text"))["norm"]))
+    rows = held.select("id", F.size("sh").alias("n"), F.array_min("sh").alias("first"), F.array_max("sh").alias("last"))
+    return rows.filter("n > 0").groupBy("id").agg(
+        F.sum("n").alias("n_shingles"),
+        F.min("first").alias("first_shingle"),
+        F.max("last").alias("last_shingle"),
     )
 
 

@@ -214,3 +214,14 @@ def test_names_and_addresses(spark):
     assert one(spark, T.raw_stream_url(lit("http://h/s?a=1&b=2"))) == "http://h/s?profile=pass"
     assert one(spark, T.mask_user_info(lit("http://u:p@h:1/s"))) == "http://h:1/s"
     assert one(spark, T.header_value(lit("Origin: https://x.y"))) == "https://x.y"
+
+
+def test_shingles_are_counted_inside_the_row(spark, tmp_path):
+    from mediawatch.plans import texts
+
+    rows = [(1, "a b c d e f a b c d e"), (1, "z y"), (2, None), (3, "...")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = texts.text_shingles(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 7, "a b c d e", "z y")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "array_min" in plan and "partial_count" not in plan
