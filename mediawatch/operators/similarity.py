@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mediawatch.functions import text as T
 from mediawatch.operators.graph import connected_components, star_links
-from mediawatch.scale import stored
+from mediawatch.scale import shipped, stored
 
 # Fixed values.
 SHINGLE = 5
@@ -78,65 +78,53 @@ def shingle_counts(wins: DataFrame, max_docs: int | None = None) -> DataFrame:
     return counts.withColumn("usable", usable)
 
 
+def _held_by(wins: DataFrame, asked: DataFrame, max_docs: int) -> DataFrame:
+    """(search_id, shingle) of those asked for that at most `max_docs` matches of the search hold."""
+    held = wins.select("search_id", F.explode(F.array_distinct(_runs("norm"))).alias("shingle"))
+    met = held.join(shipped(stored(asked.distinct(), "asked-shingles")), ["search_id", "shingle"], "left_semi")
+    return met.groupBy("search_id", "shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= max_docs).drop("n")
+
+
 def spot_links(
     wins: DataFrame, min_words: int = MIN_WORDS, max_docs: int | None = None
 ) -> DataFrame:
     """Links between matches that share a run of `min_words` around a mention.
 
-    With `max_docs` a link also needs a shared shingle held by at most so many matches: a key all of
-    whose inner shingles are held by more is then grouped once more by each usable shingle of its
-    matches, which are joined to these rows alone.
+    Matches meet on the digests of their runs (`run_keys`). With `max_docs` a link also needs a shared shingle held by at
+    most so many matches: a key all of whose inner shingles are held by more is then grouped once more by each
+    usable shingle of its matches. Only the shingles inside shared keys, and of such matches, are counted.
     """
-    need = min_words - 1
-    runs = wins.select("search_id", "match_id", F.posexplode(_runs("norm")).alias("pos", "shingle"))
-    shared = runs.join(
-        shingle_counts(wins, max_docs).select("search_id", "shingle", "usable"), ["search_id", "shingle"]
-    )
-    marks = shared.groupBy("match_id").agg(
-        F.collect_set("pos").alias("_held"), F.collect_set(F.when(F.col("usable"), F.col("pos"))).alias("_open")
-    )
-    ia = F.col("ia")
-
-    def reach(start, step: int) -> Column:
-        """Words beside the mention that lie in an unbroken row of shared shingles."""
-        return F.aggregate(
-            F.sequence(F.lit(SHINGLE), F.lit(need)),
-            F.lit(SHINGLE - 1),
-            lambda n, d: F.when((n == d - 1) & F.array_contains("_held", start(d)), d).otherwise(n),
-        )
-
-    # A key that two matches share has all its inner shingles shared; other keys are never built.
-    at = wins.select("search_id", "match_id", "norm", F.explode("anchors").alias("ia")).join(marks, "match_id")
-    lean = at.withColumn("_left", F.least(ia, reach(lambda d: ia - d, -1))).withColumn(
-        "_right", F.least(F.size("norm") - 1 - ia, reach(lambda d: ia + d - SHINGLE + 1, 1))
-    )
-    lefts = F.sequence(F.greatest(F.lit(0), need - F.col("_right")), F.col("_left"))
-    keyed = (
-        lean.filter(F.col("_left") + F.col("_right") >= need)
-        .withColumn("l", F.explode(lefts))
-        .filter(F.col("l") <= need)
-        .withColumn("r", need - F.col("l"))
+    if max_docs is None:
+        return star_links(run_keys(wins, min_words).filter("search_id is not null"), ["search_id", "key"], "match_id")
+    placed = F.struct("match_id", "ia", "l").alias("_at")
+    keys = stored(_placed_keys(wins, min_words).filter("search_id is not null"), "spot-keys")
+    shared = stored(
+        keys.groupBy("search_id", "key").agg(F.min(placed).alias("_at"), F.max("match_id").alias("_last"))
+        .filter(F.col("_at.match_id") < F.col("_last")).select("search_id", "key", "_at.*"), "shared-keys",
     )
-    before = F.exists("_open", lambda p: (p >= ia - F.col("l")) & (p <= ia - SHINGLE))
-    after = F.exists("_open", lambda p: (p > ia) & (p <= ia + F.col("r") - SHINGLE + 1))
-    key = F.concat_ws(
-        " ",
-        F.col("l").cast("string"),
-        F.array_join(F.slice("norm", F.col("ia") - F.col("l") + 1, F.col("l")), " "),
-        F.lit("|"),
-        F.array_join(F.slice("norm", F.col("ia") + 2, F.col("r")), " "),
+    # A key fixes its words, so one match tells the shingles inside it.
+    ia, l, r = F.col("ia"), F.col("l"), F.lit(min_words - 1) - F.col("l")
+    inner = F.filter(
+        F.transform(_runs("norm"), lambda s, p: F.struct(s.alias("shingle"), p.alias("p"))),
+        lambda s: ((s["p"] >= ia - l) & (s["p"] <= ia - SHINGLE)) | ((s["p"] > ia) & (s["p"] <= ia + r - SHINGLE + 1)),
     )
-    rows = stored(
-        keyed.select("search_id", "match_id", key.alias("key"), (before | after).alias("_direct")), "spot-keys"
+    told = wins.select("search_id", "match_id", "norm").join(shared, ["search_id", "match_id"])
+    held = stored(told.select("search_id", "key", F.explode(inner["shingle"]).alias("shingle")).distinct(), "key-shingles")
+    usable = _held_by(wins, held.select("search_id", "shingle"), max_docs)
+    direct = stored(held.join(usable, ["search_id", "shingle"]).select("search_id", "key").distinct(), "direct-keys")
+    members = keys.join(shared.select("search_id", "key"), ["search_id", "key"]).select("search_id", "key", "match_id").distinct()
+    links = star_links(members.join(direct, ["search_id", "key"]), ["search_id", "key"], "match_id")
+    rest = stored(members.join(direct, ["search_id", "key"], "left_anti"), "indirect-keys")
+    if rest.isEmpty():
+        return links
+    own = rest.select("search_id", "match_id").distinct()
+    runs = wins.join(own, ["search_id", "match_id"], "left_semi").select(
+        "search_id", "match_id", F.explode(F.array_distinct(_runs("norm"))).alias("shingle")
     )
-    direct = star_links(rows.filter("_direct").select("search_id", "key", "match_id"), ["search_id", "key"], "match_id")
-    if max_docs is None:
-        # Whatever two matches share has shared shingles only, so every key is direct.
-        return direct
-    usable = shared.filter("usable").select("match_id", "shingle").distinct()
-    via = rows.filter("NOT _direct").select("search_id", "key", "match_id").join(usable, "match_id")
+    open_runs = runs.join(_held_by(wins, runs.select("search_id", "shingle"), max_docs), ["search_id", "shingle"])
+    via = rest.join(open_runs.distinct(), ["search_id", "match_id"])
     indirect = star_links(via.select("search_id", "key", "match_id", "shingle"), ["search_id", "key", "shingle"], "match_id")
-    return direct.unionByName(indirect).distinct()
+    return links.unionByName(indirect).distinct()
 
 
 def _run(a: Column, b: Column, ia: Column, ib: Column, step: int, limit: Column) -> Column:
@@ -232,6 +220,11 @@ def run_keys(wins: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Made from a match alone, whatever other matches there are; keys are digests.
     """
+    return _placed_keys(wins, min_words).select("search_id", "key", "match_id").distinct()
+
+
+def _placed_keys(wins: DataFrame, min_words: int) -> DataFrame:
+    """(search_id, match_id, ia, l, key): the keys with the mention's place and the words before it."""
     need = min_words - 1
     at = wins.select("search_id", "match_id", "norm", F.explode("anchors").alias("ia"))
     ia, lefts = F.col("ia"), F.sequence(F.greatest(F.lit(0), need - (F.size("norm") - 1 - F.col("ia"))), F.least(F.col("ia"), F.lit(need)))
@@ -241,7 +234,8 @@ def run_keys(wins: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         before, after = F.slice("norm", ia - l + 1, l), F.slice("norm", ia + 2, need - l)
         return F.md5(F.concat_ws(" ", l.cast("string"), F.array_join(before, " "), F.lit("|"), F.array_join(after, " ")))
 
-    return at.filter(room & (F.col("ia") >= 0)).select("search_id", F.explode(F.transform(lefts, key)).alias("key"), "match_id").distinct()
+    keyed = F.transform(lefts, lambda l: F.struct(l.alias("l"), key(l).alias("key")))
+    return at.filter(room & (F.col("ia") >= 0)).select("search_id", "match_id", "ia", F.inline(keyed))
 
 
 def merged(members: DataFrame, fragments: DataFrame | None = None) -> DataFrame:

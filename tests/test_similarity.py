@@ -171,3 +171,16 @@ def test_clusters_with_the_same_fragment_merge(spark):
     wins = windows_of(spark, texts).cache()
     assert similarity.clustered(wins).select("cluster_id").distinct().count() == 2
     assert similarity.cluster_members(wins).select("cluster_id").distinct().count() == 1
+
+
+def test_links_count_no_shingles_of_unshared_keys(spark, monkeypatch):
+    wins = windows_of(spark, sample()).cache()
+    want = similarity.spot_links(wins).count()
+
+    def unasked(*_):
+        raise AssertionError("all shingles counted")
+
+    monkeypatch.setattr(similarity, "shingle_counts", unasked)
+    assert similarity.spot_links(wins, max_docs=10**9).count() == want > 0
+    monkeypatch.setattr(similarity, "_runs", unasked)
+    assert similarity.spot_links(wins).count() == want
