@@ -204,18 +204,21 @@ def spaced_hits(hits: DataFrame, gap: int = DEDUP_SECONDS) -> DataFrame:
 def with_context(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Attach the text of the hit's chunk and of its nearest neighbours on the channel.
 
-    The neighbours are found on a narrow (channel, ts) projection. Each hit then asks for three instants; these are
+    The neighbours are found on a narrow (channel, ts) projection. The hits of a chunk ask together for three instants; these are
     shipped to the texts (beyond the bounds of `shipped` exchanged with them), which are read once, from the days
     that hold one, and go to their hit with their role. A neighbour without speech is still the neighbour, and
     contributes nothing; of several chunks at one instant the lowest id is the neighbour.
     """
     marks = ordered.neighbour_instants(chunks, ["channel_id"], "ts")
-    placed = stored(
-        hits.join(marks, ["channel_id", "ts"]).withColumn("_hit", F.monotonically_increasing_id()), "placed-hits"
+    placed = hits.join(marks, ["channel_id", "ts"])
+    at = ["channel_id", "ts", "id", "prev_ts", "next_ts"]
+    own = F.struct(*[c for c in placed.columns if c not in at])
+    centres = stored(
+        placed.groupBy(*at).agg(F.collect_list(own).alias("_own")).withColumn("_hit", F.monotonically_increasing_id()), "placed-hits"
     )
     roles = [F.struct(F.lit(role).alias("role"), F.col(at).alias("ts")) for role, at in (("cur", "ts"), ("prev", "prev_ts"), ("next", "next_ts"))]
     asked = stored(
-        placed.select("_hit", "channel_id", F.col("id").alias("_id"), F.explode(F.array(*roles)).alias("_a"))
+        centres.select("_hit", "channel_id", F.col("id").alias("_id"), F.explode(F.array(*roles)).alias("_a"))
         .select("_hit", "channel_id", "_id", "_a.role", "_a.ts").filter(F.col("ts").isNotNull()),
         "asked-instants",
     )
@@ -236,7 +239,8 @@ def with_context(hits: DataFrame, chunks: DataFrame) -> DataFrame:
         text_of("cur").alias("cur_text"), text_of("prev").alias("prev_text"), text_of("next").alias("next_text"),
         F.count(F.when(F.col("role") == "cur", 1)).alias("_here"),
     ).filter("_here > 0").select("_hit", "cur_text", spoken("prev_text"), spoken("next_text"))
-    return placed.join(texts, "_hit").drop("_hit", "prev_ts", "next_ts")
+    found = centres.join(texts, "_hit").select("channel_id", "ts", "id", "cur_text", "prev_text", "next_text", F.inline("_own"))
+    return found.select(*hits.columns, "cur_text", "prev_text", "next_text")
 
 
 def as_matches(hits: DataFrame, found_at: Column | None = None) -> DataFrame:

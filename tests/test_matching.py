@@ -216,3 +216,23 @@ def test_a_bitmap_too_small_only_lets_more_through(spark, monkeypatch):
     monkeypatch.setattr(matching, "MOST_BITS", 6)
     got = {(r["keyword"], r["id"]) for r in matching.match_chunks(c, s).collect()}
     assert got == {(k, i) for i in range(30) for k in [f"palabra{j}" for j in range(0, 30, 2)] if k in f"palabra{i} abc"}
+
+
+def test_the_hits_of_a_chunk_ask_for_its_texts_once(spark, monkeypatch):
+    c = chunks(spark, [(i, 1, 30 * i, f"sol mar {i}") for i in range(4)])
+    asked = {}
+
+    def counted(df, name):
+        out = stored(df, name)
+        asked[name] = out.count()
+        return out
+
+    stored = matching.stored
+    monkeypatch.setattr(matching, "stored", counted)
+    off = searches(spark, search(1, ("sol", "mar"), dedup_channel=False), search(2, ("sol",), dedup_channel=False))
+    rows = matching.backfill(c, off).collect()
+    assert len(rows) == 12 and asked["asked-instants"] == 10  # four chunks, three neighbours before and three after
+    for r in rows:
+        i = r["chunk_id"]
+        want = [f"sol mar {j}" if 0 <= j < 4 else None for j in (i - 1, i, i + 1)]
+        assert [r["prev_text"], r["cur_text"], r["next_text"]] == want
