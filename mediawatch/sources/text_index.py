@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediawatch.operators.retrieval import BLOCK_IDS, PARTS, TextIndex, bucket_of, tables_of, tokenised
-from mediawatch.scale import discard, shipped, stored
+from mediawatch.operators.retrieval import BLOCK_IDS, PARTS, TextIndex, bucket_of, tables_of, term_places, tokenised
+from mediawatch.scale import discard, pinned, shipped, stored, stored_bytes
 from mediawatch.sources import manifest
 
 TABLES = ["postings", "documents", "terms", "totals", "blocks", "removed"]
@@ -26,6 +26,9 @@ SCHEMAS = {
     "removed": "doc_id bigint, seg int",
 }
 
+#: Most bytes of stored terms whose postings one task sorts, in memory; and least, as a task writes a file a bucket.
+PART_BYTES, LEAST_BYTES = 32 << 20, 1 << 20
+
 
 def segments(spark: SparkSession, path: str) -> list[int]:
     return [int(n.split("=")[1]) for n in manifest.folders(spark, path)]
@@ -82,15 +85,36 @@ def _segment(spark: SparkSession, path: str, postings: DataFrame, documents: Dat
     _write(block_rows(written["postings"], written["documents"]), path, "blocks", seg)
 
 
+def _new_segment(tokens: DataFrame, path: str, seg: int) -> None:
+    """A segment of `tokenised` chunks. The texts' terms are dealt out by block, as one string a chunk, which is several
+    times less than their postings; a part's postings are then sorted where they are, without another exchange."""
+    spark = tokens.sparkSession
+    size = stored_bytes(tokens)
+    parts = max(min(spark.sparkContext.defaultParallelism, 1 + size // LEAST_BYTES), -(-size // PART_BYTES))
+    said = tokens.select("doc_id", block_of(F.col("doc_id")).alias("block"), F.array_join("_t", " ").alias("_s"))
+    dealt = pinned(said.filter("_s <> ''").repartition(parts, "block"), "_t", F.split("_s", " "))  # terms have no spaces
+    postings = dealt.select("doc_id", F.size("_t").alias("doc_len"), "block", F.inline(term_places(F.col("_t")))).select(
+        "doc_id", "term", "doc_len", F.size("places").cast("bigint").alias("tf"), "places", "block", bucket_of(F.col("term")).alias("bucket")
+    )
+    _write_sorted(postings, path, "postings", seg)
+    _write(tables_of(tokens).documents, path, "documents", seg)
+    written = {n: spark.read.schema(SCHEMAS[n]).parquet(f"{path}/{n}").filter(F.col("seg") == seg) for n in ("postings", "documents")}
+    _write_sorted(block_rows(written["postings"], written["documents"]), path, "blocks", seg)
+
+
+def _write_sorted(rows: DataFrame, path: str, name: str, seg: int) -> None:
+    """One segment of one table, each task's rows in order; a hot term's rows lie in the files of many tasks."""
+    rows.sortWithinPartitions(*[c for c in ("bucket", "term", "block") if c in rows.columns]).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}/seg={seg}")
+
+
 def append_index(chunks: DataFrame, path: str) -> int:
     """Add new chunks as a segment: only their own postings, counts and bounds are written. The segment's number."""
     spark = chunks.sparkSession
     seg = _next(spark, path)
     tokens = stored(tokenised(chunks), "tokenised-chunks")
-    new = tables_of(tokens)
-    _segment(spark, path, new.postings.withColumn("block", block_of(F.col("doc_id"))), new.documents, seg)
-    _write(dictionary(tokens.select(F.array_distinct("_t").alias("terms"))), path, "terms", seg)
-    _write(_totals(new.documents), path, "totals", seg)
+    _new_segment(tokens, path, seg)
+    _write_sorted(dictionary(tokens.select(F.array_distinct("_t").alias("terms"))), path, "terms", seg)
+    _write(_totals(tables_of(tokens).documents), path, "totals", seg)
     discard(tokens)
     manifest.publish(spark, path, [*manifest.folders(spark, path), f"seg={seg}"])
     return seg

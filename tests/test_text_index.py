@@ -121,3 +121,18 @@ def test_an_unfinished_publication_is_not_read(spark, tmp_path):
     assert manifest.folders(spark, path) == ["seg=1"] and manifest.versions(spark, path) == [1]
     manifest.publish(spark, path, ["seg=1", "seg=2"])
     assert manifest.folders(spark, path) == ["seg=1", "seg=2"] and manifest.folders(spark, path, 1) == ["seg=1"]
+
+
+def test_an_append_exchanges_terms_not_postings(spark, tmp_path, monkeypatch):
+    """Postings are sorted where their block was dealt to: every block of a segment lies in the files of one task."""
+    monkeypatch.setattr(text_index, "PART_BYTES", 1 << 13)
+    path = str(tmp_path / "index")
+    rows = said(random.Random(4), range(2000)) + [(3000, 1, 5, ""), (3001, 2, 5, "...")]
+    text_index.append_index(chunks(spark, rows), path)
+    index = text_index.read_index(spark, path)
+    task = F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)
+    per = index.postings.select("block", task.alias("task")).distinct().groupBy("block").count()
+    assert per.filter("count > 1").isEmpty() and index.postings.select(task).distinct().count() > 1
+    want = {tuple(r) for r in retrieval.postings(chunks(spark, rows)).selectExpr("doc_id", "term", "doc_len", "tf", "cast(places as string)").collect()}
+    assert {tuple(r) for r in index.postings.selectExpr("doc_id", "term", "doc_len", "tf", "cast(places as string)").collect()} == want
+    assert index.documents.filter("doc_len = 0").count() == sum(not r[3].strip(".") for r in rows)
