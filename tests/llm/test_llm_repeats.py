@@ -61,3 +61,20 @@ def test_odd_rows(spark):
     order = sorted(docs.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
     assert Counter(removed(docs)) == Counter(brute([r["text"] for r in order], 400)) and len(texts) == len(order)
     assert R.without_repeats(odd.empty(spark)).count() == 0
+
+
+def test_planted_passages_go_from_400_bytes_on(spark):
+    """Passages of over 50 words, each in three documents between neighbours of their own: bytes decide, not words."""
+    draw = random.Random(11)
+    words = lambda n: " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(n))
+    sizes = [310, 350, 398, 399, 400, 401, 450, 900]
+    texts, want = [words(draw.randint(0, 300)) for _ in range(20)], [0] * 20
+    for size in sizes:
+        passage = words(size)[:size]
+        assert len(passage.split()) > 50
+        for edge in "-.;":
+            texts.append(words(draw.randint(0, 200)) + edge + passage + edge + words(draw.randint(0, 200)))
+            want.append(size if size >= 400 else 0)
+    got = removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2))
+    assert got == brute(texts, 400)
+    assert [(n, gone, runs) for n, gone, runs, _ in got] == [(len(t), w, int(w > 0)) for t, w in zip(texts, want)]
