@@ -212,7 +212,8 @@ def with_context(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     marks = ordered.neighbour_instants(chunks, ["channel_id"], "ts")
     placed = hits.join(marks, ["channel_id", "ts"])
     at = ["channel_id", "ts", "id", "prev_ts", "next_ts"]
-    own = F.struct(*[c for c in placed.columns if c not in at])
+    rest = [c for c in placed.columns if c not in at]
+    own = F.struct(*(rest or [F.lit(True).alias("_one")]))  # hits may have no other columns; Parquet has no empty structs
     centres = stored(
         placed.groupBy(*at).agg(F.collect_list(own).alias("_own")).withColumn("_hit", F.monotonically_increasing_id()), "placed-hits"
     )
