@@ -78,3 +78,30 @@ def test_planted_passages_go_from_400_bytes_on(spark):
     got = removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2))
     assert got == brute(texts, 400)
     assert [(n, gone, runs) for n, gone, runs, _ in got] == [(len(t), w, int(w > 0)) for t, w in zip(texts, want)]
+
+
+def test_a_large_group_is_divided_in_few_rounds(spark, monkeypatch):
+    """Runs of one word that stop at different places: the members of the group differ at every byte."""
+    draw = random.Random(5)
+    texts = [f"{n % 7}" * (n % 5) + "the " * draw.randint(12, 40) + "," * (n % 3) + "the " * (n % 23) for n in range(120)]
+    rounds, kept = [], R.stored
+    monkeypatch.setattr(R, "stored", lambda df, name: [rounds.append(name), kept(df, name)][1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    real = R.grouped
+    monkeypatch.setattr(R, "grouped", lambda rows, length: [pytest.fail("more rounds than cuts") if rounds.count("large-groups") > 4 else None, real(rows, length)][1])
+    assert removed(df, length=64, anchor=16, most=4) == brute(texts, 64)
+    assert 1 < rounds.count("large-groups") <= 4  # 49 places, then 7, then 1
+
+
+def test_members_are_compared_a_few_times_however_deep_the_intervals(monkeypatch):
+    n, calls, real = 2000, [], R.common
+    monkeypatch.setattr(R, "common", lambda a, b: [calls.append(1), real(a, b)][1])
+    draw = random.Random(6)
+    words = [b"".join(draw.choice([b"a", b"b"]) for _ in range(30)) for _ in range(n)]
+    contexts = [(w + b"x" * (40 + i % 200) + b"%d" % i, 30) for i, w in enumerate(words)]
+    got = R.extents(contexts, 60)
+    assert len(calls) < 40 * n
+    for i in draw.sample(range(n), 25):
+        pairs = [(real(words[i][::-1], w[::-1]), real(contexts[i][0][30:], c[0][30:])) for j, (w, c) in enumerate(zip(words, contexts)) if j != i]
+        good = [(a, b) for a, b in pairs if a + b >= 60]
+        assert got[i] == (max((a for a, _ in good), default=0), max((b for _, b in good), default=0))
