@@ -25,8 +25,14 @@ SLICES = 2
 #: Vectors in a block of candidates and of queries.
 BLOCK = 4096
 QUERIES = 2048
-#: Cells of a score table that one step holds.
+#: Query blocks that a cell of the grid holds at once.
+SHELF = 8
+#: Scores that one step holds.
 CELLS = 1 << 21
+#: Partitions of the grid at most.
+CELLS_AT_ONCE = 4096
+#: Signed types of components, the narrowest first.
+KINDS = (np.int8, np.int16, np.int32, np.int64)
 
 
 def whole_numbers(vector: Column) -> Column:
@@ -45,87 +51,188 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def blocks(vectors: DataFrame, width: int) -> DataFrame:
-    """(block, dim, ids, rows, data): blocks of at most `width` vectors of one dimension, without a shuffle."""
+    """(block, dim, ids, rows, data): blocks of at most `width` vectors of one dimension, without a shuffle.
+
+    `data` has the components row by row, in the narrowest of the signed types that holds all of the block.
+    """
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list[tuple]] = {}
 
-        def block(dim: int) -> pa.RecordBatch:
-            ids, rows, data = zip(*waiting.pop(dim))
-            table = np.array(data, dtype="<i8").reshape(len(ids), dim)
+        def block(dim: int, parts: list[tuple]) -> pa.RecordBatch:
+            ids, rows, table = (np.concatenate(x) for x in zip(*parts))
+            kind = next(t for t in KINDS if not table.size or np.iinfo(t).min <= table.min() and table.max() <= np.iinfo(t).max)
             return pa.RecordBatch.from_arrays(
                 [pa.array([rows[0]]), pa.array([dim], pa.int32()), pa.array([ids], pa.list_(pa.int64())),
-                 pa.array([rows], pa.list_(pa.int64())), pa.array([table.tobytes()], pa.binary())],
+                 pa.array([rows], pa.list_(pa.int64())), pa.array([table.astype(kind).tobytes()], pa.binary())],
                 ["block", "dim", "ids", "rows", "data"],
             )
 
         for batch in batches:
-            for i, v, r in zip(*(c.to_pylist() for c in batch.columns)):
-                waiting.setdefault(len(v), []).append((i, r, v))
-                if len(waiting[len(v)]) == width:
-                    yield block(len(v))
-        for dim in list(waiting):
-            yield block(dim)
+            ids, rows = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            vectors, sizes = batch.column(1), batch.column(1).value_lengths().to_numpy()
+            for dim in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == dim)
+                table = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
+                parts = waiting.setdefault(dim, [])
+                have = sum(len(x[0]) for x in parts)
+                first = 0
+                while first < len(at):
+                    last = min(first + width - have, len(at))
+                    parts.append((ids[at[first:last]], rows[at[first:last]], table[first:last]))
+                    have += last - first
+                    first = last
+                    if have == width:
+                        yield block(dim, parts)
+                        parts.clear()
+                        have = 0
+        for dim, parts in waiting.items():
+            if parts:
+                yield block(dim, parts)
 
     return vectors.select("id", "vector", "_row").mapInArrow(
         packed, "block long, dim int, ids array<long>, rows array<long>, data binary"
     )
 
 
+def table_of(data: bytes, n: int, dim: int) -> np.ndarray:
+    """The components of a block of n vectors."""
+    return np.frombuffer(data, dtype=f"<i{len(data) // (n * dim) if n * dim else 8}").reshape(n, dim)
+
+
 def partial_scores(q: np.ndarray, c: np.ndarray, slices: int) -> tuple[list[np.ndarray], bool]:
-    """A table of partial scores per slice, and whether they are doubles: only if all sums are exact in these."""
+    """A table of partial scores per slice, and whether they are floating: only if all sums are exact in these."""
     dim = q.shape[1]
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * dim
-    exact = top < 2.0**53
-    if exact:
-        q, c = q.astype(np.float64), c.astype(np.float64)
+    top = max_size(q) * max_size(c) * dim
+    kind = np.float32 if top < 2.0**24 else np.float64 if top < 2.0**53 else np.int64
+    q, c = q.astype(kind), c.astype(kind)
     edges = [dim * i // slices for i in range(slices + 1)]
-    return [q[:, a:b] @ c[:, a:b].T for a, b in zip(edges, edges[1:])], exact
+    return [q[:, a:b] @ c[:, a:b].T for a, b in zip(edges, edges[1:])], kind is not np.int64
 
 
-def searched(pairs: DataFrame, k: int, slices: int, with_cutoff: bool) -> DataFrame:
-    """(query_row, query_id, vec_id, vec_row, score): up to k entries per query and block of candidates.
+def max_size(x: np.ndarray) -> float:
+    return max(float(x.max(initial=0)), -float(x.min(initial=0)))
 
-    Without cutoffs the k best of each slice's list, with them all that can reach the cutoff.
-    """
 
-    def entries_of(parts: list[np.ndarray], exact: bool, cutoff: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """(query, candidate) places to score in full."""
-        rows, width = parts[0].shape
-        if cutoff is not None:
-            if not exact:
-                return np.divmod(np.arange(rows * width), width)
-            share = (cutoff / slices)[:, None]
-            reach = parts[0] >= share
-            for p in parts[1:]:
-                reach |= p >= share
-            return np.nonzero(reach)
-        n = min(k + 1, width)  # the query itself may be one of the best
-        tops = np.concatenate([np.argpartition(p, width - n, axis=1)[:, width - n :] for p in parts], axis=1)
-        tops.sort(axis=1)
-        new = np.ones(tops.shape, dtype=bool)
-        new[:, 1:] = tops[:, 1:] != tops[:, :-1]
-        at = np.nonzero(new)
-        return at[0], tops[at]
+def best_of_lists(parts: list[np.ndarray], q_rows: np.ndarray, c_rows: np.ndarray, k: int) -> np.ndarray:
+    """The full scores of the best entries of each slice's list, without the query itself; -inf where there are fewer."""
+    width = parts[0].shape[1]
+    n = min(k + 1, width)  # the query itself may be one of the best
+    tops = np.concatenate([np.argpartition(p, width - n, axis=1)[:, width - n :] for p in parts], axis=1)
+    tops.sort(axis=1)
+    score = sum(np.take_along_axis(p, tops, axis=1) for p in parts).astype(np.float64)
+    score[:, 1:][tops[:, 1:] == tops[:, :-1]] = -np.inf
+    score[c_rows[tops] == q_rows[:, None]] = -np.inf
+    return score
+
+
+def k_best(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k highest of each row, at least one of which has k."""
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k :]
+
+
+def cells(met: DataFrame) -> DataFrame:
+    """Rows of a cell of the grid together: query blocks (0), their cutoffs (1), candidate blocks (2)."""
+    return met.sortWithinPartitions("shelf", "group", "dim", "kind", "slot").select(
+        "shelf", "group", "dim", "kind", "slot", "ids", "rows", "data"
+    )
+
+
+def walked(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """(queries by slot, cutoffs by slot, candidate block or None at the end of a cell) from the rows of cells."""
+    key, queries, cutoffs = None, {}, {}
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row = {n: batch.column(n)[at] for n in batch.schema.names}
+            own = tuple(row[n].as_py() for n in ("shelf", "group", "dim"))
+            if own != key:
+                if key is not None:
+                    yield queries, cutoffs, None
+                key, queries, cutoffs = own, {}, {}
+            data, slot = row["data"].as_py(), row["slot"].as_py()
+            if row["kind"].as_py() == 1:
+                cutoffs[slot] = np.frombuffer(data)
+                continue
+            ids, rows = (row[n].values.to_numpy() for n in ("ids", "rows"))
+            block = (ids, rows, table_of(data, len(ids), own[2]))
+            if row["kind"].as_py() == 0:
+                queries[slot] = block
+            else:
+                yield queries, cutoffs, block
+    if key is not None:
+        yield queries, cutoffs, None
+
+
+def bounded(met: DataFrame, k: int, slices: int) -> DataFrame:
+    """(slot, data): for each query of a block its cutoff, the k-th best of the scores found in the lists of all cells."""
+
+    def gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, np.ndarray] = {}
+        for queries, _, block in walked(batches):
+            if block is None:
+                for slot, found in best.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([found.tobytes()])], ["slot", "data"])
+                best = {}
+                continue
+            _, c_rows, c = block
+            step = max(1, CELLS // len(c_rows))
+            for slot, (_, q_rows, q) in queries.items():
+                if slot not in best:
+                    best[slot] = np.full((len(q_rows), k), -np.inf)
+                for first in range(0, len(q_rows), step):
+                    own = slice(first, first + step)
+                    found = best_of_lists(partial_scores(q[own], c, slices)[0], q_rows[own], c_rows, k)
+                    best[slot][own] = k_best(np.concatenate([best[slot][own], found], axis=1), k)
+
+    def united(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, best = None, None
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([best.min(axis=1).tobytes()])], ["slot", "data"])
 
-    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                row = {n: batch.column(n)[at].as_py() for n in batch.schema.names}
-                q_ids, q_rows = np.array(row["q_ids"]), np.array(row["q_rows"])
-                c_ids, c_rows = np.array(row["ids"]), np.array(row["rows"])
-                q = np.frombuffer(row["q_data"], dtype="<i8").reshape(len(q_ids), row["dim"])
-                c = np.frombuffer(row["data"], dtype="<i8").reshape(len(c_ids), row["dim"])
-                cutoff = np.array(row["q_cutoff"], dtype=np.float64) if with_cutoff else None
-                step = max(1, CELLS // len(c_ids))
+            for own, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = np.frombuffer(data.as_py()).reshape(-1, k)
+                if own != slot:
+                    if slot is not None:
+                        yield sent()
+                    slot, best = own, found
+                else:
+                    best = k_best(np.concatenate([best, found], axis=1), k)
+        if slot is not None:
+            yield sent()
+
+    return (
+        cells(met).mapInArrow(gathered, "slot int, data binary")
+        .repartition("slot").sortWithinPartitions("slot").mapInArrow(united, "slot int, data binary")
+    )
+
+
+def collected(met: DataFrame, k: int, slices: int) -> DataFrame:
+    """(query_row, query_id, vec_id, vec_row, score): up to k entries per query and block, with them all that can reach the cutoff."""
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for queries, cutoffs, block in walked(batches):
+            if block is None:
+                continue
+            c_ids, c_rows, c = block
+            step = max(1, CELLS // len(c_ids))
+            for slot, (q_ids, q_rows, q) in queries.items():
                 for first in range(0, len(q_ids), step):
-                    last = min(first + step, len(q_ids))
-                    parts, exact = partial_scores(q[first:last], c, slices)
-                    own = cutoff[first:last] if with_cutoff else None
-                    who, what = entries_of(parts, exact, own)
+                    parts, exact = partial_scores(q[first : first + step], c, slices)
+                    own = cutoffs[slot][first : first + step]
+                    if exact:
+                        share = (own / slices).astype(parts[0].dtype)[:, None]
+                        share = np.nextafter(share, -np.inf, dtype=share.dtype)  # it may have been rounded up
+                        reach = parts[0] >= share
+                        for p in parts[1:]:
+                            reach |= p >= share
+                        who, what = np.nonzero(reach)
+                    else:
+                        who, what = np.divmod(np.arange(parts[0].size), parts[0].shape[1])
                     score = sum(p[who, what] for p in parts)
                     keep = c_rows[what] != q_rows[first + who]
-                    if with_cutoff and exact:
+                    if exact:
                         keep &= score >= own[who]
                     who, what, score = who[keep], what[keep], score[keep]
                     order = np.lexsort((c_rows[what], c_ids[what], -score, who))
@@ -133,22 +240,13 @@ def searched(pairs: DataFrame, k: int, slices: int, with_cutoff: bool) -> DataFr
                     rank = np.arange(len(who)) - np.searchsorted(who, who)
                     top = rank < k
                     who, what, score = who[top] + first, what[top], score[top].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (q_rows[who], q_ids[who], c_ids[what], c_rows[what], score)],
-                        ["query_row", "query_id", "vec_id", "vec_row", "score"],
-                    )
-
-    return pairs.mapInArrow(search, "query_row long, query_id long, vec_id long, vec_row long, score long")
+                    if len(who):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(x) for x in (q_rows[who], q_ids[who], c_ids[what], c_rows[what], score)],
+                            ["query_row", "query_id", "vec_id", "vec_row", "score"],
+                        )
 
-
-def met(candidates: DataFrame, asked: DataFrame, n_blocks: int, n_asked: int) -> DataFrame:
-    """Every query block beside every candidate block of its dimension, over a grid of (query block, group of blocks)."""
-    groups = max(1, n_blocks // 4)
-    left = candidates.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).withColumn(
-        "slot", F.explode(F.sequence(F.lit(0), F.lit(max(n_asked - 1, 0))))
-    )
-    right = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return left.join(right, ["slot", "group", "dim"])
+    return cells(met).mapInArrow(search, "query_row long, query_id long, vec_id long, vec_row long, score long")
 
 
 def top_k(
@@ -161,35 +259,33 @@ def top_k(
     null id or vector, or a null or non-finite component, take no part; ties go to the smaller id; vectors
     meet only vectors of their own dimension; a repeated row is another row and is found as one; with fewer
     candidates there are fewer ranks; an empty table gives no rows. Scores are exact in 64 bits.
+    A cell of the grid holds a shelf of query blocks while its group of candidate blocks passes one by one; the blocks
+    of a cell are dealt to one task and never joined, so no task, and never the driver, holds their pairs.
     """
     rows = stored(usable(vectors, id_col, vector_col), "vectors")
     candidates = stored(blocks(rows, BLOCK), "candidate-blocks")
-    number = Window.orderBy("q_block")  # one row per block of queries
-    asked = stored(
-        blocks(rows.filter(F.pmod("id", F.lit(every)) == 0), QUERIES)
-        .select(
-            F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"),
-            F.col("data").alias("q_data"),
-        ),
-        "query-blocks",
-    )
-    slots = asked.select("q_block", "dim").withColumn("slot", F.row_number().over(number) - 1)
-    asked = stored(asked.join(slots, ["q_block", "dim"]), "numbered-query-blocks")
-    n_blocks, n_asked = candidates.count(), asked.count()
-
-    first = searched(met(candidates, asked, n_blocks, n_asked), k, slices, with_cutoff=False)
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"))
-    cutoffs = (
-        first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k)
-        .select(F.col("query_row").alias("row"), F.col("score").cast("double").alias("cutoff"))
+    number = Window.orderBy("dim", "block")  # one row per block of queries
+    asked = stored(blocks(rows.filter(F.pmod("id", F.lit(every)) == 0), QUERIES), "query-blocks")
+    slots = asked.select("block", "dim").withColumn("slot", F.row_number().over(number) - 1)
+    slots = stored(slots.withColumn("shelf", F.floor(F.col("slot") / SHELF).cast("int")), "query-slots")
+    n_blocks, n_asked = candidates.count(), slots.count()
+    groups = max(1, n_blocks // 4)
+    n_cells = groups * max(1, -(-n_asked // SHELF))
+
+    each = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
+    none = [F.lit(None).cast("array<long>").alias(n) for n in ("ids", "rows")]
+    homes = F.broadcast(slots.groupBy("dim").agg(F.collect_set("shelf").alias("shelves")))
+    numbered = asked.join(F.broadcast(slots), ["block", "dim"])
+    queries = numbered.select("shelf", "dim", F.lit(0).alias("kind"), "slot", "ids", "rows", "data", each)
+    passing = candidates.join(homes, "dim").select(
+        F.explode("shelves").alias("shelf"), "dim", F.lit(2).alias("kind"), F.lit(-1).alias("slot"), "ids", "rows", "data",
+        F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("group"),
     )
-    each = asked.select("slot", F.posexplode("q_rows").alias("at", "row")).join(cutoffs, "row", "left")
-    listed = each.groupBy("slot").agg(
-        F.array_sort(F.collect_list(F.struct("at", F.coalesce("cutoff", F.lit(float("-inf"))).alias("cutoff")))).alias("c")
-    ).select("slot", F.transform("c", lambda x: x["cutoff"]).alias("q_cutoff"))
-    sent = stored(asked.join(listed, "slot"), "query-cutoffs")
+    grid = lambda rows: rows.repartition(min(n_cells, CELLS_AT_ONCE), "shelf", "group", "dim")
 
-    found = searched(met(candidates, sent, n_blocks, n_asked), k, slices, with_cutoff=True)
+    cutoffs = stored(bounded(grid(queries.unionByName(passing)), k, slices), "query-cutoffs")
+    bounds = cutoffs.join(F.broadcast(slots), "slot").select("shelf", "dim", F.lit(1).alias("kind"), "slot", *none, "data", each)
+    found = collected(grid(queries.unionByName(bounds).unionByName(passing)), k, slices)
     final = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
     return (
         found.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)

@@ -78,3 +78,45 @@ def test_copies_of_one_row_are_dealt_in_runs(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a")] * 11 + [(2, "b")] * 3, "doc_id long, text string")
     got = sharding.shard_documents(df, shards=1).collect()
     assert sorted(r["slot"] for r in got) == list(range(14))
+
+
+def plan_nodes(node):
+    yield node
+    inner = [node.initialPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.children().apply(i) for i in range(node.children().size())]
+    for x in inner:
+        yield from plan_nodes(x)
+
+
+def test_blocks_are_never_broadcast(spark, monkeypatch):
+    """Every plan of the search, also if all tables are small enough for Spark to broadcast them by their files."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    sent, kept = [], topk.stored
+
+    def looked_at(df):
+        for x in plan_nodes(df._jdf.queryExecution().executedPlan()):
+            if "BroadcastExchange" in x.nodeName():
+                sent.extend(c.simpleString() for c in [x.output().apply(i).dataType() for i in range(x.output().size())])
+        return df
+
+    monkeypatch.setattr(topk, "stored", lambda df, name: kept(looked_at(df), name))
+    df = spark.createDataFrame([(i, [i % 5 - 2.0, i % 3 * 1.0, 1.0]) for i in range(200)], "vec_id long, embedding array<double>")
+    assert looked_at(topk.top_k(df.coalesce(2), k=3)).count() == 30
+    assert "binary" not in sent
+
+
+def test_many_cells_equal_all_scores(spark, monkeypatch):
+    for name, size in (("BLOCK", 16), ("QUERIES", 4), ("SHELF", 2), ("CELLS", 64)):
+        monkeypatch.setattr(topk, name, size)
+    draw = random.Random(9)
+    size = lambda i: 10.0 ** (i % 4 * 3)  # noqa: E731  one, two, four and eight bytes a component
+    rows = [(2 * i, [draw.randint(-9, 9) * size(i) for _ in range(3 + i % 2)]) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(3)
+    assert sorted(tuple(r) for r in topk.top_k(df, k=4).collect()) == brute(rows, 4, 20)
+
+
+def test_components_are_kept_in_as_few_bytes_as_they_need():
+    for kind in topk.KINDS:
+        table = np.array([[np.iinfo(kind).min, 0, 1], [np.iinfo(kind).max, -1, 2]], dtype=np.int64)
+        assert (topk.table_of(table.astype(kind).tobytes(), 2, 3) == table).all()
+    assert topk.table_of(b"", 2, 0).shape == (2, 0)
